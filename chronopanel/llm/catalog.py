@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from chronopanel.llm import decontamination, mixing, sharding
+from chronopanel.llm import decontamination, jaccard, language, mixing, sharding, toxicity
 
 QUERIES = {
+    "op1_jaccard_join": jaccard.op1_jaccard_join,
     "op3_mixing": mixing.op3_mixing,
     "op4_decontamination": decontamination.op4_decontamination,
     "op5_sharding": sharding.op5_sharding,
+    "op7_language": language.op7_language,
+    "op8_toxicity": toxicity.op8_toxicity,
 }
 ORACLES = {
     "op3_mixing": mixing.OP3_SQL,
