@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
-from chronopanel.llm import decontamination, jaccard, language, mixing, sharding, toxicity
+from chronopanel.llm import chat, decontamination, jaccard, language, mixing, secrets, sharding, topk, toxicity, warc
 
 QUERIES = {
     "op1_jaccard_join": jaccard.op1_jaccard_join,
+    "op2_topk": topk.op2_topk,
     "op3_mixing": mixing.op3_mixing,
     "op4_decontamination": decontamination.op4_decontamination,
     "op5_sharding": sharding.op5_sharding,
+    "op6_warc": warc.op6_warc,
     "op7_language": language.op7_language,
     "op8_toxicity": toxicity.op8_toxicity,
+    "op9_secrets": secrets.op9_secrets,
+    "op10_chat": chat.op10_chat,
 }
 ORACLES = {
+    "op2_topk": topk.OP2_SQL,
     "op3_mixing": mixing.OP3_SQL,
     "op4_decontamination": decontamination.OP4_SQL,
+    "op6_warc": warc.OP6_SQL,
+    "op10_chat": chat.OP10_SQL,
 }

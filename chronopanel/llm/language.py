@@ -60,7 +60,8 @@ class Model:
             self.grams[n] = self._logs(counts)
 
     @staticmethod
-    def _logs(counts: list[Counter]) -> dict[str, np.ndarray]:
+    def _logs(counts: list[Counter]) -> tuple[dict[str, int], np.ndarray]:
+        """The row of each entry, and the rows."""
         total = Counter()
         for x in counts:
             total.update(x)
@@ -70,15 +71,16 @@ class Model:
         known = [w for w, k in total.items() if k >= least]
         table = np.array([[x[w] for x in counts] for w in known], float).reshape(len(known), len(counts)) + 0.5
         table = np.log(table / (np.array([x.total() for x in counts]) + 0.5 * (len(known) + 1)))
-        return dict(zip(known, table.astype(np.float32), strict=True))
+        return {w: i for i, w in enumerate(known)}, table.astype(np.float32)
 
     def word(self, word: str) -> np.ndarray:
-        if (known := self.words.get(word)) is not None:
-            return known
+        rows, table = self.words
+        if (known := rows.get(word)) is not None:
+            return table[known]
         for n in ORDERS:
-            table = self.grams[n]
-            if found := [table[g] for g in grams(word, n) if g in table]:
-                return np.mean(found, 0)
+            rows, table = self.grams[n]
+            if found := [rows[g] for g in grams(word, n) if g in rows]:
+                return table[found].mean(0)
         return np.zeros(len(self.languages), np.float32)
 
 
