@@ -1,10 +1,583 @@
-"""Every query over the driver's tables by name, with SQL for the same rows."""
+"""Every query over the driver's tables by name, with SQL for the same rows.
+
+Doubles that come of sums, means or logarithms are rounded to 6 places in both, since engines add in different orders.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from chronopanel.functions import scalar
+from chronopanel.operators import audit, covariates, evaluate, history, models, randomization, spatial
+from chronopanel.plans import panels
+from chronopanel.plans.panels import ANNUAL_SQL, DAILY_SQL, MISSING, POINT_MISSING, POINTS_SQL, PREDICTIONS_SQL, RAIN_SQL, TEST_YEARS, YEARS
+from chronopanel.sources import contract
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+SEED, PERMUTATIONS = 20240517, 20
+FRACTIONS = [0.01, 0.02, 0.05, 0.1]
+MATERIAL_GROUPS = {"Brand#11": "Brand#1", "Brand#12": "Brand#1"}
+
+
+def query(sql: str | None = None):
+    def put(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return put
+
+
+def rounded(df: DataFrame, *names: str, places: int = 6) -> DataFrame:
+    # adding 0 turns a negative zero into a plain one
+    return df.withColumns({c: F.round(F.col(c).cast("double"), places) + F.lit(0.0) for c in names})
+
+
+_HISTORY = "su_id, year, landslide_count, shallow_count, active, shallow_active, prior_landslide_count, prior_active_years, prior_failure, last_active_year, years_since_last_activity, history_crosses_missing_gap, gap_time_category, prior_shallow_landslide_count, prior_shallow_active_years, prior_shallow_failure, last_shallow_active_year, years_since_last_shallow_activity, shallow_history_crosses_missing_gap, gap_shallow_category, previously_active_state, activity_class, recurrence_stage, round(ln(1 + prior_active_years), 6) + 0.0::DOUBLE AS prior_active_years_log1p, round(ln(1 + prior_landslide_count), 6) + 0.0::DOUBLE AS prior_landslide_count_log1p, round(ln(1 + prior_shallow_active_years), 6) + 0.0::DOUBLE AS prior_shallow_active_years_log1p"
+_LOGS = ("prior_active_years_log1p", "prior_landslide_count_log1p", "prior_shallow_active_years_log1p")
+_RISK = "prior_failure = 1 AND history_crosses_missing_gap = 0 AND gap_time_category IS NOT NULL"
+
+
+@query(f"WITH {ANNUAL_SQL} SELECT {_HISTORY} FROM annual")
+def history_panel(spark, d):
+    return rounded(panels.annual_history(spark, d), *_LOGS)
+
+
+@query(f"WITH {DAILY_SQL} SELECT {_HISTORY} FROM daily")
+def history_panel_daily(spark, d):
+    return rounded(panels.daily_history(spark, d), *_LOGS)
+
+
+_SUPPORT = "SELECT gap_time_category, count(*) AS n_slope_unit_years, CAST(sum(active) AS BIGINT) AS active_outcomes, count(DISTINCT su_id) AS n_slope_units, round(sum(active) / count(*), 6) + 0.0::DOUBLE AS observed_rate FROM {} WHERE " + _RISK + " GROUP BY ALL"
+
+
+@query(f"WITH {ANNUAL_SQL} {_SUPPORT.format('annual')}")
+def recurrence_gap_support(spark, d):
+    return rounded(history.risk_support(panels.annual_history(spark, d)), "observed_rate")
+
+
+@query(f"WITH {DAILY_SQL} {_SUPPORT.format('daily')}")
+def recurrence_gap_support_daily(spark, d):
+    return rounded(history.risk_support(panels.daily_history(spark, d)), "observed_rate")
+
+
+@query(f"WITH {ANNUAL_SQL} SELECT year, count(DISTINCT su_id) AS slope_units, CAST(sum(active) AS BIGINT) AS active_slope_units, CAST(sum(landslide_count) AS BIGINT) AS landslides, CAST(sum(shallow_active) AS BIGINT) AS shallow_active_slope_units, CAST(sum(shallow_count) AS BIGINT) AS shallow_landslides FROM annual GROUP BY year")
+def panel_year_audit(spark, d):
+    return history.year_audit(panels.annual_history(spark, d))
+
+
+_EXCLUSIONS = f"""WITH {ANNUAL_SQL}, x AS (
+  SELECT 'all_landslides' AS analysis, year, prior_failure AS f, history_crosses_missing_gap AS c FROM annual UNION ALL
+  SELECT 'shallow_landslides', year, prior_shallow_failure, shallow_history_crosses_missing_gap FROM annual),
+audit AS (
+  SELECT analysis, year, count(*) AS slope_unit_years, count(*) FILTER (f = 0) AS pre_first_excluded, count(*) FILTER (f = 1 AND c = 1) AS gap_crossing_excluded_from_risk,
+         count(*) FILTER (f = 1 AND c = 0) AS retained_risk_rows FROM x GROUP BY ALL)"""
+
+
+@query(f"{_EXCLUSIONS} SELECT * FROM audit")
+def history_exclusion_audit(spark, d):
+    return history.exclusion_audit(panels.annual_history(spark, d))
+
+
+@query(f"{_EXCLUSIONS} SELECT analysis, CAST(sum(slope_unit_years) AS BIGINT) AS slope_unit_years, CAST(sum(pre_first_excluded) AS BIGINT) AS pre_first_excluded, CAST(sum(gap_crossing_excluded_from_risk) AS BIGINT) AS gap_crossing_excluded_from_risk, CAST(sum(retained_risk_rows) AS BIGINT) AS retained_risk_rows FROM audit GROUP BY analysis")
+def exclusion_summary(spark, d):
+    return history.exclusion_summary(history.exclusion_audit(panels.annual_history(spark, d)))
+
+
+@query(f"WITH {ANNUAL_SQL} SELECT activity_class, recurrence_stage, previously_active_state, count(*) AS n FROM annual GROUP BY ALL")
+def activity_class_counts(spark, d):
+    return panels.annual_history(spark, d).groupBy("activity_class", "recurrence_stage", "previously_active_state").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {ANNUAL_SQL} SELECT su_id, CAST(sum(CASE WHEN active = 1 THEN CASE year {' '.join(f'WHEN {y} THEN {1 << i}' for i, y in enumerate(YEARS))} END END) AS BIGINT) AS mask FROM annual WHERE active = 1 GROUP BY su_id")
+def activity_matrix(spark, d):
+    return history.activity_matrix(panels.annual_history(spark, d), YEARS)
+
+
+@query(f"WITH {ANNUAL_SQL} SELECT su_id, {', '.join(f'CAST(max(CASE WHEN year = {y} THEN active ELSE 0 END) AS INTEGER) AS y{y}' for y in YEARS)} FROM annual GROUP BY su_id")
+def activity_wide(spark, d):
+    return history.wide_activity(panels.annual_history(spark, d), YEARS)
+
+
+@query(f"WITH {ANNUAL_SQL} SELECT count(DISTINCT su_id) AS units, count(*) AS rows, TRUE AS balanced, list_sort(list(DISTINCT year)) = {YEARS} AS years_as_expected FROM annual")
+def period_check(spark, d):
+    return contract.period_check(panels.annual_panel(spark, d), YEARS)
+
+
+@query("SELECT CAST(l_orderkey AS VARCHAR) AS su_id, CAST(year(l_shipdate) AS INTEGER) AS year, count(*) AS n_rows FROM lineitem GROUP BY ALL HAVING count(*) > 1")
+def repeated_keys(spark, d):
+    keyed = panels.table(spark, d, "lineitem").select(F.col("l_orderkey").cast("string").alias("su_id"), F.year("l_shipdate").alias("year"))
+    return contract.repeated_keys(keyed, ["su_id", "year"])
+
+
+@query("SELECT 'lineitem' AS file, 'has rows' AS \"check\", count(*) > 0 AS passed, CAST(count(*) AS VARCHAR) AS detail FROM lineitem UNION ALL SELECT 'lineitem', 'has key', TRUE, 'l_orderkey' UNION ALL SELECT 'lineitem', 'has weight', FALSE, 'none of weight, overlap_weight'")
+def contract_checks(spark, d):
+    return contract.contract_checks(panels.table(spark, d, "lineitem"), {"key": ("L_ORDERKEY",), "weight": ("weight", "overlap_weight")}, "lineitem")
+
+
+@query(f"WITH {RAIN_SQL} SELECT su_id, round(avg(monsoon_rainfall_mm), 6) + 0.0::DOUBLE AS unit_mean, round(stddev_samp(monsoon_rainfall_mm), 6) + 0.0::DOUBLE AS unit_sd FROM rain GROUP BY su_id")
+def climatology(spark, d):
+    return rounded(covariates.climatology(panels.rainfall(spark, d), "monsoon_rainfall_mm"), "unit_mean", "unit_sd")
+
+
+@query(f"""WITH {ANNUAL_SQL}, {RAIN_SQL}, f AS (SELECT a.su_id, a.year, monsoon_rainfall_mm FROM annual a LEFT JOIN rain r ON a.su_id = r.su_id AND a.year = r.year WHERE {_RISK}),
+u AS (SELECT su_id, avg(monsoon_rainfall_mm) AS m, stddev_samp(monsoon_rainfall_mm) AS s FROM rain GROUP BY su_id),
+z AS (SELECT avg(m) AS mm, stddev_samp(m) AS ss FROM u WHERE su_id IN (SELECT su_id FROM f))
+SELECT f.su_id, f.year, f.monsoon_rainfall_mm, round(CASE WHEN s > 0 THEN (monsoon_rainfall_mm - m) / s END, 6) + 0.0::DOUBLE AS monsoon_rainfall_mm_within_z, round(CASE WHEN ss > 0 THEN (m - mm) / ss END, 6) + 0.0::DOUBLE AS monsoon_rainfall_mm_between_z
+FROM f LEFT JOIN u ON f.su_id = u.su_id CROSS JOIN z""")
+def within_between(spark, d):
+    rain = panels.rainfall(spark, d)
+    frame = history.risk_set(panels.annual_history(spark, d)).select("su_id", "year").join(rain.drop("rx1day_mm"), ["su_id", "year"], "left")
+    return rounded(covariates.within_between(frame, rain, "monsoon_rainfall_mm"), "monsoon_rainfall_mm_within_z", "monsoon_rainfall_mm_between_z")
+
+
+@query("SELECT su_id, grid_id, weight FROM (SELECT *, row_number() OVER (PARTITION BY su_id ORDER BY weight DESC, grid_id) AS k FROM (SELECT CAST(l_partkey AS VARCHAR) AS su_id, CAST(l_suppkey AS VARCHAR) AS grid_id, sum(l_quantity) AS weight FROM lineitem GROUP BY ALL)) WHERE k = 1")
+def dominant_grid(spark, d):
+    return covariates.dominant_cell(panels.grid_weights(spark, d))
+
+
+@query(f"WITH {RAIN_SQL} SELECT su_id, CAST(year + 1 AS INTEGER) AS year, year AS rainfall_source_year, monsoon_rainfall_mm AS monsoon_rainfall_mm_lag1, rx1day_mm AS rx1day_mm_lag1 FROM rain")
+def lagged_covariates(spark, d):
+    return covariates.lagged(panels.rainfall(spark, d), ["monsoon_rainfall_mm", "rx1day_mm"])
+
+
+@query(f"""WITH {ANNUAL_SQL}, {RAIN_SQL}, f AS (SELECT a.su_id, a.year, ln(1 + prior_landslide_count) AS b, monsoon_rainfall_mm AS m FROM annual a LEFT JOIN rain r ON a.su_id = r.su_id AND a.year = r.year WHERE {_RISK}),
+z AS (SELECT avg(b) AS bm, stddev_samp(b) AS bs, avg(m) AS mm, stddev_samp(m) AS ms FROM f)
+SELECT su_id, year, round((b - bm) / bs, 6) + 0.0::DOUBLE AS burden_z, round((m - mm) / ms, 6) + 0.0::DOUBLE AS monsoon_z FROM f CROSS JOIN z WHERE m IS NOT NULL""")
+def risk_zscores(spark, d):
+    """Standardised over the risk set first; then complete cases only."""
+    frame = history.risk_set(panels.annual_history(spark, d)).join(panels.rainfall(spark, d), ["su_id", "year"], "left")
+    frame = scalar.zscored(scalar.zscored(frame, "prior_landslide_count_log1p", "burden_z"), "monsoon_rainfall_mm", "monsoon_z")
+    return rounded(covariates.complete_cases(frame.select("su_id", "year", "burden_z", "monsoon_z"), ["burden_z", "monsoon_z"]), "burden_z", "monsoon_z")
+
+
+@query(f"""WITH {ANNUAL_SQL}, {RAIN_SQL}, f AS (SELECT gap_time_category AS g, monsoon_rainfall_mm AS m, rx1day_mm AS x FROM annual a LEFT JOIN rain r ON a.su_id = r.su_id AND a.year = r.year)
+SELECT 'panel' AS analysis, 'gap_time_category' AS variable, count(*) FILTER (g IS NULL) AS missing_rows FROM f UNION ALL
+SELECT 'panel', 'monsoon_rainfall_mm', count(*) FILTER (m IS NULL) FROM f UNION ALL SELECT 'panel', 'rx1day_mm', count(*) FILTER (x IS NULL) FROM f UNION ALL
+SELECT 'panel', 'ANY_REQUIRED', count(*) FILTER (g IS NULL OR m IS NULL OR x IS NULL) FROM f""")
+def complete_case_report(spark, d):
+    frame = panels.annual_history(spark, d).join(panels.rainfall(spark, d), ["su_id", "year"], "left")
+    return covariates.missing_report(frame, ["gap_time_category", "monsoon_rainfall_mm", "rx1day_mm"], "panel")
+
+
+@query("SELECT CAST(p_partkey AS VARCHAR) AS su_id, CAST(p_size AS DOUBLE) AS slope_median_deg, p_retailprice AS su_area_m2, p_brand AS parent_material, round(ln(p_retailprice), 6) + 0.0::DOUBLE AS log_area FROM part")
+def static_features(spark, d):
+    return rounded(covariates.static_features(panels.terrain(spark, d), panels.materials(spark, d)), "log_area")
+
+
+_GROUP = "CASE WHEN p_brand IN ('Brand#11', 'Brand#12') THEN 'Brand#1' ELSE p_brand END"
+
+
+@query(f"SELECT CAST(p_partkey AS VARCHAR) AS su_id, {_GROUP} AS parent_material, {_GROUP} || '__' || CAST(p_size AS VARCHAR) AS cluster_key FROM part")
+def harmonised_materials(spark, d):
+    m = panels.table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("su_id"), scalar.harmonised(F.col("p_brand"), MATERIAL_GROUPS).alias("parent_material"), "p_size")
+    return m.select("su_id", "parent_material", scalar.composite_key(F.col("parent_material"), F.col("p_size")).alias("cluster_key"))
+
+
+@query(f"""WITH {ANNUAL_SQL}, f AS (SELECT a.su_id, active, p_brand IN ('Brand#13', 'Brand#21') AS gone FROM annual a JOIN part ON su_id = CAST(p_partkey AS VARCHAR))
+SELECT 'before' AS stage, count(*) AS rows, count(DISTINCT su_id) AS units, CAST(coalesce(sum(active), 0) AS BIGINT) AS active FROM f UNION ALL
+SELECT 'after', count(*), count(DISTINCT su_id), CAST(coalesce(sum(active), 0) AS BIGINT) FROM f WHERE NOT gone UNION ALL
+SELECT 'removed', count(*), count(DISTINCT su_id), CAST(coalesce(sum(active), 0) AS BIGINT) FROM f WHERE gone""")
+def material_exclusions(spark, d):
+    return audit.material_exclusions(panels.annual_history(spark, d).join(panels.materials(spark, d), "su_id", "left"), ["Brand#13", "Brand#21"])
+
+
+@query("SELECT p_brand AS parent_material, CAST(row_number() OVER (ORDER BY p_brand) - 1 AS INTEGER) AS code FROM (SELECT DISTINCT p_brand FROM part)")
+def cluster_codes(spark, d):
+    return covariates.cluster_codes(panels.materials(spark, d), "parent_material")
+
+
+_RATES = f"""rates AS (
+  SELECT c.gap_time_category, count(h.su_id) AS n_risk, CAST(coalesce(sum(h.active), 0) AS BIGINT) AS active, CASE WHEN count(h.su_id) > 0 THEN sum(h.active) / count(h.su_id) END AS rate
+  FROM (VALUES ('1_year'), ('2_years'), ('3_5_years'), ('6_10_years'), ('gt10_years')) c(gap_time_category)
+  LEFT JOIN (SELECT * FROM daily WHERE {_RISK}) h ON h.gap_time_category = c.gap_time_category GROUP BY c.gap_time_category)"""
+
+
+@query(f"WITH {DAILY_SQL}, {_RATES} SELECT gap_time_category, n_risk, active, round(rate, 6) + 0.0::DOUBLE AS rate FROM rates")
+def temporal_observed_gap_rates(spark, d):
+    return rounded(randomization.observed_gap_rates(history.risk_set(panels.daily_history(spark, d))), "rate")
+
+
+_SOME = lambda names: "CASE WHEN sum(n_risk) FILTER (gap_time_category IN ({0})) > 0 THEN sum(active) FILTER (gap_time_category IN ({0})) / sum(n_risk) FILTER (gap_time_category IN ({0})) END".format(", ".join(f"'{n}'" for n in names))  # noqa: E731, UP032
+_STATS = f"""stats AS (SELECT {", ".join(f"{_SOME([c])} AS rate_{c}" for c in randomization.CATEGORIES)}, {_SOME(randomization.CATEGORIES[:3])} AS short_1_5_rate, {_SOME(randomization.CATEGORIES[3:])} AS long_gt5_rate FROM rates)"""
+STATISTICS = [*[f"rate_{c}" for c in randomization.CATEGORIES], "short_1_5_rate", "long_gt5_rate", "short_vs_long_risk_ratio", "one_vs_gt10_risk_ratio"]
+
+
+@query(f"WITH {DAILY_SQL}, {_RATES}, {_STATS}, r AS (SELECT *, CASE WHEN long_gt5_rate > 0 THEN short_1_5_rate / long_gt5_rate END AS short_vs_long_risk_ratio, CASE WHEN rate_gt10_years > 0 THEN rate_1_year / rate_gt10_years END AS one_vs_gt10_risk_ratio FROM stats) SELECT {', '.join(f'round({s}, 6) + 0.0::DOUBLE AS {s}' for s in STATISTICS)} FROM r")
+def temporal_observed_statistics(spark, d):
+    rates = randomization.observed_gap_rates(history.risk_set(panels.daily_history(spark, d)))
+    return rounded(randomization.statistics(rates), *STATISTICS)
+
+
+@query(f"WITH {POINTS_SQL} SELECT su_id, x_key, y_key, count(*) AS records, count(DISTINCT year) AS distinct_years, min(year) AS earliest_year, max(year) AS latest_year FROM points GROUP BY ALL")
+def location_multiplicity(spark, d):
+    return spatial.multiplicity(panels.points(spark, d))
+
+
+@query(f"WITH {POINTS_SQL} SELECT su_id, x_key, y_key, year, CAST(i AS VARCHAR) AS source_event_index, x_m, y_m FROM locations")
+def dedup_locations(spark, d):
+    return spatial.fixed_locations(panels.points(spark, d))
+
+
+_CATEGORY = "CASE WHEN g = 1 THEN '1_year' WHEN g = 2 THEN '2_years' WHEN g <= 5 THEN '3_5_years' WHEN g <= 10 THEN '6_10_years' ELSE 'gt10_years' END"
+_NEAREST = f"""pairs AS (SELECT a.su_id, a.i, b.i AS j, sqrt((a.x_m - b.x_m) ** 2 + (a.y_m - b.y_m) ** 2) AS dist FROM locations a JOIN locations b ON a.su_id = b.su_id AND a.i <> b.i),
+nearest AS (
+  SELECT p.perm, p.su_id, p.i AS slot, p.year AS target_year, max(q.year) AS last_prior_year, min(dist) AS m
+  FROM pairs JOIN labels p ON pairs.su_id = p.su_id AND pairs.i = p.i JOIN labels q ON q.su_id = p.su_id AND q.i = pairs.j AND q.perm = p.perm WHERE q.year < p.year GROUP BY ALL),
+found AS (SELECT *, target_year - last_prior_year AS g, {_CATEGORY} AS gap_model FROM (SELECT *, target_year - last_prior_year AS g FROM nearest WHERE NOT (last_prior_year < {POINT_MISSING[0]} AND {POINT_MISSING[0]} < target_year)))""".replace("SELECT *, target_year - last_prior_year AS g, CASE", "SELECT *, CASE")
+_OBSERVED = "labels AS (SELECT 0 AS perm, su_id, i, year FROM locations)"
+_MEDIANS = """names AS (SELECT * FROM (VALUES ('overall'), ('1_year'), ('2_years'), ('3_5_years'), ('6_10_years'), ('gt10_years')) v(gap_model)),
+each AS (SELECT perm, 'overall' AS gap_model, m FROM found UNION ALL SELECT perm, gap_model, m FROM found),
+summed AS (SELECT p.perm, n.gap_model, count(m) AS n, median(m) AS median_distance_m FROM (SELECT DISTINCT perm FROM found) p CROSS JOIN names n LEFT JOIN each e ON e.gap_model = n.gap_model AND e.perm = p.perm GROUP BY ALL)"""
+
+
+def _observed(spark, d) -> DataFrame:
+    at = panels.locations(spark, d)
+    return spatial.nearest_prior(at.select("su_id", "slot", "year"), spatial.pair_distances(at), POINT_MISSING)
+
+
+@query(f"WITH {POINTS_SQL}, {_OBSERVED}, {_NEAREST} SELECT su_id, slot, target_year, last_prior_year, target_year - last_prior_year AS gap_years, gap_model, round(m, 6) + 0.0::DOUBLE AS nearest_prior_distance_m FROM found")
+def nearest_prior(spark, d):
+    return rounded(_observed(spark, d), "nearest_prior_distance_m")
+
+
+@query(f"WITH {POINTS_SQL}, {_OBSERVED}, {_NEAREST}, {_MEDIANS} SELECT gap_model, n, round(median_distance_m, 6) + 0.0::DOUBLE AS median_distance_m FROM summed")
+def distance_summary(spark, d):
+    return rounded(spatial.distance_summary(_observed(spark, d)), "median_distance_m")
+
+
+@query(f"WITH {POINTS_SQL} SELECT year, coalesce(a, 0) AS raw_valid_event_rows, coalesce(b, 0) AS fixed_location_rows, coalesce(a, 0) - coalesce(b, 0) AS rows_removed_by_deduplication FROM (SELECT year, count(*) AS a FROM points GROUP BY year) FULL JOIN (SELECT year, count(*) AS b FROM locations GROUP BY year) USING (year)")
+def year_counts_before_after(spark, d):
+    rows = panels.points(spark, d)
+    return spatial.year_counts(rows, spatial.fixed_locations(rows))
+
+
+_DEALT = f"""perms AS (SELECT CAST(range AS INTEGER) AS perm FROM range({PERMUTATIONS})),
+rows_ AS (SELECT perm, su_id, i, year, row_number() OVER (PARTITION BY perm, su_id ORDER BY i) AS place, row_number() OVER (PARTITION BY perm, su_id ORDER BY md5('{SEED}|' || perm || '|' || su_id || '|' || i)) AS at FROM locations CROSS JOIN perms),
+labels AS (SELECT a.perm, a.su_id, a.i, b.year FROM rows_ a JOIN rows_ b ON a.perm = b.perm AND a.su_id = b.su_id AND a.place = b.at)"""
+
+
+def _draws(spark, d) -> DataFrame:
+    at = panels.locations(spark, d)
+    labels = spatial.permuted_years(at, PERMUTATIONS, SEED)
+    return spatial.distance_summary(spatial.nearest_prior(labels, spatial.pair_distances(at), POINT_MISSING, ["perm"]), ["perm"])
+
+
+@query(f"WITH {POINTS_SQL}, {_DEALT}, {_NEAREST}, {_MEDIANS} SELECT perm, gap_model, n, round(median_distance_m, 6) + 0.0::DOUBLE AS median_distance_m FROM summed")
+def spatial_null_draws(spark, d):
+    return rounded(_draws(spark, d), "median_distance_m")
+
+
+@query(f"""WITH {POINTS_SQL}, {_DEALT}, {_NEAREST}, {_MEDIANS},
+obs_pairs AS (SELECT a.su_id, a.i, a.year AS target_year, max(b.year) AS last_prior_year, min(sqrt((a.x_m - b.x_m) ** 2 + (a.y_m - b.y_m) ** 2)) AS m FROM locations a JOIN locations b ON a.su_id = b.su_id AND b.year < a.year GROUP BY ALL),
+obs_found AS (SELECT m, {_CATEGORY} AS gap_model FROM (SELECT *, target_year - last_prior_year AS g FROM obs_pairs WHERE NOT (last_prior_year < {POINT_MISSING[0]} AND {POINT_MISSING[0]} < target_year))),
+obs AS (SELECT n.gap_model, count(m) AS observed_n, median(m) AS observed_median_m FROM names n LEFT JOIN (SELECT 'overall' AS gap_model, m FROM obs_found UNION ALL SELECT gap_model, m FROM obs_found) e ON e.gap_model = n.gap_model GROUP BY n.gap_model),
+nine AS (SELECT perm, gap_model, round(median_distance_m, 9) AS median_distance_m FROM summed),
+obs9 AS (SELECT gap_model, observed_n, round(observed_median_m, 9) AS observed_median_m FROM obs),
+s AS (SELECT gap_model, observed_n, observed_median_m, median(median_distance_m) AS nm, quantile_cont(median_distance_m, 0.025) AS lo, quantile_cont(median_distance_m, 0.975) AS hi, count(median_distance_m) AS k, count(*) FILTER (median_distance_m <= observed_median_m) AS below FROM nine JOIN obs9 USING (gap_model) GROUP BY ALL)
+SELECT gap_model, observed_n, round(observed_median_m, 6) + 0.0::DOUBLE AS observed_median_m, round(nm, 6) + 0.0::DOUBLE AS null_median_m, round(lo, 6) + 0.0::DOUBLE AS null_CI_low_m, round(hi, 6) + 0.0::DOUBLE AS null_CI_high_m, k AS n_permutations, below AS n_null_at_or_below_observed,
+       round(CASE WHEN nm > 0 THEN observed_median_m / nm END, 6) + 0.0::DOUBLE AS observed_null_ratio, round(100 * (1 - CASE WHEN nm > 0 THEN observed_median_m / nm END), 6) + 0.0::DOUBLE AS percent_shorter_than_null, round((below + 1) / (k + 1), 6) + 0.0::DOUBLE AS empirical_p_one_sided FROM s""")
+def spatial_null_summary(spark, d):
+    nine = lambda df: df.withColumn("median_distance_m", F.round("median_distance_m", 9))
+    out = spatial.null_summary(nine(spatial.distance_summary(_observed(spark, d))), nine(_draws(spark, d)))
+    return rounded(out, "observed_median_m", "null_median_m", "null_CI_low_m", "null_CI_high_m", "observed_null_ratio", "percent_shorter_than_null", "empirical_p_one_sided")
+
+
+@query(f"WITH {POINTS_SQL}, {_DEALT} SELECT su_id, year, count(*) // {PERMUTATIONS} AS per_draw, count(*) % {PERMUTATIONS} AS rest FROM labels GROUP BY ALL")
+def permuted_label_counts(spark, d):
+    """Every draw deals each unit its own years."""
+    labels = spatial.permuted_years(panels.locations(spark, d), PERMUTATIONS, SEED)
+    n = labels.groupBy("su_id", "year").agg(F.count("*").alias("n"))
+    return n.select("su_id", "year", F.floor(F.col("n") / PERMUTATIONS).alias("per_draw"), (F.col("n") % PERMUTATIONS).alias("rest"))
+
+
+_VALUES = "values_ AS (SELECT CASE o_orderkey % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'b' ELSE 'c' END AS statistic, CAST(o_orderkey % 4 AS INTEGER) AS chain, o_orderkey AS draw, o_totalprice AS value FROM orders)"
+
+
+def _values(spark, d) -> DataFrame:
+    o = panels.table(spark, d, "orders")
+    name = F.when(F.col("o_orderkey") % 3 == 0, "a").when(F.col("o_orderkey") % 3 == 1, "b").otherwise("c")
+    return o.select(name.alias("statistic"), (F.col("o_orderkey") % 4).cast("int").alias("chain"), F.col("o_orderkey").alias("draw"), F.col("o_totalprice").alias("value"))
+
+
+@query(f"""WITH {_VALUES}, o AS (SELECT statistic, median(value) AS v FROM values_ WHERE chain = 0 GROUP BY statistic)
+SELECT statistic, round(v, 6) + 0.0::DOUBLE AS observed, round(median(value), 6) + 0.0::DOUBLE AS null_median, round(quantile_cont(value, 0.025), 6) + 0.0::DOUBLE AS null_q025, round(quantile_cont(value, 0.975), 6) + 0.0::DOUBLE AS null_q975,
+  round((count(*) FILTER (value <= v) + 1) / (count(*) + 1), 6) + 0.0::DOUBLE AS p_lower, round((count(*) FILTER (value >= v) + 1) / (count(*) + 1), 6) + 0.0::DOUBLE AS p_upper, count(*) AS n_permutations,
+  round(least(1.0::DOUBLE, 2 * least((count(*) FILTER (value <= v) + 1) / (count(*) + 1), (count(*) FILTER (value >= v) + 1) / (count(*) + 1))), 6) + 0.0::DOUBLE AS p_two_sided
+FROM values_ JOIN o USING (statistic) GROUP BY statistic, v""")
+def empirical_summary(spark, d):
+    values = _values(spark, d)
+    observed = values.where("chain = 0").groupBy("statistic").agg(F.median("value").alias("value"))
+    return rounded(randomization.empirical_summary(values.select("statistic", "value"), observed), "observed", "null_median", "null_q025", "null_q975", "p_lower", "p_upper", "p_two_sided")
+
+
+@query(f"""WITH {_VALUES}, r AS (SELECT *, lag(value) OVER o AS before, row_number() OVER o AS i, count(*) OVER (PARTITION BY statistic, chain) AS n FROM values_ WINDOW o AS (PARTITION BY statistic, chain ORDER BY draw)),
+c AS (SELECT statistic, chain, CASE WHEN count(*) >= 2 THEN corr(value, before) END AS r FROM r WHERE before IS NOT NULL GROUP BY ALL),
+l AS (SELECT statistic, avg(r) AS m FROM c GROUP BY statistic),
+h AS (SELECT statistic, chain, i > n // 2 AS half, avg(value) AS m, var_samp(value) AS v, count(*) AS k FROM r WHERE i <= n // 2 OR i > n - n // 2 GROUP BY ALL),
+b AS (SELECT statistic, avg(v) AS w, var_samp(m) AS b, min(k) AS k FROM h GROUP BY statistic)
+SELECT t.statistic, t.retained_draws, round(sqrt(((k - 1) / k * w + b) / w), 6) + 0.0::DOUBLE AS split_rhat, round(l.m, 6) + 0.0::DOUBLE AS mean_chain_lag1_autocorrelation, round(least(CAST(retained_draws AS DOUBLE), retained_draws * (1 - l.m) / (1 + l.m)), 6) + 0.0::DOUBLE AS approximate_ess_from_lag1
+FROM (SELECT statistic, count(*) AS retained_draws FROM values_ GROUP BY statistic) t JOIN l ON l.statistic = t.statistic JOIN b ON b.statistic = t.statistic""")
+def mixing_diagnostics(spark, d):
+    return rounded(randomization.mixing(_values(spark, d)), "split_rhat", "mean_chain_lag1_autocorrelation", "approximate_ess_from_lag1")
+
+
+@query("SELECT * FROM (VALUES (0, CAST(11 AS BIGINT), 34), (1, 12, 33), (2, 13, 33)) v(chain, seed, n_draws)")
+def chain_schedule(spark, d):
+    return randomization.schedule(spark, 100, [11, 12, 13])
+
+
+@query(f"SELECT CAST(p_partkey AS VARCHAR) AS su_id FROM part ORDER BY md5('{SEED}|' || p_partkey), su_id LIMIT 100")
+def standardization_sample(spark, d):
+    return randomization.seeded_sample(panels.terrain(spark, d).select("su_id"), 100, SEED, "su_id")
+
+
+_CURVE = """each AS (SELECT {by}, predicted_probability AS p, count(*) AS n, sum(observed) AS h FROM predictions GROUP BY ALL),
+curve AS (SELECT *, sum(n) OVER w AS selected, sum(h) OVER w AS captured, sum(h) OVER (PARTITION BY {by}) AS pos, sum(n) OVER (PARTITION BY {by}) AS total FROM each WINDOW w AS (PARTITION BY {by} ORDER BY p DESC)),
+metrics AS (
+  SELECT * FROM (SELECT {by}, max(total) AS n, max(pos) AS positives, sum(h / pos * (captured / selected)) AS ap, sum(h * (total - selected - (pos - captured) + (n - h) / 2)) / max(pos) / (max(total) - max(pos)) AS auc FROM curve GROUP BY ALL)
+  JOIN (SELECT {by}, avg((predicted_probability - observed) ** 2) AS brier, avg(-(observed * ln(predicted_probability) + (1 - observed) * ln(1 - predicted_probability))) AS loss FROM predictions GROUP BY ALL) USING ({by}))"""
+_METRICS = "SELECT {by}, CAST(n AS BIGINT) AS n, CAST(positives AS BIGINT) AS positives, round(positives / n, 6) + 0.0::DOUBLE AS prevalence, round(ap, 6) + 0.0::DOUBLE AS average_precision, round(auc, 6) + 0.0::DOUBLE AS roc_auc, round(brier, 6) + 0.0::DOUBLE AS brier_score, round(loss, 6) + 0.0::DOUBLE AS log_loss FROM metrics"
+_MEASURES = ("prevalence", "average_precision", "roc_auc", "brier_score", "log_loss")
+
+
+@query(f"WITH {PREDICTIONS_SQL}, {_CURVE.format(by='model, test_year')} {_METRICS.format(by='model, test_year')}")
+def metrics_by_year(spark, d):
+    return rounded(evaluate.metrics(panels.predictions(spark, d), ["model", "test_year"]), *_MEASURES)
+
+
+@query(f"WITH {PREDICTIONS_SQL}, {_CURVE.format(by='model')} {_METRICS.format(by='model')}")
+def pooled_metrics(spark, d):
+    return rounded(evaluate.metrics(panels.predictions(spark, d), ["model"]), *_MEASURES)
+
+
+@query(f"WITH {PREDICTIONS_SQL}, {_CURVE.format(by='model')} SELECT model, p AS score, CAST(selected AS BIGINT) AS selected, CAST(captured AS BIGINT) AS captured, round(captured / selected, 6) + 0.0::DOUBLE AS precision, round(captured / pos, 6) + 0.0::DOUBLE AS recall FROM curve")
+def pr_curve(spark, d):
+    return rounded(evaluate.curve(panels.predictions(spark, d), ["model"]).select("model", "score", "selected", "captured", "precision", "recall"), "precision", "recall")
+
+
+_TOP = """ranked AS (SELECT *, row_number() OVER (PARTITION BY model, test_year ORDER BY predicted_probability DESC, su_id) AS place, count(*) OVER (PARTITION BY model, test_year) AS total, sum(observed) OVER (PARTITION BY model, test_year) AS pos FROM predictions),
+top AS (SELECT model, test_year, f AS top_fraction, count(*) AS selected_rows, CAST(sum(observed) AS BIGINT) AS captured_positives, CAST(max(pos) AS BIGINT) AS total_positives FROM ranked CROSS JOIN ({fractions}) WHERE place <= greatest(1, ceil(total * f)) GROUP BY ALL),
+budget AS (SELECT model, top_fraction, CAST(sum(selected_rows) AS BIGINT) AS selected_rows, CAST(sum(captured_positives) AS BIGINT) AS captured_positives, CAST(sum(total_positives) AS BIGINT) AS total_positives FROM top GROUP BY ALL)"""
+_FRACTIONS = "SELECT unnest([" + ", ".join(f"{f}::DOUBLE" for f in FRACTIONS) + "]) AS f"
+_SHARES = "round(CASE WHEN total_positives > 0 THEN captured_positives / total_positives END, 6) + 0.0::DOUBLE AS positive_capture_rate, round(captured_positives / selected_rows, 6) + 0.0::DOUBLE AS precision_at_fraction"
+
+
+@query(f"WITH {PREDICTIONS_SQL}, {_TOP.format(fractions=_FRACTIONS)} SELECT *, {_SHARES} FROM top")
+def top_fraction(spark, d):
+    return rounded(evaluate.top_fractions(panels.predictions(spark, d), ["model", "test_year"], FRACTIONS), "positive_capture_rate", "precision_at_fraction")
+
+
+@query(f"WITH {PREDICTIONS_SQL}, {_TOP.format(fractions=_FRACTIONS)} SELECT *, {_SHARES}, 'annual' AS budget_definition FROM budget")
+def annual_budget(spark, d):
+    return rounded(evaluate.annual_budget(panels.predictions(spark, d), FRACTIONS), "positive_capture_rate", "precision_at_fraction")
+
+
+@query(f"WITH {PREDICTIONS_SQL}, {_TOP.format(fractions='SELECT i / 1000.0::DOUBLE AS f FROM range(1, 201) r(i)')} SELECT *, {_SHARES}, 'annual' AS budget_definition FROM budget")
+def capture_curve(spark, d):
+    return rounded(evaluate.annual_budget(panels.predictions(spark, d), [i / 1000 for i in range(1, 201)]), "positive_capture_rate", "precision_at_fraction")
+
+
+_BINS = """edges AS (SELECT model, test_year, list_distinct(quantile_cont(predicted_probability, [""" + ", ".join(f"{i / 10}::DOUBLE" for i in range(11)) + """])) AS e FROM predictions GROUP BY ALL),
+binned AS (SELECT model, test_year, CAST(greatest(0, len(list_filter(e, lambda x: x < predicted_probability)) - 1) AS INTEGER) AS calibration_bin, count(*) AS n, avg(predicted_probability) AS mean_predicted, avg(observed) AS observed_rate FROM predictions JOIN edges USING (model, test_year) GROUP BY ALL)"""
+
+
+@query(f"WITH {PREDICTIONS_SQL}, {_BINS} SELECT model, test_year, calibration_bin, n, round(mean_predicted, 6) + 0.0::DOUBLE AS mean_predicted, round(observed_rate, 6) + 0.0::DOUBLE AS observed_rate FROM binned")
+def calibration_bins(spark, d):
+    return rounded(evaluate.calibration(panels.predictions(spark, d)), "mean_predicted", "observed_rate")
+
+
+@query(f"WITH {PREDICTIONS_SQL}, {_BINS} SELECT model, calibration_bin, CAST(sum(n) AS BIGINT) AS n, round(sum(n * mean_predicted) / sum(n), 6) + 0.0::DOUBLE AS mean_predicted, round(sum(n * observed_rate) / sum(n), 6) + 0.0::DOUBLE AS observed_rate FROM binned GROUP BY ALL")
+def pooled_calibration(spark, d):
+    return rounded(evaluate.pooled_calibration(evaluate.calibration(panels.predictions(spark, d))), "mean_predicted", "observed_rate")
+
+
+_PAIRS = [("P1", "P0"), ("P2", "P1"), ("P2", "P0")]
+_LONG = " UNION ALL ".join(f"SELECT model, '{name}' AS metric, {c} AS v FROM metrics" for name, c in (("average_precision", "ap"), ("roc_auc", "auc"), ("brier_score", "brier"), ("log_loss", "loss")))
+
+
+@query(f"WITH {PREDICTIONS_SQL}, {_CURVE.format(by='model')}, long AS ({_LONG}) SELECT a.model AS richer_model, b.model AS simpler_model, metric, round(a.v - b.v, 6) + 0.0::DOUBLE AS difference_richer_minus_simpler FROM long a JOIN long b USING (metric) WHERE (a.model, b.model) IN (('P1', 'P0'), ('P2', 'P1'), ('P2', 'P0'))")
+def metric_increments(spark, d):
+    return rounded(evaluate.increments(evaluate.metrics(panels.predictions(spark, d), ["model"]), _PAIRS, list(_MEASURES[1:])), "difference_richer_minus_simpler")
+
+
+@query(f"WITH {ANNUAL_SQL} SELECT year AS test_year, count(*) AS potential_rows, count(*) FILTER (history_crosses_missing_gap = 1) AS excluded_gap_crossing, count(*) FILTER (history_crosses_missing_gap = 0) AS retained_rows FROM annual WHERE year IN ({', '.join(map(str, TEST_YEARS))}) GROUP BY year")
+def prediction_exclusions(spark, d):
+    return audit.prediction_exclusions(panels.annual_history(spark, d).where(F.col("year").isin(*TEST_YEARS)))
+
+
+@query("""SELECT * FROM (VALUES ('training_before_test', TRUE), ('first_test_follows_training', TRUE), ('lag_is_one_year', TRUE), ('no_current_covariate', TRUE)) v("check", passed)""")
+def leakage_checks(spark, d):
+    f = panels.features(spark, d).where(F.col("year").isin(*TEST_YEARS))
+    rows = f.select(F.col("year").alias("test_year"), (F.col("year") - 1).alias("max_training_year"), "rainfall_source_year")
+    return audit.leakage_checks(rows, ["slope_median_deg", "prior_active_years", "monsoon_rainfall_mm_lag1"])
+
+
+_P = "p AS (SELECT CAST(p_partkey AS VARCHAR) AS id, p_brand AS family, CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE (p_partkey * 37 % 1000) / 20000.0::DOUBLE END AS p FROM part)"
+
+
+@query(f"WITH {_P} SELECT id, family, p, round(least(1.0::DOUBLE, max(s) OVER (PARTITION BY family ORDER BY p, id ROWS UNBOUNDED PRECEDING)), 6) + 0.0::DOUBLE AS p_holm FROM (SELECT *, (count(*) OVER (PARTITION BY family) - row_number() OVER (PARTITION BY family ORDER BY p, id) + 1) * p AS s FROM p WHERE p IS NOT NULL) UNION ALL SELECT id, family, p, NULL FROM p WHERE p IS NULL")
+def holm_adjusted(spark, d):
+    part = panels.table(spark, d, "part")
+    p = part.select(F.col("p_partkey").cast("string").alias("id"), F.col("p_brand").alias("family"), F.when(F.col("p_partkey") % 7 != 0, (F.col("p_partkey") * 37 % 1000) / 20000.0).alias("p"))
+    return rounded(scalar.holm(p, "p", ["family"], ["id"]), "p_holm")
+
+
+@query("""SELECT 'columns' AS "check", 'different' AS status, 'log_area' AS detail UNION ALL SELECT 'only_left', CASE WHEN count(*) FILTER (p_size = 1) = 0 THEN 'equal' ELSE 'different' END, CAST(count(*) FILTER (p_size = 1) AS VARCHAR) FROM part UNION ALL
+SELECT 'only_right', 'equal', '0' UNION ALL SELECT 'values:slope_median_deg', 'equal', '0' UNION ALL SELECT 'values:su_area_m2', CASE WHEN count(*) FILTER (p_size = 2) = 0 THEN 'equal' ELSE 'different' END, CAST(count(*) FILTER (p_size = 2) AS VARCHAR) FROM part UNION ALL SELECT 'values:parent_material', 'equal', '0'""")
+def table_comparison(spark, d):
+    left = covariates.static_features(panels.terrain(spark, d), panels.materials(spark, d))
+    right = left.where("slope_median_deg <> 1").withColumn("su_area_m2", F.when(F.col("slope_median_deg") == 2, F.col("su_area_m2") + 1).otherwise(F.col("su_area_m2"))).drop("log_area")
+    return audit.compare_tables(left, right, ["su_id"])
+
+
+@query(f"""WITH {ANNUAL_SQL}, m AS (SELECT 'rows' AS c, CAST(count(*) AS DOUBLE) AS v FROM annual UNION ALL SELECT 'years', CAST(count(DISTINCT year) AS DOUBLE) FROM annual)
+SELECT e.c AS "check", e.x AS expected, m.v AS observed, coalesce(m.v = e.x, FALSE) AS passed FROM (VALUES ('rows', 1.0::DOUBLE), ('years', 6.0::DOUBLE), ('absent', 0.0::DOUBLE)) e(c, x) LEFT JOIN m ON m.c = e.c""")
+def publication_checks(spark, d):
+    h = panels.annual_history(spark, d).agg(F.count("*").cast("double").alias("rows"), F.count_distinct("year").cast("double").alias("years"))
+    return audit.publication_checks(h.unpivot([], ["rows", "years"], "name", "value"), {"rows": 1, "years": 6, "absent": 0})
+
+
+@query(f"""WITH {ANNUAL_SQL}, {_SUPPORT.format('annual').replace('SELECT', 's AS (SELECT', 1)})
+SELECT 'recurrence' AS analysis, 'rate ' || CASE gap_time_category WHEN '1_year' THEN '1 year' WHEN '2_years' THEN '2 years' ELSE gap_time_category END AS metric, observed_rate AS estimate, 'share of unit-years' AS units FROM s UNION ALL
+SELECT 'panel', 'active unit-years', CAST(sum(active) AS DOUBLE), 'unit-years' FROM annual""")
+def main_results(spark, d):
+    h = panels.annual_history(spark, d)
+    label = scalar.labelled(F.col("gap_time_category"), {"1_year": "1 year", "2_years": "2 years"})
+    rates = rounded(history.risk_support(h), "observed_rate").select(F.lit("recurrence").alias("analysis"), F.concat(F.lit("rate "), label).alias("metric"), F.col("observed_rate").alias("estimate"), F.lit("share of unit-years").alias("units"))
+    return rates.unionByName(h.agg(F.sum("active").cast("double").alias("estimate")).select(F.lit("panel").alias("analysis"), F.lit("active unit-years").alias("metric"), "estimate", F.lit("unit-years").alias("units")))
+
+
+@query(f"""WITH {_VALUES}, o AS (SELECT statistic, median(value) AS v FROM values_ WHERE chain = 0 GROUP BY statistic), n AS (SELECT statistic, median(value) AS m FROM values_ GROUP BY statistic)
+SELECT statistic, round(100 * (v - m), 4) + 0.0::DOUBLE AS departure, printf('%.1f', round(v, 1)) AS shown FROM o JOIN n USING (statistic)""")
+def figure_departures(spark, d):
+    """Observed less null median, in hundredths, and its label."""
+    values = _values(spark, d)
+    observed = values.where("chain = 0").groupBy("statistic").agg(F.median("value").alias("value"))
+    s = randomization.empirical_summary(values.select("statistic", "value"), observed)
+    return s.select("statistic", (F.round(100 * (F.col("observed") - F.col("null_median")), 4) + F.lit(0.0)).alias("departure"), F.format_string("%.1f", F.round("observed", 1)).alias("shown"))
+
+
+# models: what they fit has no SQL, but marginal effects at given coefficients have
+_TERMS = ["one", "gap1", "gap2", "rx", "rx:gap1", "rx:gap2"]
+_BETA = [-1.5, 0.3, 0.2, 0.1, 0.05, -0.05]
+
+
+def _model_frame(spark, d) -> DataFrame:
+    frame = history.risk_set(panels.annual_history(spark, d)).join(panels.rainfall(spark, d), ["su_id", "year"]).join(covariates.dominant_cell(panels.grid_weights(spark, d)).select("su_id", "grid_id"), "su_id")
+    frame = scalar.zscored(frame, "rx1day_mm", "rx")
+    frame = frame.withColumns({"one": F.lit(1.0), **{f"gap{i}": (F.col("gap_time_category") == c).cast("double") for i, c in ((1, "1_year"), (2, "2_years"))}})
+    frame = frame.withColumns({"rx:gap1": F.col("rx") * F.col("gap1"), "rx:gap2": F.col("rx") * F.col("gap2")})
+    return frame.withColumn("grid_year", scalar.composite_key(F.col("grid_id"), F.col("year"))).select("su_id", "year", "active", "grid_year", "gap_time_category", *_TERMS)
+
+
+def _states() -> dict:
+    zero, one = F.lit(0.0), F.lit(1.0)
+    return {"1_year": {"gap1": one, "gap2": zero}, "2_years": {"gap1": zero, "gap2": one}, "3_5_years": {"gap1": zero, "gap2": zero}}
+
+
+def _effects_sql() -> str:
+    p = lambda x, g1, g2: f"1 / (1 + exp(-({_BETA[0]} + {_BETA[1]} * {g1} + {_BETA[2]} * {g2} + {_BETA[3]} * {x} + {_BETA[4]} * {x} * {g1} + ({_BETA[5]}) * {x} * {g2})))"
+    rows = " UNION ALL ".join(f"SELECT '{name}' AS state, round(avg({p('(z + 1)', a, b)} - {p('z', a, b)}), 6) + 0.0::DOUBLE AS effect FROM m" for name, a, b in (("1_year", 1, 0), ("2_years", 0, 1), ("3_5_years", 0, 0)))
+    return f"""WITH {ANNUAL_SQL}, {RAIN_SQL}, f AS (SELECT a.su_id, a.year, rx1day_mm FROM annual a JOIN rain r ON a.su_id = r.su_id AND a.year = r.year WHERE {_RISK}),
+    m AS (SELECT (rx1day_mm - avg(rx1day_mm) OVER ()) / stddev_samp(rx1day_mm) OVER () AS z FROM f) {rows}"""
+
+
+@query(_effects_sql())
+def rainfall_ame_fixed_beta(spark, d):
+    fit = models.Fit(_TERMS, np.array(_BETA), np.eye(len(_TERMS)), 0, 0)
+    effects = models.marginal_effects(_model_frame(spark, d), fit, _states(), {"rx": F.col("rx") + 1})
+    return spark.createDataFrame([(k, round(e, 6) + 0.0) for k, (e, _) in effects.items()], "state string, effect double")
+
+
+@query()
+def rainfall_glm(spark, d):
+    """Coefficients with two-way clustered errors, and the joint test of the interactions."""
+    frame = _model_frame(spark, d).persist()
+    fit = models.binomial(frame, _TERMS)
+    v = models.two_way_covariance(frame, fit, "su_id", "grid_year")
+    w, df, p = models.joint_test(fit, ["rx:gap1", "rx:gap2"])
+    rows = [(t, float(b), float(np.sqrt(max(0.0, e)))) for t, b, e in zip(fit.terms, fit.beta, np.diag(v), strict=True)]
+    frame.unpersist()
+    return spark.createDataFrame([*rows, (f"joint test, {df} degrees of freedom", w, p)], "term string, estimate double, error_or_p double")
+
+
+@query()
+def rainfall_ame(spark, d):
+    """Marginal effects by state and their contrasts, with delta-method errors."""
+    frame = _model_frame(spark, d).persist()
+    fit = models.binomial(frame, _TERMS)
+    models.two_way_covariance(frame, fit, "su_id", "grid_year")
+    effects, contrasts = models.effect_rows(fit, models.marginal_effects(frame, fit, _states(), {"rx": F.col("rx") + 1}), "3_5_years")
+    frame.unpersist()
+    schema = "kind string, state string, estimate double, error double, low double, high double, p double"
+    out = spark.createDataFrame([("effect", *r) for r in effects] + [("contrast", *r) for r in contrasts], schema)
+    return scalar.holm(out, "p", ["kind"], ["state"])
+
+
+@query()
+def forward_prediction(spark, d):
+    """Penalised fits on all years before each test year, for three sets of features; all held-out rows."""
+    rows = panels.features(spark, d).where("history_crosses_missing_gap = 0").persist()
+    sets = {"P0": ["slope_median_deg", "su_area_m2"]}
+    sets["P1"] = [*sets["P0"], "prior_active_years_log1p", "prior_landslide_count_log1p"]
+    sets["P2"] = [*sets["P1"], "monsoon_rainfall_mm_lag1", "rx1day_mm_lag1"]
+    out = None
+    for year, _, _ in models.expanding_folds(rows, TEST_YEARS):
+        train = F.col("year") < year
+        fold = covariates.imputed(rows.where(F.col("year") <= year), train, sets["P2"])
+        common = covariates.most_frequent(rows, train, "parent_material")
+        fold = fold.withColumn("parent_material", F.coalesce("parent_material", F.lit(common)))
+        levels = models.levels_of(fold.where(train), "parent_material")
+        fold = fold.withColumns(models.indicators("parent_material", levels, "material_")).persist()
+        for model, names in sets.items():
+            features = [*[f"{n}_s" for n in names], *[f"material_{x}" for x in levels]]
+            columns = ["su_id", "year", "active", "rainfall_source_year", *[f"`{f}`" for f in features]]
+            plain = [f"f{i}" for i in range(len(features))]
+            named = fold.select(*columns).toDF("su_id", "year", "active", "rainfall_source_year", *plain)
+            scored, _ = models.penalised_logit(named.where(train), named.where(F.col("year") == year), plain)
+            one = scored.select("su_id", F.col("year").alias("test_year"), F.lit(model).alias("model"), F.col("active").alias("observed"), "predicted_probability", F.lit(year - 1).alias("max_training_year"), "rainfall_source_year")
+            out = one if out is None else out.unionAll(one)
+    return out
+
+
+@query()
+def recurrence_vb(spark, d):
+    """Odds ratios of elapsed time from the mixed model, with approximate intervals."""
+    frame = history.risk_set(panels.daily_history(spark, d))
+    frame = scalar.zscored(frame, "prior_landslide_count_log1p", "burden_z").withColumn("one", F.lit(1.0))
+    names = [c for c, _ in scalar.GAP_CATEGORIES[:-1]]
+    present = set(models.levels_of(frame, "gap_time_category"))
+    marks = models.indicators("gap_time_category", [c for c in names if c in present], "gap_")
+    frame = frame.withColumns(marks)
+    fit = models.variational_mixed_logit(frame, ["one", *marks, "burden_z"])
+    rows = [(t, *[float(fit[k][i]) for k in ("log_odds_mean", "posterior_sd", "odds_ratio", "interval_low", "interval_high")]) for i, t in enumerate(fit["terms"])]
+    return spark.createDataFrame([*rows, ("random_sd", fit["random_sd"], None, None, None, None)], "term string, log_odds_mean double, posterior_sd double, odds_ratio double, interval_low double, interval_high double")
+
+
+def _chain_draws(spark, d) -> DataFrame:
+    matrix = history.activity_matrix(panels.annual_history(spark, d), YEARS)
+    return randomization.swap_chains(matrix, randomization.schedule(spark, 9, [11, 12, 13]), YEARS, MISSING, 2000, 500)
+
+
+@query()
+def swap_chain_draws(spark, d):
+    """Gap rates of retained draws of three chains with fixed margins."""
+    return _chain_draws(spark, d)
+
+
+@query()
+def chain_diagnostics(spark, d):
+    return randomization.chain_diagnostics(_chain_draws(spark, d))
+
+
+@query()
+def swap_chain_statistics(spark, d):
+    """The statistics of each draw."""
+    return randomization.statistics(_chain_draws(spark, d), ["chain", "draw"])
