@@ -125,8 +125,11 @@ def fit(docs: DataFrame, learnable, id_col: str, text_col: str, lang_col: str) -
     """The model from the rows for which learnable holds."""
     text = F.col(text_col)
     rows = docs.where(learnable & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & text.isNotNull() & (F.length(text) <= SAMPLE_CHARS))
-    order = Window.partitionBy("lang").orderBy("key", "id")
-    first = rows.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.md5(F.col(id_col).cast("string")).alias("key")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= SAMPLE_DOCS)
+    keyed = rows.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.md5(F.col(id_col).cast("string")).alias("key"))
+    # the first of each slice of a language, then the first of these: no task sees a whole language
+    for within in (["lang", F.substring("key", -1, 1)], ["lang"]):
+        keyed = keyed.withColumn("rank", F.row_number().over(Window.partitionBy(*within).orderBy("key", "id"))).where(F.col("rank") <= SAMPLE_DOCS)
+    first = keyed
     chosen = first.select("id").distinct()  # SAMPLE_DOCS ids a language at most
     taken = rows.join(F.broadcast(chosen), F.col(id_col) == F.col("id")).select("id", F.col(lang_col).alias("lang"), text.alias("text"))
     return Model([(r["lang"], r["text"]) for r in sorted(taken.collect(), key=lambda r: (r["id"], r["lang"], r["text"]))])
