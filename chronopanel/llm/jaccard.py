@@ -32,23 +32,30 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from chronopanel.llm.shared import HashedWords, mixed, windows, written
+from chronopanel.llm.shared import hashed_words, mixed, windows, written
 
 #: Characters of text that are worked on together.
-CHUNK_CHARS = 8_000_000
+CHUNK_CHARS = 3_000_000
 #: Features in a block of sets that are compared with one another.
-BLOCK_FEATURES = 1 << 20
+BLOCK_FEATURES = 1 << 22
+#: Bins of the histograms that bound differences.
+BINS = 256
 #: Bits of a signature; a collision only costs a comparison.
 SIGNATURE_BITS = 48
 
 
-def shingles(text: str | None, n: int, hashed: HashedWords) -> np.ndarray:
-    """The sorted set of a text: words by ASCII whitespace, A-Z lower-cased."""
-    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-    if not words:
-        return np.empty(0, np.uint64)
-    return np.unique(windows(hashed.of(words), min(n, len(words))))
+def shingle_sets(texts: list[str | None], n: int) -> list[np.ndarray]:
+    """The sorted set of each text's shingles."""
+    words, starts = hashed_words(texts)
+    whole = windows(words, n)
+    out = []
+    for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+        own = whole[a : b - n + 1] if b - a >= n else windows(words[a:b], b - a) if b > a else whole[:0]
+        own = np.sort(own)
+        out.append(own[np.diff(own, prepend=~own[:1]) != 0] if len(own) else own)
+    return out
 
 
 def vertex(features: np.ndarray) -> int | None:
@@ -129,34 +136,22 @@ def _chunks(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[l
     yield held
 
 
-def vertices(docs: DataFrame, n: int) -> DataFrame:
-    """(id, check, n, v) of every row of (id, check, text): its set's size and name (null where empty)."""
+def signed(docs: DataFrame, n: int, scheme: PartEnum) -> DataFrame:
+    """Of rows (id, check, text): a row (v, meta) for each, v naming its set (null where empty), and rows (s, v) for its signatures, once for copies in a chunk."""
     id_type = docs.schema["id"].dataType.simpleString()
+    kind = pa.struct([("id", to_arrow_type(docs.schema["id"].dataType)), ("check", pa.int64()), ("n", pa.int64())])
 
     def run(batches):
-        hashed = HashedWords()
-        for batch in batches:
-            sizes, names = [], []
-            for text in batch.column("text"):
-                x = shingles(text.as_py(), n, hashed)
-                sizes.append(len(x))
-                names.append(vertex(x))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("check"), pa.array(sizes, pa.int64()), pa.array(names, pa.int64())], ["id", "check", "n", "v"])
-
-    return docs.mapInArrow(run, f"id {id_type}, check long, n long, v long")
-
-
-def signatures(docs: DataFrame, n: int, scheme: PartEnum) -> DataFrame:
-    """(s, v): signatures of the sets; copies in one chunk count once."""
-
-    def run(batches):
-        hashed = HashedWords()
-        for (texts,) in _chunks(batches, ["text"]):
-            sets = {v: x for x in (shingles(t, n, hashed) for t in texts) if (v := vertex(x)) is not None}
-            s, place = scheme.of(list(sets.values()))
-            yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(np.array(list(sets), np.int64)[place])], ["s", "v"])
+        for ids, checks, texts in _chunks(batches, ["id", "check", "text"]):
+            sets = shingle_sets(texts, n)
+            names = [vertex(x) for x in sets]
+            meta = pa.array([{"id": i, "check": c, "n": len(x)} for i, c, x in zip(ids, checks, sets, strict=True)], kind)
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(ids), pa.int64()), pa.array(names, pa.int64()), meta], ["s", "v", "meta"])
+            distinct = {v: x for v, x in zip(names, sets, strict=True) if v is not None}
+            s, place = scheme.of(list(distinct.values()))
+            yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(np.array(list(distinct), np.int64)[place]), pa.nulls(len(s), kind)], ["s", "v", "meta"])
 
-    return docs.select("text").mapInArrow(run, "s long, v long")
+    return docs.mapInArrow(run, f"s long, v long, meta struct<id:{id_type},check:long,n:long>")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -167,108 +162,129 @@ def components(edges: DataFrame) -> DataFrame:
     while not edges.isEmpty():
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         to = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("p"))
-        for _ in range(2):  # a vertex points at a smaller one; follow two pointers further
-            next_ = to.select(F.col("a").alias("p"), F.col("p").alias("q"))
-            to = written(to.join(next_, "p").select("a", F.col("q").alias("p")), "pointers")
+        to = written(to, "pointers")
+        next_ = to.select(F.col("a").alias("p"), F.col("p").alias("q"))
+        # a vertex points at a smaller one; follow two pointers further
+        to = to.join(next_, "p").select("a", F.col("q").alias("p")).join(next_, "p").select("a", F.col("q").alias("p"))
         labels = written(labels.join(to.withColumnRenamed("a", "label"), "label", "left").select("v", F.coalesce("p", "label").alias("label")), "labels")
         moved = edges.join(to, "a").select(F.col("p").alias("x"), "b").join(to.select(F.col("a").alias("b"), F.col("p").alias("y")), "b")
         edges = written(moved.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
     return labels
 
 
-def _compared(group: dict[str, list], percent: int) -> list[tuple[int, int]]:
-    """Links that join the components of one bucket: members have v, label, block and features."""
-    v, sets, block = group["v"], group["features"], group["block"]
-    sizes = np.array([len(x) for x in sets])
-    bins = 64
-    while bins < sizes.max() // 2:
-        bins *= 2
-    histogram = np.stack([np.bincount((x.view(np.uint64) >> np.uint64(11) & np.uint64(bins - 1)).astype(np.int64), minlength=bins) for x in sets]).astype(np.int16)
-    parent: dict[int, int] = {}
-
-    def root(x):
-        while parent.setdefault(x, x) != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
+class Group:
+    """Sets of one group of signatures, with the components known so far."""
+
+    def __init__(self, percent: int, v: np.ndarray, label: np.ndarray, sets: list[np.ndarray]):
+        self.percent, self.v, self.sets = percent, v, sets
+        self.sizes = np.array([len(x) for x in sets])
+        self.histogram = np.stack([np.bincount((x.view(np.uint64) >> np.uint64(11) & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS) for x in sets]).astype(np.int16)
+        self.component = np.unique(label, return_inverse=True)[1]
+        self.parent = list(range(self.component.max() + 1))
+
+    def root(self, x: int) -> int:
+        while self.parent[x] != x:
+            self.parent[x] = self.parent[self.parent[x]]
+            x = self.parent[x]
         return x
 
-    labels = np.array(group["label"], np.int64)
-    blocks = np.array(block)
-    apart = len(set(block)) > 1  # two blocks: each is compared with itself elsewhere
-    out = []
-    for i in range(len(v) - 1):
-        mine = root(int(labels[i]))
-        rest = slice(i + 1, None)
-        near = labels[rest] != labels[i]
-        if apart:
-            near &= blocks[rest] != blocks[i]
-        near = np.flatnonzero(near) + i + 1
-        if not len(near):
-            continue
-        most = (100 - percent) * (sizes[near] + sizes[i]) // (100 + percent)
-        near = near[np.abs(sizes[near] - sizes[i]) <= most]
-        most = (100 - percent) * (sizes[near] + sizes[i]) // (100 + percent)
-        near = near[np.abs(histogram[near] - histogram[i]).sum(1, dtype=np.int64) <= most]
-        for j in near.tolist():
-            theirs = root(int(labels[j]))
+    def links(self, i: int, others: np.ndarray) -> Iterator[tuple[int, int]]:
+        """Links of set i with others that join components."""
+        most = (100 - self.percent) * (self.sizes[others] + self.sizes[i]) // (100 + self.percent)
+        near = (self.component[others] != self.component[i]) & (np.abs(self.sizes[others] - self.sizes[i]) <= most)
+        others, most = others[near], most[near]
+        # sets differ in as many features at least as their histograms do
+        others = others[np.abs(self.histogram[others] - self.histogram[i]).sum(1, dtype=np.int64) <= most]
+        mine = self.root(self.component[i])
+        for j in others.tolist():
+            theirs = self.root(self.component[j])
             if theirs == mine:
                 continue
-            common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-            if 100 * common >= percent * (sizes[i] + sizes[j] - common):
-                parent[max(mine, theirs)] = min(mine, theirs)
-                mine = min(mine, theirs)
-                out.append((v[i], v[j]))
-    return out
+            common = len(np.intersect1d(self.sets[i], self.sets[j], assume_unique=True))
+            if 100 * common >= self.percent * (self.sizes[i] + self.sizes[j] - common):
+                self.parent[theirs] = mine
+                yield int(self.v[i]), int(self.v[j])
 
 
 def _settled(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between different labels among the members (s, v, label) of each signature."""
-    full = written(members.join(sets, "v").select("s", "v", "label", "features"), "members")
-    weight = full.groupBy("s").agg(F.sum(F.size("features")).alias("w"))
-    total = weight.agg(F.sum("w")).first()[0] or 0
-    bins = max(1, 2 * total // BLOCK_FEATURES)
-    blocks = F.ceil(F.col("w") / BLOCK_FEATURES).cast("int")
-    dealt = full.join(weight, "s").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int"))
-    # a large bucket is dealt into blocks, and each two of them meet in one group; small buckets share groups
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = dealt.withColumn("other", other).withColumn("x", F.least("block", "other")).withColumn("y", F.greatest("block", "other"))
-    bin_ = F.when(F.col("blocks") > 1, F.concat_ws("/", F.lit("large"), "s", "x", "y")).otherwise(F.pmod(F.xxhash64("s"), F.lit(bins)).cast("string"))
+    """Links (a, b) between different labels among the members (s, family, v, label) of each signature.
+
+    Families that fit a block go there whole, so each set is sent once; a larger one is dealt by signature into as many
+    parts as its members fill; and a signature that is too large by itself is dealt into blocks of which each two meet.
+    """
+    sized = sets.select("v", F.size("features").cast("long").alias("size"))
+    members = written(members.join(sized, "v"), "jaccard-members")
+    total = members.agg(F.sum("size")).first()[0] or 0
+    bins = max(1, total // BLOCK_FEATURES)
+    families = members.groupBy("family").agg(F.sum("size").alias("filled"))
+    families = families.join(members.select("family", "v", "size").distinct().groupBy("family").agg(F.sum("size").alias("held")), "family")
+    large = members.groupBy("s").agg(F.sum("size").alias("own")).where(F.col("own") > BLOCK_FEATURES)
+    dealt = members.join(families, "family").join(large, "s", "left")
+    dealt = dealt.withColumn("blocks", F.coalesce(F.ceil(F.col("own") / BLOCK_FEATURES), F.lit(1)).cast("int")).withColumn("block", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    bin_ = (
+        F.when(F.col("blocks") > 1, F.concat_ws("/", F.lit("s"), "s", F.least("block", "other"), F.greatest("block", "other")))
+        .when(F.col("held") > BLOCK_FEATURES, F.concat_ws("/", F.lit("f"), "family", F.pmod(F.xxhash64("s"), F.ceil(F.col("filled") / BLOCK_FEATURES))))
+        .otherwise(F.pmod(F.xxhash64("family"), F.lit(bins)).cast("string"))
+    )
+    dealt = written(dealt.select(bin_.alias("bin"), "s", "v", "label", "block"), "jaccard-dealt")
+    needed = dealt.select("bin", "v").distinct().join(sets, "v").select("bin", F.lit(None).cast("long").alias("s"), "v", F.lit(None).cast("long").alias("label"), F.lit(0).alias("block"), "features")
+    rows = dealt.select("bin", "s", "v", "label", "block", F.lit(None).cast("array<long>").alias("features")).unionAll(needed)
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("s", "ascending")])
-        s = table.column("s").to_numpy()
-        features = table.column("features").combine_chunks()
+        table = table.combine_chunks()
+        is_set = table.column("s").is_null().to_numpy()
+        own = table.filter(pa.array(is_set))
+        features = own.column("features").combine_chunks()
         features = features.chunk(0) if isinstance(features, pa.ChunkedArray) else features
         offsets, flat = features.offsets.to_numpy(), features.values.to_numpy()
-        v, label, block = (table.column(c).to_pylist() for c in ("v", "label", "block"))
-        edges = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1], [True]])).tolist()
+        v = own.column("v").to_numpy()
+        order = np.argsort(v)
+        v = v[order]
+        rest = table.filter(pa.array(~is_set)).sort_by([("s", "ascending")])
+        s, place, block = rest.column("s").to_numpy(), np.searchsorted(v, rest.column("v").to_numpy()), rest.column("block").to_numpy()
+        label = np.zeros(len(v), np.int64)
+        label[place] = rest.column("label").to_numpy()
+        blocks = np.zeros(len(v), np.int64)
+        blocks[place] = block
+        group = Group(percent, v, label, [flat[offsets[i] : offsets[i + 1]] for i in order])
+        cuts = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1], [True]]))
+        of_row = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
+        # all that share a signature with a set, once
+        by_set = np.argsort(place, kind="stable")
+        starts = np.searchsorted(place[by_set], np.arange(len(v) + 1))
+        across = len(np.unique(blocks)) > 1
         out = []
-        for lo, hi in zip(edges, edges[1:], strict=False):
-            out += _compared({"v": v[lo:hi], "label": label[lo:hi], "block": block[lo:hi], "features": [flat[offsets[i] : offsets[i + 1]] for i in range(lo, hi)]}, percent)
+        for i in range(len(v)):
+            shared = of_row[by_set[starts[i] : starts[i + 1]]]
+            others = np.unique(np.concatenate([place[cuts[x] : cuts[x + 1]] for x in shared.tolist()]))
+            others = others[others > i]
+            if across:  # those of its own block are compared elsewhere
+                others = others[blocks[others] != blocks[i]]
+            out += group.links(i, others)
         return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
-    return dealt.withColumn("bin", bin_).select("bin", "s", "v", "label", "block", "features").groupBy("bin").applyInArrow(run, "a long, b long")
+    return rows.groupBy("bin").applyInArrow(run, "a long, b long")
 
 
 def join_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 3, percent: int = 90, n2: int = 3, k2: int = 1) -> DataFrame:
     """Per row of docs: id, check (a hash of the text), n_shingles, v (its set), component_id, kept (one row in each component)."""
     docs = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("check"), F.col(text_col).alias("text"))
     scheme = PartEnum(percent, n2, k2)
-    meta = written(vertices(docs, n), "jaccard-sets")
-    first = Window.partitionBy("s").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    stars = signatures(docs, n, scheme).withColumn("root", F.min("v").over(first)).where("v <> root")
-    stars = written(stars, "jaccard-stars")
+    # rows that stand for documents pass through, dealt by their id
+    key = F.coalesce("s", F.xxhash64("meta.id", "meta.check"))
+    first = Window.partitionBy("key", "document").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = signed(docs, n, scheme).select(key.alias("key"), F.col("meta").isNotNull().alias("document"), "v", "meta")
+    rows = written(rows.withColumn("root", F.min("v").over(first)).where("document or v <> root"), "jaccard-rows")
+    meta = rows.where("document").select("meta.*", "v")
+    stars = rows.where("not document").select(F.col("key").alias("s"), "v", "root")
     pairs = written(stars.select(F.col("v").alias("a"), F.col("root").alias("b")).distinct(), "jaccard-pairs")
     wanted = pairs.select(F.col("a").alias("v")).unionAll(pairs.select(F.col("b").alias("v"))).distinct()
     sources = meta.where("v is not null").groupBy("v").agg(F.min(F.struct("id", "check")).alias("at")).join(wanted, "v").select("v", "at.*")
 
     def run(batches):
-        hashed = HashedWords()
-        for batch in batches:
-            kept, sets = [], []
-            for v, text in zip(batch.column("v").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                kept.append(v)
-                sets.append(shingles(text, n, hashed).view(np.int64))
+        for kept, texts in _chunks(batches, ["v", "text"]):
+            sets = [x.view(np.int64) for x in shingle_sets(texts, n)]
             yield pa.RecordBatch.from_arrays([pa.array(kept, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["v", "features"])
 
     texts = docs.alias("d").join(sources.alias("w"), F.col("d.id").eqNullSafe(F.col("w.id")) & (F.col("d.check") == F.col("w.check"))).select("v", "text")
@@ -283,12 +299,14 @@ def join_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     label = lambda c: labels.select(F.col("v").alias(c), F.col("label").alias(f"label_{c}"))
     open_pairs = pairs.join(label("a"), "a", "left").join(label("b"), "b", "left").where(F.coalesce("label_a", "a") != F.coalesce("label_b", "b")).select(F.col("a").alias("v"), F.col("b").alias("root"))
     open_signatures = stars.join(open_pairs, ["v", "root"]).select("s").distinct()
-    open_stars = stars.join(open_signatures, "s")
-    members = open_stars.select("s", "v").unionAll(open_stars.select("s", F.col("root").alias("v"))).distinct()
-    members = members.join(labels, "v", "left").withColumn("label", F.coalesce("label", "v"))
-    more = written(_settled(members, sets, percent), "jaccard-more")
-    if not more.isEmpty():
-        labels = components(linked.unionAll(more))
+    open_stars = written(stars.join(open_signatures, "s"), "jaccard-open")
+    if not open_stars.isEmpty():
+        families = components(open_stars.select(F.col("v").alias("a"), F.col("root").alias("b"))).withColumnRenamed("label", "family")
+        members = open_stars.select("s", "v").unionAll(open_stars.select("s", F.col("root").alias("v"))).distinct()
+        members = members.join(families, "v").join(labels, "v", "left").withColumn("label", F.coalesce("label", "v"))
+        more = written(_settled(members, sets, percent), "jaccard-more")
+        if not more.isEmpty():
+            labels = components(linked.unionAll(more))
     known = meta.where("v is not null").groupBy("v").agg(F.min("id").alias("id"), F.min(F.struct(F.col("id").isNull().alias("none"), "id", "check", "v")).alias("keeper")).join(labels, "v", "left").withColumn("label", F.coalesce("label", "v"))
     named = known.groupBy("label").agg(F.min("id").alias("component_id"), F.min("keeper").alias("keeper"))
     by_vertex = known.select("v", "label").join(named, "label").select("v", "component_id", "keeper")

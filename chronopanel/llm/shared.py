@@ -82,3 +82,28 @@ def windows(hashes: np.ndarray, n: int) -> np.ndarray:
     for j, c in enumerate(multipliers(n)):
         out += hashes[j : j + m] * c
     return mixed(out)
+
+
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_BYTE = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
+
+
+def hashed_words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts, one after the other, and where each text's begin (with the end): words by ASCII whitespace, A-Z lower-cased.
+
+    All texts are hashed as one array of bytes, so no word becomes an object.
+    """
+    raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+    data = np.frombuffer(b"\n".join(raw).lower() + b"\n", np.uint8)
+    inside = ~_SPACE[data]
+    step = np.diff(inside.astype(np.int8), prepend=0)
+    begins, ends = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+    lengths = ends - begins
+    at = np.concatenate([[0], np.cumsum(lengths)])
+    place = np.arange(at[-1]) - np.repeat(at[:-1], lengths)
+    powers = np.cumprod(np.full(int(lengths.max(initial=0)) + 1, 0x2545F4914F6CDD1D, np.uint64), dtype=np.uint64)
+    parts = _BYTE[data[inside]] * powers[place]
+    hashes = mixed(np.add.reduceat(parts, at[:-1]) + lengths.astype(np.uint64)) if len(begins) else np.empty(0, np.uint64)
+    starts = np.cumsum([0, *[len(x) + 1 for x in raw]])
+    return hashes, np.searchsorted(begins, starts)
