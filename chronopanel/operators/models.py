@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
-from chronopanel.functions.scalar import Z95, chi2_tail, expit, normal_two_sided
+from chronopanel.functions.scalar import Z95, chi2_tail, expit, logit, normal_two_sided
 
 #: Rows that the mixed model's fit may gather.
 MOST_MIXED_ROWS = 2_000_000
@@ -164,8 +164,6 @@ def effect_rows(fit: Fit, effects: dict[str, tuple[float, np.ndarray]], referenc
 
 def calibration_line(predictions: DataFrame, by: dict) -> tuple[float, float]:
     """Intercept and slope of an unpenalised logistic fit of the outcome on the log odds of the prediction."""
-    from chronopanel.functions.scalar import logit
-
     own = predictions
     for k, v in by.items():
         own = own.where(F.col(k) == v)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronopanel.functions import scalar
-from chronopanel.operators import audit, covariates, evaluate, history, models, randomization, spatial
+from chronopanel.operators import audit, covariates, evaluate, forward, history, models, randomization, report, spatial
 from chronopanel.plans import panels
 from chronopanel.plans.panels import ANNUAL_SQL, DAILY_SQL, MISSING, POINT_MISSING, POINTS_SQL, PREDICTIONS_SQL, RAIN_SQL, TEST_YEARS, YEARS
 from chronopanel.sources import contract
@@ -464,6 +464,57 @@ def figure_departures(spark, d):
     return s.select("statistic", (F.round(100 * (F.col("observed") - F.col("null_median")), 4) + F.lit(0.0)).alias("departure"), F.format_string("%.1f", F.round("observed", 1)).alias("shown"))
 
 
+@query("""SELECT 'slope_median_deg' AS variable, 'static' AS role, 'terrain' AS source, 'median imputed, standardised' AS transformation, 'deg' AS units UNION ALL
+SELECT 'prior_active_years_log1p', 'history', 'history_panel', 'log1p', NULL UNION ALL SELECT 'monsoon_rainfall_mm_lag1', 'rainfall', 'rainfall', 'calendar year before, median imputed, standardised', 'mm'""")
+def predictor_dictionary(spark, d):
+    return report.predictor_dictionary(spark, ["slope_median_deg"], ["prior_active_years_log1p"], ["monsoon_rainfall_mm"], {"slope_median_deg": "deg", "monsoon_rainfall_mm": "mm"})
+
+
+@query("SELECT n_name AS item, CAST(n_nationkey AS VARCHAR) AS file, CASE WHEN EXISTS (SELECT 1 FROM supplier WHERE s_nationkey = n_nationkey) THEN 'included' ELSE 'not_generated' END AS status FROM nation")
+def supplement_index(spark, d):
+    """An index of wanted items joined to what's there: nations, and those of suppliers."""
+    wanted = panels.table(spark, d, "nation").select(F.col("n_name").alias("item"), F.col("n_nationkey").cast("string").alias("file"))
+    return report.supplement_index(wanted, panels.table(spark, d, "supplier").select(F.col("s_nationkey").cast("string").alias("file")))
+
+
+@query(f"WITH {DAILY_SQL}, {_RATES} SELECT CASE gap_time_category WHEN '1_year' THEN '1 year' WHEN '2_years' THEN '2 years' WHEN '3_5_years' THEN '3–5 years' WHEN '6_10_years' THEN '6–10 years' ELSE '>10 years' END AS gap_time_category, n_risk, active, CASE WHEN rate IS NOT NULL THEN printf('%.1f', round(rate, 4) * 100) END AS rate FROM rates")
+def presentation_table(spark, d):
+    rates = randomization.observed_gap_rates(history.risk_set(panels.daily_history(spark, d))).withColumn("rate", F.round("rate", 4))
+    return report.presentation(rates, "gap_time_category", ["rate"], 1)
+
+
+_EFFECTS = "e AS (SELECT p_brand AS row_, CASE p_size % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'b' ELSE 'c' END AS col, max(p_retailprice) - 1500 AS v, max(p_retailprice) - 1600 AS low, max(p_retailprice) - 1400 AS high, min(p_size) / 50.0::DOUBLE AS p FROM part GROUP BY ALL)"
+
+
+@query(f"WITH {_EFFECTS}, m AS (SELECT *, CASE WHEN p < 0.05 THEN '*' ELSE '' END || CASE WHEN low > 0 OR high < 0 THEN '†' ELSE '' END AS mark FROM e) SELECT row_ AS parent_material, " + ", ".join(f"round(max(CASE WHEN col = '{c}' THEN v END), 6) + 0.0::DOUBLE AS {c}, max(CASE WHEN col = '{c}' THEN mark END) AS {c}_mark" for c in "abc") + " FROM m GROUP BY row_")
+def figure_heatmap(spark, d):
+    """Effects by two dimensions, pivoted with their marks."""
+    part = panels.table(spark, d, "part")
+    col = F.when(F.col("p_size") % 3 == 0, "a").when(F.col("p_size") % 3 == 1, "b").otherwise("c")
+    most = F.max("p_retailprice")
+    e = part.groupBy(F.col("p_brand").alias("parent_material"), col.alias("col")).agg((most - 1500).alias("v"), (most - 1600).alias("low"), (most - 1400).alias("high"), (F.min("p_size") / 50.0).alias("p_holm"))
+    return rounded(report.heatmap(e, "parent_material", "col", "v", ["a", "b", "c"]), "a", "b", "c")
+
+
+@query(f"""WITH {ANNUAL_SQL}, a AS (SELECT su_id, year FROM annual WHERE active = 1), b AS (SELECT su_id, CASE WHEN year = 1995 THEN 1996 ELSE year END AS year FROM a),
+x AS (SELECT year, count(*) AS n FROM a GROUP BY year), y AS (SELECT year, count(*) AS n FROM b GROUP BY year)
+SELECT 'su_id' AS margin, CAST(0 AS BIGINT) AS differing UNION ALL SELECT 'year', count(*) FROM x FULL JOIN y ON x.year = y.year WHERE x.n IS DISTINCT FROM y.n""")
+def margin_differences(spark, d):
+    """Sums of rows and columns of the activity matrix against those of one whose first year is moved to the second."""
+    before = panels.annual_history(spark, d).where("active = 1").select("su_id", "year")
+    after = before.withColumn("year", F.when(F.col("year") == 1995, 1996).otherwise(F.col("year")))
+    return audit.margins_kept(before, after)
+
+
+@query()
+def calibration_lines(spark, d):
+    """Intercept and slope of the outcome on each model's log odds."""
+    p = panels.predictions(spark, d).persist()
+    rows = [(m, *models.calibration_line(p, {"model": m})) for m in panels.MODELS]
+    p.unpersist()
+    return spark.createDataFrame(rows, "model string, calibration_intercept double, calibration_slope double")
+
+
 # models: what they fit has no SQL, but marginal effects at given coefficients have
 _TERMS = ["one", "gap1", "gap2", "rx", "rx:gap1", "rx:gap2"]
 _BETA = [-1.5, 0.3, 0.2, 0.1, 0.05, -0.05]
@@ -524,27 +575,11 @@ def rainfall_ame(spark, d):
 @query()
 def forward_prediction(spark, d):
     """Penalised fits on all years before each test year, for three sets of features; all held-out rows."""
-    rows = panels.features(spark, d).where("history_crosses_missing_gap = 0").persist()
+    rows = panels.features(spark, d).where("history_crosses_missing_gap = 0")
     sets = {"P0": ["slope_median_deg", "su_area_m2"]}
     sets["P1"] = [*sets["P0"], "prior_active_years_log1p", "prior_landslide_count_log1p"]
     sets["P2"] = [*sets["P1"], "monsoon_rainfall_mm_lag1", "rx1day_mm_lag1"]
-    out = None
-    for year, _, _ in models.expanding_folds(rows, TEST_YEARS):
-        train = F.col("year") < year
-        fold = covariates.imputed(rows.where(F.col("year") <= year), train, sets["P2"])
-        common = covariates.most_frequent(rows, train, "parent_material")
-        fold = fold.withColumn("parent_material", F.coalesce("parent_material", F.lit(common)))
-        levels = models.levels_of(fold.where(train), "parent_material")
-        fold = fold.withColumns(models.indicators("parent_material", levels, "material_")).persist()
-        for model, names in sets.items():
-            features = [*[f"{n}_s" for n in names], *[f"material_{x}" for x in levels]]
-            columns = ["su_id", "year", "active", "rainfall_source_year", *[f"`{f}`" for f in features]]
-            plain = [f"f{i}" for i in range(len(features))]
-            named = fold.select(*columns).toDF("su_id", "year", "active", "rainfall_source_year", *plain)
-            scored, _ = models.penalised_logit(named.where(train), named.where(F.col("year") == year), plain)
-            one = scored.select("su_id", F.col("year").alias("test_year"), F.lit(model).alias("model"), F.col("active").alias("observed"), "predicted_probability", F.lit(year - 1).alias("max_training_year"), "rainfall_source_year")
-            out = one if out is None else out.unionAll(one)
-    return out
+    return forward.forward_predictions(rows, TEST_YEARS, sets, "parent_material")
 
 
 @query()

@@ -16,7 +16,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronopanel.operators import covariates, history, randomization, spatial
+from chronopanel.functions import scalar
+from chronopanel.operators import audit, covariates, evaluate, forward, history, models, randomization, report, spatial
 from chronopanel.sources import contract, sinks
 
 
@@ -36,10 +37,17 @@ class Config:
     permutations: int = 9999
     permutation_scope: str = "within_slope_unit"
     tolerance_m: float = 1.0
+    test_years: list[int] = field(default_factory=list)
+    fractions: list[float] = field(default_factory=lambda: [0.01, 0.02, 0.05, 0.1])
+    durations: list[str] = field(default_factory=lambda: [f"rx{n}day_mm" for n in (1, 3, 5, 7, 10, 15, 30)])
+    standardization_rows: int = 5000
+    material_groups: dict[str, str] = field(default_factory=lambda: {"UF1": "UF", "UF2": "UF"})
+    excluded_materials: list[str] = field(default_factory=list)
+    expected: dict[str, float] = field(default_factory=dict)
     seed: int = 20240517
 
     def quick(self) -> Config:
-        return Config(**asdict(self) | {"output": f"{self.output}_quick", "draws": 99, "burn_in": 1000, "thin": 100, "permutations": 99})
+        return Config(**asdict(self) | {"output": f"{self.output}_quick", "draws": 99, "burn_in": 1000, "thin": 100, "permutations": 99, "test_years": self.test_years[:2], "durations": [d for d in self.durations if d in ("rx7day_mm", "rx15day_mm")], "standardization_rows": min(1000, self.standardization_rows)})
 
 
 class Context:
@@ -119,7 +127,65 @@ def spatial_stage(c: Context) -> dict[str, DataFrame]:
     return {"location_multiplicity": spatial.multiplicity(keyed), "year_counts": spatial.year_counts(keyed, at), "observed_recurrent_distance_summary": observed, "spatial_null_summary": spatial.null_summary(observed, draws)}
 
 
-STAGES: dict[str, Callable[[Context], dict[str, DataFrame]]] = {"validate": validate, "history": build_history, "recurrence": recurrence, "temporal": temporal, "spatial": spatial_stage}
+def _static(c: Context) -> DataFrame:
+    terrain, materials = c.read("terrain", ("su_id",)), c.read("parent_material", ("su_id",))
+    contract.assert_unique(terrain, ["su_id"], "terrain")
+    contract.assert_unique(materials, ["su_id"], "parent_material")
+    grouped = materials.withColumn("parent_material", scalar.harmonised(F.col("parent_material"), c.config.material_groups))
+    return covariates.static_features(terrain, grouped)
+
+
+def rainfall(c: Context) -> dict[str, DataFrame]:
+    """Marginal effects of rainfall extremes by elapsed time, for each duration."""
+    cells = covariates.dominant_cell(contract.canonicalise(c.read("grid_weights", ("su_id", "grid_id", "weight")), ()))
+    frame = history.risk_set(c.stored("history_panel"), "shallow_").join(c.read("rainfall"), ["su_id", "year"], "left").join(cells.select("su_id", "grid_id"), "su_id", "left").join(_static(c), "su_id", "left")
+    audited = audit.material_exclusions(frame, c.config.excluded_materials or [""])
+    frame = frame.where(~F.coalesce(F.col("parent_material").isin(*c.config.excluded_materials or [""]), F.lit(False)))
+    missing = covariates.missing_report(frame, [*c.config.durations, "grid_id"], "rainfall")
+    reference = next(x for x, _ in reversed(scalar.GAP_CATEGORIES) if x in models.levels_of(frame, "gap_shallow_category"))
+    made = forward.rainfall_effects(covariates.complete_cases(frame, [*c.config.durations, "grid_id"]), c.config.durations, reference)
+    return {"rainfall_exclusions": audited, "rainfall_missingness": missing, **{f"rainfall_{k}": v for k, v in made.items()}}
+
+
+def prediction(c: Context) -> dict[str, DataFrame]:
+    """Expanding-window predictions of three sets of features, and their evaluation."""
+    values = ["monsoon_rainfall_mm", *c.config.durations]
+    static = _static(c)
+    numbers = [f.name for f in static.schema.fields if f.dataType.simpleString() == "double" and f.name != "su_area_m2"]
+    rows = c.stored("history_panel").join(covariates.lagged(c.read("rainfall"), values), ["su_id", "year"], "left").join(static, "su_id", "left")
+    sets = {"P0": numbers}
+    sets["P1"] = [*numbers, "prior_active_years_log1p", "prior_landslide_count_log1p", "prior_shallow_active_years_log1p"]
+    sets["P2"] = [*sets["P1"], *[f"{v}_lag1" for v in values[:3]]]
+    kept = rows.where("history_crosses_missing_gap = 0")
+    c.store(forward.forward_predictions(kept, c.config.test_years, sets, "parent_material"), "forward_predictions")
+    made = c.stored("forward_predictions")
+    leaks = audit.leakage_checks(made.select("test_year", "max_training_year", "rainfall_source_year"), sets["P2"])
+    if failed := [r["check"] for r in leaks.where("not passed").collect() if r["check"] != "first_test_follows_training"]:
+        raise contract.ContractError(f"leakage: {', '.join(failed)}")
+    pooled, bins = evaluate.metrics(made, ["model"]), evaluate.calibration(made)
+    return {
+        "prediction_leakage": leaks, "prediction_exclusions": audit.prediction_exclusions(rows.where(F.col("year").isin(*c.config.test_years))), "prediction_pooled_metrics": pooled,
+        "prediction_metrics": evaluate.metrics(made, ["model", "test_year"]), "prediction_top_fractions": evaluate.top_fractions(made, ["model", "test_year"], c.config.fractions),
+        "prediction_annual_budget": evaluate.annual_budget(made, c.config.fractions), "prediction_calibration": bins, "prediction_pooled_calibration": evaluate.pooled_calibration(bins),
+        "prediction_increments": evaluate.increments(pooled, [("P1", "P0"), ("P2", "P1"), ("P2", "P0")], ["average_precision", "roc_auc", "brier_score", "log_loss"]),
+        "predictor_dictionary": report.predictor_dictionary(c.spark, numbers, sets["P1"][len(numbers):], values[:3]),
+    }
+
+
+def publication_audit(c: Context) -> dict[str, DataFrame]:
+    """Counts of stored tables against expected ones, for those that are there."""
+    found = [(at.stem, float(c.spark.read.parquet(str(at)).count())) for at in sorted(Path(c.config.output, "data").glob("*.parquet"))]
+    return {"publication_checks": audit.publication_checks(c.spark.createDataFrame(found, "name string, value double"), c.config.expected or {n: v for n, v in found})}
+
+
+def supplement(c: Context) -> dict[str, DataFrame]:
+    """An index of the tables of all stages, and which of them are there."""
+    wanted = c.spark.createDataFrame([(n, f"{n}.csv") for n in ("input_contract", "panel_year_audit", "history_exclusion_audit", "recurrence_risk_support", "recurrence_missingness", "temporal_fixed_margin_summary", "temporal_mixing", "spatial_null_summary", "rainfall_effects", "rainfall_contrasts", "prediction_pooled_metrics", "prediction_annual_budget", "predictor_dictionary")], "item string, file string")
+    made = [(p.name,) for p in Path(c.config.output, "tables").glob("*.csv")]
+    return {"supplement_index": report.supplement_index(wanted, c.spark.createDataFrame(made, "file string"))}
+
+
+STAGES: dict[str, Callable[[Context], dict[str, DataFrame]]] = {"validate": validate, "history": build_history, "recurrence": recurrence, "rainfall": rainfall, "prediction": prediction, "temporal": temporal, "spatial": spatial_stage, "publication_audit": publication_audit, "supplement": supplement}
 
 
 def run(spark: SparkSession, config: Config, names: list[str]) -> None:
@@ -145,11 +211,12 @@ def main(args: list[str] | None = None) -> int:
     p.add_argument("--output", required=True)
     p.add_argument("--years", required=True, help="observed years, comma-separated")
     p.add_argument("--missing", default="", help="missing years, comma-separated")
+    p.add_argument("--test", default="", help="test years of the forward models, comma-separated")
     p.add_argument("--stage", action="append", choices=list(STAGES))
     p.add_argument("--quick", action="store_true")
     a = p.parse_args(args)
     whole = lambda text: [int(x) for x in text.split(",") if x]
-    config = Config(a.input, a.output, whole(a.years), whole(a.missing))
+    config = Config(a.input, a.output, whole(a.years), whole(a.missing), test_years=whole(a.test))
     spark = SparkSession.builder.appName("chronopanel").getOrCreate()
     try:
         run(spark, config.quick() if a.quick else config, a.stage or list(STAGES))

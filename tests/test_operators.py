@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chronopanel.functions import scalar
-from chronopanel.operators import audit, covariates, evaluate, models, randomization, spatial
+from chronopanel.operators import audit, covariates, evaluate, forward, models, randomization, report, spatial
 from chronopanel.sources import contract, geopackage, sinks
 
 
@@ -201,3 +201,41 @@ def test_sinks(spark, tmp_path):
     assert (tmp_path / "t.csv").read_text().splitlines() == ["a,b", "1,x", "2,"]
     sinks.write_json(tmp_path / "m.json", sinks.manifest(spark, "s", "complete", [str(tmp_path / "t.csv")], [], {}))
     assert len(sinks.file_hash(tmp_path / "m.json")) == 64
+
+
+def test_rainfall_effects(spark):
+    rng = np.random.default_rng(4)
+    n = 900
+    gap = rng.choice(["1_year", "2_years", "gt10_years"], n)
+    rain = rng.normal(size=n)
+    y = (rng.random(n) < 1 / (1 + np.exp(-(-1 + np.where(gap == "1_year", 1.5, 0.0) * rain)))).astype(int)
+    frame = spark.createDataFrame(pd.DataFrame({"su_id": rng.integers(0, 90, n).astype(str), "grid_id": rng.integers(0, 9, n).astype(str), "year": rng.integers(2000, 2005, n), "gap_shallow_category": gap, "shallow_active": y, "rx7day_mm": rain}))
+    got = forward.rainfall_effects(frame, ["rx7day_mm"])
+    effects = {r["state"]: r["estimate"] for r in got["effects"].collect()}
+    assert effects["1_year"] > 0.15 and abs(effects["gt10_years"]) < 0.1
+    contrasts = {r["state"]: r for r in got["contrasts"].collect()}
+    assert set(contrasts) == {"1_year", "2_years"} and contrasts["1_year"]["p_holm"] >= contrasts["1_year"]["p"]
+    assert got["joint_tests"].first()["df"] == 2
+
+
+def test_forward_predictions_see_only_the_past(spark):
+    rng = np.random.default_rng(5)
+    n = 400
+    x = rng.normal(size=n)
+    data = pd.DataFrame({"su_id": np.arange(n).astype(str), "year": rng.integers(2000, 2004, n), "x": x, "z": rng.normal(size=n), "m": rng.choice(["a", "b"], n), "active": (rng.random(n) < 1 / (1 + np.exp(-2 * x))).astype(int)})
+    data["rainfall_source_year"] = data["year"] - 1
+    data.loc[5, "x"] = None
+    data.loc[6, "m"] = None
+    first = forward.forward_predictions(spark.createDataFrame(data), [2002], {"P0": ["x"], "P1": ["x", "z"]}, "m").orderBy("model", "su_id").collect()
+    later = data.assign(active=np.where(data["year"] > 2002, 1 - data["active"], data["active"]), x=np.where(data["year"] > 2002, 99.0, data["x"]))
+    again = forward.forward_predictions(spark.createDataFrame(later), [2002], {"P0": ["x"], "P1": ["x", "z"]}, "m").orderBy("model", "su_id").collect()
+    assert first == again and {r["max_training_year"] for r in first} == {2001} and {r["model"] for r in first} == {"P0", "P1"}
+
+
+def test_report_tables(spark):
+    wanted = spark.createDataFrame([("a", "a.csv"), ("b", "b.csv")], "item string, file string")
+    assert {r["item"]: r["status"] for r in report.supplement_index(wanted, wanted.where("item = 'a'")).collect()} == {"a": "included", "b": "not_generated"}
+    t = spark.createDataFrame([("gt10_years", 0.12345), ("1_year", None)], "gap_time_category string, rate double")
+    assert [tuple(r) for r in report.presentation(t, "gap_time_category", ["rate"]).collect()] == [("1 year", None), (">10 years", "12.35")]
+    results = report.main_results(("x", "rows", spark.createDataFrame([("n", 3)], "metric string, estimate int")))
+    assert tuple(results.first()) == ("x", "n", 3.0, None, None, None, "rows")

@@ -2,6 +2,7 @@
 
 import csv
 import json
+import random
 
 import pytest
 
@@ -16,15 +17,26 @@ def folder(tmp_path):
         csv.writer(f).writerows([("su_id", "year", "count"), *[(u, y, int(a)) for u, y, a in rows]])
     with (tmp_path / "events.csv").open("w", newline="") as f:
         csv.writer(f).writerows([("su_id", "year", "type", "x_m", "y_m"), *[(u, y, "shallow", int(u[1:]) * 10 + y % 7, y % 5) for u, y, a in rows if a]])
+    rng = random.Random(1)
+    with (tmp_path / "rainfall.csv").open("w", newline="") as f:
+        csv.writer(f).writerows([("su_id", "year", "monsoon_rainfall_mm", "rx7day_mm", "rx15day_mm"), *[(f"u{i}", y, rng.random() * 9, rng.random(), rng.random()) for i in range(12) for y in range(1999, 2005)]])
+    with (tmp_path / "terrain.csv").open("w", newline="") as f:
+        csv.writer(f).writerows([("su_id", "slope", "su_area_m2"), *[(f"u{i}", i * 1.5, 10.0 + i) for i in range(12)]])
+    with (tmp_path / "parent_material.csv").open("w", newline="") as f:
+        csv.writer(f).writerows([("su_id", "parent_material"), *[(f"u{i}", ["UF1", "UF2", "GN"][i % 3]) for i in range(12)]])
+    with (tmp_path / "grid_weights.csv").open("w", newline="") as f:
+        csv.writer(f).writerows([("su_id", "cell_id", "overlap_area"), *[(f"u{i}", f"g{i % 5}", 1.5) for i in range(12)]])
     return tmp_path
 
 
 def test_run(spark, folder):
-    config = stages.Config(str(folder), str(folder / "out"), [2000, 2001, 2003, 2004], [2002]).quick()
+    config = stages.Config(str(folder), str(folder / "out"), [2000, 2001, 2003, 2004], [2002], test_years=[2003, 2004]).quick()
     config.draws, config.permutations, config.burn_in, config.thin = 6, 3, 20, 5
-    stages.run(spark, config, ["validate", "history", "temporal", "spatial"])
+    stages.run(spark, config, ["validate", "history", "recurrence", "prediction", "temporal", "spatial", "publication_audit", "supplement"])
     out = folder / "out_quick"
     assert json.loads((out / "manifests/history.json").read_text())["status"] == "complete"
+    assert len((out / "tables/prediction_pooled_metrics.csv").read_text().splitlines()) == 4
+    assert "included" in (out / "tables/supplement_index.csv").read_text()
     assert len((out / "tables/spatial_null_summary.csv").read_text().splitlines()) == 7
 
 
