@@ -62,6 +62,7 @@ def static_features(terrain: DataFrame, materials: DataFrame, area: str = "su_ar
 
 def imputed(frame: DataFrame, train, columns: list[str]) -> DataFrame:
     """frame with {c}_s: missing values filled with the training rows' exact median, then scaled by their mean and population deviation."""
+    frame = frame.withColumns({c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c)) for c in columns})  # not a number is missing too
     medians = frame.where(train).agg(*[F.percentile(c, F.lit(0.5)).alias(f"_m_{c}") for c in columns])
     frame = frame.join(F.broadcast(medians)).withColumns({f"{c}_s": F.coalesce(F.col(c).cast("double"), F.col(f"_m_{c}")) for c in columns}).drop(*[f"_m_{c}" for c in columns])
     stats = frame.where(train).agg(*[x for c in columns for x in (F.avg(f"{c}_s").alias(f"_a_{c}"), F.stddev_pop(f"{c}_s").alias(f"_d_{c}"))])
