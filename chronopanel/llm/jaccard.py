@@ -11,11 +11,13 @@ more than one, say g; then each set may leave out its g - 1 smallest projections
 projections are left out by both), and no link is lost: this removes the projections of no or one feature that
 unrelated documents have in common. A set also signs for the next band if it can link into it.
 
-Links. All documents with a signature are compared with one of them, a streaming window over (signature, vertex) that
-holds no group; that settles most signatures. Where members still belong to different components, all pairs of different
-components are compared in blocks of bounded size: a histogram bound first, then the sets. Only links that join components
-leave a block, so a group of near copies never becomes a row for each pair, and no pair of a shared signature is skipped
-unless it is connected already. Thus components are exact.
+Links. Vertices that share a signature are compared in two rounds, both in groups of bounded size. The first compares
+sketches, histograms of the features' hashes of about a byte for eight features: sets differ in as many features at least as their
+histograms do, so pairs whose histograms are too far apart are no links. There a signature's members meet one of them first, and one another
+only where that leaves them unconnected. The pairs that remain make families. The second
+compares the sets themselves, each sent once for its family. Either round passes over pairs that are connected
+already, and only what joins two components leaves a group, so a group of near copies never becomes a row for each pair, and
+no pair of a shared signature is skipped unless it is connected. Thus components are exact.
 
 Nulls, ties, and so on: texts that are null or have no words have the empty set and link with nothing; with fewer than n
 words the whole sequence is the one shingle; a null id takes part but never names a component that has another id; repeated
@@ -34,14 +36,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from chronopanel.llm.shared import hashed_words, mixed, windows, written
+from chronopanel.llm.shared import hashed_words, mixed, released, windows, written
 
 #: Characters of text that are worked on together.
 CHUNK_CHARS = 3_000_000
 #: Features in a block of sets that are compared with one another.
 BLOCK_FEATURES = 1 << 22
-#: Bins of the histograms that bound differences.
-BINS = 256
+#: Bytes of sketches in one.
+BLOCK_BYTES = 1 << 25
+#: Bins of the histograms that bound differences of sets, and of the smallest sketch.
+BINS, LEAST_BINS = 256, 64
+#: Members of a signature up to which all its pairs are listed, and pairs that are listed together.
+SMALL_BUCKET, PAIRS_TOGETHER = 64, 2_000_000
 #: Bits of a signature; a collision only costs a comparison.
 SIGNATURE_BITS = 48
 
@@ -63,6 +69,14 @@ def vertex(features: np.ndarray) -> int | None:
     return int(np.uint64(xxhash.xxh3_64_intdigest(features.tobytes())).astype(np.int64)) if len(features) else None
 
 
+def sketch(features: np.ndarray) -> bytes:
+    """A histogram of the features' hashes: a power of two of bins, one for eight features at least, of a byte each."""
+    bins = LEAST_BINS
+    while 8 * bins < len(features):
+        bins *= 2
+    return np.minimum(np.bincount((features >> np.uint64(40) & np.uint64(bins - 1)).astype(np.int64), minlength=bins), 255).astype(np.uint8).tobytes()
+
+
 class PartEnum:
     """Signatures for one threshold."""
 
@@ -139,19 +153,19 @@ def _chunks(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[l
 def signed(docs: DataFrame, n: int, scheme: PartEnum) -> DataFrame:
     """Of rows (id, check, text): a row (v, meta) for each, v naming its set (null where empty), and rows (s, v) for its signatures, once for copies in a chunk."""
     id_type = docs.schema["id"].dataType.simpleString()
-    kind = pa.struct([("id", to_arrow_type(docs.schema["id"].dataType)), ("check", pa.int64()), ("n", pa.int64())])
+    kind = pa.struct([("id", to_arrow_type(docs.schema["id"].dataType)), ("check", pa.int64()), ("n", pa.int64()), ("sketch", pa.binary())])
 
     def run(batches):
         for ids, checks, texts in _chunks(batches, ["id", "check", "text"]):
             sets = shingle_sets(texts, n)
             names = [vertex(x) for x in sets]
-            meta = pa.array([{"id": i, "check": c, "n": len(x)} for i, c, x in zip(ids, checks, sets, strict=True)], kind)
+            meta = pa.array([{"id": i, "check": c, "n": len(x), "sketch": sketch(x)} for i, c, x in zip(ids, checks, sets, strict=True)], kind)
             yield pa.RecordBatch.from_arrays([pa.nulls(len(ids), pa.int64()), pa.array(names, pa.int64()), meta], ["s", "v", "meta"])
             distinct = {v: x for v, x in zip(names, sets, strict=True) if v is not None}
             s, place = scheme.of(list(distinct.values()))
             yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(np.array(list(distinct), np.int64)[place]), pa.nulls(len(s), kind)], ["s", "v", "meta"])
 
-    return docs.mapInArrow(run, f"s long, v long, meta struct<id:{id_type},check:long,n:long>")
+    return docs.mapInArrow(run, f"s long, v long, meta struct<id:{id_type},check:long,n:long,sketch:binary>")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -172,15 +186,42 @@ def components(edges: DataFrame) -> DataFrame:
     return labels
 
 
-class Group:
-    """Sets of one group of signatures, with the components known so far."""
+def _folded(table: np.ndarray, bins: int) -> np.ndarray:
+    """Histograms of fewer bins: bins are low bits of the hash, so halves add up."""
+    while table.shape[1] > bins:
+        half = table.shape[1] // 2
+        table = table[:, :half] + table[:, half:]
+    return table
 
-    def __init__(self, percent: int, v: np.ndarray, label: np.ndarray, sets: list[np.ndarray]):
-        self.percent, self.v, self.sets = percent, v, sets
-        self.sizes = np.array([len(x) for x in sets])
-        self.histogram = np.stack([np.bincount((x.view(np.uint64) >> np.uint64(11) & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS) for x in sets]).astype(np.int16)
-        self.component = np.unique(label, return_inverse=True)[1]
-        self.parent = list(range(self.component.max() + 1))
+
+class Group:
+    """Sets that share signatures in one group, their histograms, and what is connected so far."""
+
+    def __init__(self, percent: int, v: np.ndarray, sizes: np.ndarray, histograms: list[np.ndarray]):
+        self.percent, self.v, self.sizes = percent, v, sizes
+        self.parent = list(range(len(v)))
+        self.bins = np.array([len(x) for x in histograms])
+        self.tables, self.place = {}, np.zeros(len(v), np.int64)
+        for bins in np.unique(self.bins).tolist():
+            own = np.flatnonzero(self.bins == bins)
+            self.place[own] = np.arange(len(own))
+            self.tables[bins] = np.stack([histograms[x] for x in own]).astype(np.int16)
+
+    def near(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of pairs (i, j), those that may be links by their sizes and histograms."""
+        most = (100 - self.percent) * (self.sizes[i] + self.sizes[j]) // (100 + self.percent)
+        kept = np.abs(self.sizes[i] - self.sizes[j]) <= most
+        i, j, most = i[kept], j[kept], most[kept]
+        good = np.zeros(len(i), bool)
+        for a in self.tables:
+            for b in self.tables:
+                own = np.flatnonzero((self.bins[i] == a) & (self.bins[j] == b))
+                step = max(1, (1 << 23) // max(a, b))
+                for at in range(0, len(own), step):
+                    part = own[at : at + step]
+                    x, y = _folded(self.tables[a][self.place[i[part]]], min(a, b)), _folded(self.tables[b][self.place[j[part]]], min(a, b))
+                    good[part] = np.abs(x - y).sum(1, dtype=np.int64) <= most[part]
+        return i[good], j[good]
 
     def root(self, x: int) -> int:
         while self.parent[x] != x:
@@ -188,80 +229,138 @@ class Group:
             x = self.parent[x]
         return x
 
-    def links(self, i: int, others: np.ndarray) -> Iterator[tuple[int, int]]:
-        """Links of set i with others that join components."""
-        most = (100 - self.percent) * (self.sizes[others] + self.sizes[i]) // (100 + self.percent)
-        near = (self.component[others] != self.component[i]) & (np.abs(self.sizes[others] - self.sizes[i]) <= most)
-        others, most = others[near], most[near]
-        # sets differ in as many features at least as their histograms do
-        others = others[np.abs(self.histogram[others] - self.histogram[i]).sum(1, dtype=np.int64) <= most]
-        mine = self.root(self.component[i])
-        for j in others.tolist():
-            theirs = self.root(self.component[j])
-            if theirs == mine:
-                continue
-            common = len(np.intersect1d(self.sets[i], self.sets[j], assume_unique=True))
-            if 100 * common >= self.percent * (self.sizes[i] + self.sizes[j] - common):
-                self.parent[theirs] = mine
-                yield int(self.v[i]), int(self.v[j])
-
-
-def _settled(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between different labels among the members (s, family, v, label) of each signature.
-
-    Families that fit a block go there whole, so each set is sent once; a larger one is dealt by signature into as many
-    parts as its members fill; and a signature that is too large by itself is dealt into blocks of which each two meet.
+    def linked(self, i: int, j: int) -> bool:
+        """Whether a pair that may be a link is taken for one."""
+        return True
+
+    def links(self, i: np.ndarray, j: np.ndarray) -> Iterator[tuple[int, int]]:
+        """Links among pairs that join what isn't connected."""
+        for x, y in zip(*(k.tolist() for k in self.near(i, j)), strict=True):
+            a, b = self.root(x), self.root(y)
+            if a != b and self.linked(x, y):
+                self.parent[b] = a
+                yield int(self.v[x]), int(self.v[y])
+
+
+class Sketched(Group):
+    """Sketches: pairs that may be links."""
+
+
+class Whole(Group):
+    """Sets: pairs that are links."""
+
+    def __init__(self, percent, v, sizes, sets):
+        self.sets = sets
+        super().__init__(percent, v, sizes, [np.bincount((x.view(np.uint64) >> np.uint64(11) & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS) for x in sets])
+
+    def linked(self, i: int, j: int) -> bool:
+        common = len(np.intersect1d(self.sets[i], self.sets[j], assume_unique=True))
+        return 100 * common >= self.percent * (self.sizes[i] + self.sizes[j] - common)
+
+
+def _maybe(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Of pairs (a, b), those whose sketches let them be links."""
+    side = lambda c: sketches.select(F.col("v").alias(c), F.col("n").alias(f"n_{c}"), F.col("payload").alias(f"p_{c}"))
+
+    def run(batches):
+        for batch in batches:
+            k = batch.num_rows
+            sizes = np.concatenate([batch.column(c).to_numpy() for c in ("n_a", "n_b")])
+            histograms = [np.frombuffer(x, np.uint8) for c in ("p_a", "p_b") for x in batch.column(c).to_pylist()]
+            i, _ = Group(percent, np.arange(2 * k), sizes, histograms).near(np.arange(k), np.arange(k) + k) if k else ([], [])
+            kept = np.zeros(k, bool)
+            kept[i] = True
+            yield batch.select(["a", "b"]).filter(pa.array(kept))
+
+    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long")
+
+
+def _pairs(place: np.ndarray, cuts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of members of each bucket, place[cuts[k] : cuts[k + 1]]: those of all small buckets together and once, then of large ones a row at a time."""
+    sizes, held, size = np.diff(cuts), [], 0
+
+    def distinct():
+        codes = np.unique(np.concatenate(held))
+        return codes >> 32, codes & 0xFFFFFFFF
+
+    for m in np.unique(sizes[(sizes > 1) & (sizes <= SMALL_BUCKET)]).tolist():
+        x, y = np.triu_indices(m, 1)
+        starts = cuts[:-1][sizes == m]
+        step = max(1, PAIRS_TOGETHER // len(x))
+        for at in range(0, len(starts), step):
+            rows = np.sort(place[starts[at : at + step, None] + np.arange(m)], 1)
+            held.append((rows[:, x] << 32 | rows[:, y]).ravel())
+            size += len(held[-1])
+            if size > PAIRS_TOGETHER:
+                yield distinct()
+                held, size = [], 0
+    if held:
+        yield distinct()
+    seen: dict[int, list[np.ndarray]] = {}
+    for k in np.flatnonzero(sizes > SMALL_BUCKET).tolist():
+        own = np.unique(place[cuts[k] : cuts[k + 1]])
+        for i in own.tolist():
+            seen.setdefault(i, []).append(own)
+    for i, buckets in seen.items():
+        others = np.unique(np.concatenate([b[np.searchsorted(b, i, "right") :] for b in buckets]))
+        if len(others):
+            yield np.full(len(others), i), others
+
+
+def _met(members: DataFrame, payload: DataFrame, kind: type[Group], percent: int, limit: int) -> DataFrame:
+    """Pairs (a, b) that join components among the members (s, v, family) of each signature.
+
+    payload is (v, n, payload). A family that fits ``limit`` payload entries goes into one group whole, and small ones share
+    groups; a larger one is dealt by signature into as many parts as its members fill; and a signature that is too large by itself is dealt
+    into blocks of which each two meet. Where family is null, signatures alone are dealt.
     """
-    sized = sets.select("v", F.size("features").cast("long").alias("size"))
-    members = written(members.join(sized, "v"), "jaccard-members")
+    length = F.length if kind is Sketched else F.size
+    members = written(members.join(payload.select("v", length("payload").cast("long").alias("size")), "v"), "jaccard-members")
     total = members.agg(F.sum("size")).first()[0] or 0
-    bins = max(1, total // BLOCK_FEATURES)
-    families = members.groupBy("family").agg(F.sum("size").alias("filled"))
-    families = families.join(members.select("family", "v", "size").distinct().groupBy("family").agg(F.sum("size").alias("held")), "family")
-    large = members.groupBy("s").agg(F.sum("size").alias("own")).where(F.col("own") > BLOCK_FEATURES)
-    dealt = members.join(families, "family").join(large, "s", "left")
-    dealt = dealt.withColumn("blocks", F.coalesce(F.ceil(F.col("own") / BLOCK_FEATURES), F.lit(1)).cast("int")).withColumn("block", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int"))
+    bins = max(1, 2 * total // limit)
+    large = members.groupBy("s").agg(F.sum("size").alias("own")).where(F.col("own") > limit)
+    dealt = members.join(large, "s", "left")
+    if kind is Whole:
+        families = members.groupBy("family").agg(F.sum("size").alias("filled"))
+        families = families.join(members.select("family", "v", "size").distinct().groupBy("family").agg(F.sum("size").alias("held")), "family")
+        bins = max(1, 2 * (families.agg(F.sum("held")).first()[0] or 0) // limit)
+        dealt = dealt.join(families, "family")
+    dealt = dealt.withColumn("blocks", F.coalesce(F.ceil(F.col("own") / limit), F.lit(1)).cast("int")).withColumn("block", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    bin_ = (
-        F.when(F.col("blocks") > 1, F.concat_ws("/", F.lit("s"), "s", F.least("block", "other"), F.greatest("block", "other")))
-        .when(F.col("held") > BLOCK_FEATURES, F.concat_ws("/", F.lit("f"), "family", F.pmod(F.xxhash64("s"), F.ceil(F.col("filled") / BLOCK_FEATURES))))
-        .otherwise(F.pmod(F.xxhash64("family"), F.lit(bins)).cast("string"))
-    )
-    dealt = written(dealt.select(bin_.alias("bin"), "s", "v", "label", "block"), "jaccard-dealt")
-    needed = dealt.select("bin", "v").distinct().join(sets, "v").select("bin", F.lit(None).cast("long").alias("s"), "v", F.lit(None).cast("long").alias("label"), F.lit(0).alias("block"), "features")
-    rows = dealt.select("bin", "s", "v", "label", "block", F.lit(None).cast("array<long>").alias("features")).unionAll(needed)
+    bin_ = F.when(F.col("blocks") > 1, F.concat_ws("/", F.lit("s"), "s", F.least("block", "other"), F.greatest("block", "other")))
+    if kind is Whole:
+        bin_ = bin_.when(F.col("held") > limit, F.concat_ws("/", F.lit("f"), "family", F.pmod(F.xxhash64("s"), F.ceil(F.col("filled") / limit))))
+    shared = F.pmod(F.xxhash64("family" if kind is Whole else "s"), F.lit(bins)).cast("string")
+    dealt = written(dealt.select(bin_.otherwise(shared).alias("bin"), "s", "v", "block"), "jaccard-dealt")
+    sort = payload.schema["payload"].dataType.simpleString()
+    needed = dealt.select("bin", "v").distinct().join(payload, "v").select("bin", F.lit(None).cast("long").alias("s"), "v", F.lit(0).alias("block"), "n", "payload")
+    rows = dealt.select("bin", "s", "v", "block", F.lit(None).cast("long").alias("n"), F.lit(None).cast(sort).alias("payload")).unionAll(needed)
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
         is_set = table.column("s").is_null().to_numpy()
-        own = table.filter(pa.array(is_set))
-        features = own.column("features").combine_chunks()
-        features = features.chunk(0) if isinstance(features, pa.ChunkedArray) else features
-        offsets, flat = features.offsets.to_numpy(), features.values.to_numpy()
-        v = own.column("v").to_numpy()
-        order = np.argsort(v)
-        v = v[order]
+        own = table.filter(pa.array(is_set)).combine_chunks()
+        values = own.column("payload").combine_chunks()
+        values = values.chunk(0) if isinstance(values, pa.ChunkedArray) else values
+        if kind is Whole:
+            offsets, flat = values.offsets.to_numpy(), values.values.to_numpy()
+            payload = [flat[a:b] for a, b in zip(offsets, offsets[1:], strict=False)]
+        else:
+            payload = [np.frombuffer(x, np.uint8) for x in values.to_pylist()]
+        order = np.argsort(own.column("v").to_numpy())
+        v, sizes = own.column("v").to_numpy()[order], own.column("n").to_numpy()[order]
         rest = table.filter(pa.array(~is_set)).sort_by([("s", "ascending")])
-        s, place, block = rest.column("s").to_numpy(), np.searchsorted(v, rest.column("v").to_numpy()), rest.column("block").to_numpy()
-        label = np.zeros(len(v), np.int64)
-        label[place] = rest.column("label").to_numpy()
+        s, place = rest.column("s").to_numpy(), np.searchsorted(v, rest.column("v").to_numpy())
         blocks = np.zeros(len(v), np.int64)
-        blocks[place] = block
-        group = Group(percent, v, label, [flat[offsets[i] : offsets[i + 1]] for i in order])
+        blocks[place] = rest.column("block").to_numpy()
+        group = kind(percent, v, sizes, [payload[i] for i in order])
         cuts = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1], [True]]))
-        of_row = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
-        # all that share a signature with a set, once
-        by_set = np.argsort(place, kind="stable")
-        starts = np.searchsorted(place[by_set], np.arange(len(v) + 1))
         across = len(np.unique(blocks)) > 1
         out = []
-        for i in range(len(v)):
-            shared = of_row[by_set[starts[i] : starts[i + 1]]]
-            others = np.unique(np.concatenate([place[cuts[x] : cuts[x + 1]] for x in shared.tolist()]))
-            others = others[others > i]
-            if across:  # those of its own block are compared elsewhere
-                others = others[blocks[others] != blocks[i]]
-            out += group.links(i, others)
+        for i, j in _pairs(place, cuts):
+            if across:  # pairs within a block are compared elsewhere
+                apart = blocks[i] != blocks[j]
+                i, j = i[apart], j[apart]
+            out += group.links(i, j)
         return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
     return rows.groupBy("bin").applyInArrow(run, "a long, b long")
@@ -276,37 +375,43 @@ def join_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     first = Window.partitionBy("key", "document").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = signed(docs, n, scheme).select(key.alias("key"), F.col("meta").isNotNull().alias("document"), "v", "meta")
     rows = written(rows.withColumn("root", F.min("v").over(first)).where("document or v <> root"), "jaccard-rows")
-    meta = rows.where("document").select("meta.*", "v")
+    released(docs.sparkSession)
+    documents = rows.where("document").select("meta.*", "v")
+    meta = documents.drop("sketch")
     stars = rows.where("not document").select(F.col("key").alias("s"), "v", "root")
+    sketches = documents.where("v is not null").groupBy("v").agg(F.first("n").alias("n"), F.first("sketch").alias("payload"))
+    # all of a signature meet its root first; where that connects them, nothing is left to compare
     pairs = written(stars.select(F.col("v").alias("a"), F.col("root").alias("b")).distinct(), "jaccard-pairs")
-    wanted = pairs.select(F.col("a").alias("v")).unionAll(pairs.select(F.col("b").alias("v"))).distinct()
-    sources = meta.where("v is not null").groupBy("v").agg(F.min(F.struct("id", "check")).alias("at")).join(wanted, "v").select("v", "at.*")
+    near = written(_maybe(pairs, sketches, percent), "jaccard-near")
+    connected = components(near)
+    label = lambda c: connected.select(F.col("v").alias(c), F.col("label").alias(f"label_{c}"))
+    apart = F.coalesce("label_a", "a") != F.coalesce("label_b", "b")
+    open_pairs = pairs.join(label("a"), "a", "left").join(label("b"), "b", "left").where(apart).select(F.col("a").alias("v"), F.col("b").alias("root"))
+    open_signatures = stars.join(open_pairs, ["v", "root"], "left_semi").select("s").distinct()
+    open_stars = written(stars.join(open_signatures, "s", "left_semi"), "jaccard-open")
+    released(docs.sparkSession)
+    rest = open_stars.select("s", "v").unionAll(open_stars.select("s", F.col("root").alias("v"))).distinct()
+    families = components(near.unionAll(_met(rest, sketches, Sketched, percent, BLOCK_BYTES))).withColumnRenamed("label", "family")
+    released(docs.sparkSession)
+    at = meta.where("v is not null").groupBy("v").agg(F.min(F.struct("id", "check")).alias("at")).join(families.select("v"), "v").select("v", "at.*")
 
     def run(batches):
-        for kept, texts in _chunks(batches, ["v", "text"]):
-            sets = [x.view(np.int64) for x in shingle_sets(texts, n)]
-            yield pa.RecordBatch.from_arrays([pa.array(kept, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["v", "features"])
-
-    texts = docs.alias("d").join(sources.alias("w"), F.col("d.id").eqNullSafe(F.col("w.id")) & (F.col("d.check") == F.col("w.check"))).select("v", "text")
-    sets = written(texts.mapInArrow(run, "v long, features array<long>"), "jaccard-features")
-    common = F.size(F.array_intersect("x", "y"))
-    linked = (
-        pairs.join(sets.select(F.col("v").alias("a"), F.col("features").alias("x")), "a").join(sets.select(F.col("v").alias("b"), F.col("features").alias("y")), "b")
-        .where(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b")
-    )
-    linked = written(linked, "jaccard-links")
-    labels = components(linked)
-    label = lambda c: labels.select(F.col("v").alias(c), F.col("label").alias(f"label_{c}"))
-    open_pairs = pairs.join(label("a"), "a", "left").join(label("b"), "b", "left").where(F.coalesce("label_a", "a") != F.coalesce("label_b", "b")).select(F.col("a").alias("v"), F.col("b").alias("root"))
-    open_signatures = stars.join(open_pairs, ["v", "root"]).select("s").distinct()
-    open_stars = written(stars.join(open_signatures, "s"), "jaccard-open")
-    if not open_stars.isEmpty():
-        families = components(open_stars.select(F.col("v").alias("a"), F.col("root").alias("b"))).withColumnRenamed("label", "family")
-        members = open_stars.select("s", "v").unionAll(open_stars.select("s", F.col("root").alias("v"))).distinct()
-        members = members.join(families, "v").join(labels, "v", "left").withColumn("label", F.coalesce("label", "v"))
-        more = written(_settled(members, sets, percent), "jaccard-more")
-        if not more.isEmpty():
-            labels = components(linked.unionAll(more))
+        for names, texts in _chunks(batches, ["v", "text"]):
+            sets = shingle_sets(texts, n)
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], ["v", "n", "payload"])
+
+    texts = docs.alias("d").join(at.alias("w"), F.col("d.id").eqNullSafe(F.col("w.id")) & (F.col("d.check") == F.col("w.check"))).select("v", "text")
+    # repeated rows come more than once; any is the set
+    sets = written(texts.dropDuplicates(["v"]).mapInArrow(run, "v long, n long, payload array<long>"), "jaccard-features")
+    # members of different families are no links; all of a family that fits a group meet there, of larger ones those with a common signature
+    held = families.join(sets.select("v", "n"), "v").groupBy("family").agg(F.sum("n").alias("held"))
+    sized = written(families.join(held, "family"), "jaccard-families")
+    close = sized.where(F.col("held") <= BLOCK_FEATURES).select(F.col("family").alias("s"), "v", "family")
+    large = sized.where(F.col("held") > BLOCK_FEATURES).drop("held")
+    if not large.isEmpty():
+        members = stars.select("s", "v").unionAll(stars.select("s", F.col("root").alias("v")))
+        close = close.unionAll(members.join(large, "v").select(F.xxhash64("s", "family").alias("s"), "v", "family").distinct())
+    labels = components(_met(close, sets, Whole, percent, BLOCK_FEATURES))
     known = meta.where("v is not null").groupBy("v").agg(F.min("id").alias("id"), F.min(F.struct(F.col("id").isNull().alias("none"), "id", "check", "v")).alias("keeper")).join(labels, "v", "left").withColumn("label", F.coalesce("label", "v"))
     named = known.groupBy("label").agg(F.min("id").alias("component_id"), F.min("keeper").alias("keeper"))
     by_vertex = known.select("v", "label").join(named, "label").select("v", "component_id", "keeper")
@@ -317,7 +422,7 @@ def join_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     )
 
 
-def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80, n2: int = 2, k2: int = 1) -> DataFrame:
+def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80, n2: int = 3, k2: int = 1) -> DataFrame:
     """The rows of docs, with all their columns, that stay when of each component of links only the document of the least id does."""
     kept = join_components(docs, id_col=id_col, text_col=text_col, n=n, percent=percent, n2=n2, k2=k2).where("kept").select("id", "check", F.col("v").isNull().alias("empty")).distinct()
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
