@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from chronopanel.functions import scalar
 from chronopanel.operators import audit, covariates, evaluate, forward, history, models, randomization, report, spatial
-from chronopanel.plans import panels
+from chronopanel.plans import panels, stages
 from chronopanel.plans.panels import ANNUAL_SQL, DAILY_SQL, MISSING, POINT_MISSING, POINTS_SQL, PREDICTIONS_SQL, RAIN_SQL, TEST_YEARS, YEARS
 from chronopanel.sources import contract
 
@@ -598,7 +598,8 @@ def recurrence_vb(spark, d):
 
 def _chain_draws(spark, d) -> DataFrame:
     matrix = history.activity_matrix(panels.annual_history(spark, d), YEARS)
-    return randomization.swap_chains(matrix, randomization.schedule(spark, 9, [11, 12, 13]), YEARS, MISSING, 2000, 500)
+    full = stages.Config("", "")
+    return randomization.swap_chains(matrix, randomization.schedule(spark, full.draws, full.seeds), YEARS, MISSING, full.burn_in, full.thin)
 
 
 @query()

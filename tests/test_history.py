@@ -1,5 +1,6 @@
 """Golden rows of the history block, by hand."""
 
+import numpy as np
 import pytest
 
 from chronopanel.operators import history, randomization
@@ -69,3 +70,26 @@ def test_chains_agree_with_the_relational_rates(spark, panel):
     assert len(rows) == 25 and all(r["margins_kept"] for r in rows)
     again = {tuple(r) for r in draws.collect()}
     assert again == {tuple(r) for r in rows}
+
+
+def test_registered_chains_are_whole(spark, sf):
+    from chronopanel.plans import catalog, stages
+
+    full = stages.Config("", "")
+    got = catalog.QUERIES["chain_diagnostics"](spark, sf).collect()
+    assert sum(r["retained_draws"] for r in got) == full.draws == 9999
+    assert {r["total_attempts"] for r in got} == {full.burn_in + full.draws // 3 * full.thin} and all(r["margins_kept"] for r in got)
+
+
+def test_swaps_are_those_of_sets():
+    rng = np.random.default_rng(5)
+    masks = [int(x) for x in rng.integers(1, 63, 40)]
+    rows = [{i for i in range(6) if x >> i & 1} for x in masks]
+    state, again, accepted = randomization.Swaps(masks, 6, 3), np.random.default_rng(3), 0
+    state.run(3000)
+    a, b, c, d = again.integers(40, size=3000), again.integers(39, size=3000), again.integers(6, size=3000), again.integers(5, size=3000)
+    for i, j, x, y in zip(a, b + (b >= a), c, d + (d >= c), strict=True):
+        p, q = rows[i], rows[j]
+        if (x in p) != (y in p) and (x in q) != (y in q) and (x in p) != (x in q):
+            rows[i], rows[j], accepted = p ^ {int(x), int(y)}, q ^ {int(x), int(y)}, accepted + 1
+    assert accepted == state.accepted > 0 and [sum(1 << x for x in r) for r in rows] == state.masks
