@@ -4,7 +4,7 @@ A candidate is a run of 16 or more letters, digits and + / _ -, with up to two =
 digits, capitals and distinct characters, the share of neighbouring characters of different classes, the share that dictionary
 words and frequent letter groups cover, whether the path looks like tests or examples, and what stands beside it: a word
 such as password or token before it, a word such as commit or checksum, an assignment or a quote, a scheme or slash of
-an address. Candidates are cut out by two regular expressions over whole texts; the forest is Spark's own. Only DataFrame
+an address. Neighbouring candidates are part of what stands beside one. Candidates are cut out by two regular expressions over whole texts; the forest is Spark's own. Only DataFrame
 functions run.
 
 :func:`labelled_findings` makes findings to train from where a caller has none of its own: random strings in the shapes of keys
@@ -25,7 +25,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
-CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+={0,2}"
+SHORTEST = 16
+CANDIDATE = rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{{SHORTEST},}}+={{0,2}}"
 #: Characters of text before and after a candidate that features look at.
 BEFORE, AFTER = 48, 24
 FINDINGS, TREES, DEPTH = 6000, 20, 8
@@ -107,9 +108,13 @@ def candidates(docs: DataFrame, id_col: str, text_col: str, path_col: str) -> Da
     found = F.regexp_extract_all(F.col(text_col), F.lit(CANDIDATE), F.lit(0))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(path_col).cast("string").alias("path"), F.col(text_col).alias("text"), found.alias("found")).where(F.size("found") > 0)
     rows = rows.withColumn("between", F.split("text", CANDIDATE, -1))
-    lengths = F.transform("found", lambda c, i: F.struct(i.alias("nth"), c.alias("candidate"), F.get("between", i).alias("left"), F.get("between", i + 1).alias("right")))
-    rows = rows.select("doc_id", "path", F.explode(lengths).alias("x"))
-    return rows.select("doc_id", "path", "x.nth", "x.candidate", F.length("x.left").alias("gap"), F.expr(f"right(x.left, {BEFORE})").alias("before"), F.expr(f"left(x.right, {AFTER})").alias("after"))
+    # what is beside a candidate holds its neighbours too, of which a few fill the width
+    piece, word = (lambda i: F.coalesce(F.get("between", i), F.lit(""))), (lambda i: F.coalesce(F.get("found", i), F.lit("")))
+    left = lambda i: F.concat(*[x for k in range(-(-BEFORE // SHORTEST), 0, -1) for x in (word(i - k), piece(i - k + 1))])
+    right = lambda i: F.concat(*[x for k in range(1, -(-AFTER // SHORTEST) + 1) for x in (piece(i + k), word(i + k))])
+    beside = F.transform("found", lambda c, i: F.struct(i.alias("nth"), c.alias("candidate"), F.length(F.get("between", i)).alias("gap"), left(i).alias("left"), right(i).alias("right")))
+    rows = rows.select("doc_id", "path", F.explode(beside).alias("x"))
+    return rows.select("doc_id", "path", "x.nth", "x.candidate", "x.gap", F.expr(f"right(x.left, {BEFORE})").alias("before"), F.expr(f"left(x.right, {AFTER})").alias("after"))
 
 
 def scan(docs: DataFrame, *, findings: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source", threshold: float = 0.5) -> DataFrame:

@@ -97,3 +97,17 @@ def test_forest_on_findings_it_hasn_t_seen(spark):
 
     table = VectorAssembler(inputCols=list(secrets.FEATURES), outputCol="features").transform(fresh.select("label", *[c.alias(k) for k, c in own.items()]))
     assert model.transform(table).agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0] > 0.95
+
+
+def test_secrets_behind_long_names(spark):
+    token = "1beb58b8af68854f0e01b4ad40cdbb6ae7f578ae"
+    names = [f"aws_secret_access_key={token}", f"aws_secret_access_key = {token}", f'the service_api_access_token="{token}"', f"service_api_access_token: '{token}'", f"last_known_good_commit={token}", f"last_known_good_commit = {token}"]
+    docs = spark.createDataFrame(list(enumerate(names)), "doc_id int, text string").withColumn("source", F.lit("src"))
+    near = {r["doc_id"]: r for r in secrets.candidates(docs, "doc_id", "text", "source").where(F.col("candidate") == token).collect()}
+    assert {i: r["before"] for i, r in near.items()} == {i: x[: x.index(token)] for i, x in enumerate(names)}
+    assert {r["doc_id"] for r in secrets.scan(docs).where("is_secret").collect()} == {0, 1, 2, 3}
+    one, run = "ab12" * 4, spark.createDataFrame([(1, " ".join(f"{i}{'ab12' * 4}" for i in range(9)), "src")], "doc_id int, text string, source string")
+    text = run.first()["text"]
+    for r in secrets.candidates(run, "doc_id", "text", "source").collect():
+        at = text.index(f"{r['nth']}{one}")
+        assert r["gap"] == (r["nth"] > 0) and r["before"] == text[max(0, at - 48):at] and r["after"] == text[at + 17:at + 41]
