@@ -6,11 +6,17 @@ them; permutations are a column, not a loop.
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronopanel.functions.scalar import GAP_CATEGORIES, gap_category, quantised
 
+BLOCK, PAIRS = 200, 2_000_000
+
 
 def clean_events(events: DataFrame, observed: list[int]) -> DataFrame:
     """Events with a unit, a point, and a year among the observed ones; years that are no numbers go."""
@@ -49,6 +55,10 @@ def nearest_prior(labels: DataFrame, distances: DataFrame, missing_years: list[i
     other = labels.select(*by, "su_id", F.col("slot").alias("j"), F.col("year").alias("year_b"))
     joined = distances.join(labels.withColumnRenamed("slot", "i"), ["su_id", "i"]).join(other, [*by, "su_id", "j"]).where("year_b < year")
     found = joined.groupBy(*by, "su_id", F.col("i").alias("slot"), F.col("year").alias("target_year")).agg(F.max("year_b").alias("last_prior_year"), F.min("distance").alias("nearest_prior_distance_m"))
+    return _gaps(found, missing_years)
+
+
+def _gaps(found: DataFrame, missing_years: list[int]) -> DataFrame:
     if missing_years:
         found = found.where(~F.exists(F.array(*[F.lit(y).cast("int") for y in missing_years]), lambda y: (F.col("last_prior_year") < y) & (y < F.col("target_year"))))
     return found.withColumn("gap_years", F.col("target_year") - F.col("last_prior_year")).withColumn("gap_model", gap_category(F.col("gap_years")))
@@ -75,6 +85,39 @@ def permuted_years(locations: DataFrame, permutations: int, seed: int, scope: st
     return places.drop("year").join(dealt.select(*within, "at", "year"), [*within, "at"]).drop("at")
 
 
+def permuted_nearest(locations: DataFrame, permutations: int, seed: int, missing_years: list[int]) -> DataFrame:
+    """:func:`nearest_prior` of :func:`permuted_years` within units, without a row for each pair and permutation.
+
+    A task holds one unit's locations for BLOCK permutations, and distances of at most PAIRS pairs at a time.
+    """
+    blocks = locations.sparkSession.range(-(-permutations // BLOCK)).withColumnRenamed("id", "block")
+    rows = locations.select("su_id", F.col("slot").cast("long").alias("slot"), F.col("year").cast("int").alias("year"), "x_m", "y_m").join(F.broadcast(blocks))
+
+    def run(key, frame):
+        unit, block = key
+        frame = frame.sort_values("slot")
+        slots, years, x, y = (frame[c].to_numpy() for c in ("slot", "year", "x_m", "y_m"))
+        known = np.unique(years)
+        perms = range(int(block) * BLOCK, min(permutations, (int(block) + 1) * BLOCK))
+        dealt = np.empty((len(perms), len(slots)), years.dtype)
+        for k, perm in enumerate(perms):
+            keys = [hashlib.md5(f"{seed}|{perm}|{unit}|{slot}".encode()).hexdigest() for slot in slots]
+            dealt[k] = years[sorted(range(len(keys)), key=keys.__getitem__)]
+        step, out = max(1, PAIRS // len(slots)), []
+        for first in range(0, len(slots), step):
+            some = slice(first, first + step)
+            distance = np.hypot(x[some, None] - x, y[some, None] - y)
+            for k, perm in enumerate(perms):
+                own = dealt[k, some]
+                at = np.flatnonzero(own > known[0])
+                nearest = np.where(dealt[k] < own[at, None], distance[at], np.inf).min(1)
+                out.append(pd.DataFrame({"perm": perm, "su_id": unit, "slot": slots[some][at], "target_year": own[at], "last_prior_year": known[np.searchsorted(known, own[at]) - 1], "nearest_prior_distance_m": nearest}))
+        return pd.concat(out)
+
+    found = rows.groupBy("su_id", "block").applyInPandas(run, "perm int, su_id string, slot long, target_year int, last_prior_year int, nearest_prior_distance_m double")
+    return _gaps(found, missing_years)
+
+
 def null_summary(observed: DataFrame, draws: DataFrame) -> DataFrame:
     """Observed medians against those of the draws (perm, gap_model, n, median_distance_m)."""
     obs = observed.select("gap_model", F.col("n").alias("observed_n"), F.col("median_distance_m").alias("observed_median_m"))

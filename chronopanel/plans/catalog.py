@@ -284,17 +284,46 @@ s AS (SELECT gap_model, observed_n, observed_median_m, median(median_distance_m)
 SELECT gap_model, observed_n, round(observed_median_m, 6) + 0.0::DOUBLE AS observed_median_m, round(nm, 6) + 0.0::DOUBLE AS null_median_m, round(lo, 6) + 0.0::DOUBLE AS null_CI_low_m, round(hi, 6) + 0.0::DOUBLE AS null_CI_high_m, k AS n_permutations, below AS n_null_at_or_below_observed,
        round(CASE WHEN nm > 0 THEN observed_median_m / nm END, 6) + 0.0::DOUBLE AS observed_null_ratio, round(100 * (1 - CASE WHEN nm > 0 THEN observed_median_m / nm END), 6) + 0.0::DOUBLE AS percent_shorter_than_null, round((below + 1) / (k + 1), 6) + 0.0::DOUBLE AS empirical_p_one_sided FROM s""")
 def spatial_null_summary(spark, d):
+    return _null_summary(spark, d, _draws(spark, d))
+
+
+def _null_summary(spark, d, draws: DataFrame) -> DataFrame:
     nine = lambda df: df.withColumn("median_distance_m", F.round("median_distance_m", 9))
-    out = spatial.null_summary(nine(spatial.distance_summary(_observed(spark, d))), nine(_draws(spark, d)))
+    out = spatial.null_summary(nine(spatial.distance_summary(_observed(spark, d))), nine(draws))
     return rounded(out, "observed_median_m", "null_median_m", "null_CI_low_m", "null_CI_high_m", "observed_null_ratio", "percent_shorter_than_null", "empirical_p_one_sided")
 
 
 @query(f"WITH {POINTS_SQL}, {_DEALT} SELECT su_id, year, count(*) // {PERMUTATIONS} AS per_draw, count(*) % {PERMUTATIONS} AS rest FROM labels GROUP BY ALL")
 def permuted_label_counts(spark, d):
     """Every draw deals each unit its own years."""
-    labels = spatial.permuted_years(panels.locations(spark, d), PERMUTATIONS, SEED)
+    return _label_counts(spark, d, PERMUTATIONS)
+
+
+def _label_counts(spark, d, permutations: int) -> DataFrame:
+    labels = spatial.permuted_years(panels.locations(spark, d), permutations, SEED)
     n = labels.groupBy("su_id", "year").agg(F.count("*").alias("n"))
-    return n.select("su_id", "year", F.floor(F.col("n") / PERMUTATIONS).alias("per_draw"), (F.col("n") % PERMUTATIONS).alias("rest"))
+    return n.select("su_id", "year", F.floor(F.col("n") / permutations).alias("per_draw"), (F.col("n") % permutations).alias("rest"))
+
+
+# the whole job: as many permutations as the surveyed operator takes; those above have the few that their SQL has
+def _whole_draws(spark, d) -> DataFrame:
+    found = spatial.permuted_nearest(panels.locations(spark, d), stages.Config("", "").permutations, SEED, POINT_MISSING)
+    return spatial.distance_summary(found.persist(), ["perm"])
+
+
+@query()
+def spatial_null_draws_whole(spark, d):
+    return rounded(_whole_draws(spark, d), "median_distance_m")
+
+
+@query()
+def spatial_null_summary_whole(spark, d):
+    return _null_summary(spark, d, _whole_draws(spark, d))
+
+
+@query()
+def permuted_label_counts_whole(spark, d):
+    return _label_counts(spark, d, stages.Config("", "").permutations)
 
 
 _VALUES = "values_ AS (SELECT CASE o_orderkey % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'b' ELSE 'c' END AS statistic, CAST(o_orderkey % 4 AS INTEGER) AS chain, o_orderkey AS draw, o_totalprice AS value FROM orders)"
