@@ -114,9 +114,9 @@ def normal_two_sided(z: float) -> float:
 
 
 def chi2_tail(x: float, df: int) -> float:
-    """Upper tail of a chi-square distribution with an even number of degrees of freedom."""
+    """Upper tail of a chi-square distribution, from that of one or two degrees of freedom on."""
     if df % 2:
-        raise ValueError("even degrees of freedom only")
+        return math.erfc(math.sqrt(x / 2)) + sum((x / 2) ** (k / 2) * math.exp(-x / 2) / math.gamma(k / 2 + 1) for k in range(1, df - 1, 2))
     term = total = 1.0
     for i in range(1, df // 2):
         term *= x / 2 / i

@@ -62,7 +62,7 @@ def rainfall_effects(frame: DataFrame, measures: list[str], reference: str = "gt
         a, b = models.effect_rows(fit, models.marginal_effects(own, fit, settings, {"rx": F.col("rx") + 1}), reference)
         effects += [(measure, *r) for r in a]
         contrasts += [(measure, *r) for r in b]
-        if states and len(states) % 2 == 0:
+        if states:
             tests.append((measure, *models.joint_test(fit, [f"rx:gap{i}" for i in range(len(states))])))
         own.unpersist()
     schema = "measure string, state string, estimate double, error double, low double, high double, p double"

@@ -239,3 +239,24 @@ def test_report_tables(spark):
     assert [tuple(r) for r in report.presentation(t, "gap_time_category", ["rate"]).collect()] == [("1 year", None), (">10 years", "12.35")]
     results = report.main_results(("x", "rows", spark.createDataFrame([("n", 3)], "metric string, estimate int")))
     assert tuple(results.first()) == ("x", "n", 3.0, None, None, None, "rows")
+
+
+def test_chi_square_tail_of_odd_degrees():
+    from chronopanel.functions.scalar import chi2_tail
+
+    # 5 % points of tables
+    for x, df in ((3.841459, 1), (7.814728, 3), (11.070498, 5), (5.991465, 2), (9.487729, 4)):
+        assert abs(chi2_tail(x, df) - 0.05) < 1e-6
+    assert chi2_tail(0.0, 3) == 1.0
+
+
+def test_joint_test_of_an_odd_number_of_gaps(spark):
+    import random
+
+    from chronopanel.operators import forward
+
+    draw = random.Random(4)
+    rows = [(f"u{i % 40}", f"g{i % 5}", 2000 + i % 7, ("1_year", "gt10_years")[i % 2], int(draw.random() < 0.4), draw.gauss(0, 1)) for i in range(400)]
+    frame = spark.createDataFrame(rows, "su_id string, grid_id string, year int, gap_shallow_category string, shallow_active int, rx1day_mm double")
+    made = forward.rainfall_effects(frame, ["rx1day_mm"])["joint_tests"].collect()
+    assert [(r["measure"], r["df"]) for r in made] == [("rx1day_mm", 1)] and 0 <= made[0]["p"] <= 1
