@@ -39,8 +39,13 @@ def first_match(cases: list[tuple[Column, str]], default: str | None = None) ->
 
 
 def count_of(raw: Column) -> Column:
-    """A response count: numbers as they are, all else 0, nothing below 0."""
-    return F.greatest(F.coalesce(raw.try_cast("double"), F.lit(0.0)), F.lit(0.0))
+    """A response count: numbers as they are, all else 0 (also what is no number), nothing below 0."""
+    return F.greatest(F.nanvl(F.coalesce(raw.try_cast("double"), F.lit(0.0)), F.lit(0.0)), F.lit(0.0))
+
+
+def flag_of(raw: Column) -> Column:
+    """1 where a flag is above 0, else 0."""
+    return (count_of(raw) > 0).cast("double")
 
 
 def trimmed(text: Column) -> Column:
@@ -75,10 +80,6 @@ def logit(p: Column, edge: float = 1e-8) -> Column:
     return F.log(kept / (1 - kept))
 
 
-def interval(estimate: Column, error: Column) -> tuple[Column, Column]:
-    return estimate - Z95 * error, estimate + Z95 * error
-
-
 def composite_key(*parts: Column) -> Column:
     return F.concat_ws("__", *parts)
 
@@ -92,21 +93,27 @@ def labelled(code: Column, labels: dict[str, str]) -> Column:
     return harmonised(code, labels)
 
 
-def zscored(df: DataFrame, column: str, name: str) -> DataFrame:
-    """df with a z-score by sample standard deviation over all its rows: a one-row aggregate beside each row.
+def spread_or_error(sd: Column, what: str) -> Column:
+    """A standard deviation that is positive and finite; any other raises when read."""
+    bad = sd.isNull() | F.isnan(sd) | (sd <= 0) | (sd == float("inf"))
+    return F.when(bad, F.raise_error(F.lit(f"no spread in {what}")).cast("double")).otherwise(sd)
 
-    Where there's no spread, the score is null; :func:`checked_spread` raises instead.
-    """
-    stats = df.agg(F.avg(column).alias("_mean"), F.stddev_samp(column).alias("_sd"))
-    return df.join(F.broadcast(stats)).withColumn(name, F.when(F.col("_sd") > 0, (F.col(column) - F.col("_mean")) / F.col("_sd"))).drop("_mean", "_sd")
+
+def number(raw: Column) -> Column:
+    """A double, or null for what is none: not-a-number counts as missing."""
+    x = raw.cast("double")
+    return F.when(~F.isnan(x), x)
 
 
-def checked_spread(df: DataFrame, columns: list[str]) -> None:
-    """Raise where a column has no positive finite spread."""
-    row = df.agg(*[F.stddev_samp(c).alias(c) for c in columns]).first()
-    flat = [c for c in columns if row[c] is None or not math.isfinite(row[c]) or row[c] <= 0]
-    if flat:
-        raise ValueError(f"no spread in {', '.join(flat)}")
+def zscored(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    """df with z-scores by sample standard deviation over all its rows, named by column: a one-row aggregate beside each row.
+
+    A column without spread raises: all its scores would be missing, and complete cases would drop every row.
+    """
+    own = {c: number(F.col(c)) for c in names}
+    stats = df.agg(*[x for i, c in enumerate(names) for x in (F.avg(own[c]).alias(f"_mean{i}"), F.stddev_samp(own[c]).alias(f"_sd{i}"))])
+    scores = {name: (own[c] - F.col(f"_mean{i}")) / spread_or_error(F.col(f"_sd{i}"), c) for i, (c, name) in enumerate(names.items())}
+    return df.join(F.broadcast(stats)).withColumns(scores).drop(*[f"_{k}{i}" for i in range(len(names)) for k in ("mean", "sd")])
 
 
 def normal_two_sided(z: float) -> float:

@@ -6,31 +6,41 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.column import Column
 
 
-def leakage_checks(rows: DataFrame, features: list[str]) -> DataFrame:
-    """(check, passed): rows has test_year, max_training_year and rainfall_source_year; features are the model's columns."""
+def leakage_checks(rows: DataFrame, features: list[str], current: list[str]) -> DataFrame:
+    """(check, passed, detail): rows has test_year, max_training_year and rainfall_source_year; features are the models' columns, current
+    the covariates of the target year, which must not be among them. Source years that are missing don't count."""
+    test, last, source = F.col("test_year"), F.col("max_training_year"), F.col("rainfall_source_year")
     first = rows.agg(F.min("test_year").alias("first"))
+    leaks = sorted(set(features) & set(current))
     row = rows.join(F.broadcast(first)).agg(
-        F.bool_and(F.col("max_training_year") < F.col("test_year")).alias("training_before_test"),
-        F.bool_and(F.when(F.col("test_year") == F.col("first"), F.col("max_training_year") == F.col("test_year") - 1)).alias("first_test_follows_training"),
-        F.bool_and(F.col("rainfall_source_year") == F.col("test_year") - 1).alias("lag_is_one_year"),
-        F.lit(not any(f in ("monsoon_rainfall_mm", "rx1day_mm") for f in features)).alias("no_current_covariate"),
+        F.count_if(~F.coalesce(last < test, F.lit(False))).alias("all_max_training_year_before_test_year"),
+        F.count_if((test == F.col("first")) & ~F.coalesce(last == test - 1, F.lit(False))).alias("first_test_year_uses_previous_year_as_latest_training_year"),
+        F.count_if(source.isNotNull() & (source != test - 1)).alias("all_nonmissing_rainfall_sources_are_t_minus_1"),
+        F.lit(len(leaks)).cast("long").alias("no_current_year_rainfall_in_feature_sets"),
     )
-    return row.unpivot([], row.columns, "check", "passed").withColumn("passed", F.coalesce("passed", F.lit(False)))
+    return row.unpivot([], row.columns, "check", "n").select("check", (F.col("n") == 0).alias("passed"), F.when(F.col("check").startswith("no_"), ", ".join(leaks)).otherwise(F.concat("n", F.lit(" rows against it"))).alias("detail"))
 
 
-def prediction_exclusions(rows: DataFrame) -> DataFrame:
-    """Per test year: rows, those left out for crossing a gap, and retained ones."""
-    out = rows.groupBy(F.col("year").alias("test_year")).agg(F.count("*").alias("potential_rows"), F.count_if(F.col("history_crosses_missing_gap") == 1).alias("excluded_gap_crossing"))
-    return out.withColumn("retained_rows", F.col("potential_rows") - F.col("excluded_gap_crossing"))
+def prediction_exclusions(rows: DataFrame, lagged: list[str], year: str = "year") -> DataFrame:
+    """Per test year: rows, those left out for crossing a gap, and of retained ones the number, units, and rows with a lagged covariate missing."""
+    kept = F.col("history_crosses_missing_gap") == 0
+    missing = reduce(Column.__or__, [F.col(c).isNull() for c in lagged], F.lit(False))
+    return rows.groupBy(F.col(year).alias("test_year")).agg(
+        F.count("*").alias("potential_slope_unit_years"), F.count_if(F.col("history_crosses_missing_gap") == 1).alias("excluded_history_crosses_gap"), F.count_if(kept).alias("retained_prediction_rows"),
+        F.count_distinct(F.when(kept, F.col("su_id"))).alias("retained_slope_units"), F.count_if(kept & missing).alias("missing_lagged_rainfall_rows"),
+    )
 
 
 def material_exclusions(rows: DataFrame, excluded: list[str]) -> DataFrame:
-    """Rows, units and active rows before and after some materials are left out, and what goes."""
-    counts = lambda df, stage: df.agg(F.count("*").alias("rows"), F.count_distinct("su_id").alias("units"), F.coalesce(F.sum("active"), F.lit(0)).cast("long").alias("active")).withColumn("stage", F.lit(stage))
-    gone = F.coalesce(F.col("parent_material").isin(*excluded), F.lit(False))
-    return reduce(DataFrame.unionByName, [counts(rows, "before"), counts(rows.where(~gone), "after"), counts(rows.where(gone), "removed")])
+    """Rows, units and active rows before and after some materials are left out, and what goes: one pass for all three."""
+    gone = F.coalesce(F.col("parent_material").isin(*excluded), F.lit(False)) if excluded else F.lit(False)
+    stages = F.explode(F.when(gone, F.array(F.lit("before"), F.lit("removed"))).otherwise(F.array(F.lit("before"), F.lit("after")))).alias("stage")
+    found = rows.select("su_id", "active", stages).groupBy("stage").agg(F.count("*").alias("rows"), F.count_distinct("su_id").alias("units"), F.sum("active").cast("long").alias("active"))
+    names = rows.sparkSession.createDataFrame([("before",), ("after",), ("removed",)], "stage string")
+    return names.join(found, "stage", "left").na.fill(0, ["rows", "units", "active"])
 
 
 def compare_tables(left: DataFrame, right: DataFrame, keys: list[str], absolute: float = 1e-8, relative: float = 1e-6) -> DataFrame:
@@ -54,12 +64,14 @@ def compare_tables(left: DataFrame, right: DataFrame, keys: list[str], absolute:
     return spark.createDataFrame(shape, "check string, status string, detail string").unionByName(long)
 
 
-def publication_checks(measured: DataFrame, expected: dict[str, float]) -> DataFrame:
-    """(check, expected, observed, passed) for named counts (name, value); a name that wasn't measured fails."""
-    spark = measured.sparkSession
-    wanted = spark.createDataFrame([(k, float(v)) for k, v in expected.items()], "check string, expected double")
-    found = measured.select(F.col("name").alias("check"), F.col("value").cast("double").alias("observed"))
-    return wanted.join(found, "check", "left").withColumn("passed", F.coalesce(F.col("observed") == F.col("expected"), F.lit(False)))
+def publication_checks(measured: DataFrame, expected: DataFrame) -> DataFrame:
+    """(section, check, passed, blocking, observed, requirement): expected (section, check, requirement) against measured (section, check, observed), both text.
+
+    A check that wasn't measured fails; what was measured and isn't expected is listed as no requirement of its own.
+    """
+    joined = expected.join(measured, ["section", "check"], "full")
+    passed = F.col("requirement").isNull() | F.coalesce(F.col("observed") == F.col("requirement"), F.lit(False))
+    return joined.select("section", "check", passed.alias("passed"), F.col("requirement").isNotNull().alias("blocking"), F.coalesce("observed", F.lit("missing")).alias("observed"), "requirement")
 
 
 def margins_kept(before: DataFrame, after: DataFrame) -> DataFrame:

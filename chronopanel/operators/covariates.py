@@ -2,24 +2,38 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chronopanel.functions.scalar import number, spread_or_error
+from chronopanel.operators.ordered import prefix_sums, text_order
+
 
 def climatology(covariate: DataFrame, value: str) -> DataFrame:
     """Mean and sample standard deviation of each unit over all its periods; one period has no deviation."""
-    return covariate.groupBy("su_id").agg(F.avg(value).alias("unit_mean"), F.stddev_samp(value).alias("unit_sd"))
+    x = number(F.col(value))
+    return covariate.groupBy("su_id").agg(F.avg(x).alias("unit_mean"), F.stddev_samp(x).alias("unit_sd"))
 
 
 def within_between(frame: DataFrame, covariate: DataFrame, value: str) -> DataFrame:
     """frame with {value}_within_z, the deviation from the unit's own climatology in its deviations, and {value}_between_z, the
-    unit's mean standardised over the distinct units of the frame."""
+    unit's mean standardised over the distinct units of the frame.
+
+    A unit of one period has no deviation and a null score; a deviation of 0, of a unit or between units, raises.
+    """
     unit = climatology(covariate, value)
     units = frame.select("su_id").distinct().join(unit, "su_id")
     spread = units.agg(F.avg("unit_mean").alias("_m"), F.stddev_samp("unit_mean").alias("_s"))
-    unit = unit.join(F.broadcast(spread)).withColumn(f"{value}_between_z", F.when(F.col("_s") > 0, (F.col("unit_mean") - F.col("_m")) / F.col("_s"))).drop("_m", "_s")
-    out = frame.join(unit, "su_id", "left")
-    return out.withColumn(f"{value}_within_z", F.when(F.col("unit_sd") > 0, (F.col(value) - F.col("unit_mean")) / F.col("unit_sd"))).drop("unit_mean", "unit_sd")
+    between = (F.col("unit_mean") - F.col("_m")) / spread_or_error(F.col("_s"), f"unit means of {value}")
+    within = F.when(F.col("unit_sd").isNotNull(), (number(F.col(value)) - F.col("unit_mean")) / spread_or_error(F.col("unit_sd"), f"{value} of a unit"))
+    out = frame.join(unit, "su_id", "left").join(F.broadcast(spread))
+    return out.withColumns({f"{value}_within_z": within, f"{value}_between_z": F.when(F.col("unit_mean").isNotNull(), between)}).drop("unit_mean", "unit_sd", "_m", "_s")
+
+
+def centred(frame: DataFrame, covariate: DataFrame, value: str, name: str) -> DataFrame:
+    """frame with ``name``: the value less its unit's mean over all periods of the covariate."""
+    mean = covariate.groupBy("su_id").agg(F.avg(number(F.col(value))).alias("_mean"))
+    return frame.join(mean, "su_id", "left").withColumn(name, number(F.col(value)) - F.col("_mean")).drop("_mean")
 
 
 def dominant_cell(weights: DataFrame) -> DataFrame:
@@ -46,37 +60,21 @@ def complete_cases(frame: DataFrame, required: list[str]) -> DataFrame:
     return frame.dropna(subset=required)
 
 
-def with_static(frame: DataFrame, *tables: DataFrame) -> DataFrame:
-    """frame with unit tables beside it, one row a unit each."""
-    for t in tables:
-        frame = frame.join(t, "su_id", "left")
-    return frame
-
+def static_features(terrain: DataFrame, materials: DataFrame, area: str = "su_area_m2", areas: DataFrame | None = None) -> DataFrame:
+    """Unit attributes with log_su_area; an area that is null or not positive raises when read.
 
-def static_features(terrain: DataFrame, materials: DataFrame, area: str = "su_area_m2") -> DataFrame:
-    """Unit attributes with log_area; an area that is null or not positive raises when read."""
+    areas (su_id, area) is joined where neither of the tables has the area.
+    """
     out = terrain.join(materials, "su_id", "left")
-    bad = F.col(area).isNull() | (F.col(area) <= 0)
-    return out.withColumn("log_area", F.when(bad, F.raise_error(F.lit("an area is missing or not positive")).cast("double")).otherwise(F.log(area)))
-
-
-def imputed(frame: DataFrame, train, columns: list[str]) -> DataFrame:
-    """frame with {c}_s: missing values filled with the training rows' exact median, then scaled by their mean and population deviation."""
-    frame = frame.withColumns({c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c)) for c in columns})  # not a number is missing too
-    medians = frame.where(train).agg(*[F.percentile(c, F.lit(0.5)).alias(f"_m_{c}") for c in columns])
-    frame = frame.join(F.broadcast(medians)).withColumns({f"{c}_s": F.coalesce(F.col(c).cast("double"), F.col(f"_m_{c}")) for c in columns}).drop(*[f"_m_{c}" for c in columns])
-    stats = frame.where(train).agg(*[x for c in columns for x in (F.avg(f"{c}_s").alias(f"_a_{c}"), F.stddev_pop(f"{c}_s").alias(f"_d_{c}"))])
-    scaled = {f"{c}_s": (F.col(f"{c}_s") - F.col(f"_a_{c}")) / F.when(F.col(f"_d_{c}") > 0, F.col(f"_d_{c}")).otherwise(1.0) for c in columns}
-    return frame.join(F.broadcast(stats)).withColumns(scaled).drop(*[f"_{k}_{c}" for c in columns for k in "ad"])
-
-
-def most_frequent(frame: DataFrame, train, column: str) -> str | None:
-    """The training rows' most frequent level, ties to the first by name."""
-    row = frame.where(train & F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n")).orderBy(F.desc("n"), column).first()
-    return row[column] if row else None
+    if area not in out.columns and areas is not None:
+        out = out.join(areas.select("su_id", area), "su_id", "left")
+    size = F.col(area).cast("double")
+    bad = size.isNull() | F.isnan(size) | (size <= 0)
+    return out.withColumn("log_su_area", F.when(bad, F.raise_error(F.lit("an area is missing or not positive")).cast("double")).otherwise(F.log(size)))
 
 
 def cluster_codes(frame: DataFrame, key: str) -> DataFrame:
-    """(key, code): distinct keys numbered from 0 in their order, over the distinct keys only."""
+    """(key, code): distinct keys numbered from 0 in their order; prefix sums over slices of the keys, so no task has all of them."""
     distinct = frame.select(key).where(F.col(key).isNotNull()).distinct()
-    return distinct.withColumn("code", F.row_number().over(Window.orderBy(key)) - 1)
+    numbered = prefix_sums(distinct, [], text_order(F.col(key)), [F.col(key)], {"_n": F.lit(1)})
+    return numbered.select(key, (F.col("_n") - 1).cast("int").alias("code"))

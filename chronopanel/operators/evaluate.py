@@ -1,23 +1,25 @@
 """Evaluation of predicted probabilities, by model and test year or pooled: all by ordered sums over distinct scores.
 
-Every window is partitioned by the evaluated group; scores are first summed up by distinct value, so windows see
-distinct scores, not rows.
+Rows are summed up by distinct score first, and prefix sums go slice by slice (:mod:`ordered`), so no task holds a whole group.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chronopanel.operators.ordered import prefix_sums, quantiles, text_order
+
 EDGE = 1e-8
+#: Places to which probabilities are summed up where means are compared between engines: integers add up alike in any order.
+PLACES = 12
 
 
 def curve(predictions: DataFrame, by: list[str]) -> DataFrame:
     """A point for each distinct score of a group, from the highest: precision and recall if all from there up are selected."""
     each = predictions.groupBy(*by, F.col("predicted_probability").alias("score")).agg(F.count("*").alias("n"), F.sum("observed").cast("long").alias("hits"))
-    down = Window.partitionBy(*by).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = Window.partitionBy(*by)
-    out = each.withColumns({"selected": F.sum("n").over(down), "captured": F.sum("hits").over(down), "positives": F.sum("hits").over(whole), "rows": F.sum("n").over(whole)})
+    out = prefix_sums(each, by, F.col("score"), [], {"selected": F.col("n"), "captured": F.col("hits")}, descending=True)
+    out = out.join(each.groupBy(*by).agg(F.sum("hits").alias("positives"), F.sum("n").alias("rows")), by)
     return out.withColumns({"precision": F.col("captured") / F.col("selected"), "recall": F.when(F.col("positives") > 0, F.col("captured") / F.col("positives"))})
 
 
@@ -27,11 +29,10 @@ def metrics(predictions: DataFrame, by: list[str]) -> DataFrame:
     # of pairs of a positive and a negative: the negatives below count whole, those at the same score half
     below = F.col("rows") - F.col("selected") - (F.col("positives") - F.col("captured"))
     ranked = points.groupBy(*by).agg(
-        F.max("rows").alias("n"), F.max("positives").alias("positives"), F.sum(F.col("hits") / F.col("positives") * F.col("precision")).alias("average_precision"),
+        F.max("rows").alias("n"), F.max("positives").alias("positives"), F.sum(F.when(F.col("positives") > 0, F.col("hits") / F.col("positives") * F.col("precision"))).alias("average_precision"),
         F.sum(F.col("hits") * (below + (F.col("n") - F.col("hits")) / 2)).alias("wins"),
     )
     ranked = ranked.withColumn("prevalence", F.col("positives") / F.col("n")).withColumn("roc_auc", F.when((F.col("positives") > 0) & (F.col("positives") < F.col("n")), F.col("wins") / F.col("positives") / (F.col("n") - F.col("positives")))).drop("wins")
-    ranked = ranked.withColumn("average_precision", F.when(F.col("positives") > 0, F.col("average_precision")))
     y = F.col("observed")
     p = F.greatest(F.least(F.col("predicted_probability"), F.lit(1 - EDGE)), F.lit(EDGE))
     losses = predictions.groupBy(*by).agg(F.avg((F.col("predicted_probability") - y) ** 2).alias("brier_score"), F.avg(-(y * F.log(p) + (1 - y) * F.log(1 - p))).alias("log_loss"))
@@ -39,36 +40,62 @@ def metrics(predictions: DataFrame, by: list[str]) -> DataFrame:
 
 
 def top_fractions(predictions: DataFrame, by: list[str], fractions: list[float]) -> DataFrame:
-    """What the highest share of each group captures; ties go to the first units by name."""
-    order = Window.partitionBy(*by).orderBy(F.desc("predicted_probability"), "su_id")
-    whole = Window.partitionBy(*by)
-    ranked = predictions.withColumns({"place": F.row_number().over(order), "rows": F.count("*").over(whole), "positives": F.sum("observed").over(whole)})
-    f = F.explode(F.array(*[F.lit(float(x)) for x in fractions])).alias("top_fraction")
+    """What the highest share of each group captures; ties go to the first units by name.
+
+    Scores above the one at the cut are counted whole; only the rows of that score are put in order, slice by slice.
+    """
+    points = curve(predictions, by).select(*by, "score", "n", "hits", "selected", "captured", "positives", "rows")
+    share = F.explode(F.array(*[F.lit(float(x)) for x in fractions])).alias("top_fraction")
     k = F.greatest(F.lit(1), F.ceil(F.col("rows") * F.col("top_fraction")))
-    chosen = ranked.select(*by, "place", "rows", "positives", "observed", f).where(F.col("place") <= k)
-    out = chosen.groupBy(*by, "top_fraction").agg(F.count("*").alias("selected_rows"), F.sum("observed").cast("long").alias("captured_positives"), F.max("positives").cast("long").alias("total_positives"))
+    cut = points.select("*", share).withColumn("k", k).where((F.col("selected") - F.col("n") < F.col("k")) & (F.col("k") <= F.col("selected")))
+    cut = cut.select(*by, "top_fraction", "k", "score", (F.col("k") - F.col("selected") + F.col("n")).alias("more"), (F.col("captured") - F.col("hits")).alias("above"), "positives", "n")
+    scores = cut.where("more < n").select(*by, "score").distinct()
+    at_cut = predictions.select(*by, F.col("predicted_probability").alias("score"), "su_id", "observed").join(scores, [*by, "score"])
+    placed = prefix_sums(at_cut, [*by, "score"], text_order(F.col("su_id")), [F.col("su_id")], {"place": F.lit(1), "found": F.col("observed")})
+    ties = placed.select(*by, "score", F.col("place").alias("more"), "found")
+    out = cut.join(ties, [*by, "score", "more"], "left")
+    whole = points.select(*by, "score", F.col("hits").alias("whole"))
+    captured = F.col("above") + F.when(F.col("more") == F.col("n"), F.col("whole")).otherwise(F.col("found"))
+    out = out.join(whole, [*by, "score"]).select(*by, "top_fraction", F.col("k").cast("long").alias("selected_rows"), captured.cast("long").alias("captured_positives"), F.col("positives").cast("long").alias("total_positives"))
+    return _shares(out)
+
+
+def _shares(out: DataFrame) -> DataFrame:
     return out.withColumns({"positive_capture_rate": F.when(F.col("total_positives") > 0, F.col("captured_positives") / F.col("total_positives")), "precision_at_fraction": F.col("captured_positives") / F.col("selected_rows")})
 
 
 def annual_budget(predictions: DataFrame, fractions: list[float]) -> DataFrame:
     """Top fractions taken in each year, summed up by model."""
     out = top_fractions(predictions, ["model", "test_year"], fractions).groupBy("model", "top_fraction").agg(*[F.sum(c).cast("long").alias(c) for c in ("selected_rows", "captured_positives", "total_positives")])
-    return out.withColumns({"positive_capture_rate": F.when(F.col("total_positives") > 0, F.col("captured_positives") / F.col("total_positives")), "precision_at_fraction": F.col("captured_positives") / F.col("selected_rows"), "budget_definition": F.lit("annual")})
+    return _shares(out).withColumn("budget_definition", F.lit("top fraction selected independently within each held-out year, then counts pooled"))
 
 
-def calibration(predictions: DataFrame, bins: int = 10) -> DataFrame:
-    """Bins by exact quantiles of each model and year, without repeated edges; right-closed, the lowest edge within the first."""
+def calibration_sums(predictions: DataFrame, bins: int = 10) -> DataFrame:
+    """n, the sum of predictions (a decimal, so alike in any order) and positives of each bin of a model and year.
+
+    Bins are by exact quantiles, without repeated edges; right-closed, the lowest edge within the first.
+    """
     by = ["model", "test_year"]
-    edges = predictions.groupBy(*by).agg(F.array_distinct(F.percentile("predicted_probability", F.array(*[F.lit(i / bins) for i in range(bins + 1)]))).alias("edges"))
+    edges = quantiles(predictions, by, "predicted_probability", [i / bins for i in range(bins + 1)]).select(*by, F.array_distinct("quantiles").alias("edges"))
     below = F.size(F.filter("edges", lambda e: e < F.col("predicted_probability")))
     binned = predictions.join(edges, by).withColumn("calibration_bin", F.greatest(F.lit(0), below - 1).cast("int"))
-    return binned.groupBy(*by, "calibration_bin").agg(F.count("*").alias("n"), F.avg("predicted_probability").alias("mean_predicted"), F.avg("observed").alias("observed_rate"))
+    p = F.round("predicted_probability", PLACES).cast(f"decimal({PLACES + 2},{PLACES})")
+    return binned.groupBy(*by, "calibration_bin").agg(F.count("*").alias("n"), F.sum(p).alias("sum_predicted"), F.sum("observed").cast("long").alias("positives"))
+
+
+def _means(sums: DataFrame, by: list[str]) -> DataFrame:
+    return sums.select(*by, "calibration_bin", "n", (F.col("sum_predicted").cast("double") / F.col("n")).alias("mean_predicted"), (F.col("positives") / F.col("n")).alias("observed_rate"))
+
+
+def calibration(predictions: DataFrame, bins: int = 10) -> DataFrame:
+    """Mean prediction and observed rate of each bin of a model and year."""
+    return _means(calibration_sums(predictions, bins), ["model", "test_year"])
 
 
-def pooled_calibration(binned: DataFrame) -> DataFrame:
-    """Bins of all years together, weighted by their rows."""
-    n = F.col("n")
-    return binned.groupBy("model", "calibration_bin").agg(F.sum("n").cast("long").alias("n"), (F.sum(n * F.col("mean_predicted")) / F.sum("n")).alias("mean_predicted"), (F.sum(n * F.col("observed_rate")) / F.sum("n")).alias("observed_rate"))
+def pooled_calibration(predictions: DataFrame, bins: int = 10) -> DataFrame:
+    """The bins of all years together, weighted by their rows."""
+    sums = calibration_sums(predictions, bins).groupBy("model", "calibration_bin").agg(F.sum("n").cast("long").alias("n"), F.sum("sum_predicted").alias("sum_predicted"), F.sum("positives").cast("long").alias("positives"))
+    return _means(sums, ["model"])
 
 
 def increments(pooled: DataFrame, pairs: list[tuple[str, str]], names: list[str]) -> DataFrame:

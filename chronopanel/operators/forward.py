@@ -1,71 +1,169 @@
-"""Expanding-window prediction, and elapsed-time models of extreme rainfall, from frames to tables."""
+"""Expanding-window prediction: penalised logistic fits on all years before each test year, for several sets of features.
+
+All fits of all test years advance together: a Newton step is one pass over the rows, in which a row adds to every fit whose
+training years hold it. What the driver keeps are counts by year, medians, and matrices of coefficients.
+"""
 
 from __future__ import annotations
 
-from functools import reduce
+from collections import Counter
+from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronopanel.functions.scalar import GAP_CATEGORIES, composite_key, holm, zscored
-from chronopanel.operators import covariates, models
+from chronopanel.functions.scalar import number
+from chronopanel.operators import models
+from chronopanel.operators.ordered import quantiles
 
 
-def forward_predictions(rows: DataFrame, test_years: list[int], sets: dict[str, list[str]], category: str, year: str = "year", label: str = "active") -> DataFrame:
-    """Held-out rows of each test year and feature set: su_id, test_year, model, observed, predicted_probability, max_training_year, rainfall_source_year.
+@dataclass
+class Fold:
+    """What the training years of a test year say: medians, means and deviations of the numbers, levels seen and the most frequent one."""
 
-    Numbers are imputed with the training years' median and scaled, the category is imputed with its most frequent level and
-    spread over all training levels; a level that training hasn't seen is all zeros. The largest set must hold the others' features.
-    """
-    rows = rows.persist()
-    every = max(sets.values(), key=len)
-    out = []
+    last: int
+    median: np.ndarray
+    mean: np.ndarray
+    sd: np.ndarray
+    seen: list[int]
+    frequent: int
+
+    def design(self, numbers: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """Intercept, scaled numbers, and a column for each level seen; missing numbers (NaN) are imputed, as are missing codes (-1). Unseen levels are all zeros."""
+        x = (np.where(np.isnan(numbers), self.median, numbers) - self.mean) / self.sd
+        level = np.where(codes < 0, self.frequent, codes)[:, None] == np.array(self.seen)
+        return np.concatenate([np.ones((len(x), 1)), x, level], 1)
+
+
+def folds(rows: DataFrame, test_years: list[int], numbers: list[str], category: str, year: str = "year") -> tuple[dict[int, Fold], list[str]]:
+    """Fold by test year, and all levels of the category in their order."""
+    long = rows.select(year, *[number(F.col(c)).alias(c) for c in numbers]).unpivot([year], numbers, "variable", "value")
+    counted = long.where("value is not null").groupBy("variable", year, "value").agg(F.count("*").alias("n"))
+    tests = F.explode(F.filter(F.array(*[F.lit(t) for t in test_years]), lambda t: t > F.col(year))).alias("test")
+    middle = quantiles(counted.select("variable", "value", "n", tests), ["variable", "test"], "value", [0.5], weight="n")
+    medians = {(r["variable"], r["test"]): r["quantiles"][0] for r in middle.collect()}
+    parts = {(r["variable"], r[year]): r for r in long.groupBy("variable", year).agg(F.count("value").alias("n"), F.avg("value").alias("m"), F.var_pop("value").alias("v")).collect()}
+    held = rows.groupBy(year, F.col(category).cast("string").alias("level")).agg(F.count("*").alias("n")).collect()
+    levels = sorted({r["level"] for r in held} - {None})
+    if len(levels) > models.MOST_LEVELS:
+        raise ValueError(f"more than {models.MOST_LEVELS} levels of {category}")
+    out = {}
+    for t in test_years:
+        before = [r for r in held if r[year] is not None and r[year] < t]
+        if not before:
+            raise ValueError(f"no years to train on before {t}")
+        total, counts = sum(r["n"] for r in before), Counter()
+        for r in before:
+            if r["level"] is not None:
+                counts[r["level"]] += r["n"]
+        median, mean, sd = (np.zeros(len(numbers)) for _ in range(3))
+        for i, c in enumerate(numbers):
+            if (c, t) not in medians:
+                raise ValueError(f"{c} is missing in all years before {t}")
+            median[i] = medians[c, t]
+            # means and variances of the years' parts, and of the imputed rows as one more, put together
+            pieces = [(p["n"], p["m"], p["v"]) for (name, y), p in parts.items() if name == c and y is not None and y < t and p["n"]]
+            pieces.append((total - sum(n for n, _, _ in pieces), median[i], 0.0))
+            mean[i] = sum(n * m for n, m, _ in pieces) / total
+            sd[i] = np.sqrt(sum(n * (v + (m - mean[i]) ** 2) for n, m, v in pieces) / total) or 1.0
+        frequent = min(counts, key=lambda x: (-counts[x], x)) if counts else None
+        seen = [i for i, x in enumerate(levels) if counts[x]]
+        out[t] = Fold(max(r[year] for r in before), median, mean, sd, seen, levels.index(frequent) if counts else -1)
+    return out, levels
+
+
+def _coded(rows: DataFrame, numbers: list[str], category: str, levels: list[str], *others: str) -> DataFrame:
+    code = F.array_position(F.array(*[F.lit(x) for x in levels]).cast("array<string>"), F.col(category).cast("string")) - 1
+    return rows.select(*[F.coalesce(number(F.col(c)), F.lit(float("nan"))).alias(f"x{i}") for i, c in enumerate(numbers)], F.coalesce(code, F.lit(-1)).cast("int").alias("code"), *others)
+
+
+def _arrays(batch: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray]:
+    numbers = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(k)]
+    return np.stack(numbers, 1) if k else np.empty((batch.num_rows, 0)), batch.column("code").to_numpy()
+
+
+def fit(rows: DataFrame, made: dict[int, Fold], levels: list[str], sets: dict[str, list[str]], numbers: list[str], category: str, year: str, label: str, c: float = 1.0, most: int = 1000) -> dict[tuple[str, int], np.ndarray]:
+    """Coefficients by model and test year: intercept, the set's numbers, levels seen; an L2 penalty of 1/C spares the intercept."""
+    k = len(numbers)
+    places = {(m, t): [0, *[1 + numbers.index(x) for x in names], *range(1 + k, 1 + k + len(f.seen))] for t, f in made.items() for m, names in sets.items()}
+    beta = {key: np.zeros(len(at)) for key, at in places.items()}
+    open_ = list(beta)
+    frame = _coded(rows.where(F.col(year) < max(made)), numbers, category, levels, F.col(year).cast("int").alias("year"), F.col(label).cast("double").alias("y")).persist()
     try:
-        for t, _, _ in models.expanding_folds(rows, test_years, year):
-            train = F.col(year) < t
-            fold = covariates.imputed(rows.where(F.col(year) <= t), train, every)
-            fold = fold.withColumn(category, F.coalesce(category, F.lit(covariates.most_frequent(rows, train, category))))
-            levels = models.levels_of(fold.where(train), category)
-            marks = [F.coalesce(F.col(category) == x, F.lit(False)).cast("double").alias(f"level{i}") for i, x in enumerate(levels)]
-            numbers = [F.col(f"{c}_s").alias(f"number{i}") for i, c in enumerate(every)]
-            fold = fold.select("su_id", year, label, "rainfall_source_year", *numbers, *marks).persist()
-            last = fold.where(train).agg(F.max(year)).first()[0]
-            if last is None or last >= t:
-                raise ValueError(f"no years to train on before {t}")
-            for model, names in sets.items():
-                features = [*[f"number{every.index(c)}" for c in names], *[f"level{i}" for i in range(len(levels))]]
-                scored, _ = models.penalised_logit(fold.where(train), fold.where(F.col(year) == t), features, label)
-                out.append(scored.select("su_id", F.col(year).alias("test_year"), F.lit(model).alias("model"), F.col(label).alias("observed"), "predicted_probability", F.lit(last).alias("max_training_year"), "rainfall_source_year"))
+        for _ in range(most):
+            sizes = [len(beta[key]) for key in open_]
+            ends = np.cumsum([0, *[n + n * n + 2 for n in sizes]])
+
+            def part(batches, beta=beta, open_=open_, ends=ends):
+                sums = np.zeros(ends[-1])
+                for batch in batches:
+                    x, codes = _arrays(batch, k)
+                    years, y = batch.column("year").to_numpy(), batch.column("y").to_numpy()
+                    for t in sorted({t for _, t in open_}):
+                        own = years < t
+                        design = made[t].design(x[own], codes[own])
+                        for i, (m, u) in enumerate(open_):
+                            if u == t:
+                                sums[ends[i] : ends[i + 1]] += models.newton_sums(design[:, places[m, t]], y[own], beta[m, t])
+                return sums
+
+            sums = models._summed(frame, part)
+            left = []
+            for i, key in enumerate(open_):
+                penalty = np.array([0.0, *[1 / c] * (sizes[i] - 1)])
+                moved, _, _ = models.newton_step(sums[ends[i] : ends[i + 1]], beta[key], penalty)
+                if np.abs(moved - beta[key]).max() > 1e-9:
+                    left.append(key)
+                beta[key] = moved
+            open_ = left
+            if not open_:
+                return beta
     finally:
-        rows.unpersist()
-    return reduce(DataFrame.unionAll, out)
+        frame.unpersist()
+    raise ArithmeticError("the fits don't converge")
 
 
-def rainfall_effects(frame: DataFrame, measures: list[str], reference: str = "gt10_years", gap: str = "gap_shallow_category", label: str = "shallow_active") -> dict[str, DataFrame]:
-    """effects, contrasts and joint tests of each measure: a binomial fit of the outcome on the standardised measure by elapsed time.
+def forward_predictions(rows: DataFrame, test_years: list[int], sets: dict[str, list[str]], category: str, year: str = "year", label: str = "active", first_year: int | None = None, c: float = 1.0) -> dict[str, DataFrame]:
+    """predictions: held-out rows of each test year and set (su_id, test_year, model, observed, predicted_probability, max_training_year,
+    rainfall_source_year); coefficients: (model, test_year, feature, coefficient).
 
-    frame has su_id, grid_id, year, the outcome, the category and the measures. Errors are clustered by unit and by cell and year.
+    Numbers are imputed with the training years' exact median and scaled by their population deviation; the category is imputed with its most
+    frequent level (ties to the first by name) and spread over all training levels; a level that training hasn't seen is all
+    zeros. Training starts in first_year. rows is read once for each step, so it should be a stored table.
     """
-    spark = frame.sparkSession
-    effects, contrasts, tests = [], [], []
-    for measure in measures:
-        own = zscored(frame, measure, "rx").where(F.col("rx").isNotNull())
-        states = [c for c in models.levels_of(own, gap) if c != reference]
-        order = [c for c, _ in GAP_CATEGORIES]
-        states.sort(key=order.index)
-        own = own.withColumns({"one": F.lit(1.0), **{f"gap{i}": (F.col(gap) == c).cast("double") for i, c in enumerate(states)}})
-        own = own.withColumns({f"rx:gap{i}": F.col("rx") * F.col(f"gap{i}") for i in range(len(states))}).withColumn("grid_year", composite_key(F.col("grid_id"), F.col("year"))).persist()
-        terms = ["one", *[f"gap{i}" for i in range(len(states))], "rx", *[f"rx:gap{i}" for i in range(len(states))]]
-        fit = models.binomial(own, terms, label)
-        models.two_way_covariance(own, fit, "su_id", "grid_year", label)
-        settings = {c: {f"gap{i}": F.lit(float(c == x)) for i, x in enumerate(states)} for c in [*states, reference]}
-        a, b = models.effect_rows(fit, models.marginal_effects(own, fit, settings, {"rx": F.col("rx") + 1}), reference)
-        effects += [(measure, *r) for r in a]
-        contrasts += [(measure, *r) for r in b]
-        if states:
-            tests.append((measure, *models.joint_test(fit, [f"rx:gap{i}" for i in range(len(states))])))
-        own.unpersist()
-    schema = "measure string, state string, estimate double, error double, low double, high double, p double"
-    adjusted = lambda df: holm(df.withColumn("family", F.lit("all")), "p", ["family"], df.columns[:1]).drop("family")
-    joint = spark.createDataFrame(tests, "measure string, statistic double, df int, p double")
-    return {"effects": spark.createDataFrame(effects, schema), "contrasts": adjusted(spark.createDataFrame(contrasts, schema)), "joint_tests": adjusted(joint)}
+    spark = rows.sparkSession
+    if first_year is not None:
+        rows = rows.where(F.col(year) >= first_year)
+    numbers = list(dict.fromkeys(x for names in sets.values() for x in names))
+    if missing := [x for x in [*numbers, category] if x not in rows.columns]:
+        raise ValueError(f"missing predictors: {', '.join(missing)}")
+    made, levels = folds(rows, test_years, numbers, category, year)
+    beta = fit(rows, made, levels, sets, numbers, category, year, label, c)
+    k = len(numbers)
+    places = {m: [1 + numbers.index(x) for x in names] for m, names in sets.items()}
+
+    def score(batches):
+        for batch in batches:
+            x, codes = _arrays(batch, k)
+            years = batch.column("test_year").to_numpy()
+            for t in np.unique(years).tolist():
+                own = np.flatnonzero(years == t)
+                f = made[t]
+                design = f.design(x[own], codes[own])
+                part = batch.take(pa.array(own))
+                for m in sets:
+                    at = [0, *places[m], *range(1 + k, 1 + k + len(f.seen))]
+                    p = models._expit(design[:, at] @ beta[m, t])
+                    n = len(own)
+                    yield pa.RecordBatch.from_arrays([part.column("su_id"), part.column("test_year"), pa.array([m] * n), part.column("observed"), pa.array(p), pa.array(np.full(n, f.last, np.int32)), part.column("rainfall_source_year")], ["su_id", "test_year", "model", "observed", "predicted_probability", "max_training_year", "rainfall_source_year"])
+
+    tests = _coded(rows.where(F.col(year).isin(*test_years)), numbers, category, levels, "su_id", F.col(year).cast("int").alias("test_year"), F.col(label).cast("int").alias("observed"), F.col("rainfall_source_year").cast("int").alias("rainfall_source_year"))
+    id_type = rows.schema["su_id"].dataType.simpleString()
+    predictions = tests.mapInArrow(score, f"su_id {id_type}, test_year int, model string, observed int, predicted_probability double, max_training_year int, rainfall_source_year int")
+    named = []
+    for (m, t), b in beta.items():
+        features = ["intercept", *[f"numeric__{x}" for x in sets[m]], *[f"categorical__{category}_{levels[i]}" for i in made[t].seen]]
+        named += [(m, t, name, float(v)) for name, v in zip(features, b, strict=True)]
+    return {"predictions": predictions, "coefficients": spark.createDataFrame(named, "model string, test_year int, feature string, coefficient double")}

@@ -9,30 +9,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronopanel.functions.scalar import count_of, first_match, gap_category, gap_ordinal, normalised
-from chronopanel.sources.contract import ALIASES, find_column
+from chronopanel.functions.scalar import count_of, first_match, flag_of, gap_category, gap_ordinal, normalised
+from chronopanel.sources.contract import ContractError, resolved
+
+RESPONSES = ("landslide_count", "active", "shallow_count", "shallow_active")
 
 
 def derive_response(panel: DataFrame, events: DataFrame | None = None) -> DataFrame:
-    """Counts and activity of both responses, all as doubles and 0/1 integers.
+    """Counts of both responses as doubles, and activity as 0/1 integers.
 
-    A count column gives the response; without one, events are counted; an activity flag alone is its own count.
+    The total comes from a count column, else from the events where there are any, else from an activity flag (1 where it is
+    above 0). The shallow response comes from its count column or flag, else from the events of type shallow. Without a source a response raises.
     """
-    own = {name: find_column(panel.columns, ALIASES[name], name, required=False) for name in ("landslide_count", "active", "shallow_count", "shallow_active")}
-    if events is not None and (own["landslide_count"] is None or (own["shallow_count"] is None and own["shallow_active"] is None)):
-        kind = find_column(events.columns, ALIASES["landslide_type"], "landslide_type", required=False)
-        shallow = F.count_if(normalised(F.col(kind)) == "shallow") if kind else F.lit(0)
-        counted = events.where(F.col("su_id").isNotNull() & F.col("year").isNotNull()).groupBy("su_id", "year").agg(F.count("*").alias("_n"), shallow.alias("_shallow"))
+    own = resolved(panel.columns, RESPONSES)
+    total, shallow = (own.get("landslide_count"), None if events is not None else own.get("active")), (own.get("shallow_count"), own.get("shallow_active"))
+    derived = {"_n": not any(total), "_shallow": not any(shallow)}
+    if any(derived.values()):
+        if events is None:
+            raise ContractError(f"no {'overall' if derived['_n'] else 'shallow'} response: neither a column of the panel nor events")
+        kind = resolved(events.columns, ["landslide_type"]).get("landslide_type")
+        if derived["_shallow"] and kind is None:
+            raise ContractError("no shallow response: the panel has no column for it and the events no type")
+        some = {"_n": F.count("*"), "_shallow": F.count_if(normalised(F.col(f"`{kind}`")) == "shallow") if kind else F.lit(0)}
+        counted = events.where(F.col("su_id").isNotNull() & F.col("year").isNotNull()).groupBy("su_id", "year").agg(*[some[k].alias(k) for k, wanted in derived.items() if wanted])
         panel = panel.join(counted, ["su_id", "year"], "left")
-        if own["landslide_count"] is None:
-            own["landslide_count"] = "_n"
-        if own["shallow_count"] is None and own["shallow_active"] is None:
-            own["shallow_count"] = "_shallow"
-    zero = F.lit("0")
-    total = count_of(F.col(own["landslide_count"])) if own["landslide_count"] else count_of(F.col(own["active"]) if own["active"] else zero)
-    shallow = count_of(F.col(own["shallow_count"])) if own["shallow_count"] else count_of(F.col(own["shallow_active"]) if own["shallow_active"] else zero)
-    rest = [c for c in panel.columns if c not in {"su_id", "year", "_n", "_shallow", *own.values(), "landslide_count", "active", "shallow_count", "shallow_active"}]
-    out = panel.select("su_id", "year", *rest, total.alias("landslide_count"), shallow.alias("shallow_count"))
+    source = lambda count, flag, name: count_of(F.col(f"`{count}`")) if count else flag_of(F.col(f"`{flag}`")) if flag else count_of(F.col(name))
+    rest = [F.col(f"`{c}`") for c in panel.columns if c not in {"su_id", "year", "_n", "_shallow", *own.values(), *RESPONSES}]
+    out = panel.select("su_id", "year", *rest, source(*total, "_n").alias("landslide_count"), source(*shallow, "_shallow").alias("shallow_count"))
     return out.withColumns({"active": (F.col("landslide_count") > 0).cast("int"), "shallow_active": (F.col("shallow_count") > 0).cast("int")})
 
 
@@ -55,7 +58,7 @@ def build_history(panel: DataFrame, missing_years: list[int]) -> DataFrame:
     active, before, k = F.col("active") == 1, F.col("prior_failure") == 1, F.col("prior_active_years")
     first_year = F.col("year") == F.min("year").over(Window.partitionBy("su_id").orderBy("year").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     return df.withColumns({
-        "previously_active_state": F.when(before, "previously_active").otherwise("not_previously_active"),
+        "previously_active_state": F.when(before, "previously_active").otherwise("never_previously_active"),
         "activity_class": first_match([(active & first_year, "active_history_unknown"), (active & ~before, "first_observed_activation"), (active & before, "recurrent_activity")], "inactive"),
         "recurrence_stage": first_match([(k == 1, "1_prior_active_year"), (k == 2, "2_prior_active_years"), (k >= 3, "3plus_prior_active_years")]),
         "prior_active_years_log1p": F.log1p("prior_active_years"),
@@ -88,7 +91,7 @@ def year_audit(history: DataFrame) -> DataFrame:
 def exclusion_audit(history: DataFrame) -> DataFrame:
     """Per analysis and year: rows, those before any event, those whose history crosses a gap, and those retained."""
     out = None
-    for analysis, p in (("all_landslides", ""), ("shallow_landslides", "shallow_")):
+    for analysis, p in (("recurrence", ""), ("rainfall_history", "shallow_")):
         first = F.count_if(F.col(f"prior_{p}failure") == 0)
         crossing = F.count_if((F.col(f"prior_{p}failure") == 1) & (F.col(f"{p}history_crosses_missing_gap") == 1))
         one = history.groupBy("year").agg(F.count("*").alias("slope_unit_years"), first.alias("pre_first_excluded"), crossing.alias("gap_crossing_excluded_from_risk"))
@@ -97,9 +100,14 @@ def exclusion_audit(history: DataFrame) -> DataFrame:
     return out
 
 
-def exclusion_summary(audit: DataFrame) -> DataFrame:
-    """Sums of an exclusion audit by analysis."""
-    return audit.groupBy("analysis").agg(*[F.sum(c).cast("long").alias(c) for c in ("slope_unit_years", "pre_first_excluded", "gap_crossing_excluded_from_risk", "retained_risk_rows")])
+def exclusion_summary(audit: DataFrame, prediction: DataFrame | None = None) -> DataFrame:
+    """Sums of an exclusion audit by analysis, and those of the prediction's exclusions (:func:`audit.prediction_exclusions`) as one more row."""
+    whole = lambda c, name: F.sum(c).cast("long").alias(name)
+    out = audit.groupBy("analysis").agg(whole("slope_unit_years", "potential_slope_unit_years"), whole("pre_first_excluded", "pre_first_excluded"), whole("gap_crossing_excluded_from_risk", "gap_crossing_excluded"), whole("retained_risk_rows", "retained_risk_rows"))
+    if prediction is None:
+        return out
+    sums = prediction.agg(whole("potential_slope_unit_years", "potential_slope_unit_years"), F.lit(None).cast("long").alias("pre_first_excluded"), whole("excluded_history_crosses_gap", "gap_crossing_excluded"), whole("retained_prediction_rows", "retained_risk_rows"))
+    return out.unionByName(sums.withColumn("analysis", F.lit("forward_prediction_test_set")))
 
 
 def activity_matrix(history: DataFrame, years: list[int]) -> DataFrame:

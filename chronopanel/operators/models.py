@@ -6,7 +6,6 @@ Sums over rows are taken where the rows are; the driver only sees matrices whose
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -20,21 +19,21 @@ from chronopanel.functions.scalar import Z95, chi2_tail, expit, logit, normal_tw
 
 #: Rows that the mixed model's fit may gather.
 MOST_MIXED_ROWS = 2_000_000
+#: Levels that a category may have as terms of a fit.
+MOST_LEVELS = 500
 
 
-def indicators(column: str, levels: list[str], prefix: str) -> dict[str, Column]:
-    """0/1 columns for levels; the reference level is the one that isn't listed."""
-    return {f"{prefix}{x}": F.coalesce(F.col(column) == x, F.lit(False)).cast("double") for x in levels}
-
-
-def levels_of(frame: DataFrame, column: str) -> list[str]:
-    return [r[0] for r in frame.select(column).where(F.col(column).isNotNull()).distinct().orderBy(column).collect()]
+def levels_of(frame: DataFrame, *columns: str, most: int = MOST_LEVELS) -> list[list[str]]:
+    """The distinct levels of each column in their order, as text. A level is a term of the fit, so more than ``most`` raise."""
+    row = frame.agg(*[F.array_sort(F.collect_set(F.col(c).cast("string"))).alias(c) for c in columns]).first()
+    if many := [c for c in columns if len(row[c]) > most]:
+        raise ValueError(f"more than {most} levels in {', '.join(many)}")
+    return [list(row[c]) for c in columns]
 
 
-def expanding_folds(frame: DataFrame, test_years: list[int], year: str = "year") -> Iterator[tuple[int, DataFrame, DataFrame]]:
-    """(test year, rows before it, rows of it)."""
-    for t in test_years:
-        yield t, frame.where(F.col(year) < t), frame.where(F.col(year) == t)
+def marks(column: str, levels: list[str], prefix: str) -> dict[str, Column]:
+    """0/1 columns for levels; the reference level is the one that isn't listed."""
+    return {f"{prefix}{x}": F.coalesce(F.col(column).cast("string") == x, F.lit(False)).cast("double") for x in levels}
 
 
 @dataclass
@@ -49,107 +48,161 @@ class Fit:
     covariance: np.ndarray = field(default_factory=lambda: np.empty(0))
 
 
-def binomial(frame: DataFrame, terms: list[str], label: str = "active", most: int = 50, tolerance: float = 1e-10, penalty: np.ndarray | None = None) -> Fit:
-    """Maximum likelihood by Newton steps: a pass over the rows each, of which every partition sends one matrix.
+def term(name: str) -> Column:
+    """The column of a term, whatever characters its name has."""
+    return F.col("`" + name.replace("`", "``") + "`")
 
-    penalty adds half of it times the square of each coefficient to the loss.
-    """
-    k = len(terms)
-    rows = frame.select(*[F.col(t).cast("double").alias(f"x{i}") for i, t in enumerate(terms)], F.col(label).cast("double").alias("y")).persist()
-    beta, step = np.zeros(k), math.inf
 
-    def part(batches, beta):
-        gradient, information, n = np.zeros(k), np.zeros((k, k)), 0
+def _matrix(batch: pa.RecordBatch, k: int) -> np.ndarray:
+    return np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(k)], 1).astype(float)
+
+
+def _expit(x: np.ndarray) -> np.ndarray:
+    return 0.5 * (1 + np.tanh(0.5 * x))
+
+
+def _numbers(frame: DataFrame, *columns: str) -> DataFrame:
+    return frame.select(*[term(c).cast("double").alias(f"x{i}") for i, c in enumerate(columns)])
+
+
+def _summed(rows: DataFrame, part) -> np.ndarray:
+    """The sum over partitions of the one vector that ``part`` makes of each one's batches; added up by tasks before the driver adds the last few."""
+    def vector(v: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([np.asarray(v).tolist()], pa.list_(pa.float64()))], ["v"])
+
+    def run(batches):
+        yield vector(part(batches))
+
+    def add(batches):
+        total = None
         for batch in batches:
-            table = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(k + 1)], 1)
-            x, y = table[:, :k], table[:, k]
-            p = 1 / (1 + np.exp(-x @ beta))
-            gradient += x.T @ (y - p)
-            information += (x * (p * (1 - p))[:, None]).T @ x
-            n += len(y)
-        yield pa.RecordBatch.from_arrays([pa.array([gradient.tolist()]), pa.array([information.ravel().tolist()]), pa.array([n])], ["g", "h", "n"])
+            for v in batch.column("v").to_pylist():
+                total = np.array(v) if total is None else total + v
+        if total is not None:
+            yield vector(total)
+
+    made = rows.mapInArrow(run, "v array<double>").repartition(8).mapInArrow(add, "v array<double>").collect()
+    return np.sum([r["v"] for r in made], axis=0)
+
+
+def newton_sums(x: np.ndarray, y: np.ndarray, beta: np.ndarray) -> np.ndarray:
+    """Gradient, information, deviance and number of rows, as one vector."""
+    eta = x @ beta
+    p = _expit(eta)
+    deviance = 2 * (np.logaddexp(0, eta) - y * eta).sum()
+    return np.concatenate([x.T @ (y - p), ((x * (p * (1 - p))[:, None]).T @ x).ravel(), [deviance, len(y)]])
+
+
+def newton_step(sums: np.ndarray, beta: np.ndarray, penalty: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, float]:
+    """The next coefficients, the information at the present ones, and the (penalised) deviance there."""
+    k = len(beta)
+    gradient, information, deviance = sums[:k], sums[k : k + k * k].reshape(k, k), sums[-2]
+    if penalty is not None:
+        gradient, information, deviance = gradient - penalty * beta, information + np.diag(penalty), deviance + penalty @ (beta * beta)
+    return beta + np.linalg.pinv(information, hermitian=True) @ gradient, information, float(deviance)
+
+
+def binomial(frame: DataFrame, terms: list[str], label: str = "active", most: int = 100, tolerance: float = 1e-8) -> Fit:
+    """Maximum likelihood by Newton steps: a pass over the rows each, of which every partition sends one matrix.
 
+    It ends when the deviance changes by less than the tolerance, so a level whose rows are all alike ends too.
+    """
+    k = len(terms)
+    rows = _numbers(frame, *terms, label).persist()
+    beta, before = np.zeros(k), math.inf
     try:
-        for i in range(most):  # noqa: B007
-            sums = rows.mapInArrow(lambda b, beta=beta: part(b, beta), "g array<double>, h array<double>, n long").collect()
-            gradient, information = sum(np.array(r["g"]) for r in sums), sum(np.array(r["h"]) for r in sums).reshape(k, k)
-            n = sum(r["n"] for r in sums)
-            if penalty is not None:
-                gradient, information = gradient - penalty * beta, information + np.diag(penalty)
-            move = np.linalg.solve(information, gradient)
-            beta = beta + move
-            step = np.abs(move).max()
-            if step < tolerance:
-                break
-        else:
-            raise ArithmeticError("the fit doesn't converge")
+        for i in range(most):
+            def part(batches, beta=beta):
+                sums = np.zeros(k + k * k + 2)
+                for batch in batches:
+                    table = _matrix(batch, k + 1)
+                    sums += newton_sums(table[:, :k], table[:, k], beta)
+                return sums
+
+            sums = _summed(rows, part)
+            moved, information, deviance = newton_step(sums, beta)
+            if abs(before - deviance) < tolerance + 1e-12 * deviance:
+                return Fit(terms, moved, np.linalg.pinv(information, hermitian=True), int(sums[-1]), i)
+            beta, before = moved, deviance
     finally:
         rows.unpersist()
-    return Fit(terms, beta, np.linalg.inv(information), n, i + 1)
+    raise ArithmeticError("the fit doesn't converge")
 
 
 def linear(terms: list[str], beta: np.ndarray) -> Column:
-    return reduce(lambda a, b: a + b, [F.col(t) * float(v) for t, v in zip(terms, beta, strict=True)])
-
-
-def penalised_logit(train: DataFrame, test: DataFrame, features: list[str], label: str = "active", c: float = 1.0) -> tuple[DataFrame, dict[str, float]]:
-    """Test rows with predicted_probability, and coefficients, of a logistic fit with an L2 penalty of 1/C that spares the intercept."""
-    terms = ["_one", *features]
-    fit = binomial(train.withColumn("_one", F.lit(1.0)), terms, label, penalty=np.array([0.0, *[1 / c] * len(features)]))
-    scored = test.withColumn("_one", F.lit(1.0)).withColumn("predicted_probability", expit(linear(terms, fit.beta))).drop("_one")
-    return scored, {"intercept": float(fit.beta[0]), **dict(zip(features, map(float, fit.beta[1:]), strict=True))}
+    return reduce(lambda a, b: a + b, [term(t) * float(v) for t, v in zip(terms, beta, strict=True)])
 
 
 def cluster_meat(frame: DataFrame, fit: Fit, clusters: list[str], label: str = "active") -> tuple[np.ndarray, int]:
     """The sum over clusters of the outer products of their scores, and their number."""
-    residual = F.col(label) - expit(linear(fit.terms, fit.beta))
     k = len(fit.terms)
-    sums = frame.groupBy(*clusters).agg(*[F.sum(residual * F.col(t)).alias(f"s{i}") for i, t in enumerate(fit.terms)])
-    row = sums.agg(F.count("*").alias("g"), *[F.sum(F.col(f"s{i}") * F.col(f"s{j}")).alias(f"m{i}_{j}") for i in range(k) for j in range(i, k)]).first()
-    out = np.zeros((k, k))
-    for i in range(k):
-        for j in range(i, k):
-            out[i, j] = out[j, i] = row[f"m{i}_{j}"]
-    return out, row["g"]
-
-
-def two_way_covariance(frame: DataFrame, fit: Fit, first: str, second: str, label: str = "active") -> np.ndarray:
-    """Inclusion and exclusion over clusters of either kind and of both, each with its small-sample factor."""
-    k, out = len(fit.terms), 0
+    residual = F.col(label) - expit(linear(fit.terms, fit.beta))
+    own = frame.select(*clusters, residual.alias("_r"), *[term(t).cast("double").alias(f"x{i}") for i, t in enumerate(fit.terms)])
+    scores = own.groupBy(*clusters).agg(*[F.sum(F.col("_r") * F.col(f"x{i}")).alias(f"x{i}") for i in range(k)]).drop(*clusters)
+
+    def part(batches):
+        sums = np.zeros(k * k + 1)
+        for batch in batches:
+            x = _matrix(batch, k)
+            sums[:-1] += (x.T @ x).ravel()
+            sums[-1] += len(x)
+        return sums
+
+    sums = _summed(scores, part)
+    return sums[:-1].reshape(k, k), int(sums[-1])
+
+
+def two_way_covariance(frame: DataFrame, fit: Fit, first: str, second: str, label: str = "active", correction: bool = True) -> tuple[int, int]:
+    """Sets the fit's covariance: inclusion and exclusion over clusters of either kind and of both, each with its small-sample factor. Returns the numbers of clusters."""
+    k, out, sizes = len(fit.terms), 0, []
     for clusters, sign in (([first], 1), ([second], 1), ([first, second], -1)):
         meat, g = cluster_meat(frame, fit, clusters, label)
-        out = out + sign * g / (g - 1) * (fit.n - 1) / (fit.n - k) * fit.bread @ meat @ fit.bread
+        factor = g / (g - 1) * (fit.n - 1) / (fit.n - k) if correction else 1.0
+        out = out + sign * factor * fit.bread @ meat @ fit.bread
+        sizes.append(g)
     fit.covariance = out
-    return out
+    return sizes[0], sizes[1]
 
 
 def joint_test(fit: Fit, terms: list[str]) -> tuple[float, int, float]:
-    """Wald statistic, degrees of freedom and p-value that all of an even number of terms are 0."""
+    """Wald statistic, degrees of freedom and p-value that all of these terms are 0."""
     at = [fit.terms.index(t) for t in terms]
     b, v = fit.beta[at], fit.covariance[np.ix_(at, at)]
     w = float(b @ np.linalg.pinv(v) @ b)
     return w, len(at), chi2_tail(w, len(at))
 
 
-def marginal_effects(frame: DataFrame, fit: Fit, states: dict[str, dict[str, Column]], steps: dict[str, Column] | None = None) -> dict[str, tuple[float, np.ndarray]]:
-    """(effect, gradient) of each state: the mean change of the probability when ``steps`` replace columns, all rows set to the state.
+def marginal_effects(frame: DataFrame, fit: Fit, states: dict[str, dict[str, float]], moved: str, step: float = 1.0) -> dict[str, tuple[float, np.ndarray]]:
+    """(effect, gradient) of each state: the mean change of the probability when ``moved`` grows by ``step``, all rows set to the state.
 
-    states and steps map term names to expressions over the frame. One aggregate over the rows for all states.
+    A state gives values to terms; a term ``a:b`` is made anew of a and b. One pass over the rows for all states; every partition sends its sums.
     """
-    outputs = []
-    for i, state in enumerate(states.values()):
-        base = {t: state.get(t, F.col(t)) for t in fit.terms}
-        moved = {**base, **{k: v for k, v in (steps or {}).items() if k in base}}
-        for t in fit.terms:  # interactions follow what they are made of
-            for name, made in (("base", base), ("moved", moved)):
-                if ":" in t and t not in state:
-                    a, b = t.split(":")
-                    (base if name == "base" else moved)[t] = made[a] * made[b]
-        p = {name: expit(reduce(lambda a, b: a + b, [own[t] * float(v) for t, v in zip(fit.terms, fit.beta, strict=True)])) for name, own in (("base", base), ("moved", moved))}
-        outputs.append(F.avg(p["moved"] - p["base"]).alias(f"e{i}"))
-        outputs += [F.avg(p["moved"] * (1 - p["moved"]) * moved[t] - p["base"] * (1 - p["base"]) * base[t]).alias(f"g{i}_{j}") for j, t in enumerate(fit.terms)]
-    row = frame.agg(*outputs).first()
-    return {name: (row[f"e{i}"], np.array([row[f"g{i}_{j}"] for j in range(len(fit.terms))])) for i, name in enumerate(states)}
+    k, place = len(fit.terms), {t: i for i, t in enumerate(fit.terms)}
+    products = [(i, place[a], place[b]) for t, i in place.items() for a, _, b in [t.partition(":")] if a in place and b in place]
+    settings = [[(place[t], v) for t, v in state.items()] for state in states.values()]
+    beta, at = fit.beta, place[moved]
+
+    def part(batches):
+        sums = np.zeros(len(settings) * (k + 1) + 1)
+        for batch in batches:
+            table = _matrix(batch, k)
+            sums[-1] += len(table)
+            for i, setting in enumerate(settings):
+                for sign, more in ((-1, 0.0), (1, step)):
+                    x = table.copy()
+                    for j, v in setting:
+                        x[:, j] = v
+                    x[:, at] += more
+                    for j, a, b in products:
+                        x[:, j] = x[:, a] * x[:, b]
+                    p = _expit(x @ beta)
+                    sums[i * (k + 1)] += sign * p.sum()
+                    sums[i * (k + 1) + 1 : (i + 1) * (k + 1)] += sign * (p * (1 - p)) @ x
+        return sums
+
+    sums = _summed(_numbers(frame, *fit.terms), part)
+    means = (sums[:-1] / sums[-1]).reshape(len(settings), k + 1)
+    return {name: (float(m[0]), m[1:]) for name, m in zip(states, means, strict=True)}
 
 
 def effect_rows(fit: Fit, effects: dict[str, tuple[float, np.ndarray]], reference: str) -> tuple[list[tuple], list[tuple]]:
@@ -162,34 +215,68 @@ def effect_rows(fit: Fit, effects: dict[str, tuple[float, np.ndarray]], referenc
     return [row(k, e, g) for k, (e, g) in effects.items()], [row(k, e - base, g - base_gradient) for k, (e, g) in effects.items() if k != reference]
 
 
-def calibration_line(predictions: DataFrame, by: dict) -> tuple[float, float]:
-    """Intercept and slope of an unpenalised logistic fit of the outcome on the log odds of the prediction."""
-    own = predictions
-    for k, v in by.items():
-        own = own.where(F.col(k) == v)
-    fit = binomial(own.select(F.lit(1.0).alias("one"), logit(F.col("predicted_probability")).alias("z"), F.col("observed").alias("active")), ["one", "z"])
-    return float(fit.beta[0]), float(fit.beta[1])
+def calibration_lines(predictions: DataFrame, by: list[str]) -> DataFrame:
+    """(by…, calibration_intercept, calibration_slope): an unpenalised logistic fit of the outcome on the log odds of the prediction, for each group.
+
+    All groups take their Newton steps together, each step one aggregate over the rows. A group whose fit has no finite
+    optimum, or no spread, has nulls. The number of groups (models, or models by year) is small.
+    """
+    z, y = F.col("z"), F.col("observed").cast("double")
+    rows = predictions.select(*by, logit(F.col("predicted_probability")).alias("z"), "observed").persist()
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name in by)
+    known: dict[tuple, tuple] = {}
+    open_ = {tuple(r): (0.0, 1.0) for r in rows.select(*by).distinct().collect()}
+    try:
+        for _ in range(50):
+            if not open_:
+                break
+            at = predictions.sparkSession.createDataFrame([(*k, *b) for k, b in open_.items()], f"{schema}, a double, b double")
+            p = expit(F.col("a") + F.col("b") * z)
+            w = p * (1 - p)
+            sums = rows.join(F.broadcast(at), by).groupBy(*by).agg(F.sum(y - p).alias("g0"), F.sum((y - p) * z).alias("g1"), F.sum(w).alias("h0"), F.sum(w * z).alias("h1"), F.sum(w * z * z).alias("h2"))
+            for r in sums.collect():
+                key = tuple(r[c] for c in by)
+                a, b = open_[key]
+                d = r["h0"] * r["h2"] - r["h1"] ** 2
+                if not d > 1e-12 * r["h0"] * r["h2"] or not math.isfinite(d):
+                    known[key] = (None, None)
+                    continue
+                move = ((r["h2"] * r["g0"] - r["h1"] * r["g1"]) / d, (r["h0"] * r["g1"] - r["h1"] * r["g0"]) / d)
+                size = max(abs(x) for x in move)
+                cut = min(1.0, 5 / size) if size else 1.0
+                a, b = a + cut * move[0], b + cut * move[1]
+                if size < 1e-10:
+                    known[key] = (a, b)
+                else:
+                    open_[key] = (a, b)
+            open_ = {k: v for k, v in open_.items() if k not in known}
+    finally:
+        rows.unpersist()
+    out = [(*k, *v) for k, v in known.items()] + [(*k, None, None) for k in open_]
+    return predictions.sparkSession.createDataFrame(out, f"{schema}, calibration_intercept double, calibration_slope double")
 
 
 def variational_mixed_logit(frame: DataFrame, terms: list[str], unit: str = "su_id", label: str = "active", prior_log_sd: float = 0.5, prior_fixed: float = 2.0, most: int = 1500, tolerance: float = 1e-5, seed: int = 0) -> dict:
     """Mixed-effects logistic regression with a Gaussian intercept for each unit, by independent Gaussians that maximise the evidence bound.
 
     Coefficients, the log of the units' deviation, and the units' effects have means and log deviations; expectations are by
-    quadrature. Rows are gathered: their number is bounded by MOST_MIXED_ROWS, which is checked.
+    quadrature. Columns are centred and scaled for the fit; means and deviations are then divided by the scales, while the
+    intercept stays that of centred columns. Rows are gathered: their number is bounded by MOST_MIXED_ROWS, which is checked.
     """
     if (n := frame.count()) > MOST_MIXED_ROWS:
         raise ValueError(f"{n} rows; the mixed model takes {MOST_MIXED_ROWS} at most")
-    data = frame.select(unit, F.col(label).cast("double").alias("_y"), *terms).orderBy(unit).toPandas()
+    data = frame.select(unit, F.col(label).cast("double").alias("_y"), *map(term, terms)).orderBy(unit, "_y", *map(term, terms)).toPandas()
     x, y = data[terms].to_numpy(float), data["_y"].to_numpy()
     names, group = np.unique(data[unit].to_numpy(), return_inverse=True)
     k, m = len(terms), len(names)
-    scale = np.where(x.std(0) > 0, x.std(0), 1.0)
-    xs = x / scale
+    varied = x.std(0) > 1e-8
+    scale = np.where(varied, x.std(0), 1.0)
+    xs = (x - np.where(varied, x.mean(0), 0.0)) / scale
     nodes, weights = np.polynomial.hermite_e.hermegauss(15)
     weights = weights / weights.sum()
     rng = np.random.default_rng(seed)
     theta = np.concatenate([rng.normal(0, 0.01, k), [-0.5], np.zeros(m), np.full(k, -1.0), [-1.0], np.full(m, -0.5)])
-    fixed_sd = prior_fixed * scale
+    fixed_sd = np.full(k, prior_fixed)
 
     def bound(theta: np.ndarray) -> tuple[float, np.ndarray]:
         b, s, u = theta[:k], theta[k], theta[k + 1 : k + 1 + m]
@@ -198,7 +285,7 @@ def variational_mixed_logit(frame: DataFrame, terms: list[str], unit: str = "su_
         mean, var = xs @ b + u[group], (xs * xs) @ vb + vu[group]
         sd = np.sqrt(var)
         eta = mean[:, None] + sd[:, None] * nodes
-        p = 1 / (1 + np.exp(-eta))
+        p = _expit(eta)
         value = float(y @ mean - (np.logaddexp(0, eta) @ weights).sum())
         d_mean = y - p @ weights
         d_var = -0.5 * ((p * (1 - p)) @ weights)
@@ -217,8 +304,10 @@ def variational_mixed_logit(frame: DataFrame, terms: list[str], unit: str = "su_
     value, gradient = bound(theta)
     history: list[tuple[np.ndarray, np.ndarray]] = []
     evaluations = 1
+    message = "iterations exhausted"
     for iteration in range(most):  # noqa: B007
-        if np.abs(gradient).max() < tolerance * max(1.0, n):
+        if np.abs(gradient).max() < tolerance:
+            message = "gradient below its tolerance"
             break
         direction, kept = gradient.copy(), []
         for s_, y_ in reversed(history):
@@ -239,15 +328,17 @@ def variational_mixed_logit(frame: DataFrame, terms: list[str], unit: str = "su_
                 break
             size /= 2
         else:
+            message = "no better point on the line"
             break
         s_, y_ = size * direction, gradient - moved_gradient
         if s_ @ y_ > 1e-12:
             history = [*history[-9:], (s_, y_)]
         gain, theta, value, gradient = moved - value, theta + size * direction, moved, moved_gradient
-        if gain < 1e-9 * abs(value):
+        if gain < 1e-9 * max(abs(value), 1.0):
+            message = "gain below its tolerance"
             break
     b, lb = theta[:k] / scale, np.exp(theta[k + 1 + m : 2 * k + 1 + m]) / scale
     return {
         "terms": terms, "log_odds_mean": b, "posterior_sd": lb, "odds_ratio": np.exp(b), "interval_low": np.exp(b - Z95 * lb), "interval_high": np.exp(b + Z95 * lb),
-        "random_sd": math.exp(theta[k]), "bound": value, "iterations": iteration + 1, "evaluations": evaluations, "units": m, "rows": n,
+        "random_sd": math.exp(theta[k]), "bound": value, "iterations": iteration + 1, "evaluations": evaluations, "success": message.endswith("tolerance"), "message": message, "units": m, "rows": n,
     }

@@ -1,4 +1,4 @@
-"""Tables for reports: dictionaries, indexes, presentation tables and the sources of figures."""
+"""Tables for reports: dictionaries, indexes, presentation tables, results, and the sources of figures."""
 
 from __future__ import annotations
 
@@ -7,25 +7,35 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronopanel.functions.scalar import GAP_CATEGORIES, gap_ordinal, labelled
+from chronopanel.functions.scalar import gap_ordinal, labelled
+from chronopanel.operators.effects import GAP_LABELS
 
-# How categories read in tables.
-GAP_LABELS = {"1_year": "1 year", "2_years": "2 years", "3_5_years": "3–5 years", "6_10_years": "6–10 years", "gt10_years": ">10 years"}
+# Units of the predictors.
+UNITS = {
+    "elev_min_m": "m", "elev_max_m": "m", "elev_std_m": "m", "elev_median_m": "m", "relief_m": "m", "slope_median_deg": "degrees", "slope_std_deg": "degrees", "slope_p90_deg": "degrees",
+    "twi_median": "dimensionless index", "tri_median": "m", "distance_stream_median_m": "m", "plan_curvature_median": "m^-1", "profile_curvature_median": "m^-1",
+    "northness_mean": "dimensionless (-1 to 1)", "eastness_mean": "dimensionless (-1 to 1)", "log_su_area": "log(m^2)",
+    "prior_failure": "binary (0/1)", "prior_active_years_log1p": "log(1 + active years)", "prior_landslide_count_log1p": "log(1 + landslide count)",
+}
 
 
-def predictor_dictionary(spark: SparkSession, static: list[str], history: list[str], rainfall: list[str], units: dict[str, str] | None = None) -> DataFrame:
+def predictor_dictionary(spark: SparkSession, static: list[str], category: str, history: list[str], lagged: list[str], in_rainfall: list[str]) -> DataFrame:
     """(variable, role, source, transformation, units) of every predictor of the forward models."""
-    units = units or {}
-    rows = [(v, "static", "terrain", "median imputed, standardised", units.get(v)) for v in static]
-    rows += [(v, "history", "history_panel", "log1p" if v.endswith("_log1p") else "as counted", units.get(v)) for v in history]
-    rows += [(f"{v}_lag1", "rainfall", "rainfall", "calendar year before, median imputed, standardised", units.get(v)) for v in rainfall]
+    rows = []
+    for v in static:
+        start = "natural logarithm of the area, then " if v == "log_su_area" else ""
+        also = "; z-score over the model's sample in rainfall models" if v in in_rainfall else ""
+        rows.append((v, "static numeric predictor", "slope_units" if v == "log_su_area" else "terrain", f"{start}z-score of the training fold in prediction{also}", UNITS.get(v)))
+    rows.append((category, "static categorical predictor", "parent_material", "source codes in prediction; harmonised in rainfall models only", "categorical class"))
+    rows += [(v, "pre-target history predictor", "history_panel", "from activity strictly before the target year", UNITS.get(v)) for v in history]
+    rows += [(f"{v}_lag1", "pre-season lagged rainfall predictor", "rainfall", "source year = target year - 1; imputed and scaled by the training fold", "mm") for v in lagged]
     return spark.createDataFrame(rows, "variable string, role string, source string, transformation string, units string")
 
 
 def supplement_index(wanted: DataFrame, made: DataFrame) -> DataFrame:
-    """wanted (item, file) with status: included where made (file) has it, not_generated elsewhere."""
+    """wanted (…, file) with status: included where made (file) has it, not_generated elsewhere."""
     there = made.select("file").distinct().withColumn("_there", F.lit(True))
-    return wanted.join(there, "file", "left").select("item", "file", F.when(F.col("_there"), "included").otherwise("not_generated").alias("status"))
+    return wanted.join(there, "file", "left").select(*wanted.columns, F.when(F.col("_there"), "included").otherwise("not_generated").alias("status"))
 
 
 def presentation(table: DataFrame, category: str, shares: list[str], decimals: int = 2) -> DataFrame:
@@ -35,6 +45,42 @@ def presentation(table: DataFrame, category: str, shares: list[str], decimals: i
     return out.orderBy("_order").drop("_order")
 
 
+def with_state(table: DataFrame, category: str) -> DataFrame:
+    """table with history_state, the label of its category, in their order."""
+    label = labelled(F.col(category), GAP_LABELS | {"overall": "Overall"})
+    return table.withColumn("history_state", label).orderBy(F.coalesce(gap_ordinal(F.col(category)), F.lit(0)))
+
+
+def support_table(support: DataFrame) -> DataFrame:
+    """Rows, active ones, units and rate in percent of each state."""
+    return with_state(support, "gap_time_category").select("history_state", "n", "active", "slope_units", (100 * F.col("rate")).alias("observed_rate_percent"))
+
+
+def focal_table(focal: DataFrame) -> DataFrame:
+    """Odds ratios and their intervals as text beside the numbers."""
+    shown = F.format_string("%.2f", "odds_ratio"), F.format_string("%.2f–%.2f", "interval_low", "interval_high")
+    return focal.select(F.col("display_term").alias("effect"), "log_odds_mean", "posterior_sd", "odds_ratio", "interval_low", "interval_high", shown[0].alias("odds_ratio_display"), shown[1].alias("approx_95_posterior_CI"))
+
+
+def effects_table(effects: DataFrame) -> DataFrame:
+    return effects.select("duration_days", "history_label", "AME_percentage_points", "CI95_low_percentage_points", "CI95_high_percentage_points", "p_AME", "n_rows_model", "n_SU_clusters", "n_grid_year_clusters")
+
+
+def contrasts_table(contrasts: DataFrame, multiplicity: DataFrame) -> DataFrame:
+    own = multiplicity.where("history_state <> 'all interactions'").select("duration_days", "history_state", "p_holm")
+    return contrasts.join(own, ["duration_days", "history_state"], "left").select("duration_days", "history_label", "AME_contrast_percentage_points", "CI95_low_percentage_points", "CI95_high_percentage_points", "p_contrast", "p_holm")
+
+
+def joint_table(joint: DataFrame, multiplicity: DataFrame) -> DataFrame:
+    return joint.join(multiplicity.where("history_state = 'all interactions'").select("duration_days", "p_holm"), "duration_days", "left")
+
+
+def performance_table(pooled: DataFrame, budget: DataFrame, fraction: float = 0.05) -> DataFrame:
+    """Pooled metrics of each model with what the top fraction of each year captures."""
+    top = budget.where(F.abs(F.col("top_fraction") - fraction) < 1e-9).select("model", "selected_rows", "captured_positives", F.col("positive_capture_rate").alias("top5_capture_rate"), F.col("precision_at_fraction").alias("top5_precision"))
+    return pooled.join(top, "model", "left")
+
+
 def heatmap(contrasts: DataFrame, row: str, column: str, value: str, columns: list[str]) -> DataFrame:
     """Contrasts pivoted, with marks: * where Holm's p is below 0.05, † where the interval leaves out 0."""
     mark = F.concat(F.when(F.coalesce(F.col("p_holm") < 0.05, F.lit(False)), "*").otherwise(""), F.when((F.col("low") > 0) | (F.col("high") < 0), "†").otherwise(""))
@@ -43,15 +89,22 @@ def heatmap(contrasts: DataFrame, row: str, column: str, value: str, columns: li
     return marked.groupBy(row).agg(*[x for c in columns for x in (pick(c, value).alias(c), pick(c, "_mark").alias(f"{c}_mark"))])
 
 
+def departures(summary: DataFrame) -> DataFrame:
+    """Observed statistics less the null's median and quantiles, times 100."""
+    less = lambda c: 100 * (F.col("observed") - F.col(c))
+    return summary.select("statistic", less("null_median").alias("departure"), less("null_q975").alias("departure_low"), less("null_q025").alias("departure_high"), "p_upper")
+
+
+def distance_reduction(summary: DataFrame) -> DataFrame:
+    """How much shorter observed distances are than the null's, in percent, with the null's interval about its median."""
+    share = lambda c: 100 * (1 - F.col(c) / F.col("null_median_m"))
+    return with_state(summary, "gap_model").select("gap_model", "history_state", "percent_shorter_than_null", share("null_CI_high_m").alias("null_low_percent"), share("null_CI_low_m").alias("null_high_percent"), "empirical_p_one_sided")
+
+
 def main_results(*parts: tuple[str, str, DataFrame]) -> DataFrame:
-    """(analysis, metric, estimate, lower, upper, p, units) of several tables (metric, estimate and whatever of the rest they have)."""
+    """(analysis, metric, estimate, lower, upper, p_value, units) of several tables (metric, estimate and whatever of the rest they have)."""
     out = []
     for analysis, units, df in parts:
         column = lambda c, df=df: F.col(c).cast("double") if c in df.columns else F.lit(None).cast("double")
-        out.append(df.select(F.lit(analysis).alias("analysis"), F.col("metric"), *[column(c).alias(c) for c in ("estimate", "lower", "upper", "p")], F.lit(units).alias("units")))
+        out.append(df.select(F.lit(analysis).alias("analysis"), F.col("metric"), *[column(c).alias(c) for c in ("estimate", "lower", "upper", "p_value")], F.lit(units).alias("units")))
     return reduce(DataFrame.unionByName, out)
-
-
-def all_categories(spark: SparkSession) -> DataFrame:
-    """(gap_time_category, place, label), as a table to join counts to."""
-    return spark.createDataFrame([(c, i, GAP_LABELS[c]) for i, (c, _) in enumerate(GAP_CATEGORIES, 1)], "gap_time_category string, place int, label string")

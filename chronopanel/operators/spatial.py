@@ -1,7 +1,7 @@
 """Locations of events: grid keys, one event a location, nearest earlier locations, and permutations of their years.
 
-Pairs of locations within a unit don't depend on the permutation, so distances are taken once and label orders are joined to
-them; permutations are a column, not a loop.
+No row is made for a pair of locations: a task holds a unit's locations (MOST_LOCATIONS at most, which is checked) and searches for
+a slice of them; slices of one unit are dealt to many tasks. Permutations are a column, not a loop.
 """
 
 from __future__ import annotations
@@ -14,8 +14,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronopanel.functions.scalar import GAP_CATEGORIES, gap_category, quantised
+from chronopanel.operators.ordered import prefix_sums, quantiles, text_order
 
 BLOCK, PAIRS = 200, 2_000_000
+#: Locations of one unit that a task may hold, and those it searches for.
+MOST_LOCATIONS, SLICE = 5_000_000, 4096
 
 
 def clean_events(events: DataFrame, observed: list[int]) -> DataFrame:
@@ -38,23 +41,54 @@ def fixed_locations(events: DataFrame) -> DataFrame:
     return events.groupBy("su_id", "x_key", "y_key").agg(first.alias("f")).select("su_id", "x_key", "y_key", "f.year", "f.source_event_index", "f.x_m", "f.y_m")
 
 
-def pair_distances(locations: DataFrame) -> DataFrame:
-    """(su_id, i, j, distance): all ordered pairs of different locations of a unit, by slot."""
-    b = locations.select("su_id", F.col("slot").alias("j"), F.col("x_m").alias("x2"), F.col("y_m").alias("y2"))
-    pairs = locations.select("su_id", F.col("slot").alias("i"), "x_m", "y_m").join(b, "su_id").where("i <> j")
-    return pairs.select("su_id", "i", "j", F.hypot(F.col("x_m") - F.col("x2"), F.col("y_m") - F.col("y2")).alias("distance"))
+def event_identity(events: DataFrame) -> DataFrame:
+    """events with source_event_index: that of the table or its row number (fid) where it has one, else a hash of the row, with a count among equal rows.
+
+    It doesn't depend on partitions. All of a row's columns are hashed, so rows alike in it are alike altogether.
+    """
+    if given := next((c for c in events.columns if c.lower() in ("source_event_index", "fid")), None):
+        return events.withColumn("source_event_index", F.col(given).cast("string"))
+    row = F.sha2(F.to_json(F.struct(*sorted(events.columns)), {"ignoreNullFields": "false"}), 256)
+    same = Window.partitionBy("_row").orderBy(F.lit(0))
+    numbered = events.withColumn("_row", row).withColumn("_n", F.row_number().over(same))
+    return numbered.withColumn("source_event_index", F.concat_ws("-", "_row", "_n")).drop("_row", "_n")
 
 
-def nearest_prior(labels: DataFrame, distances: DataFrame, missing_years: list[int], by: list[str] | None = None) -> DataFrame:
+def nearest_prior(labels: DataFrame, missing_years: list[int], by: list[str] | None = None) -> DataFrame:
     """(by…, su_id, slot, target_year, last_prior_year, gap_years, gap_model, nearest_prior_distance_m).
 
-    labels has (by…, su_id, slot, year). The last earlier year of the unit sets the gap, and rows whose gap holds a missing
+    labels has (by…, su_id, slot, year, x_m, y_m). The last earlier year of the unit sets the gap, and rows whose gap holds a missing
     year are left out; the distance is the least to any earlier location, those before a gap too.
     """
     by = by or []
-    other = labels.select(*by, "su_id", F.col("slot").alias("j"), F.col("year").alias("year_b"))
-    joined = distances.join(labels.withColumnRenamed("slot", "i"), ["su_id", "i"]).join(other, [*by, "su_id", "j"]).where("year_b < year")
-    found = joined.groupBy(*by, "su_id", F.col("i").alias("slot"), F.col("year").alias("target_year")).agg(F.max("year_b").alias("last_prior_year"), F.min("distance").alias("nearest_prior_distance_m"))
+    group = [*by, "su_id"]
+    rows = labels.select(*group, "slot", F.col("year").cast("int").alias("year"), "x_m", "y_m")
+    sizes = rows.groupBy(*group).agg(F.count("*").alias("n"))
+    checked = F.when(F.col("n") > MOST_LOCATIONS, F.raise_error(F.lit(f"a unit of more than {MOST_LOCATIONS} locations")).cast("long")).otherwise(F.ceil(F.col("n") / SLICE))
+    dealt = rows.join(sizes.withColumn("slices", checked.cast("int")).drop("n"), group)
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("slot"), "slices").cast("int")).withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).drop("slices")
+    fields = {f.name: f.dataType.simpleString() for f in labels.schema.fields}
+
+    def run(key, frame):
+        frame = frame.sort_values(["year", "slot"])
+        years, x, y = (frame[c].to_numpy() for c in ("year", "x_m", "y_m"))
+        asked = np.flatnonzero((frame["own"] == frame["slice"]).to_numpy() & (years > years[0]))
+        found = np.empty(len(asked))
+        step = max(1, PAIRS // len(years))
+        for at in range(0, len(asked), step):
+            own = asked[at : at + step]
+            before = np.searchsorted(years, years[own])  # rows are in the order of years: earlier ones come first
+            end = int(before.max())
+            distance = np.hypot(x[own, None] - x[:end], y[own, None] - y[:end])
+            found[at : at + step] = np.where(np.arange(end) < before[:, None], distance, np.inf).min(1)
+        last = years[np.searchsorted(years, years[asked]) - 1]
+        out = pd.DataFrame({"slot": frame["slot"].to_numpy()[asked], "target_year": years[asked], "last_prior_year": last, "nearest_prior_distance_m": found})
+        for i, c in enumerate(group):
+            out.insert(i, c, key[i])
+        return out
+
+    schema = ", ".join([*[f"{c} {fields[c]}" for c in group], f"slot {fields['slot']}", "target_year int, last_prior_year int, nearest_prior_distance_m double"])
+    found = dealt.groupBy(*group, "slice").applyInPandas(run, schema)
     return _gaps(found, missing_years)
 
 
@@ -65,47 +99,62 @@ def _gaps(found: DataFrame, missing_years: list[int]) -> DataFrame:
 
 
 def distance_summary(distances: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Number and exact median of distances, overall and for each of the five categories, which are all there."""
+    """Number and exact median of distances, overall and for each of the five categories, which are all there.
+
+    Without ``by`` a group may be all rows, and its median comes of slices; with it (permutations) a group has a row for each location at most.
+    """
     by = by or []
     each = distances.withColumn("gap_model", F.explode(F.array(F.lit("overall"), F.col("gap_model"))))
-    found = each.groupBy(*by, "gap_model").agg(F.count("*").alias("n"), F.median("nearest_prior_distance_m").alias("median_distance_m"))
+    if by:
+        found = each.groupBy(*by, "gap_model").agg(F.count("*").alias("n"), F.median("nearest_prior_distance_m").alias("median_distance_m"))
+    else:
+        middle = quantiles(each, ["gap_model"], "nearest_prior_distance_m", [0.5]).select("gap_model", F.col("quantiles")[0].alias("median_distance_m"))
+        found = each.groupBy("gap_model").agg(F.count("*").alias("n")).join(middle, "gap_model")
     names = F.explode(F.array(*[F.lit(x) for x in ("overall", *[c for c, _ in GAP_CATEGORIES])])).alias("gap_model")
     everything = distances.select(*by).distinct().select(*by, names) if by else distances.sparkSession.range(1).select(names)
     return everything.join(found, [*by, "gap_model"], "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("long"))
 
 
 def permuted_years(locations: DataFrame, permutations: int, seed: int, scope: str = "within_slope_unit", first: int = 0) -> DataFrame:
-    """(perm, su_id, slot, year): years dealt anew to the locations, within units or over all of them, in the order of a seeded hash."""
+    """(perm, su_id, slot, year, x_m, y_m): years dealt anew to the locations, within units or over all of them (global), in the order of a seeded hash."""
     perms = locations.sparkSession.range(first, first + permutations).select(F.col("id").cast("int").alias("perm"))
-    within = ["perm", "su_id"] if scope == "within_slope_unit" else ["perm"]
-    rows = locations.select("su_id", "slot", "year").join(F.broadcast(perms))
+    rows = locations.select("su_id", "slot", "year", "x_m", "y_m").join(F.broadcast(perms))
     key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("perm").cast("string"), F.col("su_id"), F.col("slot").cast("string")))
-    dealt = rows.withColumn("at", F.row_number().over(Window.partitionBy(*within).orderBy(key)))
-    places = rows.withColumn("at", F.row_number().over(Window.partitionBy(*within).orderBy("su_id", "slot")))
+    if scope == "global":  # a permutation is one group: prefix sums go slice by slice
+        within = ["perm"]
+        rows = rows.withColumn("_h", key)
+        dealt = prefix_sums(rows, within, F.conv(F.substring("_h", 1, 12), 16, 10).cast("double"), [F.col("_h")], {"at": F.lit(1)})
+        places = prefix_sums(rows, within, text_order(F.col("su_id")), [F.col("su_id"), F.col("slot")], {"at": F.lit(1)}).drop("_h")
+    elif scope == "within_slope_unit":
+        within = ["perm", "su_id"]
+        dealt = rows.withColumn("at", F.row_number().over(Window.partitionBy(*within).orderBy(key)))
+        places = rows.withColumn("at", F.row_number().over(Window.partitionBy(*within).orderBy("slot")))
+    else:
+        raise ValueError(f"no scope {scope}: within_slope_unit or global")
     return places.drop("year").join(dealt.select(*within, "at", "year"), [*within, "at"]).drop("at")
 
 
-def permuted_nearest(locations: DataFrame, permutations: int, seed: int, missing_years: list[int]) -> DataFrame:
+def permuted_nearest(locations: DataFrame, permutations: int, seed: int, missing_years: list[int], first: int = 0) -> DataFrame:
     """:func:`nearest_prior` of :func:`permuted_years` within units, without a row for each pair and permutation.
 
     A task holds one unit's locations for BLOCK permutations, and distances of at most PAIRS pairs at a time.
     """
     blocks = locations.sparkSession.range(-(-permutations // BLOCK)).withColumnRenamed("id", "block")
-    rows = locations.select("su_id", F.col("slot").cast("long").alias("slot"), F.col("year").cast("int").alias("year"), "x_m", "y_m").join(F.broadcast(blocks))
+    rows = locations.select("su_id", "slot", F.col("year").cast("int").alias("year"), "x_m", "y_m").join(F.broadcast(blocks))
 
     def run(key, frame):
         unit, block = key
         frame = frame.sort_values("slot")
         slots, years, x, y = (frame[c].to_numpy() for c in ("slot", "year", "x_m", "y_m"))
         known = np.unique(years)
-        perms = range(int(block) * BLOCK, min(permutations, (int(block) + 1) * BLOCK))
+        perms = range(first + int(block) * BLOCK, first + min(permutations, (int(block) + 1) * BLOCK))
         dealt = np.empty((len(perms), len(slots)), years.dtype)
         for k, perm in enumerate(perms):
             keys = [hashlib.md5(f"{seed}|{perm}|{unit}|{slot}".encode()).hexdigest() for slot in slots]
             dealt[k] = years[sorted(range(len(keys)), key=keys.__getitem__)]
         step, out = max(1, PAIRS // len(slots)), []
-        for first in range(0, len(slots), step):
-            some = slice(first, first + step)
+        for begin in range(0, len(slots), step):
+            some = slice(begin, begin + step)
             distance = np.hypot(x[some, None] - x, y[some, None] - y)
             for k, perm in enumerate(perms):
                 own = dealt[k, some]
@@ -114,7 +163,7 @@ def permuted_nearest(locations: DataFrame, permutations: int, seed: int, missing
                 out.append(pd.DataFrame({"perm": perm, "su_id": unit, "slot": slots[some][at], "target_year": own[at], "last_prior_year": known[np.searchsorted(known, own[at]) - 1], "nearest_prior_distance_m": nearest}))
         return pd.concat(out)
 
-    found = rows.groupBy("su_id", "block").applyInPandas(run, "perm int, su_id string, slot long, target_year int, last_prior_year int, nearest_prior_distance_m double")
+    found = rows.groupBy("su_id", "block").applyInPandas(run, f"perm int, su_id string, slot {locations.schema['slot'].dataType.simpleString()}, target_year int, last_prior_year int, nearest_prior_distance_m double")
     return _gaps(found, missing_years)
 
 

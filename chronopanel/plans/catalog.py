@@ -12,10 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronopanel.functions import scalar
-from chronopanel.operators import audit, covariates, evaluate, forward, history, models, randomization, report, spatial
+from chronopanel.operators import audit, covariates, effects, evaluate, forward, history, models, randomization, report, spatial
 from chronopanel.plans import panels, stages
 from chronopanel.plans.panels import ANNUAL_SQL, DAILY_SQL, MISSING, POINT_MISSING, POINTS_SQL, PREDICTIONS_SQL, RAIN_SQL, TEST_YEARS, YEARS
 from chronopanel.sources import contract
+from chronopanel.sources.tables import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -73,8 +74,8 @@ def panel_year_audit(spark, d):
 
 
 _EXCLUSIONS = f"""WITH {ANNUAL_SQL}, x AS (
-  SELECT 'all_landslides' AS analysis, year, prior_failure AS f, history_crosses_missing_gap AS c FROM annual UNION ALL
-  SELECT 'shallow_landslides', year, prior_shallow_failure, shallow_history_crosses_missing_gap FROM annual),
+  SELECT 'recurrence' AS analysis, year, prior_failure AS f, history_crosses_missing_gap AS c FROM annual UNION ALL
+  SELECT 'rainfall_history', year, prior_shallow_failure, shallow_history_crosses_missing_gap FROM annual),
 audit AS (
   SELECT analysis, year, count(*) AS slope_unit_years, count(*) FILTER (f = 0) AS pre_first_excluded, count(*) FILTER (f = 1 AND c = 1) AS gap_crossing_excluded_from_risk,
          count(*) FILTER (f = 1 AND c = 0) AS retained_risk_rows FROM x GROUP BY ALL)"""
@@ -85,9 +86,15 @@ def history_exclusion_audit(spark, d):
     return history.exclusion_audit(panels.annual_history(spark, d))
 
 
-@query(f"{_EXCLUSIONS} SELECT analysis, CAST(sum(slope_unit_years) AS BIGINT) AS slope_unit_years, CAST(sum(pre_first_excluded) AS BIGINT) AS pre_first_excluded, CAST(sum(gap_crossing_excluded_from_risk) AS BIGINT) AS gap_crossing_excluded_from_risk, CAST(sum(retained_risk_rows) AS BIGINT) AS retained_risk_rows FROM audit GROUP BY analysis")
+_TESTED = ", ".join(map(str, TEST_YEARS))
+
+
+@query(f"""{_EXCLUSIONS} SELECT analysis, CAST(sum(slope_unit_years) AS BIGINT) AS potential_slope_unit_years, CAST(sum(pre_first_excluded) AS BIGINT) AS pre_first_excluded, CAST(sum(gap_crossing_excluded_from_risk) AS BIGINT) AS gap_crossing_excluded, CAST(sum(retained_risk_rows) AS BIGINT) AS retained_risk_rows FROM audit GROUP BY analysis UNION ALL
+SELECT 'forward_prediction_test_set', count(*), NULL, count(*) FILTER (history_crosses_missing_gap = 1), count(*) FILTER (history_crosses_missing_gap = 0) FROM annual WHERE year IN ({_TESTED})""")
 def exclusion_summary(spark, d):
-    return history.exclusion_summary(history.exclusion_audit(panels.annual_history(spark, d)))
+    h = panels.annual_history(spark, d)
+    tested = audit.prediction_exclusions(h.where(F.col("year").isin(*TEST_YEARS)), [])
+    return history.exclusion_summary(history.exclusion_audit(h), tested)
 
 
 @query(f"WITH {ANNUAL_SQL} SELECT activity_class, recurrence_stage, previously_active_state, count(*) AS n FROM annual GROUP BY ALL")
@@ -147,14 +154,15 @@ def lagged_covariates(spark, d):
     return covariates.lagged(panels.rainfall(spark, d), ["monsoon_rainfall_mm", "rx1day_mm"])
 
 
-@query(f"""WITH {ANNUAL_SQL}, {RAIN_SQL}, f AS (SELECT a.su_id, a.year, ln(1 + prior_landslide_count) AS b, monsoon_rainfall_mm AS m FROM annual a LEFT JOIN rain r ON a.su_id = r.su_id AND a.year = r.year WHERE {_RISK}),
+@query(f"""WITH {ANNUAL_SQL}, {RAIN_SQL}, u AS (SELECT su_id, avg(monsoon_rainfall_mm) AS unit_mean FROM rain GROUP BY su_id),
+f AS (SELECT a.su_id, a.year, ln(1 + prior_active_years) AS b, monsoon_rainfall_mm - unit_mean AS m FROM annual a LEFT JOIN rain r ON a.su_id = r.su_id AND a.year = r.year LEFT JOIN u ON u.su_id = a.su_id WHERE {_RISK}),
 z AS (SELECT avg(b) AS bm, stddev_samp(b) AS bs, avg(m) AS mm, stddev_samp(m) AS ms FROM f)
-SELECT su_id, year, round((b - bm) / bs, 6) + 0.0::DOUBLE AS burden_z, round((m - mm) / ms, 6) + 0.0::DOUBLE AS monsoon_z FROM f CROSS JOIN z WHERE m IS NOT NULL""")
+SELECT su_id, year, round((b - bm) / bs, 6) + 0.0::DOUBLE AS prior_active_years_z, round((m - mm) / ms, 6) + 0.0::DOUBLE AS monsoon_z FROM f CROSS JOIN z WHERE m IS NOT NULL""")
 def risk_zscores(spark, d):
-    """Standardised over the risk set first; then complete cases only."""
-    frame = history.risk_set(panels.annual_history(spark, d)).join(panels.rainfall(spark, d), ["su_id", "year"], "left")
-    frame = scalar.zscored(scalar.zscored(frame, "prior_landslide_count_log1p", "burden_z"), "monsoon_rainfall_mm", "monsoon_z")
-    return rounded(covariates.complete_cases(frame.select("su_id", "year", "burden_z", "monsoon_z"), ["burden_z", "monsoon_z"]), "burden_z", "monsoon_z")
+    """The mixed model's frame: rainfall less the unit's mean and active years before, standardised over the risk set first; then complete cases only."""
+    rain = panels.rainfall(spark, d).drop("rx1day_mm")
+    frame = effects.recurrence_frame(panels.annual_history(spark, d).join(rain, ["su_id", "year"], "left"), rain)
+    return rounded(covariates.complete_cases(frame, effects.RECURRENCE_COLUMNS).select("su_id", "year", "prior_active_years_z", "monsoon_z"), "prior_active_years_z", "monsoon_z")
 
 
 @query(f"""WITH {ANNUAL_SQL}, {RAIN_SQL}, f AS (SELECT gap_time_category AS g, monsoon_rainfall_mm AS m, rx1day_mm AS x FROM annual a LEFT JOIN rain r ON a.su_id = r.su_id AND a.year = r.year)
@@ -166,9 +174,9 @@ def complete_case_report(spark, d):
     return covariates.missing_report(frame, ["gap_time_category", "monsoon_rainfall_mm", "rx1day_mm"], "panel")
 
 
-@query("SELECT CAST(p_partkey AS VARCHAR) AS su_id, CAST(p_size AS DOUBLE) AS slope_median_deg, p_retailprice AS su_area_m2, p_brand AS parent_material, round(ln(p_retailprice), 6) + 0.0::DOUBLE AS log_area FROM part")
+@query("SELECT CAST(p_partkey AS VARCHAR) AS su_id, CAST(p_size AS DOUBLE) AS slope_median_deg, p_retailprice AS su_area_m2, p_brand AS parent_material, round(ln(p_retailprice), 6) + 0.0::DOUBLE AS log_su_area FROM part")
 def static_features(spark, d):
-    return rounded(covariates.static_features(panels.terrain(spark, d), panels.materials(spark, d)), "log_area")
+    return rounded(covariates.static_features(panels.terrain(spark, d), panels.materials(spark, d)), "log_su_area")
 
 
 _GROUP = "CASE WHEN p_brand IN ('Brand#11', 'Brand#12') THEN 'Brand#1' ELSE p_brand END"
@@ -238,8 +246,7 @@ summed AS (SELECT p.perm, n.gap_model, count(m) AS n, median(m) AS median_distan
 
 
 def _observed(spark, d) -> DataFrame:
-    at = panels.locations(spark, d)
-    return spatial.nearest_prior(at.select("su_id", "slot", "year"), spatial.pair_distances(at), POINT_MISSING)
+    return spatial.nearest_prior(panels.locations(spark, d), POINT_MISSING)
 
 
 @query(f"WITH {POINTS_SQL}, {_OBSERVED}, {_NEAREST} SELECT su_id, slot, target_year, last_prior_year, target_year - last_prior_year AS gap_years, gap_model, round(m, 6) + 0.0::DOUBLE AS nearest_prior_distance_m FROM found")
@@ -266,7 +273,7 @@ labels AS (SELECT a.perm, a.su_id, a.i, b.year FROM rows_ a JOIN rows_ b ON a.pe
 def _draws(spark, d) -> DataFrame:
     at = panels.locations(spark, d)
     labels = spatial.permuted_years(at, PERMUTATIONS, SEED)
-    return spatial.distance_summary(spatial.nearest_prior(labels, spatial.pair_distances(at), POINT_MISSING, ["perm"]), ["perm"])
+    return spatial.distance_summary(spatial.nearest_prior(labels, POINT_MISSING, ["perm"]), ["perm"])
 
 
 @query(f"WITH {POINTS_SQL}, {_DEALT}, {_NEAREST}, {_MEDIANS} SELECT perm, gap_model, n, round(median_distance_m, 6) + 0.0::DOUBLE AS median_distance_m FROM summed")
@@ -305,6 +312,14 @@ def _label_counts(spark, d, permutations: int) -> DataFrame:
     return n.select("su_id", "year", F.floor(F.col("n") / permutations).alias("per_draw"), (F.col("n") % permutations).alias("rest"))
 
 
+@query(f"""WITH {POINTS_SQL}, perms AS (SELECT CAST(range AS INTEGER) AS perm FROM range(3)),
+rows_ AS (SELECT perm, su_id, i, year, row_number() OVER (PARTITION BY perm ORDER BY su_id, i) AS place, row_number() OVER (PARTITION BY perm ORDER BY md5('{SEED}|' || perm || '|' || su_id || '|' || i)) AS at FROM locations CROSS JOIN perms)
+SELECT a.perm, a.su_id, a.i AS slot, b.year FROM rows_ a JOIN rows_ b ON a.perm = b.perm AND a.place = b.at""")
+def permuted_years_global(spark, d):
+    """Years dealt anew over all locations, three times."""
+    return spatial.permuted_years(panels.locations(spark, d), 3, SEED, "global").select("perm", "su_id", "slot", "year")
+
+
 # the whole job: as many permutations as the surveyed operator takes; those above have the few that their SQL has
 def _whole_draws(spark, d) -> DataFrame:
     found = spatial.permuted_nearest(panels.locations(spark, d), stages.Config("", "").permutations, SEED, POINT_MISSING)
@@ -403,28 +418,29 @@ def top_fraction(spark, d):
     return rounded(evaluate.top_fractions(panels.predictions(spark, d), ["model", "test_year"], FRACTIONS), "positive_capture_rate", "precision_at_fraction")
 
 
-@query(f"WITH {PREDICTIONS_SQL}, {_TOP.format(fractions=_FRACTIONS)} SELECT *, {_SHARES}, 'annual' AS budget_definition FROM budget")
+@query(f"WITH {PREDICTIONS_SQL}, {_TOP.format(fractions=_FRACTIONS)} SELECT *, {_SHARES}, 'top fraction selected independently within each held-out year, then counts pooled' AS budget_definition FROM budget")
 def annual_budget(spark, d):
     return rounded(evaluate.annual_budget(panels.predictions(spark, d), FRACTIONS), "positive_capture_rate", "precision_at_fraction")
 
 
-@query(f"WITH {PREDICTIONS_SQL}, {_TOP.format(fractions='SELECT i / 1000.0::DOUBLE AS f FROM range(1, 201) r(i)')} SELECT *, {_SHARES}, 'annual' AS budget_definition FROM budget")
+@query(f"WITH {PREDICTIONS_SQL}, {_TOP.format(fractions='SELECT i / 1000.0::DOUBLE AS f FROM range(1, 201) r(i)')} SELECT *, {_SHARES}, 'top fraction selected independently within each held-out year, then counts pooled' AS budget_definition FROM budget")
 def capture_curve(spark, d):
     return rounded(evaluate.annual_budget(panels.predictions(spark, d), [i / 1000 for i in range(1, 201)]), "positive_capture_rate", "precision_at_fraction")
 
 
 _BINS = """edges AS (SELECT model, test_year, list_distinct(quantile_cont(predicted_probability, [""" + ", ".join(f"{i / 10}::DOUBLE" for i in range(11)) + """])) AS e FROM predictions GROUP BY ALL),
-binned AS (SELECT model, test_year, CAST(greatest(0, len(list_filter(e, lambda x: x < predicted_probability)) - 1) AS INTEGER) AS calibration_bin, count(*) AS n, avg(predicted_probability) AS mean_predicted, avg(observed) AS observed_rate FROM predictions JOIN edges USING (model, test_year) GROUP BY ALL)"""
+binned AS (SELECT model, test_year, CAST(greatest(0, len(list_filter(e, lambda x: x < predicted_probability)) - 1) AS INTEGER) AS calibration_bin, count(*) AS n, sum(CAST(round(predicted_probability, 12) AS DECIMAL(14, 12))) AS s, sum(observed) AS h FROM predictions JOIN edges USING (model, test_year) GROUP BY ALL)"""
 
 
-@query(f"WITH {PREDICTIONS_SQL}, {_BINS} SELECT model, test_year, calibration_bin, n, round(mean_predicted, 6) + 0.0::DOUBLE AS mean_predicted, round(observed_rate, 6) + 0.0::DOUBLE AS observed_rate FROM binned")
+# sums are decimals, alike in any order, and divided once: nothing is rounded
+@query(f"WITH {PREDICTIONS_SQL}, {_BINS} SELECT model, test_year, calibration_bin, n, CAST(s AS DOUBLE) / n AS mean_predicted, CAST(h AS DOUBLE) / n AS observed_rate FROM binned")
 def calibration_bins(spark, d):
-    return rounded(evaluate.calibration(panels.predictions(spark, d)), "mean_predicted", "observed_rate")
+    return evaluate.calibration(panels.predictions(spark, d))
 
 
-@query(f"WITH {PREDICTIONS_SQL}, {_BINS} SELECT model, calibration_bin, CAST(sum(n) AS BIGINT) AS n, round(sum(n * mean_predicted) / sum(n), 6) + 0.0::DOUBLE AS mean_predicted, round(sum(n * observed_rate) / sum(n), 6) + 0.0::DOUBLE AS observed_rate FROM binned GROUP BY ALL")
+@query(f"WITH {PREDICTIONS_SQL}, {_BINS} SELECT model, calibration_bin, CAST(sum(n) AS BIGINT) AS n, CAST(sum(s) AS DOUBLE) / sum(n) AS mean_predicted, CAST(sum(h) AS DOUBLE) / sum(n) AS observed_rate FROM binned GROUP BY ALL")
 def pooled_calibration(spark, d):
-    return rounded(evaluate.pooled_calibration(evaluate.calibration(panels.predictions(spark, d))), "mean_predicted", "observed_rate")
+    return evaluate.pooled_calibration(panels.predictions(spark, d))
 
 
 _PAIRS = [("P1", "P0"), ("P2", "P1"), ("P2", "P0")]
@@ -436,16 +452,36 @@ def metric_increments(spark, d):
     return rounded(evaluate.increments(evaluate.metrics(panels.predictions(spark, d), ["model"]), _PAIRS, list(_MEASURES[1:])), "difference_richer_minus_simpler")
 
 
-@query(f"WITH {ANNUAL_SQL} SELECT year AS test_year, count(*) AS potential_rows, count(*) FILTER (history_crosses_missing_gap = 1) AS excluded_gap_crossing, count(*) FILTER (history_crosses_missing_gap = 0) AS retained_rows FROM annual WHERE year IN ({', '.join(map(str, TEST_YEARS))}) GROUP BY year")
+@query(f"""WITH {ANNUAL_SQL}, {RAIN_SQL}, f AS (SELECT a.*, r.su_id IS NULL AS bare FROM annual a LEFT JOIN rain r ON r.su_id = a.su_id AND r.year + 1 = a.year WHERE a.year IN ({_TESTED}))
+SELECT year AS test_year, count(*) AS potential_slope_unit_years, count(*) FILTER (history_crosses_missing_gap = 1) AS excluded_history_crosses_gap, count(*) FILTER (history_crosses_missing_gap = 0) AS retained_prediction_rows,
+       count(DISTINCT CASE WHEN history_crosses_missing_gap = 0 THEN su_id END) AS retained_slope_units, count(*) FILTER (history_crosses_missing_gap = 0 AND bare) AS missing_lagged_rainfall_rows FROM f GROUP BY year""")
 def prediction_exclusions(spark, d):
-    return audit.prediction_exclusions(panels.annual_history(spark, d).where(F.col("year").isin(*TEST_YEARS)))
+    return audit.prediction_exclusions(panels.features(spark, d).where(F.col("year").isin(*TEST_YEARS)), ["monsoon_rainfall_mm_lag1", "rx1day_mm_lag1"])
+
 
+_TRAINED = f"""f AS (SELECT a.year, a.su_id, r.year AS source FROM annual a LEFT JOIN rain r ON r.su_id = a.su_id AND r.year + 1 = a.year WHERE history_crosses_missing_gap = 0),
+t AS (SELECT year AS test, source, (SELECT max(year) FROM annual b WHERE b.year < f.year AND b.history_crosses_missing_gap = 0) AS sound, (SELECT max(year) FROM annual b WHERE b.year <= f.year AND b.history_crosses_missing_gap = 0) AS leaky FROM f WHERE year IN ({_TESTED}))"""
+_LEAKS = " UNION ALL ".join(
+    f"""SELECT '{case}' AS "case", "check", n = 0 AS passed, CASE WHEN "check" LIKE 'no_%' THEN '{leak}' ELSE n || ' rows against it' END AS detail FROM (
+  SELECT 'all_max_training_year_before_test_year' AS "check", count(*) FILTER (NOT {case} < test) AS n FROM t UNION ALL
+  SELECT 'first_test_year_uses_previous_year_as_latest_training_year', count(*) FILTER (test = {min(TEST_YEARS)} AND {case} <> test - 1) FROM t UNION ALL
+  SELECT 'all_nonmissing_rainfall_sources_are_t_minus_1', count(*) FILTER (source {shift} <> test - 1) FROM t UNION ALL SELECT 'no_current_year_rainfall_in_feature_sets', {len(leak.split())})"""
+    for case, shift, leak in (("sound", "", ""), ("leaky", "+ 1", "rx1day_mm"))
+)
 
-@query("""SELECT * FROM (VALUES ('training_before_test', TRUE), ('first_test_follows_training', TRUE), ('lag_is_one_year', TRUE), ('no_current_covariate', TRUE)) v("check", passed)""")
+
+@query(f"WITH {ANNUAL_SQL}, {RAIN_SQL}, {_TRAINED} {_LEAKS}")
 def leakage_checks(spark, d):
-    f = panels.features(spark, d).where(F.col("year").isin(*TEST_YEARS))
-    rows = f.select(F.col("year").alias("test_year"), (F.col("year") - 1).alias("max_training_year"), "rainfall_source_year")
-    return audit.leakage_checks(rows, ["slope_median_deg", "prior_active_years", "monsoon_rainfall_mm_lag1"])
+    """The checks on sound rows, and on rows that leak: trained on the test year, with rainfall of the year itself."""
+    f = panels.features(spark, d).where("history_crosses_missing_gap = 0").select("year", "rainfall_source_year")
+    years = f.select("year").distinct()
+    last = lambda inside: years.alias("a").join(years.alias("b"), F.col("b.year") <= F.col("a.year") if inside else F.col("b.year") < F.col("a.year")).groupBy(F.col("a.year").alias("year")).agg(F.max("b.year").alias("max_training_year"))
+    tested = f.where(F.col("year").isin(*TEST_YEARS))
+    out = []
+    for case, inside, feature in (("sound", False, "monsoon_rainfall_mm_lag1"), ("leaky", True, "rx1day_mm")):
+        rows = tested.join(F.broadcast(last(inside)), "year").select(F.col("year").alias("test_year"), "max_training_year", F.when(F.col("rainfall_source_year").isNotNull(), F.col("year") if inside else F.col("rainfall_source_year")).alias("rainfall_source_year"))
+        out.append(audit.leakage_checks(rows, ["slope_median_deg", feature], ["monsoon_rainfall_mm", "rx1day_mm"]).withColumn("case", F.lit(case)))
+    return out[0].unionByName(out[1])
 
 
 _P = "p AS (SELECT CAST(p_partkey AS VARCHAR) AS id, p_brand AS family, CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE (p_partkey * 37 % 1000) / 20000.0::DOUBLE END AS p FROM part)"
@@ -458,29 +494,33 @@ def holm_adjusted(spark, d):
     return rounded(scalar.holm(p, "p", ["family"], ["id"]), "p_holm")
 
 
-@query("""SELECT 'columns' AS "check", 'different' AS status, 'log_area' AS detail UNION ALL SELECT 'only_left', CASE WHEN count(*) FILTER (p_size = 1) = 0 THEN 'equal' ELSE 'different' END, CAST(count(*) FILTER (p_size = 1) AS VARCHAR) FROM part UNION ALL
+@query("""SELECT 'columns' AS "check", 'different' AS status, 'log_su_area' AS detail UNION ALL SELECT 'only_left', CASE WHEN count(*) FILTER (p_size = 1) = 0 THEN 'equal' ELSE 'different' END, CAST(count(*) FILTER (p_size = 1) AS VARCHAR) FROM part UNION ALL
 SELECT 'only_right', 'equal', '0' UNION ALL SELECT 'values:slope_median_deg', 'equal', '0' UNION ALL SELECT 'values:su_area_m2', CASE WHEN count(*) FILTER (p_size = 2) = 0 THEN 'equal' ELSE 'different' END, CAST(count(*) FILTER (p_size = 2) AS VARCHAR) FROM part UNION ALL SELECT 'values:parent_material', 'equal', '0'""")
 def table_comparison(spark, d):
     left = covariates.static_features(panels.terrain(spark, d), panels.materials(spark, d))
-    right = left.where("slope_median_deg <> 1").withColumn("su_area_m2", F.when(F.col("slope_median_deg") == 2, F.col("su_area_m2") + 1).otherwise(F.col("su_area_m2"))).drop("log_area")
+    right = left.where("slope_median_deg <> 1").withColumn("su_area_m2", F.when(F.col("slope_median_deg") == 2, F.col("su_area_m2") + 1).otherwise(F.col("su_area_m2"))).drop("log_su_area")
     return audit.compare_tables(left, right, ["su_id"])
 
 
-@query(f"""WITH {ANNUAL_SQL}, m AS (SELECT 'rows' AS c, CAST(count(*) AS DOUBLE) AS v FROM annual UNION ALL SELECT 'years', CAST(count(DISTINCT year) AS DOUBLE) FROM annual)
-SELECT e.c AS "check", e.x AS expected, m.v AS observed, coalesce(m.v = e.x, FALSE) AS passed FROM (VALUES ('rows', 1.0::DOUBLE), ('years', 6.0::DOUBLE), ('absent', 0.0::DOUBLE)) e(c, x) LEFT JOIN m ON m.c = e.c""")
+@query(f"""WITH {ANNUAL_SQL}, m AS (SELECT 'rows' AS c, CAST(count(*) AS VARCHAR) AS v FROM annual UNION ALL SELECT 'years', CAST(count(DISTINCT year) AS VARCHAR) FROM annual UNION ALL SELECT 'units', CAST(count(DISTINCT su_id) AS VARCHAR) FROM annual)
+SELECT 'panel' AS section, coalesce(e.c, m.c) AS "check", e.x IS NULL OR coalesce(m.v = e.x, FALSE) AS passed, e.x IS NOT NULL AS blocking, coalesce(m.v, 'missing') AS observed, e.x AS requirement
+FROM (VALUES ('rows', '1'), ('years', '6'), ('absent', '0')) e(c, x) FULL JOIN m ON m.c = e.c""")
 def publication_checks(spark, d):
-    h = panels.annual_history(spark, d).agg(F.count("*").cast("double").alias("rows"), F.count_distinct("year").cast("double").alias("years"))
-    return audit.publication_checks(h.unpivot([], ["rows", "years"], "name", "value"), {"rows": 1, "years": 6, "absent": 0})
+    text = lambda c, name: c.cast("string").alias(name)
+    h = panels.annual_history(spark, d).agg(text(F.count("*"), "rows"), text(F.count_distinct("year"), "years"), text(F.count_distinct("su_id"), "units"))
+    expected = spark.createDataFrame([("panel", "rows", "1"), ("panel", "years", "6"), ("panel", "absent", "0")], "section string, check string, requirement string")
+    return audit.publication_checks(h.unpivot([], ["rows", "years", "units"], "check", "observed").withColumn("section", F.lit("panel")), expected)
 
 
 @query(f"""WITH {ANNUAL_SQL}, {_SUPPORT.format('annual').replace('SELECT', 's AS (SELECT', 1)})
-SELECT 'recurrence' AS analysis, 'rate ' || CASE gap_time_category WHEN '1_year' THEN '1 year' WHEN '2_years' THEN '2 years' ELSE gap_time_category END AS metric, observed_rate AS estimate, 'share of unit-years' AS units FROM s UNION ALL
-SELECT 'panel', 'active unit-years', CAST(sum(active) AS DOUBLE), 'unit-years' FROM annual""")
+SELECT 'recurrence' AS analysis, 'rate ' || CASE gap_time_category WHEN '1_year' THEN '1 year' WHEN '2_years' THEN '2 years' ELSE '3–5 years' END AS metric, observed_rate AS estimate, CAST(NULL AS DOUBLE) AS lower, CAST(NULL AS DOUBLE) AS upper, CAST(NULL AS DOUBLE) AS p_value, 'share of unit-years' AS units FROM s UNION ALL
+SELECT 'panel', 'active unit-years', CAST(sum(active) AS DOUBLE), 0, CAST(count(*) AS DOUBLE), NULL, 'unit-years' FROM annual""")
 def main_results(spark, d):
     h = panels.annual_history(spark, d)
-    label = scalar.labelled(F.col("gap_time_category"), {"1_year": "1 year", "2_years": "2 years"})
-    rates = rounded(history.risk_support(h), "observed_rate").select(F.lit("recurrence").alias("analysis"), F.concat(F.lit("rate "), label).alias("metric"), F.col("observed_rate").alias("estimate"), F.lit("share of unit-years").alias("units"))
-    return rates.unionByName(h.agg(F.sum("active").cast("double").alias("estimate")).select(F.lit("panel").alias("analysis"), F.lit("active unit-years").alias("metric"), "estimate", F.lit("unit-years").alias("units")))
+    rates = rounded(history.risk_support(h), "observed_rate")
+    rates = rates.select(F.concat(F.lit("rate "), scalar.labelled(F.col("gap_time_category"), effects.GAP_LABELS)).alias("metric"), F.col("observed_rate").alias("estimate"))
+    whole = h.agg(F.sum("active").alias("estimate"), F.lit(0).alias("lower"), F.count("*").alias("upper")).withColumn("metric", F.lit("active unit-years"))
+    return report.main_results(("recurrence", "share of unit-years", rates), ("panel", "unit-years", whole))
 
 
 @query(f"""WITH {_VALUES}, o AS (SELECT statistic, median(value) AS v FROM values_ WHERE chain = 0 GROUP BY statistic), n AS (SELECT statistic, median(value) AS m FROM values_ GROUP BY statistic)
@@ -493,10 +533,20 @@ def figure_departures(spark, d):
     return s.select("statistic", (F.round(100 * (F.col("observed") - F.col("null_median")), 4) + F.lit(0.0)).alias("departure"), F.format_string("%.1f", F.round("observed", 1)).alias("shown"))
 
 
-@query("""SELECT 'slope_median_deg' AS variable, 'static' AS role, 'terrain' AS source, 'median imputed, standardised' AS transformation, 'deg' AS units UNION ALL
-SELECT 'prior_active_years_log1p', 'history', 'history_panel', 'log1p', NULL UNION ALL SELECT 'monsoon_rainfall_mm_lag1', 'rainfall', 'rainfall', 'calendar year before, median imputed, standardised', 'mm'""")
+@query("""SELECT 'slope_median_deg' AS variable, 'static numeric predictor' AS role, 'terrain' AS source, 'z-score of the training fold in prediction; z-score over the model''s sample in rainfall models' AS transformation, 'degrees' AS units UNION ALL
+SELECT 'parent_material', 'static categorical predictor', 'parent_material', 'source codes in prediction; harmonised in rainfall models only', 'categorical class' UNION ALL
+SELECT 'prior_failure', 'pre-target history predictor', 'history_panel', 'from activity strictly before the target year', 'binary (0/1)' UNION ALL
+SELECT 'rx10day_mm_lag1', 'pre-season lagged rainfall predictor', 'rainfall', 'source year = target year - 1; imputed and scaled by the training fold', 'mm'""")
 def predictor_dictionary(spark, d):
-    return report.predictor_dictionary(spark, ["slope_median_deg"], ["prior_active_years_log1p"], ["monsoon_rainfall_mm"], {"slope_median_deg": "deg", "monsoon_rainfall_mm": "mm"})
+    return report.predictor_dictionary(spark, ["slope_median_deg"], "parent_material", ["prior_failure"], ["rx10day_mm"], ["slope_median_deg"])
+
+
+@query("SELECT * EXCLUDE (place) FROM (SELECT CAST(o_orderkey AS BIGINT) AS o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS place, (SELECT count(*) FROM orders) AS n FROM orders) WHERE place IN (SELECT i * ((SELECT count(*) FROM orders) - 1) // 99 FROM range(100) r(i))")
+def thinned_rows(spark, d):
+    """A hundred orders at even distances."""
+    o = panels.table(spark, d, "orders")
+    n = o.count()
+    return randomization.thinned(o.select("o_orderkey"), "o_orderkey", 100).withColumn("n", F.lit(n).cast("long"))
 
 
 @query("SELECT n_name AS item, CAST(n_nationkey AS VARCHAR) AS file, CASE WHEN EXISTS (SELECT 1 FROM supplier WHERE s_nationkey = n_nationkey) THEN 'included' ELSE 'not_generated' END AS status FROM nation")
@@ -538,91 +588,105 @@ def margin_differences(spark, d):
 @query()
 def calibration_lines(spark, d):
     """Intercept and slope of the outcome on each model's log odds."""
-    p = panels.predictions(spark, d).persist()
-    rows = [(m, *models.calibration_line(p, {"model": m})) for m in panels.MODELS]
-    p.unpersist()
-    return spark.createDataFrame(rows, "model string, calibration_intercept double, calibration_slope double")
+    return models.calibration_lines(panels.predictions(spark, d), ["model"])
+
 
+# models: what they fit has no SQL, but their design and marginal effects at given coefficients have
+_STATIC = ["slope_median_deg", "log_su_area"]
+_DESIGN = f"""f AS (
+  SELECT a.su_id, a.year, shallow_active AS y, gap_shallow_category AS g, rx1day_mm AS x, {_GROUP} AS material, ln(1 + prior_shallow_active_years) AS b, CAST(p_size AS DOUBLE) AS s, ln(p_retailprice) AS l
+  FROM annual a LEFT JOIN rain r ON a.su_id = r.su_id AND a.year = r.year JOIN part ON a.su_id = CAST(p_partkey AS VARCHAR)
+  WHERE prior_shallow_failure = 1 AND shallow_history_crosses_missing_gap = 0 AND gap_shallow_category IS NOT NULL),
+u AS (SELECT su_id, avg(rx1day_mm) AS um, stddev_samp(rx1day_mm) AS us FROM rain GROUP BY su_id),
+w AS (SELECT avg(um) AS wm, stddev_samp(um) AS ws FROM u WHERE su_id IN (SELECT su_id FROM f)),
+z AS (SELECT avg(b) AS bm, stddev_samp(b) AS bs, avg(s) AS sm, stddev_samp(s) AS ss, avg(l) AS lm, stddev_samp(l) AS ls FROM f),
+design AS (
+  SELECT f.su_id, f.year, y, g, material, (x - um) / us AS rx, (um - wm) / ws AS btw, (b - bm) / bs AS bz, (s - sm) / ss AS sz, (l - lm) / ls AS lz
+  FROM f JOIN u ON f.su_id = u.su_id CROSS JOIN w CROSS JOIN z WHERE x IS NOT NULL AND us IS NOT NULL)"""
 
-# models: what they fit has no SQL, but marginal effects at given coefficients have
-_TERMS = ["one", "gap1", "gap2", "rx", "rx:gap1", "rx:gap2"]
-_BETA = [-1.5, 0.3, 0.2, 0.1, 0.05, -0.05]
+
+def _rain_frame(spark, d) -> tuple[DataFrame, DataFrame]:
+    """The base of the rainfall models, and rainfall."""
+    rain = panels.rainfall(spark, d)
+    static = covariates.static_features(panels.terrain(spark, d), panels.materials(spark, d))
+    cells = covariates.dominant_cell(panels.grid_weights(spark, d)).select("su_id", "grid_id")
+    frame = panels.annual_history(spark, d).join(rain, ["su_id", "year"], "left").join(static, "su_id", "left").join(cells, "su_id", "left")
+    return effects.rainfall_base(frame, _STATIC, MATERIAL_GROUPS, [])[0], rain
 
 
-def _model_frame(spark, d) -> DataFrame:
-    frame = history.risk_set(panels.annual_history(spark, d)).join(panels.rainfall(spark, d), ["su_id", "year"]).join(covariates.dominant_cell(panels.grid_weights(spark, d)).select("su_id", "grid_id"), "su_id")
-    frame = scalar.zscored(frame, "rx1day_mm", "rx")
-    frame = frame.withColumns({"one": F.lit(1.0), **{f"gap{i}": (F.col("gap_time_category") == c).cast("double") for i, c in ((1, "1_year"), (2, "2_years"))}})
-    frame = frame.withColumns({"rx:gap1": F.col("rx") * F.col("gap1"), "rx:gap2": F.col("rx") * F.col("gap2")})
-    return frame.withColumn("grid_year", scalar.composite_key(F.col("grid_id"), F.col("year"))).select("su_id", "year", "active", "grid_year", "gap_time_category", *_TERMS)
+@query(f"WITH {ANNUAL_SQL}, {RAIN_SQL}, {_DESIGN} SELECT su_id, year, y AS shallow_active, g AS gap_shallow_category, material AS parent_material, " + ", ".join(f"round({a}, 6) + 0.0::DOUBLE AS {b}" for a, b in (("rx", "rx_z"), ("btw", "rx_between_z"), ("bz", "prior_shallow_active_years_z"), ("sz", "slope_median_deg_z"), ("lz", "log_su_area_z"), ("CASE WHEN g = '1_year' THEN rx ELSE 0 END", "rx_z_1_year"))) + " FROM design")
+def rainfall_design(spark, d):
+    """The complete cases of a rainfall model with its scores, and an interaction."""
+    base, rain = _rain_frame(spark, d)
+    own = effects.rainfall_design(base, rain, "rx1day_mm", _STATIC, "3_5_years")[0]
+    scores = ["rx_z", "rx_between_z", "prior_shallow_active_years_z", *[f"{c}_z" for c in _STATIC]]
+    out = own.select("su_id", "year", "shallow_active", "gap_shallow_category", "parent_material", *scores, models.term("rx_z:gap=1_year").alias("rx_z_1_year"))
+    return rounded(out, *scores, "rx_z_1_year")
 
 
-def _states() -> dict:
-    zero, one = F.lit(0.0), F.lit(1.0)
-    return {"1_year": {"gap1": one, "gap2": zero}, "2_years": {"gap1": zero, "gap2": one}, "3_5_years": {"gap1": zero, "gap2": zero}}
+_BETA = {"Intercept": -1.5, "gap=1_year": 0.3, "gap=2_years": 0.2, "rx_z": 0.1, "rx_z:gap=1_year": 0.05, "rx_z:gap=2_years": -0.05, "rx_between_z": 0.07, "prior_shallow_active_years_z": 0.2, "slope_median_deg_z": -0.1, "log_su_area_z": 0.15}
+
+
+def _beta(term: str) -> float:
+    """The given coefficient of a term; those of materials and years follow from their names."""
+    kind, _, level = term.partition("=")
+    if kind == "material":
+        return 0.01 * (int(level.partition("#")[2]) % 7)
+    return 0.02 * (int(level) - 1998) if kind == "year" else _BETA[term]
 
 
 def _effects_sql() -> str:
-    p = lambda x, g1, g2: f"1 / (1 + exp(-({_BETA[0]} + {_BETA[1]} * {g1} + {_BETA[2]} * {g2} + {_BETA[3]} * {x} + {_BETA[4]} * {x} * {g1} + ({_BETA[5]}) * {x} * {g2})))"
-    rows = " UNION ALL ".join(f"SELECT '{name}' AS state, round(avg({p('(z + 1)', a, b)} - {p('z', a, b)}), 6) + 0.0::DOUBLE AS effect FROM m" for name, a, b in (("1_year", 1, 0), ("2_years", 0, 1), ("3_5_years", 0, 0)))
-    return f"""WITH {ANNUAL_SQL}, {RAIN_SQL}, f AS (SELECT a.su_id, a.year, rx1day_mm FROM annual a JOIN rain r ON a.su_id = r.su_id AND a.year = r.year WHERE {_RISK}),
-    m AS (SELECT (rx1day_mm - avg(rx1day_mm) OVER ()) / stddev_samp(rx1day_mm) OVER () AS z FROM f) {rows}"""
+    rest = "-1.5::DOUBLE + 0.07::DOUBLE * btw + 0.2::DOUBLE * bz - 0.1::DOUBLE * sz + 0.15::DOUBLE * lz + CASE WHEN material = (SELECT min(material) FROM design) THEN 0 ELSE 0.01::DOUBLE * (CAST(split_part(material, '#', 2) AS INTEGER) % 7) END + CASE WHEN year = (SELECT min(year) FROM design) THEN 0 ELSE 0.02::DOUBLE * (year - 1998) END"
+    p = lambda x, a, b: f"1 / (1 + exp(-(r + 0.3::DOUBLE * {a} + 0.2::DOUBLE * {b} + 0.1::DOUBLE * {x} + 0.05::DOUBLE * {x} * {a} - 0.05::DOUBLE * {x} * {b})))"
+    rows = " UNION ALL ".join(f"SELECT '{name}' AS state, round(avg({p('(rx + 1)', a, b)} - {p('rx', a, b)}), 6) + 0.0::DOUBLE AS effect FROM m" for name, a, b in (("1_year", 1, 0), ("2_years", 0, 1), ("3_5_years", 0, 0)))
+    return f"WITH {ANNUAL_SQL}, {RAIN_SQL}, {_DESIGN}, m AS (SELECT *, {rest} AS r FROM design) {rows}"
 
 
 @query(_effects_sql())
 def rainfall_ame_fixed_beta(spark, d):
-    fit = models.Fit(_TERMS, np.array(_BETA), np.eye(len(_TERMS)), 0, 0)
-    effects = models.marginal_effects(_model_frame(spark, d), fit, _states(), {"rx": F.col("rx") + 1})
-    return spark.createDataFrame([(k, round(e, 6) + 0.0) for k, (e, _) in effects.items()], "state string, effect double")
+    """Marginal effects of the whole formula at given coefficients."""
+    base, rain = _rain_frame(spark, d)
+    own, _, terms, gaps = effects.rainfall_design(base, rain, "rx1day_mm", _STATIC, "3_5_years")
+    fit = models.Fit(terms, np.array([_beta(t) for t in terms]), np.eye(len(terms)), 0, 0)
+    found = models.marginal_effects(own, fit, {c: {f"gap={g}": float(g == c) for g in gaps} for c in [*gaps, "3_5_years"]}, "rx_z")
+    return spark.createDataFrame([(k, round(e, 6) + 0.0) for k, (e, _) in found.items()], "state string, effect double")
+
+
+def _rain_effects(spark, d) -> dict[str, DataFrame]:
+    base, rain = _rain_frame(spark, d)
+    return effects.rainfall_effects(written(base, "rainfall-base"), rain, {1: "rx1day_mm"}, _STATIC, "3_5_years", seed=SEED)[0]
 
 
 @query()
 def rainfall_glm(spark, d):
-    """Coefficients with two-way clustered errors, and the joint test of the interactions."""
-    frame = _model_frame(spark, d).persist()
-    fit = models.binomial(frame, _TERMS)
-    v = models.two_way_covariance(frame, fit, "su_id", "grid_year")
-    w, df, p = models.joint_test(fit, ["rx:gap1", "rx:gap2"])
-    rows = [(t, float(b), float(np.sqrt(max(0.0, e)))) for t, b, e in zip(fit.terms, fit.beta, np.diag(v), strict=True)]
-    frame.unpersist()
-    return spark.createDataFrame([*rows, (f"joint test, {df} degrees of freedom", w, p)], "term string, estimate double, error_or_p double")
+    """Coefficients of the whole formula with two-way clustered errors."""
+    return _rain_effects(spark, d)["coefficients"]
 
 
 @query()
 def rainfall_ame(spark, d):
-    """Marginal effects by state and their contrasts, with delta-method errors."""
-    frame = _model_frame(spark, d).persist()
-    fit = models.binomial(frame, _TERMS)
-    models.two_way_covariance(frame, fit, "su_id", "grid_year")
-    effects, contrasts = models.effect_rows(fit, models.marginal_effects(frame, fit, _states(), {"rx": F.col("rx") + 1}), "3_5_years")
-    frame.unpersist()
-    schema = "kind string, state string, estimate double, error double, low double, high double, p double"
-    out = spark.createDataFrame([("effect", *r) for r in effects] + [("contrast", *r) for r in contrasts], schema)
-    return scalar.holm(out, "p", ["kind"], ["state"])
+    """Contrasts of marginal effects with delta-method errors, with Holm's p-values, and the joint test."""
+    made = _rain_effects(spark, d)
+    return made["multiplicity"].join(made["contrasts"].select("history_state", "duration_days", "AME_contrast_probability", "SE_contrast_two_way", "CI95_low_probability", "CI95_high_probability"), ["history_state", "duration_days"], "left")
 
 
 @query()
 def forward_prediction(spark, d):
     """Penalised fits on all years before each test year, for three sets of features; all held-out rows."""
-    rows = panels.features(spark, d).where("history_crosses_missing_gap = 0")
-    sets = {"P0": ["slope_median_deg", "su_area_m2"]}
-    sets["P1"] = [*sets["P0"], "prior_active_years_log1p", "prior_landslide_count_log1p"]
-    sets["P2"] = [*sets["P1"], "monsoon_rainfall_mm_lag1", "rx1day_mm_lag1"]
-    return forward.forward_predictions(rows, TEST_YEARS, sets, "parent_material")
+    rows = written(panels.features(spark, d).where("history_crosses_missing_gap = 0"), "prediction-frame")
+    sets = {"P0_static": [*_STATIC]}
+    sets["P1_history"] = [*sets["P0_static"], *stages.HISTORY]
+    sets["P2_history_lagged_rain"] = [*sets["P1_history"], "monsoon_rainfall_mm_lag1", "rx1day_mm_lag1"]
+    return forward.forward_predictions(rows, TEST_YEARS, sets, "parent_material")["predictions"]
 
 
 @query()
 def recurrence_vb(spark, d):
-    """Odds ratios of elapsed time from the mixed model, with approximate intervals."""
-    frame = history.risk_set(panels.daily_history(spark, d))
-    frame = scalar.zscored(frame, "prior_landslide_count_log1p", "burden_z").withColumn("one", F.lit(1.0))
-    names = [c for c, _ in scalar.GAP_CATEGORIES[:-1]]
-    present = set(models.levels_of(frame, "gap_time_category"))
-    marks = models.indicators("gap_time_category", [c for c in names if c in present], "gap_")
-    frame = frame.withColumns(marks)
-    fit = models.variational_mixed_logit(frame, ["one", *marks, "burden_z"])
-    rows = [(t, *[float(fit[k][i]) for k in ("log_odds_mean", "posterior_sd", "odds_ratio", "interval_low", "interval_high")]) for i, t in enumerate(fit["terms"])]
-    return spark.createDataFrame([*rows, ("random_sd", fit["random_sd"], None, None, None, None)], "term string, log_odds_mean double, posterior_sd double, odds_ratio double, interval_low double, interval_high double")
+    """Odds ratios of elapsed time, burden, rainfall and day from the mixed model, with approximate intervals."""
+    rain = panels.daily_rainfall(spark, d)
+    frame = effects.recurrence_frame(panels.daily_history(spark, d).join(rain, ["su_id", "year"], "left"), rain)
+    complete = written(covariates.complete_cases(frame, effects.RECURRENCE_COLUMNS), "recurrence-frame")
+    return effects.recurrence_model(complete, seed=SEED)[0]["coefficients"]
 
 
 def _chain_draws(spark, d) -> DataFrame:

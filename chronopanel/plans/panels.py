@@ -10,7 +10,7 @@ from chronopanel.operators.spatial import clean_events, fixed_locations, with_ke
 
 YEARS = [1995, 1996, 1998, 1999, 2000, 2001]
 MISSING = [1997]
-DAYS = [d for d in range(1, 31) if d not in (11, 12)]
+DAYS = [d for d in range(1, 32) if d not in (11, 12)]
 MISSING_DAYS = [11, 12]
 POINT_YEARS = [2000, 2001, 2002, 2004, 2005, 2006]
 POINT_MISSING = [2003]
@@ -58,6 +58,12 @@ def rainfall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.groupBy(F.col("l_partkey").cast("string").alias("su_id"), F.year("l_shipdate").alias("year")).agg(F.sum("l_quantity").alias("monsoon_rainfall_mm"), F.max("l_extendedprice").alias("rx1day_mm"))
 
 
+def daily_rainfall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A covariate of each user and day: the sum of all events' values; days without events are missing."""
+    events = table(spark, sf_dir, "events")
+    return events.groupBy(F.col("user_id").cast("string").alias("su_id"), F.dayofmonth("ts").alias("year")).agg(F.sum("value").alias("monsoon_rainfall_mm"))
+
+
 def terrain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("su_id"), F.col("p_size").cast("double").alias("slope_median_deg"), F.col("p_retailprice").alias("su_area_m2"))
 
@@ -87,7 +93,7 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """History rows with last year's covariates and static ones, in test years or before; no crossing rows."""
     past = covariates.lagged(rainfall(spark, sf_dir), ["monsoon_rainfall_mm", "rx1day_mm"])
     rows = annual_history(spark, sf_dir).join(past, ["su_id", "year"], "left")
-    return covariates.with_static(rows, terrain(spark, sf_dir), materials(spark, sf_dir))
+    return rows.join(covariates.static_features(terrain(spark, sf_dir), materials(spark, sf_dir)), "su_id", "left")
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,7 +126,7 @@ def _panel_sql(name: str, counted: str, units: str, years: list[int], missing: l
          year - last_active_year AS years_since_last_activity, year - last_shallow_active_year AS years_since_last_shallow_activity,
          {crosses("last_active_year")} AS history_crosses_missing_gap, {crosses("last_shallow_active_year")} AS shallow_history_crosses_missing_gap,
          {category("(year - last_active_year)")} AS gap_time_category, {category("(year - last_shallow_active_year)")} AS gap_shallow_category,
-         CASE WHEN prior_active_years > 0 THEN 'previously_active' ELSE 'not_previously_active' END AS previously_active_state,
+         CASE WHEN prior_active_years > 0 THEN 'previously_active' ELSE 'never_previously_active' END AS previously_active_state,
          CASE WHEN active = 1 AND year = first_year THEN 'active_history_unknown' WHEN active = 1 AND prior_active_years = 0 THEN 'first_observed_activation' WHEN active = 1 THEN 'recurrent_activity' ELSE 'inactive' END AS activity_class,
          CASE WHEN prior_active_years = 1 THEN '1_prior_active_year' WHEN prior_active_years = 2 THEN '2_prior_active_years' WHEN prior_active_years >= 3 THEN '3plus_prior_active_years' END AS recurrence_stage
   FROM {name}_w)"""

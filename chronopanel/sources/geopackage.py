@@ -1,7 +1,7 @@
-"""Points from a GeoPackage, which is an SQLite file with well-known-binary geometry.
+"""Layers of a GeoPackage, which is an SQLite file with well-known-binary geometry.
 
-Projected coordinates are taken as they are: there is no reprojection here, and polygons give the middle of their
-box, so areas and representative points must come with the table.
+The file is shipped to the executors once, and tasks read ranges of its row numbers. Coordinates are taken as they are
+(there is no reprojection): points keep theirs, polygons give their area and a point inside them, lines the middle of their box.
 """
 
 from __future__ import annotations
@@ -10,20 +10,26 @@ import sqlite3
 import struct
 from contextlib import closing
 
+import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of the envelope by its code in the header's flags.
 ENVELOPE_BYTES = {0: 0, 1: 32, 2: 48, 3: 48, 4: 64}
+NAMES = {1: "Point", 2: "LineString", 3: "Polygon", 4: "MultiPoint", 5: "MultiLineString", 6: "MultiPolygon", 7: "GeometryCollection"}
+ROWS = 20_000
 
+Ring = list[tuple[float, float]]
 
-def _points(wkb: bytes, at: int = 0) -> tuple[list[tuple[float, float]], int]:
-    """All coordinates of a geometry, and where it ends."""
+
+def _rings(wkb: bytes, at: int = 0) -> tuple[int, list[Ring], int]:
+    """A geometry's kind, its lists of coordinates (rings of polygons), and where it ends."""
     order = "<" if wkb[at] else ">"
     kind = struct.unpack_from(f"{order}I", wkb, at + 1)[0]
     wide = 2 + (kind // 1000 in (1, 2)) + 2 * (kind // 1000 == 3)
     at += 5
 
-    def some(n: int):
+    def some(n: int) -> Ring:
         nonlocal at
         out = [struct.unpack_from(f"{order}{wide}d", wkb, at + 8 * wide * i)[:2] for i in range(n)]
         at += 8 * wide * n
@@ -36,41 +42,88 @@ def _points(wkb: bytes, at: int = 0) -> tuple[list[tuple[float, float]], int]:
 
     base = kind % 1000
     if base == 1:
-        return some(1), at
+        return base, [some(1)], at
     if base == 2:
-        return some(number()), at
+        return base, [some(number())], at
     if base == 3:
-        return [p for _ in range(number()) for p in some(number())], at
+        return base, [some(number()) for _ in range(number())], at
     out = []
     for _ in range(number()):
-        part, at = _points(wkb, at)
+        _, part, at = _rings(wkb, at)
         out += part
-    return out, at
+    return base, out, at
 
 
-def middle(blob: bytes | None) -> tuple[float, float] | None:
-    """The middle of a geometry's box; None for a null or empty one."""
-    if not blob or blob[:2] != b"GP" or blob[3] & 16:
-        return None
-    points, _ = _points(blob, 8 + ENVELOPE_BYTES[blob[3] >> 1 & 7])
-    if not points:
-        return None
-    xs, ys = zip(*points, strict=True)
+def area(rings: list[Ring]) -> float:
+    """Of polygons: rings that lie in an odd number of others are holes, by orientation-free even-odd counting of their first points."""
+    whole = 0.0
+    for i, ring in enumerate(rings):
+        own = abs(sum(x1 * y2 - x2 * y1 for (x1, y1), (x2, y2) in zip(ring, ring[1:] + ring[:1], strict=True))) / 2
+        depth = sum(_inside(ring[0], other) for j, other in enumerate(rings) if j != i)
+        whole += -own if depth % 2 else own
+    return whole
+
+
+def _inside(point: tuple[float, float], ring: Ring) -> bool:
+    x, y = point
+    return sum((y1 > y) != (y2 > y) and x < x1 + (y - y1) * (x2 - x1) / (y2 - y1) for (x1, y1), (x2, y2) in zip(ring, ring[1:] + ring[:1], strict=True)) % 2 == 1
+
+
+def inner_point(rings: list[Ring]) -> tuple[float, float]:
+    """A point inside polygons: the middle of the widest stretch within them at the middle height."""
+    ys = sorted({y for r in rings for _, y in r})
+    middle = (ys[0] + ys[-1]) / 2
+    above, below = [y for y in ys if y > middle], [y for y in ys if y <= middle]
+    y = (above[0] + below[-1]) / 2 if above and below else middle  # off every corner
+    xs = sorted(x1 + (y - y1) * (x2 - x1) / (y2 - y1) for r in rings for (x1, y1), (x2, y2) in zip(r, r[1:] + r[:1], strict=True) if (y1 > y) != (y2 > y))
+    if not xs:
+        return _box_middle(rings)
+    _, left, right = max((b - a, a, b) for a, b in zip(xs[::2], xs[1::2], strict=True))
+    return (left + right) / 2, y
+
+
+def _box_middle(rings: list[Ring]) -> tuple[float, float]:
+    xs, ys = zip(*[p for r in rings for p in r], strict=True)
     return (min(xs) + max(xs)) / 2, (min(ys) + max(ys)) / 2
 
 
+def described(blob: bytes | None) -> tuple[str | None, float | None, float | None, float | None]:
+    """Type, x, y and area of a geometry; nulls for a null or empty one."""
+    if not blob or blob[:2] != b"GP" or blob[3] & 16:
+        return None, None, None, None
+    kind, rings, _ = _rings(blob, 8 + ENVELOPE_BYTES[blob[3] >> 1 & 7])
+    if not any(rings):
+        return NAMES.get(kind), None, None, None
+    if kind in (3, 6):
+        return NAMES[kind], *inner_point(rings), area(rings)
+    return NAMES.get(kind), *_box_middle(rings), None
+
+
 def read_geopackage(spark: SparkSession, path: str, layer: str | None = None) -> DataFrame:
-    """A layer's attributes as text, its spatial reference, and x_m, y_m. The file is read by the driver: it's one small SQLite file."""
-    with closing(sqlite3.connect(f"file:{path}?mode=ro", uri=True)) as db:
+    """A layer's attributes as text, with srs_id, geometry_type, x_m, y_m and su_area_m2 (of polygons)."""
+    spark.sparkContext.addFile(path)
+    name = path.rpartition("/")[2]
+    with closing(sqlite3.connect(f"file:{SparkFiles.get(name)}?mode=ro", uri=True)) as db:
         layers = {n: (c, s) for n, c, s in db.execute("SELECT table_name, column_name, srs_id FROM gpkg_geometry_columns")}
         layer = layer or next(iter(layers))
         geometry, srs = layers[layer]
-        cursor = db.execute(f'SELECT * FROM "{layer}"')
-        names = [d[0] for d in cursor.description]
-        place = names.index(geometry)
-        rows = []
-        for row in cursor:
-            at = middle(row[place]) or (None, None)
-            rows.append((*[None if v is None else str(v) for i, v in enumerate(row) if i != place], int(srs), *at))
-    plain = [f"`{n}` string" for n in names if n != geometry]
-    return spark.createDataFrame(rows, ", ".join([*plain, "srs_id int", "x_m double", "y_m double"]))
+        names = [d[0] for d in db.execute(f'SELECT * FROM "{layer}" LIMIT 0').description]
+        low, high = db.execute(f'SELECT min(rowid), max(rowid) FROM "{layer}"').fetchone()
+    plain = [n for n in names if n != geometry]
+    made = [("srs_id", "int", pa.int32()), ("geometry_type", "string", pa.string()), ("x_m", "double", pa.float64()), ("y_m", "double", pa.float64()), ("su_area_m2", "double", pa.float64())]
+    made = [m for m in made if m[0] not in plain]
+    query = ", ".join(f'"{n}"' for n in [*plain, geometry])
+
+    def run(batches):
+        with closing(sqlite3.connect(f"file:{SparkFiles.get(name)}?mode=ro", uri=True)) as db:
+            for batch in batches:
+                for first in batch.column("first").to_pylist():
+                    rows = db.execute(f'SELECT {query} FROM "{layer}" WHERE rowid BETWEEN ? AND ? ORDER BY rowid', (first, min(high, first + ROWS - 1))).fetchall()
+                    shapes = [described(r[-1]) for r in rows]
+                    values = {"srs_id": [srs] * len(rows), **{k: [s[i] for s in shapes] for i, k in enumerate(("geometry_type", "x_m", "y_m", "su_area_m2"))}}
+                    texts = [pa.array([None if r[i] is None else str(r[i]) for r in rows], pa.string()) for i in range(len(plain))]
+                    yield pa.RecordBatch.from_arrays([*texts, *[pa.array(values[k], t) for k, _, t in made]], [*plain, *[k for k, _, _ in made]])
+
+    schema = ", ".join([*[f"`{n}` string" for n in plain], *[f"{k} {t}" for k, t, _ in made]])
+    ranges = spark.range(low or 0, (high if high is not None else -1) + 1, ROWS).withColumnRenamed("id", "first")
+    return ranges.mapInArrow(run, schema)

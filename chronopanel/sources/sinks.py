@@ -1,50 +1,31 @@
-"""Small outputs of the driver: files that appear only when complete, hashes, and a manifest of a run."""
+"""Small outputs of a run: files that appear only when complete, hashes, and a manifest; in any file system."""
 
 from __future__ import annotations
 
-import csv
 import hashlib
 import importlib.metadata
 import json
-import os
 import platform
+import uuid
 from datetime import UTC, datetime
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-BLOCK = 1 << 20
+from chronopanel.sources import files
 
 
-def write_json(path: str | Path, value) -> None:
-    path = Path(path)
-    path.parent.mkdir(parents=True, exist_ok=True)
-    unfinished = path.with_name(f"{path.name}.tmp")
-    unfinished.write_text(json.dumps(value, indent=2, default=str))
-    os.replace(unfinished, path)
+def write_json(spark: SparkSession, path: str, value) -> None:
+    files.write_text(spark, path, json.dumps(value, indent=2, default=str))
 
 
-def write_table(df: DataFrame, path: str, most_rows: int = 1_000_000) -> None:
-    """A report as one CSV file, streamed through the driver; larger tables go to ``df.write``."""
-    to = Path(path)
-    to.parent.mkdir(parents=True, exist_ok=True)
-    unfinished = to.with_name(f"{to.name}.tmp")
-    with unfinished.open("w", newline="") as f:
-        out = csv.writer(f)
-        out.writerow(df.columns)
-        for i, row in enumerate(df.toLocalIterator()):
-            if i >= most_rows:
-                raise ValueError(f"{path}: more than {most_rows} rows; write this table with df.write")
-            out.writerow(row)
-    os.replace(unfinished, to)
-
-
-def file_hash(path: str | Path) -> str:
-    h = hashlib.sha256()
-    with Path(path).open("rb") as f:
-        while block := f.read(BLOCK):
-            h.update(block)
-    return h.hexdigest()
+def write_table(df: DataFrame, path: str) -> None:
+    """A report as one CSV file with a header, in the order of df; one task streams it. Large tables go to ``df.write``."""
+    spark = df.sparkSession
+    unfinished = f"{path}.{uuid.uuid4().hex}.tmp"
+    df.coalesce(1).write.option("header", True).csv(unfinished)
+    (part,) = files.listed(spark, f"{unfinished}/part-*")
+    files.replaced(spark, part, path)
+    files.remove(spark, unfinished)
 
 
 def software(spark: SparkSession) -> dict[str, str]:
@@ -58,8 +39,18 @@ def software(spark: SparkSession) -> dict[str, str]:
     return out
 
 
-def manifest(spark: SparkSession, stage: str, status: str, inputs: list[str], code: list[str], config: dict) -> dict:
+def file_hashes(spark: SparkSession, paths: list[str]) -> dict[str, str]:
+    """SHA-256 by path."""
+    return {r["path"]: r["sha256"] for r in files.hashes(spark, paths).collect()} if paths else {}
+
+
+def local_hash(path) -> str:
+    """SHA-256 of a file of this machine, such as a module of this package."""
+    with open(path, "rb") as f:
+        return hashlib.file_digest(f, "sha256").hexdigest()
+
+
+def manifest(spark: SparkSession, stage: str, status: str, inputs: dict[str, str], code: dict[str, str], config: dict) -> dict:
     """What a stage ran on, for the record; also of failed runs."""
-    hashes = lambda paths: {p: file_hash(p) for p in paths if Path(p).is_file()}
     text = json.dumps(config, sort_keys=True, default=str)
-    return {"timestamp": datetime.now(UTC).isoformat(), "stage": stage, "status": status, "inputs": hashes(inputs), "code": hashes(code), "config_sha256": hashlib.sha256(text.encode()).hexdigest(), "software": software(spark)}
+    return {"timestamp": datetime.now(UTC).isoformat(), "stage": stage, "status": status, "inputs": inputs, "code": code, "config_sha256": hashlib.sha256(text.encode()).hexdigest(), "software": software(spark)}

@@ -2,8 +2,10 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from chronopanel.operators import history, randomization
+from chronopanel.sources import contract
 
 YEARS = [1992, 1993, 1996, 1997, 1998, 1999, 2000, 2001, 2009, 2010]
 COUNTS = {"A": {1992: 2, 1996: 1, 1998: 3, 2009: 1}, "B": {1997: 1}, "C": {}}
@@ -11,8 +13,8 @@ COUNTS = {"A": {1992: 2, 1996: 1, 1998: 3, 2009: 1}, "B": {1997: 1}, "C": {}}
 
 @pytest.fixture(scope="module")
 def panel(spark):
-    rows = [(u, y, str(COUNTS[u].get(y, 0))) for u in COUNTS for y in reversed(YEARS)]
-    df = history.derive_response(spark.createDataFrame(rows, "su_id string, year int, landslide_count string"))
+    rows = [(u, y, str(COUNTS[u].get(y, 0)), COUNTS[u].get(y, 0)) for u in COUNTS for y in reversed(YEARS)]
+    df = history.derive_response(spark.createDataFrame(rows, "su_id string, year int, landslide_count string, shallow_active int"))
     return history.build_history(df, [1994, 1995]).persist()
 
 
@@ -35,8 +37,8 @@ def test_block(panel):
 
 
 def test_audits(panel):
-    totals = history.exclusion_summary(history.exclusion_audit(panel)).where("analysis = 'all_landslides'").first()
-    assert (totals["slope_unit_years"], totals["pre_first_excluded"], totals["gap_crossing_excluded_from_risk"], totals["retained_risk_rows"]) == (30, 15, 1, 14)
+    totals = history.exclusion_summary(history.exclusion_audit(panel)).where("analysis = 'recurrence'").first()
+    assert (totals["potential_slope_unit_years"], totals["pre_first_excluded"], totals["gap_crossing_excluded"], totals["retained_risk_rows"]) == (30, 15, 1, 14)
     support = {r["gap_time_category"]: (r["n_slope_unit_years"], r["active_outcomes"], r["n_slope_units"]) for r in history.risk_support(panel).collect()}
     assert support == {"1_year": (5, 0, 2), "2_years": (3, 1, 2), "3_5_years": (3, 0, 2), "gt10_years": (3, 1, 2)}
     rates = randomization.observed_gap_rates(history.risk_set(panel))
@@ -52,8 +54,26 @@ def test_events_give_the_response(spark):
     events = spark.createDataFrame([("A", 2000, " Shallow "), ("A", 2000, "deep"), (None, 2000, "deep")], "su_id string, year int, type string")
     got = {r["year"]: (r["landslide_count"], r["shallow_count"], r["active"]) for r in history.derive_response(panel, events).collect()}
     assert got == {2000: (2.0, 1.0, 1), 2001: (0.0, 0.0, 0)}
-    negative = spark.createDataFrame([("A", 2000, "-3"), ("A", 2001, "x"), ("A", 2002, None)], "su_id string, year int, count string")
-    assert {r["landslide_count"] for r in history.derive_response(negative).collect()} == {0.0}
+    negative = spark.createDataFrame([("A", 2000, "-3"), ("A", 2001, "x"), ("A", 2002, None), ("A", 2003, "NaN")], "su_id string, year int, count string")
+    assert {(r["landslide_count"], r["active"]) for r in history.derive_response(negative, events).collect()} == {(0.0, 0)}
+    unnamed = events.drop("type")
+    with pytest.raises(contract.ContractError):
+        history.derive_response(panel, unnamed)
+
+
+def test_flags_are_no_counts(spark):
+    rows = spark.createDataFrame([("A", 2000, 3.0, float("nan")), ("A", 2001, float("nan"), 2.0), ("A", 2002, None, 0.0)], "su_id string, year int, occurrence double, Shallow_Occurrence double")
+    got = {r["year"]: (r["landslide_count"], r["active"], r["shallow_count"], r["shallow_active"]) for r in history.derive_response(rows).collect()}
+    assert got == {2000: (1.0, 1, 0.0, 0), 2001: (0.0, 0, 1.0, 1), 2002: (0.0, 0, 0.0, 0)}
+    # a flag of all events gives way to the events themselves
+    events = spark.createDataFrame([("A", 2001, "deep"), ("A", 2001, "deep")], "su_id string, year int, type string")
+    assert {r["year"]: r["landslide_count"] for r in history.derive_response(rows, events).collect()} == {2000: 0.0, 2001: 2.0, 2002: 0.0}
+
+
+def test_a_panel_without_a_response_raises(spark):
+    for columns in ("su_id string, year int", "su_id string, year int, count int"):
+        with pytest.raises(contract.ContractError):
+            history.derive_response(spark.createDataFrame([], columns))
 
 
 def test_chains_agree_with_the_relational_rates(spark, panel):
@@ -85,11 +105,21 @@ def test_swaps_are_those_of_sets():
     rng = np.random.default_rng(5)
     masks = [int(x) for x in rng.integers(1, 63, 40)]
     rows = [{i for i in range(6) if x >> i & 1} for x in masks]
-    state, again, accepted = randomization.Swaps(masks, 6, 3), np.random.default_rng(3), 0
-    state.run(3000)
+    again, accepted = np.random.default_rng(3), 0
+    swaps = randomization.swapped(masks, 6, np.random.default_rng(3), 3000)
     a, b, c, d = again.integers(40, size=3000), again.integers(39, size=3000), again.integers(6, size=3000), again.integers(5, size=3000)
     for i, j, x, y in zip(a, b + (b >= a), c, d + (d >= c), strict=True):
         p, q = rows[i], rows[j]
         if (x in p) != (y in p) and (x in q) != (y in q) and (x in p) != (x in q):
             rows[i], rows[j], accepted = p ^ {int(x), int(y)}, q ^ {int(x), int(y)}, accepted + 1
-    assert accepted == state.accepted > 0 and [sum(1 << x for x in r) for r in rows] == state.masks
+    assert accepted == swaps > 0 and [sum(1 << x for x in r) for r in rows] == masks
+
+
+def test_chains_go_on_where_they_stopped(spark, panel):
+    matrix, plan = history.activity_matrix(panel, YEARS), randomization.schedule(spark, 10, [1, 2])
+    whole = {tuple(r) for r in randomization.swap_chains(matrix, plan, YEARS, [1994, 1995], 50, 20).collect()}
+    start = randomization.chain_starts(matrix, plan)
+    one = randomization.chain_steps(start.withColumn("n_draws", F.lit(3)), YEARS, [1994, 1995], 50, 20).persist()
+    two = randomization.chain_steps(randomization.chain_after(start, one, 2), YEARS, [1994, 1995], 50, 20)
+    parts = one.unionAll(two).where("gap_time_category is not null").drop("masks", "generator")
+    assert {tuple(r) for r in parts.collect()} == whole

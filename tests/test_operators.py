@@ -8,25 +8,79 @@ import pytest
 from pyspark.sql import functions as F
 
 from chronopanel.functions import scalar
-from chronopanel.operators import audit, covariates, evaluate, forward, models, randomization, report, spatial
+from chronopanel.operators import audit, covariates, effects, evaluate, forward, models, ordered, randomization, report, spatial
 from chronopanel.sources import contract, geopackage, sinks
 
 
 def test_nearest_prior(spark):
     at = spark.createDataFrame([("u", 1, 0.0, 0.0, 1992), ("u", 2, 3.0, 4.0, 1993), ("u", 3, 0.0, 1.0, 1998), ("u", 4, 6.0, 8.0, 1999)], "su_id string, slot long, x_m double, y_m double, year int")
-    found = spatial.nearest_prior(at.select("su_id", "slot", "year"), spatial.pair_distances(at), [1994, 1995])
+    found = spatial.nearest_prior(at, [1994, 1995])
     assert {r["slot"]: (r["gap_years"], r["nearest_prior_distance_m"]) for r in found.collect()} == {2: (1, 5.0), 4: (1, 5.0)}
     summary = {r["gap_model"]: (r["n"], r["median_distance_m"]) for r in spatial.distance_summary(found).collect()}
     assert summary["overall"] == (2, 5.0) and summary["gt10_years"] == (0, None) and len(summary) == 6
 
 
+@pytest.mark.parametrize(("piece", "pairs"), [(4096, 2_000_000), (7, 50)])
+def test_nearest_prior_in_slices(spark, monkeypatch, piece, pairs):
+    monkeypatch.setattr(spatial, "SLICE", piece)
+    monkeypatch.setattr(spatial, "PAIRS", pairs)
+    rng = np.random.default_rng(6)
+    rows = [(str(u), i, *map(float, rng.random(2)), int(rng.integers(2000, 2006))) for u in range(3) for i in range((40, 1, 90)[u])]
+    got = {(r["su_id"], r["slot"]): (r["last_prior_year"], r["nearest_prior_distance_m"]) for r in spatial.nearest_prior(spark.createDataFrame(rows, "su_id string, slot long, x_m double, y_m double, year int"), [2003]).collect()}
+    want = {}
+    for u, i, x, y, t in rows:
+        before = [(q, math.hypot(x - a, y - b)) for v, _, a, b, q in rows if v == u and q < t]
+        if before and not (last := max(q for q, _ in before)) < 2003 < t:
+            want[u, i] = (last, pytest.approx(min(d for _, d in before)))
+    assert got == want
+    assert spatial.nearest_prior(spark.createDataFrame([], "su_id string, slot long, x_m double, y_m double, year int"), []).count() == 0
+
+
+def test_event_identity_does_not_depend_on_partitions(spark):
+    rows = spark.createDataFrame([("u", 2000, 1.0), ("u", 2000, 1.0), ("v", 2001, None), ("w", None, 2.0)], "su_id string, year int, x_m double")
+    ids = lambda df: sorted(r["source_event_index"] for r in spatial.event_identity(df).collect())
+    assert ids(rows) == ids(rows.repartition(3)) and len(set(ids(rows))) == 4
+    assert {r["source_event_index"] for r in spatial.event_identity(rows.withColumn("fid", F.lit(7))).collect()} == {"7"}
+
+
+@pytest.mark.parametrize("slices", [2, 64])
+def test_prefix_sums_and_quantiles(spark, monkeypatch, slices):
+    monkeypatch.setattr(ordered, "SLICES", slices)
+    rng = np.random.default_rng(8)
+    data = pd.DataFrame({"g": rng.choice(["a", "b"], 300), "v": rng.integers(0, 40, 300) / 4, "w": rng.integers(0, 5, 300), "id": np.arange(300)})
+    df = spark.createDataFrame(data)
+    got = ordered.prefix_sums(df, ["g"], F.col("v"), [F.col("id")], {"s": F.col("w")}, descending=True).toPandas().set_index("id")["s"]
+    want = data.sort_values(["g", "v", "id"], ascending=[True, False, True]).assign(s=lambda d: d.groupby("g")["w"].cumsum()).set_index("id")["s"]
+    assert (got.sort_index() == want.sort_index()).all()
+    shares = [0, 0.1, 0.5, 0.9, 1]
+    for by in (["g"], []):
+        for r in ordered.quantiles(df, by, "v", shares).collect():
+            own = data[data["g"] == r["g"]]["v"] if by else data["v"]
+            assert r["quantiles"] == pytest.approx(np.quantile(own, shares))
+    names = spark.createDataFrame([("b",), ("a",), ("aaaaaaaaz",), ("aaaaaaaab",), ("é",)], "k string")
+    assert {r["k"]: r["code"] for r in covariates.cluster_codes(names, "k").collect()} == {"a": 0, "aaaaaaaab": 1, "aaaaaaaaz": 2, "b": 3, "é": 4}
+
+
+@pytest.mark.parametrize(("n", "most"), [(11, 4), (5, 9), (100, 7), (10, 1), (9, 9), (30, 29)])
+def test_thinning(spark, n, most):
+    got = sorted(r["k"] for r in randomization.thinned(spark.range(n).withColumnRenamed("id", "k"), "k", most).collect())
+    assert got == sorted({i * (n - 1) // (most - 1) if most > 1 else 0 for i in range(most)} if n > most else range(n))
+
+
+def test_no_spread_raises(spark):
+    flat = spark.createDataFrame([("a", 1, 2.0), ("b", 1, 2.0), ("a", 2, 2.0)], "su_id string, year int, x double")
+    for df in (scalar.zscored(flat, {"x": "z"}), covariates.within_between(flat, flat, "x")):
+        with pytest.raises(Exception, match="no spread"):
+            df.collect()
+
+
 def test_rounding_is_half_even(spark):
     df = spark.createDataFrame([(0.5,), (1.5,), (2.5,)], "x double")
     assert [r[0] for r in df.select(scalar.quantised(F.col("x"), 1.0)).collect()] == [0, 2, 2]
 
 
 def test_permutations_keep_each_units_years(spark):
-    at = spark.createDataFrame([("u", i, 1990 + i % 3) for i in range(7)] + [("v", i, 2000 + i) for i in range(3)], "su_id string, slot long, year int")
+    at = spark.createDataFrame([("u", i, 1990 + i % 3) for i in range(7)] + [("v", i, 2000 + i) for i in range(3)], "su_id string, slot long, year int").withColumns({"x_m": F.lit(0.0), "y_m": F.lit(0.0)})
     for r in spatial.permuted_years(at, 5, 1).groupBy("perm", "su_id").agg(F.sort_array(F.collect_list("year")).alias("y")).collect():
         assert r["y"] == sorted([1990 + i % 3 for i in range(7)] if r["su_id"] == "u" else [2000, 2001, 2002])
     everywhere = spatial.permuted_years(at, 3, 1, scope="global").groupBy("perm").agg(F.count("*").alias("n"), F.sum("year").alias("s")).collect()
@@ -112,24 +166,17 @@ def test_binomial_and_cluster_covariance(regression):
         return g / (g - 1) * 599 / 597 * bread @ s.T @ s @ bread
 
     want = one(data["a"].to_numpy()) + one(data["b"].to_numpy()) - one((data["a"] + "|" + data["b"]).to_numpy())
-    assert models.two_way_covariance(df, fit, "a", "b") == pytest.approx(want, abs=1e-10)
+    assert models.two_way_covariance(df, fit, "a", "b") == (40, 25)
+    assert fit.covariance == pytest.approx(want, abs=1e-10)
     w, k, tail = models.joint_test(fit, ["u", "v"])
     assert k == 2 and tail == pytest.approx(math.exp(-w / 2))
-    (effect, gradient), = models.marginal_effects(df, fit, {"all": {}}, {"u": F.col("u") + 1}).values()
+    (effect, gradient), = models.marginal_effects(df, fit, {"all": {}}, "u").values()
     moved = x + [0, 1, 0]
     q = 1 / (1 + np.exp(-moved @ fit.beta))
     assert effect == pytest.approx((q - p).mean())
     assert gradient == pytest.approx(((q * (1 - q))[:, None] * moved - (p * (1 - p))[:, None] * x).mean(0))
 
 
-def test_penalised_logit(regression):
-    data, df = regression
-    scored, beta = models.penalised_logit(df, df, ["u", "v"])
-    want = _newton(data[["one", "u", "v"]].to_numpy(), data["active"].to_numpy(), 1.0)
-    assert [beta["intercept"], beta["u"], beta["v"]] == pytest.approx(want, abs=1e-8)
-    assert scored.select("predicted_probability").first()[0] is not None
-
-
 def test_mixed_model_finds_what_was_put_in(spark):
     rng = np.random.default_rng(2)
     unit = np.repeat(np.arange(150), 12)
@@ -140,27 +187,44 @@ def test_mixed_model_finds_what_was_put_in(spark):
     assert fit["log_odds_mean"][1] == pytest.approx(0.9, abs=0.2) and 0.4 < fit["random_sd"] < 1.3
 
 
-def test_imputation_and_scaling(spark):
-    df = spark.createDataFrame([(1.0, True), (3.0, True), (None, True), (9.0, False)], "x double, train boolean")
-    got = [r["x_s"] for r in covariates.imputed(df, F.col("train"), ["x"]).orderBy("x").collect()]
-    sd = np.std([1, 3, 2])
-    assert got == pytest.approx([0, -1 / sd, 1 / sd, 7 / sd])
-
-
 def test_contract(spark, tmp_path):
-    df = contract.canonicalise(spark.createDataFrame([(" a\t", "2001")], "Unit_ID string, event_year string"), ("su_id", "year"))
-    assert tuple(df.first()) == ("a", 2001)
-    with pytest.raises(contract.ContractError):
-        contract.find_column(["x"], ["y"], "y")
+    df = contract.canonicalise(spark.createDataFrame([(" a\t", "2001", "x")], "SUID string, year_original string, lithology string"), ("su_id", "year", "parent_material"))
+    assert tuple(df.first()) == ("a", 2001, "x") and df.columns == ["su_id", "year", "parent_material"]
+    assert contract.resolved(["Cat", "n_shallow", "shallow_landslide_count", "SHALLOW_COUNT"], ["su_id", "shallow_count", "year"]) == {"su_id": "Cat", "shallow_count": "SHALLOW_COUNT"}
+    both = contract.canonicalise(spark.createDataFrame([("u", "code", "name")], "su_id string, parent_material_code string, parent_material string"), ("su_id", "parent_material"))
+    assert both.first()["parent_material"] == "code"
+    with pytest.raises(contract.ContractError, match="year.*weight"):
+        contract.canonicalise(df.drop("year"), ("su_id", "year", "weight"))
+    with pytest.raises(Exception, match="null su_id"):
+        contract.canonicalise(spark.createDataFrame([(None,)], "su_id string")).collect()
     twice = spark.createDataFrame([("a",), ("a",)], "su_id string")
-    with pytest.raises(contract.ContractError):
-        contract.assert_unique(twice, ["su_id"], "twice")
+    with pytest.raises(contract.ContractError, match="su_id=a"):
+        contract.keyed(twice, ["su_id"], "twice")
     with pytest.raises(contract.ContractError):
         contract.checked_join(df, twice, ["su_id"])
+    with pytest.raises(contract.ContractError):
+        contract.checked_join(twice, df, ["su_id"], one_to_one=True)
     with pytest.raises(contract.ContractError):
         contract.assert_passed(contract.contract_checks(df, {"weight": ("weight",)}, "t"))
     (tmp_path / "a.csv").write_text("x")
-    assert contract.one_of(str(tmp_path), ["a.csv", "b.csv"]).name == "a.csv"
+    assert contract.one_of(spark, str(tmp_path), ["a.csv", "b.csv"]).endswith("/a.csv")
+    (tmp_path / "b.csv").write_text("x")
+    with pytest.raises(contract.ContractError):
+        contract.one_of(spark, str(tmp_path), ["a.csv", "b.csv"])
+
+
+def test_input_checks(spark):
+    failed = lambda df, kind, terrain=(): {r["check"] for r in contract.input_checks(df, kind, "t", terrain).collect() if not r["passed"]}
+    events = spark.createDataFrame([("a", 2000, " Shallow", 1.0, 2.0), ("b", 2001, "deep", None, 2.0)], "su_id string, event_year int, type string, x_m double, y_m double")
+    assert failed(events, "events") == {"rows without geometry"}
+    assert failed(events.where("su_id = 'b'").drop("x_m"), "events") == {"has points", "shallow events"}
+    rain = spark.createDataFrame([("a", 1, 1.0), ("a", 1, 2.0), (None, 2, 1.0)], "su_id string, year int, Rx1day double")
+    assert failed(rain, "rainfall") == {"units without a name", "repeated su_id year", *[f"has {c}" for c in contract.RAINFALL if c != "rx1day_mm"]}
+    terrain = spark.createDataFrame([("a", 1.0)], "su_id string, relief_m double")
+    assert failed(terrain, "terrain", ["relief_m"]) == set() and failed(terrain, "terrain", ["twi_median"]) == {"has twi_median"}
+    units = spark.createDataFrame([("a", "Point", 1.0, 1.0, 0)], "su_id string, geometry_type string, x_m double, y_m double, srs_id int")
+    assert failed(units, "slope_units") == {"rows that are no polygons", "rows without a spatial reference"}
+    assert failed(spark.createDataFrame([], "su_id string, year int"), "response") == {"has rows"}
 
 
 def test_table_comparison(spark):
@@ -183,53 +247,200 @@ def test_geopackage(spark, tmp_path):
     import struct
 
     head = b"GP\0\x01" + struct.pack("<i", 32644)
+    ring = lambda *p: struct.pack(f"<I{2 * len(p)}d", len(p), *[x for q in p for x in q])
     point = head + struct.pack("<BIdd", 1, 1, 3.0, 4.0)
-    polygon = head + struct.pack("<BIII8d", 1, 3, 1, 4, 0, 0, 2, 0, 2, 6, 0, 0)
+    polygon = head + struct.pack("<BII", 1, 3, 2) + ring((0, 0), (6, 0), (6, 6), (0, 6), (0, 0)) + ring((1, 1), (5, 1), (5, 5), (1, 5), (1, 1))
     path = tmp_path / "x.gpkg"
     db = sqlite3.connect(path)
     db.executescript("CREATE TABLE gpkg_geometry_columns (table_name, column_name, srs_id); INSERT INTO gpkg_geometry_columns VALUES ('e', 'geom', 32644); CREATE TABLE e (su_id, geom)")
     db.executemany("INSERT INTO e VALUES (?, ?)", [("a", point), ("b", polygon), ("c", None)])
     db.commit()
     db.close()
-    got = {r["su_id"]: (r["x_m"], r["y_m"]) for r in geopackage.read_geopackage(spark, str(path)).collect()}
-    assert got == {"a": (3.0, 4.0), "b": (1.0, 3.0), "c": (None, None)}
+    got = {r["su_id"]: r for r in geopackage.read_geopackage(spark, str(path)).collect()}
+    assert (got["a"]["x_m"], got["a"]["y_m"], got["a"]["geometry_type"], got["a"]["srs_id"]) == (3.0, 4.0, "Point", 32644)
+    assert got["b"]["su_area_m2"] == 20 and got["b"]["geometry_type"] == "Polygon" and got["b"]["x_m"] in (0.5, 5.5) and 0 < got["b"]["y_m"] < 6
+    assert (got["c"]["x_m"], got["c"]["su_area_m2"]) == (None, None)
 
 
 def test_sinks(spark, tmp_path):
-    df = spark.createDataFrame([(1, "x"), (2, None)], "a int, b string")
+    df = spark.createDataFrame([(2, "x"), (1, None)], "a int, b string").orderBy("a")
     sinks.write_table(df, str(tmp_path / "t.csv"))
-    assert (tmp_path / "t.csv").read_text().splitlines() == ["a,b", "1,x", "2,"]
-    sinks.write_json(tmp_path / "m.json", sinks.manifest(spark, "s", "complete", [str(tmp_path / "t.csv")], [], {}))
-    assert len(sinks.file_hash(tmp_path / "m.json")) == 64
-
-
-def test_rainfall_effects(spark):
-    rng = np.random.default_rng(4)
-    n = 900
-    gap = rng.choice(["1_year", "2_years", "gt10_years"], n)
-    rain = rng.normal(size=n)
-    y = (rng.random(n) < 1 / (1 + np.exp(-(-1 + np.where(gap == "1_year", 1.5, 0.0) * rain)))).astype(int)
-    frame = spark.createDataFrame(pd.DataFrame({"su_id": rng.integers(0, 90, n).astype(str), "grid_id": rng.integers(0, 9, n).astype(str), "year": rng.integers(2000, 2005, n), "gap_shallow_category": gap, "shallow_active": y, "rx7day_mm": rain}))
-    got = forward.rainfall_effects(frame, ["rx7day_mm"])
-    effects = {r["state"]: r["estimate"] for r in got["effects"].collect()}
-    assert effects["1_year"] > 0.15 and abs(effects["gt10_years"]) < 0.1
-    contrasts = {r["state"]: r for r in got["contrasts"].collect()}
-    assert set(contrasts) == {"1_year", "2_years"} and contrasts["1_year"]["p_holm"] >= contrasts["1_year"]["p"]
-    assert got["joint_tests"].first()["df"] == 2
-
-
-def test_forward_predictions_see_only_the_past(spark):
-    rng = np.random.default_rng(5)
-    n = 400
+    assert (tmp_path / "t.csv").read_text().splitlines() == ["a,b", "1,", "2,x"]
+    sinks.write_table(df.limit(0), str(tmp_path / "t.csv"))
+    assert (tmp_path / "t.csv").read_text().splitlines() == ["a,b"]
+    (tmp_path / "x").write_text("abc")
+    found = sinks.file_hashes(spark, [str(tmp_path / "x")])
+    assert list(found.values()) == ["ba7816bf8f01cfea414140de5dae2223b00361a396177a9cb410ff61f20015ad"] == [sinks.local_hash(tmp_path / "x")]
+    sinks.write_json(spark, str(tmp_path / "m.json"), sinks.manifest(spark, "s", "complete", found, {}, {}))
+    assert '"status": "complete"' in (tmp_path / "m.json").read_text()
+
+
+def _panel(seed, n=900):
+    """A rainfall frame, as base of the models would be made from, and rainfall of all years."""
+    rng = np.random.default_rng(seed)
+    units, years = [f"u{i}" for i in range(90)], range(1995, 2005)
+    rain = pd.DataFrame([(u, y, rng.gamma(2.0)) for u in units for y in years], columns=["su_id", "year", "rx7day_mm"])
+    frame = rain.sample(n, random_state=1).query("year >= 1998").copy()
+    k = len(frame)
+    frame["gap_shallow_category"] = rng.choice(["1_year", "2_years", "3_5_years", "6_10_years", "gt10_years"], k)
+    place = frame["su_id"].str[1:].astype(int)
+    frame = frame.assign(relief_m=place * 1.0, log_su_area=np.sin(place), parent_material=np.array(["UF1", "UF2", "GN"])[place % 3], grid_id=(place % 9).astype(str))
+    frame = frame.assign(prior_shallow_failure=1, shallow_history_crosses_missing_gap=0, prior_shallow_active_years_log1p=np.log1p(rng.integers(1, 6, k)))
+    eta = -0.8 + np.where(frame["gap_shallow_category"] == "1_year", 0.7, 0.1) * (frame["rx7day_mm"] - 2)
+    frame["shallow_active"] = (rng.random(k) < 1 / (1 + np.exp(-eta))).astype(int)
+    frame.loc[frame.index[0], "relief_m"] = None
+    return frame, rain
+
+
+def test_rainfall_models_are_those_of_the_formula(spark):
+    """Coefficients, covariance, effects and contrasts from NumPy, by the formula term by term."""
+    frame, rain = _panel(4)
+    static = ["relief_m", "log_su_area"]
+    base, audit_rows = effects.rainfall_base(spark.createDataFrame(frame), static, {"UF1": "UF", "UF2": "UF"}, [])
+    assert {r["stage"]: r["rows"] for r in audit_rows.collect()} == {"before_parent_material_exclusion": len(frame), "after_parent_material_exclusion": len(frame)}
+    tables, records = effects.rainfall_effects(base, spark.createDataFrame(rain), {7: "rx7day_mm"}, static, sample=None)
+    z = lambda v: (v - v.mean()) / v.std(ddof=1)
+    unit = rain.groupby("su_id")["rx7day_mm"].agg(["mean", "std"])
+    d = frame.copy()
+    d["rx"] = (d["rx7day_mm"] - d["su_id"].map(unit["mean"])) / d["su_id"].map(unit["std"])
+    own = unit.loc[d["su_id"].unique(), "mean"]
+    d["between"] = (d["su_id"].map(unit["mean"]) - own.mean()) / own.std(ddof=1)
+    for c in ("prior_shallow_active_years_log1p", *static):
+        d[f"{c}_z"] = z(d[c])
+    d = d.dropna()
+    d["material"] = d["parent_material"].replace({"UF1": "UF", "UF2": "UF"})
+    gaps = ["1_year", "2_years", "3_5_years", "6_10_years"]
+    years = sorted(d["year"].unique())[1:]
+
+    def design(d, state=None, more=0.0):
+        rx = d["rx"] + more
+        mark = [((d["gap_shallow_category"] == g) if state is None else pd.Series(state == g, d.index)).astype(float) for g in gaps]
+        return np.column_stack([np.ones(len(d)), *mark, (d["material"] == "UF").astype(float), *[(d["year"] == y).astype(float) for y in years], rx, *[rx * m for m in mark], d["between"], d["prior_shallow_active_years_log1p_z"], d["relief_m_z"], d["log_su_area_z"]])
+
+    x, y = design(d), d["shallow_active"].to_numpy()
+    beta = _newton(x, y)
+    p = 1 / (1 + np.exp(-x @ beta))
+    bread, score = np.linalg.inv((x * (p * (1 - p))[:, None]).T @ x), (y - p)[:, None] * x
+    n, k = x.shape
+
+    def meat(codes):
+        s = pd.DataFrame(score).groupby(codes.to_numpy()).sum().to_numpy()
+        return len(s) / (len(s) - 1) * (n - 1) / (n - k) * bread @ s.T @ s @ bread
+
+    cell = d["grid_id"] + "__" + d["year"].astype(str)
+    v = meat(d["su_id"]) + meat(cell) - meat(d["su_id"] + "|" + cell)
+    got = tables["coefficients"].toPandas()
+    assert got["term"].tolist() == ["Intercept", *[f"gap={g}" for g in gaps], "material=UF", *[f"year={y}" for y in years], "rx_z", *[f"rx_z:gap={g}" for g in gaps], "rx_between_z", "prior_shallow_active_years_z", "relief_m_z", "log_su_area_z"]
+    assert got["estimate"].to_numpy() == pytest.approx(beta, abs=1e-7)
+    assert got["se_two_way_cluster"].to_numpy() == pytest.approx(np.sqrt(np.maximum(np.diag(v), 0)), rel=1e-5)
+    q = lambda s, more: 1 / (1 + np.exp(-design(d, s, more) @ beta))
+    want = {s: (q(s, 1.0) - q(s, 0.0)).mean() for s in [*gaps, "gt10_years"]}
+    grad = {s: ((q(s, 1.0) * (1 - q(s, 1.0)))[:, None] * design(d, s, 1.0) - (q(s, 0.0) * (1 - q(s, 0.0)))[:, None] * design(d, s)).mean(0) for s in want}
+    assert {r["history_state"]: r["AME_probability"] for r in tables["effects"].collect()} == pytest.approx(want, abs=1e-8)
+    for r in tables["contrasts"].collect():
+        g = grad[r["history_state"]] - grad["gt10_years"]
+        assert r["AME_contrast_probability"] == pytest.approx(want[r["history_state"]] - want["gt10_years"], abs=1e-8) and r["SE_contrast_two_way"] == pytest.approx(np.sqrt(g @ v @ g), rel=1e-5)
+    at = [got["term"].tolist().index(f"rx_z:gap={g}") for g in gaps]
+    w = beta[at] @ np.linalg.pinv(v[np.ix_(at, at)]) @ beta[at]
+    joint = tables["joint_tests"].first()
+    assert (joint["df"], joint["n_rows"], joint["n_SU_clusters"]) == (4, n, d["su_id"].nunique()) and joint["joint_interaction_wald_two_way"] == pytest.approx(w, rel=1e-4)
+    assert {r["variable"]: r["missing_rows"] for r in tables["missingness"].collect()}["relief_m_z"] == 1
+    multiplicity = tables["multiplicity"].collect()
+    assert len(multiplicity) == 5 and all(r["p_holm"] >= r["p_pointwise"] for r in multiplicity) and records[0]["n_rows"] == n
+    few, records = effects.rainfall_effects(base, spark.createDataFrame(rain), {7: "rx7day_mm"}, static, sample=50)
+    assert records[0]["n_standardization_rows"] == 50 and few["effects"].first()["n_standardized"] == 50
+
+
+def test_materials_can_be_left_out(spark):
+    frame, _ = _panel(4)
+    base, counts = effects.rainfall_base(spark.createDataFrame(frame), ["log_su_area"], {"UF1": "UF"}, ["UF", "UF2"])
+    rows = {r["stage"]: r["rows"] for r in counts.collect()}
+    assert rows["after_parent_material_exclusion"] == base.count() == (frame["parent_material"] == "GN").sum() < rows["before_parent_material_exclusion"]
+    with pytest.raises(ValueError, match="twi_median"):
+        effects.rainfall_base(spark.createDataFrame(frame), ["twi_median"], {}, [])
+
+
+def test_recurrence_model(spark):
+    rng = np.random.default_rng(7)
+    n = 600
+    gap = rng.choice(["1_year", "6_10_years", "gt10_years"], n)
+    x = rng.normal(size=n)
+    eta = -1 + 1.2 * (gap == "1_year") + 0.5 * x
+    data = pd.DataFrame({"su_id": rng.integers(0, 60, n).astype(str), "year": rng.integers(2000, 2003, n), "gap_time_category": gap, "prior_active_years_z": x, "monsoon_z": rng.normal(size=n), "active": (rng.random(n) < 1 / (1 + np.exp(-eta))).astype(int)})
+    tables, record = effects.recurrence_model(spark.createDataFrame(data), seed=1)
+    got = {r["term"]: r for r in tables["coefficients"].collect()}
+    assert set(got) == {"Intercept", "gap:T.1_year", "gap:T.6_10_years", "year:T.2001", "year:T.2002", "prior_active_years_z", "monsoon_z"}
+    assert got["gap:T.1_year"]["log_odds_mean"] == pytest.approx(1.2, abs=0.5) and got["prior_active_years_z"]["interval_low"] > 1
+    assert {r["display_term"] for r in tables["focal"].collect()} == {"1 year vs >10 years", "6–10 years vs >10 years", effects.BURDEN_LABEL, effects.MONSOON_LABEL}
+    assert record["success"] and record["rows"] == n and sum(r["n"] for r in tables["support"].collect()) == n
+
+
+def _folds(seed=5, n=400):
+    rng = np.random.default_rng(seed)
     x = rng.normal(size=n)
     data = pd.DataFrame({"su_id": np.arange(n).astype(str), "year": rng.integers(2000, 2004, n), "x": x, "z": rng.normal(size=n), "m": rng.choice(["a", "b"], n), "active": (rng.random(n) < 1 / (1 + np.exp(-2 * x))).astype(int)})
     data["rainfall_source_year"] = data["year"] - 1
-    data.loc[5, "x"] = None
-    data.loc[6, "m"] = None
-    first = forward.forward_predictions(spark.createDataFrame(data), [2002], {"P0": ["x"], "P1": ["x", "z"]}, "m").orderBy("model", "su_id").collect()
-    later = data.assign(active=np.where(data["year"] > 2002, 1 - data["active"], data["active"]), x=np.where(data["year"] > 2002, 99.0, data["x"]))
-    again = forward.forward_predictions(spark.createDataFrame(later), [2002], {"P0": ["x"], "P1": ["x", "z"]}, "m").orderBy("model", "su_id").collect()
+    data.loc[5, "x"], data.loc[6, "m"], data.loc[7, "z"] = None, None, float("nan")
+    data.loc[data["year"] == 2003, "m"] = data.loc[data["year"] == 2003, "m"].replace({"b": "new"})
+    return data
+
+
+def test_forward_predictions_are_those_of_each_fold(spark):
+    """Against NumPy, fold by fold: imputed and scaled by the training years, levels of training only."""
+    data, sets = _folds(), {"P0": ["x"], "P1": ["x", "z"]}
+    made = forward.forward_predictions(spark.createDataFrame(data), [2002, 2003], sets, "m", first_year=2001)
+    got = {(r["model"], r["test_year"], r["su_id"]): r["predicted_probability"] for r in made["predictions"].collect()}
+    named = {(r["model"], r["test_year"], r["feature"]): r["coefficient"] for r in made["coefficients"].collect()}
+    for t in (2002, 2003):
+        train, test = data[(data["year"] < t) & (data["year"] >= 2001)], data[data["year"] == t]
+        frequent = sorted(train["m"].dropna().value_counts().items(), key=lambda x: (-x[1], x[0]))[0][0]
+        levels = sorted(train["m"].dropna().unique())
+
+        def design(d, names, train=train, frequent=frequent, levels=levels):
+            columns = [np.ones(len(d))]
+            for c in names:
+                filled = train[c].fillna(train[c].median())
+                columns.append((d[c].fillna(train[c].median()) - filled.mean()) / filled.std(ddof=0))
+            return np.column_stack([*columns, *[(d["m"].fillna(frequent) == x).astype(float) for x in levels]])
+
+        for model, names in sets.items():
+            beta = _newton(design(train, names), train["active"].to_numpy(), 1.0)
+            assert named[model, t, "intercept"] == pytest.approx(beta[0], abs=1e-7) and named[model, t, "numeric__x"] == pytest.approx(beta[1], abs=1e-7)
+            want = 1 / (1 + np.exp(-design(test, names) @ beta))
+            assert [got[model, t, i] for i in test["su_id"]] == pytest.approx(want, abs=1e-7)
+    assert len(got) == 2 * (data["year"] >= 2002).sum() and (("P0", 2003, "categorical__m_b") in named) and (("P0", 2003, "categorical__m_new") not in named)
+
+
+def test_forward_predictions_see_only_the_past(spark):
+    data = _folds()
+    run = lambda d: forward.forward_predictions(spark.createDataFrame(d), [2002], {"P0": ["x"], "P1": ["x", "z"]}, "m")["predictions"].orderBy("model", "su_id").collect()
+    first = run(data)
+    again = run(data.assign(active=np.where(data["year"] > 2002, 1 - data["active"], data["active"]), x=np.where(data["year"] > 2002, 99.0, data["x"])))
     assert first == again and {r["max_training_year"] for r in first} == {2001} and {r["model"] for r in first} == {"P0", "P1"}
+    with pytest.raises(ValueError, match="missing predictors: q"):
+        forward.forward_predictions(spark.createDataFrame(data), [2002], {"P0": ["q"]}, "m")
+    with pytest.raises(ValueError, match="before 2000"):
+        forward.forward_predictions(spark.createDataFrame(data), [2000], {"P0": ["x"]}, "m")
+
+
+def test_calibration_lines(spark):
+    rng = np.random.default_rng(9)
+    p = rng.uniform(0.05, 0.95, 500)
+    data = pd.DataFrame({"model": np.where(np.arange(500) % 2, "a", "b"), "predicted_probability": p, "observed": (rng.random(500) < p**1.5).astype(int)})
+    data = pd.concat([data, pd.DataFrame({"model": "flat", "predicted_probability": 0.5, "observed": [0, 1]})])
+    got = {r["model"]: (r["calibration_intercept"], r["calibration_slope"]) for r in models.calibration_lines(spark.createDataFrame(data), ["model"]).collect()}
+    for m in "ab":
+        own = data[data["model"] == m]
+        x = np.column_stack([np.ones(len(own)), np.log(own["predicted_probability"] / (1 - own["predicted_probability"]))])
+        assert got[m] == pytest.approx(tuple(_newton(x, own["observed"].to_numpy())), abs=1e-7)
+    assert got["flat"] == (None, None)
+
+
+def test_leaks_are_found(spark):
+    rows = spark.createDataFrame([(2001, 2000, 2000), (2002, 2002, None), (2002, 2001, 2002)], "test_year int, max_training_year int, rainfall_source_year int")
+    got = [r["passed"] for r in audit.leakage_checks(rows, ["a", "rx10day_mm"], list(contract.RAINFALL)).collect()]
+    assert got == [False, True, False, False]
+    assert all(r["passed"] for r in audit.leakage_checks(rows.limit(1), ["rx10day_mm_lag1"], list(contract.RAINFALL)).collect())
 
 
 def test_report_tables(spark):
@@ -248,15 +459,3 @@ def test_chi_square_tail_of_odd_degrees():
     for x, df in ((3.841459, 1), (7.814728, 3), (11.070498, 5), (5.991465, 2), (9.487729, 4)):
         assert abs(chi2_tail(x, df) - 0.05) < 1e-6
     assert chi2_tail(0.0, 3) == 1.0
-
-
-def test_joint_test_of_an_odd_number_of_gaps(spark):
-    import random
-
-    from chronopanel.operators import forward
-
-    draw = random.Random(4)
-    rows = [(f"u{i % 40}", f"g{i % 5}", 2000 + i % 7, ("1_year", "gt10_years")[i % 2], int(draw.random() < 0.4), draw.gauss(0, 1)) for i in range(400)]
-    frame = spark.createDataFrame(rows, "su_id string, grid_id string, year int, gap_shallow_category string, shallow_active int, rx1day_mm double")
-    made = forward.rainfall_effects(frame, ["rx1day_mm"])["joint_tests"].collect()
-    assert [(r["measure"], r["df"]) for r in made] == [("rx1day_mm", 1)] and 0 <= made[0]["p"] <= 1

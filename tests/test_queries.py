@@ -31,7 +31,7 @@ def test_oracle(spark, sf, name):
     assert rows(got) == rows(want)
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLES) - {"forward_prediction"}))
+@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLES)))
 def test_runs(spark, sf, name):
     assert catalog.QUERIES[name](spark, sf).count() > 0
 

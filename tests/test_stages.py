@@ -7,41 +7,94 @@ import random
 import pytest
 
 from chronopanel.plans import stages
+from chronopanel.sources import contract
+
+YEARS = [y for y in range(1990, 2010) if y != 1991]
 
 
 @pytest.fixture
 def folder(tmp_path):
-    years = [2000, 2001, 2003, 2004]
-    rows = [(f"u{i}", y, (i * y) % 3 == 0) for i in range(12) for y in years]
-    with (tmp_path / "response_panel.csv").open("w", newline="") as f:
-        csv.writer(f).writerows([("su_id", "year", "count"), *[(u, y, int(a)) for u, y, a in rows]])
-    with (tmp_path / "events.csv").open("w", newline="") as f:
-        csv.writer(f).writerows([("su_id", "year", "type", "x_m", "y_m"), *[(u, y, "shallow", int(u[1:]) * 10 + y % 7, y % 5) for u, y, a in rows if a]])
     rng = random.Random(1)
-    with (tmp_path / "rainfall.csv").open("w", newline="") as f:
-        csv.writer(f).writerows([("su_id", "year", "monsoon_rainfall_mm", "rx7day_mm", "rx15day_mm"), *[(f"u{i}", y, rng.random() * 9, rng.random(), rng.random()) for i in range(12) for y in range(1999, 2005)]])
-    with (tmp_path / "terrain.csv").open("w", newline="") as f:
-        csv.writer(f).writerows([("su_id", "slope", "su_area_m2"), *[(f"u{i}", i * 1.5, 10.0 + i) for i in range(12)]])
-    with (tmp_path / "parent_material.csv").open("w", newline="") as f:
-        csv.writer(f).writerows([("su_id", "parent_material"), *[(f"u{i}", ["UF1", "UF2", "GN"][i % 3]) for i in range(12)]])
-    with (tmp_path / "grid_weights.csv").open("w", newline="") as f:
-        csv.writer(f).writerows([("su_id", "cell_id", "overlap_area"), *[(f"u{i}", f"g{i % 5}", 1.5) for i in range(12)]])
+    units = [f"u{i}" for i in range(40)]
+    active = {(u, y): rng.random() < (0.35, 0.08)[int(u[1:]) % 2] for u in units for y in YEARS}
+
+    def table(name, header, rows):
+        with (tmp_path / name).open("w", newline="") as f:
+            csv.writer(f).writerows([header, *rows])
+
+    table("response_panel.csv", ("SUID", "year", "count"), [(u, y, int(a)) for (u, y), a in active.items()])
+    table("events.csv", ("su_id", "year_original", "type", "x_m", "y_m"), [(u, y, "shallow", int(u[1:]) * 10 + rng.random() * 9, rng.random() * 9) for (u, y), a in active.items() if a])
+    rain = ("su_id", "year", "monsoon_mm", "rx1", "rx3", "rx5", "Rx7day", "rx10day_mm", "rx15day_mm", "rx30day_mm")
+    table("rainfall.csv", rain, [(u, y, *[rng.random() * 9 for _ in range(8)]) for u in units for y in range(1989, 2010)])
+    static = [x for x in stages.STATIC if x != "log_su_area"]
+    table("terrain.csv", ("su_id", *static), [(u, *[rng.randrange(50) for _ in static]) for u in units])  # whole numbers are numbers too
+    table("parent_material.csv", ("su_id", "lithology"), [(u, ["UF1", "UF2", "GN"][i % 3]) for i, u in enumerate(units)])
+    table("weights.csv", ("su_id", "cell_id", "overlap_area"), [(u, f"g{i % 5}", 1.5) for i, u in enumerate(units)])
+    table("slope_units.csv", ("su_id", "x_m", "y_m", "su_area_m2"), [(u, i, i, 100.0 + i) for i, u in enumerate(units)])
+    (tmp_path / "run.toml").write_text(f"""
+input = "."
+output = "out"
+observed_years = {YEARS}
+missing_years = [1991]
+files = {{grid_weights = "weights.csv"}}
+test_years = [2007, 2008, 2009]
+first_training_year = 1992
+""")
     return tmp_path
 
 
 def test_run(spark, folder):
-    config = stages.Config(str(folder), str(folder / "out"), [2000, 2001, 2003, 2004], [2002], test_years=[2003, 2004]).quick()
-    config.draws, config.permutations, config.burn_in, config.thin = 6, 3, 20, 5
-    stages.run(spark, config, ["validate", "history", "recurrence", "prediction", "temporal", "spatial", "publication_audit", "supplement"])
+    config = stages.Config.load(str(folder / "run.toml")).quick()
+    config.draws, config.permutations, config.burn_in, config.thin, config.checkpoint_draws = 6, 3, 20, 5, 1
+    stages.run(spark, config, list(stages.STAGES))
     out = folder / "out_quick"
-    assert json.loads((out / "manifests/history.json").read_text())["status"] == "complete"
-    assert len((out / "tables/prediction_pooled_metrics.csv").read_text().splitlines()) == 4
-    assert "included" in (out / "tables/supplement_index.csv").read_text()
-    assert len((out / "tables/spatial_null_summary.csv").read_text().splitlines()) == 7
+    read = lambda name: list(csv.DictReader((out / f"tables/{name}.csv").open()))
+    assert {json.loads((out / f"manifests/{s}.json").read_text())["status"] for s in stages.STAGES} == {"complete"}
+    assert len(json.loads((out / "manifests/validate.json").read_text())["inputs"]) == 7
+    assert {r["model"] for r in read("forward_metrics_pooled")} == set(stages.prediction_sets(config)) and read("forward_metrics_pooled")[0]["calibration_slope"]
+    assert len(read("forward_metrics_by_year")) == 6 and {"numeric__prior_failure", "categorical__parent_material_UF1"} <= {r["feature"] for r in read("prediction_fold_coefficients")}
+    assert {r["duration_days"] for r in read("rainfall_contrasts")} == {"7", "15"} and len(read("rainfall_contrasts")) == 8
+    terms = {r["term"] for r in read("rainfall_coefficients")}
+    assert {"rx_between_z", "prior_shallow_active_years_z", "log_su_area_z", "material=UF", "year=2001", "rx_z:gap=1_year"} <= terms and "material=UF1" not in terms
+    assert len(read("recurrence_focal_effects")) == 6 and any(r["term"].startswith("year:") for r in read("recurrence_all_coefficients"))
+    assert len(read("observed_vs_time_permutation")) == 6 and len(read("TableS7A_pooled_forward_prediction_performance")) == 3
+    checks = {(r["section"], r["check"]): r for r in read("publication_readiness_checks")}
+    assert {r["passed"] for r in checks.values()} == {"true"} and checks["rainfall", "durations"]["observed"] == "7,15"
+    assert {r["analysis"] for r in read("main_text_numerical_results")} == {"recurrence", "temporal fixed-margin null", "spatial chronology null", "forward prediction"}
+    index = read("Supplementary_File_Index")
+    assert {r["status"] for r in index} == {"included"} and (out / "supplement" / f"{index[0]['supplement_number']}_{index[0]['file'].split('/')[1]}").exists()
+    assert len(read("figure_manifest")) > 5 and json.loads((out / "models/forward_prediction_specification.json").read_text())["quick_mode"]
+    # a stage whose table is gone is told by the audit
+    (out / "tables/rainfall_contrasts.csv").unlink()
+    config.expected = {"prediction: held-out rows of each model": "1"}
+    stages.run(spark, config, ["publication_audit"])
+    summary = json.loads((out / "tables/publication_readiness_summary.json").read_text())
+    assert summary["blocking_check_names"] == ["prediction: held-out rows of each model", "rainfall: AME contrast table"]
+
+
+def test_chains_are_resumed(spark, folder):
+    config = stages.Config.load(str(folder / "run.toml"))
+    config.draws, config.burn_in, config.thin, config.checkpoint_draws = 9, 20, 5, 2
+    stages.run(spark, config, ["history", "temporal"])
+    first = (folder / "out/tables/temporal_fixed_margin_summary.csv").read_text()
+    batch = next((folder / "out/data").glob("temporal_steps_*_000002.parquet"))
+    before = batch.stat().st_mtime_ns
+    stages.run(spark, config, ["temporal"])
+    assert batch.stat().st_mtime_ns == before and (folder / "out/tables/temporal_fixed_margin_summary.csv").read_text() == first
 
 
-def test_failed_stage_leaves_a_manifest(spark, folder):
-    config = stages.Config(str(folder), str(folder / "out"), [1999], [])
-    with pytest.raises(ValueError):
+def test_failed_stages_leave_their_manifest(spark, folder):
+    config = stages.Config.load(str(folder / "run.toml"))
+    config.observed_years = [1999]
+    for stage in ("validate", "history"):
+        with pytest.raises(ValueError):
+            stages.run(spark, config, [stage])
+        assert json.loads((folder / f"out/manifests/{stage}.json").read_text())["status"] == "failed"
+    config = stages.Config.load(str(folder / "run.toml"))
+    (folder / "terrain.csv").unlink()
+    with pytest.raises(contract.ContractError, match="terrain: exists"):
         stages.run(spark, config, ["validate"])
-    assert json.loads((folder / "out/manifests/validate.json").read_text())["status"] == "failed"
+    assert "terrain,exists,false,missing" in (folder / "out/tables/input_contract.csv").read_text()
+    config.lagged = ["rx2day_mm"]
+    with pytest.raises(contract.ContractError, match="rx2day_mm"):
+        stages.prediction(stages.Context(spark, config))
