@@ -4,14 +4,20 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+from chronopanel.sources import files
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path under ``spark.checkpoint.dir``.
+_scopes: list[list[str]] = []
 
-    Where that is unset, a local master gets a temporary folder of this machine, as in tests; any other raises, since executors
+
+def shared_path(spark: SparkSession, name: str, keep: bool = False) -> str:
+    """A new path under ``spark.checkpoint.dir``; within :func:`temporary` it goes at the end, unless it's kept.
+
+    Where the setting is missing, a local master gets a temporary folder of this machine, as in tests; any other raises, since executors
     elsewhere would write to their own disks.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -21,12 +27,28 @@ def shared_path(spark: SparkSession, name: str) -> str:
         base = tempfile.mkdtemp(prefix="checkpoints-")
         spark.sparkContext.setCheckpointDir(base)
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if _scopes and not keep:
+        _scopes[-1].append(path)
+    return path
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """df as a Parquet table in the shared folder: its lineage ends there, so lost executors cost no more than a reread."""
     spark = df.sparkSession
-    path = shared_path(spark, name)
+    path = shared_path(spark, name, keep)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Tables written in this scope and not kept are deleted at its end. What is returned from it must rest on kept ones only."""
+    own: list[str] = []
+    _scopes.append(own)
+    try:
+        yield
+    finally:
+        _scopes.remove(own)
+        for path in own:
+            files.remove(spark, path)
