@@ -1,8 +1,10 @@
 """Benchmark decontamination: a broadcast hash set of the benchmark's word n-grams, looked up in every window of the documents.
 
-Items are read in blocks of at most ``block_words`` words. Each block becomes a table of window hashes whose size is thus
-bounded; documents pass through one lookup after the other in the same task, so a larger benchmark costs more passes over
-the words, never a larger broadcast or a shuffle. Each match of hashes is verified word by word.
+Items are read in blocks of at most ``block_words`` words; a longer item is cut into pieces that share a window less one word. Each
+block becomes a table of window hashes whose size is thus bounded. A benchmark of one block takes one pass over the documents. A
+larger one takes a pass for each block, in which found spans and items are written beside the documents and the block is
+destroyed before the next is made, so neither driver nor workers hold more than one. Each match of hashes is verified word by word.
+Texts are scanned in segments that share a window less one word, so what a task holds doesn't grow with a text's words.
 
 Texts are lower-cased (A-Z) and split into runs of letters, digits and bytes above 127. An item of fewer words than a
 window, but not none, is one window of its own length.
@@ -22,16 +24,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronopanel.llm.shared import HashedWords, windows
+from chronopanel.sources.tables import temporary, written
 
 WORDS = re.compile(rb"[0-9a-z\x80-\xff]+")
 WINDOW = 13
 #: Words of benchmark text behind one lookup table: about 200 MB of Python objects at the most.
 BLOCK_WORDS = 1_000_000
+#: Words of a text that are scanned together.
+SEGMENT_WORDS = 500_000
 #: Bits of the table that rejects most windows at once.
 SIEVE_BITS = 22
 
@@ -40,6 +44,20 @@ def words_of(text: str | None) -> list[bytes]:
     return WORDS.findall(text.encode("utf-8", "surrogatepass").lower()) if text else []
 
 
+def segments(text: str | None, overlap: int, most: int) -> Iterator[tuple[int, list[bytes]]]:
+    """(place of its first word, words) of segments of at most ``most`` words; each begins with the last ``overlap`` words of the one before it."""
+    if not text or len(text) < most:
+        yield 0, words_of(text)
+        return
+    at, held = 0, []
+    for m in WORDS.finditer(text.encode("utf-8", "surrogatepass").lower()):
+        held.append(m[0])
+        if len(held) == most:
+            yield at, held
+            at, held = at + most - overlap, held[most - overlap :]
+    yield at, held
+
+
 class Lookup:
     """Windows of some items: by length and hash, each with its words and the items that have it."""
 
@@ -78,13 +96,13 @@ class Lookup:
                         items |= ids
         return spans, items
 
-    def scan(self, texts: Iterator[str | None], hashed: HashedWords, most_chars: int = 4_000_000) -> Iterator[tuple[int, list[tuple[int, int]], set[str]]]:
-        """(words, spans, items) of each text; texts are taken together up to most_chars, so that short ones share the work."""
-        held: list[list[bytes]] = []
-        size = 0
+    def scan(self, texts: list[str | None], hashed: HashedWords, most_words: int = SEGMENT_WORDS) -> list[tuple[int, list[tuple[int, int]], set[str]]]:
+        """(words, spans, items) of each text; segments are taken together up to most_words, so that short texts share the work."""
+        out: list[tuple[int, list, set]] = [(0, [], set()) for _ in texts]
+        held: list[tuple[int, int, list[bytes]]] = []
 
-        def out():
-            words = [w for x in held for w in x]
+        def flush():
+            words = [w for _, _, x in held for w in x]
             hashes = hashed.of(words)
             found = {}
             for n, sieve in self.sieves.items():
@@ -92,17 +110,24 @@ class Lookup:
                 places = np.flatnonzero(sieve[(w & np.uint64((1 << SIEVE_BITS) - 1)).astype(np.int64)])
                 found[n] = (places, w[places])
             at = 0
-            for x in held:
-                yield len(x), *self.hits(words, hashes, at, at + len(x), found)
+            for i, first, x in held:
+                spans, items = self.hits(words, hashes, at, at + len(x), found)
+                _, known, ids = out[i]
+                known += [(first + a, first + b) for a, b in spans]
+                out[i] = (first + len(x), known, ids | items)
                 at += len(x)
+            held.clear()
 
-        for text in texts:
-            held.append(words_of(text))
-            size += len(text or "")
-            if size >= most_chars:
-                yield from out()
-                held, size = [], 0
-        yield from out()
+        size = 0
+        for i, text in enumerate(texts):
+            for first, words in segments(text, self.window - 1, most_words):
+                held.append((i, first, words))
+                size += len(words)
+                if size >= most_words:
+                    flush()
+                    size = 0
+        flush()
+        return out
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -132,43 +157,69 @@ def without(text: str, spans: list[tuple[int, int]]) -> str:
     return b"".join([*out, raw[at:]]).decode("utf-8", "surrogatepass")
 
 
-def lookups(benchmark: DataFrame, id_col: str, text_col: str, window: int, block_words: int) -> list[Broadcast]:
-    """Broadcast tables for blocks of items, read one partition at a time."""
-    sc, out, held, size = benchmark.sparkSession.sparkContext, [], [], 0
+def blocks(benchmark: DataFrame, id_col: str, text_col: str, window: int, block_words: int) -> Iterator[list[tuple[str, list[bytes]]]]:
+    """Items as words, in blocks of about block_words words, read one partition at a time; long items in pieces."""
+    held, size = [], 0
     for row in benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("i"), F.col(text_col).alias("t")).toLocalIterator():
-        words = words_of(row["t"])
-        held.append((row["i"], words))
-        size += len(words)
-        if size >= block_words:
-            out.append(sc.broadcast(Lookup(held, window)))
-            held, size = [], 0
-    if held or not out:
-        out.append(sc.broadcast(Lookup(held, window)))
-    return out
-
-
-def _scanner(tables: list[Broadcast], finish):
-    """A function for mapInArrow: runs every text of the column ``_text`` through all tables; finish makes the batch to return."""
+        for first, words in segments(row["t"], window - 1, max(block_words, 2 * window)):
+            if first and len(words) < window:
+                continue  # its words are all in the piece before
+            held.append((row["i"], words))
+            size += len(words)
+            if size >= block_words:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
+
+
+FOUND = "struct<n:long, spans:array<struct<start:long,end:long>>, items:array<string>>"
+_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+_FOUND = pa.struct([("n", pa.int64()), ("spans", _SPANS), ("items", pa.list_(pa.string()))])
+
+
+def _scanned(rows: DataFrame, benchmark: DataFrame, item_col: str, item_text_col: str, window: int, block_words: int, finish, schema) -> DataFrame:
+    """rows (…, _text) scanned for all blocks; finish makes a batch of schema of one of rows, its texts, and (words, spans, items) of each."""
+    spark = rows.sparkSession
+    sc = spark.sparkContext
+
+    def merge(known: list[dict | None] | None, one: list) -> list:
+        if known is None:
+            return [(n, merged(s), i) for n, s, i in one]
+        return [(n, merged([*s, *((x["start"], x["end"]) for x in k["spans"])]), i | set(k["items"])) for (n, s, i), k in zip(one, known, strict=True)]
+
+    def run(table, last: bool, first: bool):
+        def scan_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            hashed = HashedWords()
+            for batch in batches:
+                texts = batch.column("_text").to_pylist()
+                found = merge(None if first else batch.column("_found").to_pylist(), table.value.scan(texts, hashed))
+                own = batch if first else batch.select(range(batch.num_columns - 1))
+                if last:
+                    yield finish(own, texts, found)
+                else:
+                    told = [{"n": n, "spans": [{"start": a, "end": b} for a, b in s], "items": sorted(i)} for n, s, i in found]
+                    yield pa.RecordBatch.from_arrays([*own.columns, pa.array(told, _FOUND)], [*own.schema.names, "_found"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashed = HashedWords()
-        for batch in batches:
-            texts = batch.column("_text").to_pylist()
-            found = None
-            for table in tables:
-                one = list(table.value.scan(iter(texts), hashed))
-                found = one if found is None else [(n, s + t, i | j) for (n, s, i), (_, t, j) in zip(found, one, strict=True)]
-            found = [(n, merged(s), i) for n, s, i in found]
-            yield finish(batch, texts, found)
+        return scan_batches
 
-    return run
+    before, first = None, True
+    with temporary(spark):
+        for items in blocks(benchmark, item_col, item_text_col, window, block_words):
+            if before is not None:
+                shared = sc.broadcast(Lookup(before, window))
+                plain = rows if first else rows.drop("_found")
+                rows = written(rows.mapInArrow(run(shared, False, first), f"{plain.schema.simpleString()[7:-1]},_found:{FOUND}"), "decontamination-found")
+                shared.destroy()
+                first = False
+            before = items
+        last = rows.mapInArrow(run(sc.broadcast(Lookup(before or [], window)), True, first), schema)
+        return last if first else written(last, "decontamination-result", keep=True)
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, and spans (start and end, in words)."""
-    tables = lookups(benchmark, item_col, item_text_col, window, block_words)
     id_type = docs.schema[id_col].dataType.simpleString()
-    spans_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def finish(batch, texts, found):
         hit = [sum(b - a for a, b in s) for _, s, _ in found]
@@ -180,18 +231,17 @@ def scan(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_
                 pa.array([len(i) for _, _, i in found], pa.int64()),
                 pa.array([hashlib.sha256(",".join(sorted(i)).encode()).hexdigest() for _, _, i in found], pa.string()),
                 pa.array([contaminated(n, h) for (n, _, _), h in zip(found, hit, strict=True)], pa.bool_()),
-                pa.array([[{"start": a, "end": b} for a, b in s] for _, s, _ in found], spans_type),
+                pa.array([[{"start": a, "end": b} for a, b in s] for _, s, _ in found], _SPANS),
             ],
             ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans"],
         )
 
     schema = f"doc_id {id_type}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<struct<start:long,end:long>>"
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text")).mapInArrow(_scanner(tables, finish), schema)
+    return _scanned(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text")), benchmark, item_col, item_text_col, window, block_words, finish, schema)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS, remove: str = "documents") -> DataFrame:
     """The rows of docs, with all their columns, without contaminated documents (remove='documents'), or with the hit spans cut out of them (remove='spans')."""
-    tables = lookups(benchmark, item_col, item_text_col, window, block_words)
     place = docs.columns.index(text_col)
 
     def finish(batch, texts, found):
@@ -204,7 +254,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "tex
 
     names = [f"_{i}" for i in range(len(docs.columns))]
     plain = docs.toDF(*names)
-    out = plain.withColumn("_text", F.col(names[place])).mapInArrow(_scanner(tables, finish), plain.schema)
+    out = _scanned(plain.withColumn("_text", F.col(names[place])), benchmark, item_col, item_text_col, window, block_words, finish, plain.schema)
     return out.toDF(*docs.columns)
 
 

@@ -1,7 +1,8 @@
 """N-gram Jaccard join by PartEnum signatures, and the components of its links.
 
 A document's set holds its distinct shingles of n words (hashed to 64 bits); documents link at ``100 * common >= percent *
-union``. Documents with equal sets are one vertex.
+union``. Documents with equal sets are one vertex, named by 64 bits of a hash; where another hash tells that two sets have
+one name, all sets of that name are named anew, so that sets count as equal only if 128 bits are.
 
 Signatures. Sets of a band of sizes [low, high] that link differ in at most ``k = (100 - percent) * 2 * high / (100 +
 percent)`` features. The feature domain is hashed into n1 parts and each of these into n2; a signature is the projection on
@@ -13,15 +14,16 @@ unrelated documents have in common. A set also signs for the next band if it can
 
 Links. Vertices that share a signature are compared in two rounds, both in groups of bounded size. The first compares
 sketches, histograms of the features' hashes of about a byte for eight features: sets differ in as many features at least as their
-histograms do, so pairs whose histograms are too far apart are no links. There a signature's members meet one of them first, and one another
-only where that leaves them unconnected. The pairs that remain make families. The second
+histograms do, so pairs whose histograms are too far apart are no links. There a signature's members meet one of them first (those that are
+signed together one of their own, and only these the one of all), and one another only where that leaves them unconnected. The pairs that remain make families. The second
 compares the sets themselves, each sent once for its family. Either round passes over pairs that are connected
 already, and only what joins two components leaves a group, so a group of near copies never becomes a row for each pair, and
 no pair of a shared signature is skipped unless it is connected. Thus components are exact.
 
 Nulls, ties, and so on: texts that are null or have no words have the empty set and link with nothing; with fewer than n
 words the whole sequence is the one shingle; a null id takes part but never names a component that has another id; repeated
-rows are copies; an empty table gives an empty result; other columns don't matter.
+rows are copies; a very long text is hashed piece by piece, but its set is held as a whole, 8 bytes a word; an empty table gives an empty
+result; other columns don't matter, whatever their names.
 """
 
 from __future__ import annotations
@@ -36,7 +38,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from chronopanel.llm.shared import hashed_words, mixed, released, windows, written
+from chronopanel.llm.shared import hashed_words, mixed, released, windows
+from chronopanel.sources.tables import temporary, written
 
 #: Characters of text that are worked on together.
 CHUNK_CHARS = 3_000_000
@@ -50,6 +53,8 @@ BINS, LEAST_BINS = 256, 64
 SMALL_BUCKET, PAIRS_TOGETHER = 64, 2_000_000
 #: Bits of a signature; a collision only costs a comparison.
 SIGNATURE_BITS = 48
+#: Names that several sets may have before they are named anew.
+MOST_CLASHES = 1_000_000
 
 
 def shingle_sets(texts: list[str | None], n: int) -> list[np.ndarray]:
@@ -64,9 +69,18 @@ def shingle_sets(texts: list[str | None], n: int) -> list[np.ndarray]:
     return out
 
 
-def vertex(features: np.ndarray) -> int | None:
-    """What names a set: a hash of it; None for the empty one."""
-    return int(np.uint64(xxhash.xxh3_64_intdigest(features.tobytes())).astype(np.int64)) if len(features) else None
+def vertex(features: np.ndarray, bits: int = 64, clashes: frozenset[int] = frozenset()) -> int | None:
+    """What names a set: a hash of it, and another one where sets clash in the first; None for the empty one."""
+    if not len(features):
+        return None
+    name = xxhash.xxh3_64_intdigest(features.tobytes()) & ((1 << bits) - 1)
+    signed = int(np.uint64(name).astype(np.int64))
+    return _witness(features, 2) if signed in clashes else signed
+
+
+def _witness(features: np.ndarray, seed: int = 1) -> int:
+    """A hash apart from the name's."""
+    return int(np.uint64(xxhash.xxh3_64_intdigest(features.tobytes(), seed)).astype(np.int64))
 
 
 def sketch(features: np.ndarray) -> bytes:
@@ -150,22 +164,33 @@ def _chunks(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[l
     yield held
 
 
-def signed(docs: DataFrame, n: int, scheme: PartEnum) -> DataFrame:
-    """Of rows (id, check, text): a row (v, meta) for each, v naming its set (null where empty), and rows (s, v) for its signatures, once for copies in a chunk."""
+def signed(docs: DataFrame, n: int, scheme: PartEnum, bits: int = 64, clashes: frozenset[int] = frozenset()) -> DataFrame:
+    """Of rows (id, check, text): a row (v, meta) for each, v naming its set (null where empty), and rows (s, v, root) for its signatures.
+
+    Of the sets of a chunk that share a signature, the one with the least name has no root, and it is the root of the others. Copies in a chunk sign once.
+    """
     id_type = docs.schema["id"].dataType.simpleString()
-    kind = pa.struct([("id", to_arrow_type(docs.schema["id"].dataType)), ("check", pa.int64()), ("n", pa.int64()), ("sketch", pa.binary())])
+    kind = pa.struct([("id", to_arrow_type(docs.schema["id"].dataType)), ("check", pa.int64()), ("n", pa.int64()), ("w", pa.int64()), ("sketch", pa.binary())])
 
     def run(batches):
         for ids, checks, texts in _chunks(batches, ["id", "check", "text"]):
             sets = shingle_sets(texts, n)
-            names = [vertex(x) for x in sets]
-            meta = pa.array([{"id": i, "check": c, "n": len(x), "sketch": sketch(x)} for i, c, x in zip(ids, checks, sets, strict=True)], kind)
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(ids), pa.int64()), pa.array(names, pa.int64()), meta], ["s", "v", "meta"])
+            names = [vertex(x, bits, clashes) for x in sets]
+            meta = pa.array([{"id": i, "check": c, "n": len(x), "w": _witness(x), "sketch": sketch(x)} for i, c, x in zip(ids, checks, sets, strict=True)], kind)
+            none = pa.nulls(len(ids), pa.int64())
+            yield pa.RecordBatch.from_arrays([none, pa.array(names, pa.int64()), none, meta], ["s", "v", "root", "meta"])
             distinct = {v: x for v, x in zip(names, sets, strict=True) if v is not None}
             s, place = scheme.of(list(distinct.values()))
-            yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(np.array(list(distinct), np.int64)[place]), pa.nulls(len(s), kind)], ["s", "v", "meta"])
+            v = np.array(list(distinct), np.int64)[place]
+            order = np.lexsort((v, s))
+            s, v = s[order], v[order]
+            first = np.concatenate([[True], s[1:] != s[:-1]]) if len(s) else np.empty(0, bool)
+            root = v[first][np.cumsum(first) - 1] if len(s) else v
+            repeated = ~first & (v == root)  # one set twice in a signature's bucket
+            kept = ~repeated
+            yield pa.RecordBatch.from_arrays([pa.array(s[kept]), pa.array(v[kept]), pa.array(root[kept], mask=first[kept]), pa.nulls(int(kept.sum()), kind)], ["s", "v", "root", "meta"])
 
-    return docs.mapInArrow(run, f"s long, v long, meta struct<id:{id_type},check:long,n:long,sketch:binary>")
+    return docs.mapInArrow(run, f"s long, v long, root long, meta struct<id:{id_type},check:long,n:long,w:long,sketch:binary>")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -366,21 +391,43 @@ def _met(members: DataFrame, payload: DataFrame, kind: type[Group], percent: int
     return rows.groupBy("bin").applyInArrow(run, "a long, b long")
 
 
-def join_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 3, percent: int = 90, n2: int = 3, k2: int = 1) -> DataFrame:
+def _rows(docs: DataFrame, n: int, scheme: PartEnum, bits: int) -> DataFrame:
+    """The rows of :func:`signed` (document, s, v, root, meta), with the root of all of a signature's members for those that have none, but for itself.
+
+    Sets that clash in a name are named anew until no name has two sets.
+    """
+    clashes: frozenset[int] = frozenset()
+    while True:
+        rows = signed(docs, n, scheme, bits, clashes).withColumn("document", F.col("meta").isNotNull())
+        # documents pass through, dealt by their id, and so do sets that have their root
+        key = F.when(F.col("document"), F.xxhash64("meta.id", "meta.check", "v")).otherwise(F.col("s"))
+        salt = F.when(F.col("document"), -1).when(F.col("root").isNotNull(), F.pmod("v", F.lit(255)) + 1).otherwise(0).cast("int")
+        first = Window.partitionBy("key", "salt").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        rows = rows.select(key.alias("key"), salt.alias("salt"), "v", "root", "meta").withColumn("root", F.coalesce("root", F.min("v").over(first)))
+        rows = written(rows.where("salt = -1 or v <> root"), "jaccard-rows")
+        named = rows.where("salt = -1 and v is not null").groupBy("v").agg(F.min("meta.w").alias("a"), F.max("meta.w").alias("b")).where("a <> b")
+        found = [r["v"] for r in named.select("v").limit(MOST_CLASHES + 1).collect()]
+        if len(found) > MOST_CLASHES:
+            raise ValueError("too many sets of one name")
+        if not found:
+            return rows
+        clashes = clashes | frozenset(found)
+
+
+def join_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 3, percent: int = 90, n2: int = 3, k2: int = 1, bits: int = 64) -> DataFrame:
     """Per row of docs: id, check (a hash of the text), n_shingles, v (its set), component_id, kept (one row in each component)."""
     docs = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("check"), F.col(text_col).alias("text"))
-    scheme = PartEnum(percent, n2, k2)
-    # rows that stand for documents pass through, dealt by their id
-    key = F.coalesce("s", F.xxhash64("meta.id", "meta.check"))
-    first = Window.partitionBy("key", "document").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = signed(docs, n, scheme).select(key.alias("key"), F.col("meta").isNotNull().alias("document"), "v", "meta")
-    rows = written(rows.withColumn("root", F.min("v").over(first)).where("document or v <> root"), "jaccard-rows")
+    with temporary(docs.sparkSession):
+        return written(_components(docs, _rows(docs, n, PartEnum(percent, n2, k2), bits), n, percent), "jaccard-result", keep=True)
+
+
+def _components(docs: DataFrame, rows: DataFrame, n: int, percent: int) -> DataFrame:
     released(docs.sparkSession)
-    documents = rows.where("document").select("meta.*", "v")
-    meta = documents.drop("sketch")
-    stars = rows.where("not document").select(F.col("key").alias("s"), "v", "root")
+    documents = rows.where("salt = -1").select("meta.*", "v")
+    meta = documents.drop("sketch", "w")
+    stars = rows.where("salt <> -1").select(F.col("key").alias("s"), "v", "root")
     sketches = documents.where("v is not null").groupBy("v").agg(F.first("n").alias("n"), F.first("sketch").alias("payload"))
-    # all of a signature meet its root first; where that connects them, nothing is left to compare
+    # all of a signature meet its roots first; where that connects them, nothing is left to compare
     pairs = written(stars.select(F.col("v").alias("a"), F.col("root").alias("b")).distinct(), "jaccard-pairs")
     near = written(_maybe(pairs, sketches, percent), "jaccard-near")
     connected = components(near)
@@ -423,13 +470,20 @@ def join_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 
 def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80, n2: int = 3, k2: int = 1) -> DataFrame:
-    """The rows of docs, with all their columns, that stay when of each component of links only the document of the least id does."""
-    kept = join_components(docs, id_col=id_col, text_col=text_col, n=n, percent=percent, n2=n2, k2=k2).where("kept").select("id", "check", F.col("v").isNull().alias("empty")).distinct()
+    """The rows of docs, with all their columns, that stay when of each component of links only the document of the least id does.
+
+    Documents without words all stay; of repeated rows one does.
+    """
+    found = join_components(docs, id_col=id_col, text_col=text_col, n=n, percent=percent, n2=n2, k2=k2).where("kept and v is not null")
+    kept = found.groupBy("id", "check").agg(F.count("*").alias("copies"))
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    rows = docs.select(row, F.col(id_col).alias("id"), F.xxhash64(text_col).alias("check"))
-    found = rows.alias("d").join(kept.alias("k"), F.col("d.id").eqNullSafe(F.col("k.id")) & (F.col("d.check") == F.col("k.check"))).select("row", "d.id", "d.check", "empty")
-    turn = F.row_number().over(Window.partitionBy("id", "check").orderBy(F.lit(0)))
-    return found.withColumn("turn", turn).where("turn = 1 or empty").select("row.*")
+    words = F.coalesce(F.col(text_col).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    rows = docs.where(words).select(row, F.col(id_col).alias("id"), F.xxhash64(text_col).alias("check"))
+    own = rows.alias("d").join(kept.alias("k"), F.col("d.id").eqNullSafe(F.col("k.id")) & (F.col("d.check") == F.col("k.check"))).select("row", "d.id", "d.check", "copies")
+    out = own.where("copies = 1").select("row")
+    if not kept.where("copies > 1").isEmpty():
+        out = out.unionAll(own.where("copies > 1").groupBy("id", "check").agg(F.first("row").alias("row")).select("row"))
+    return docs.where(~words).select(row).unionAll(out).select("row.*")
 
 
 def op1_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -1,15 +1,16 @@
 """Language identification, word first: log frequencies of known words, and ever shorter character n-grams for the others.
 
-The model is fitted on a bounded sample of labelled rows: of each language the SAMPLE_DOCS documents that come first by md5 of
-their id, of at most SAMPLE_CHARS characters each. It holds for each language the log frequency of each word, and of the
-character n-grams of words (with their ends marked) for n from 5 down to 1; entries of one count go first where a table
-would hold more than MOST_ENTRIES. A word that the sample had scores by its own frequencies, any other by the mean over
+The model is fitted on a bounded sample of labelled rows: of each language the SAMPLE_DOCS different texts that come first by md5 of
+their id, of at most SAMPLE_CHARS characters each; more than SAMPLE_TOTAL / SAMPLE_DOCS languages share SAMPLE_TOTAL texts evenly, and more than
+MOST_LANGUAGES raise. It holds for each language the log frequency of each word of the sample, and of the
+character n-grams of words (with their ends marked) for n from 5 down to 1. A word that the sample had scores by its own frequencies, any other by the mean over
 those of its n-grams that are known, for the largest n for which some are. A text's language is the one with the largest
-sum over all its words.
+sum over all its words, which are read WORDS_TOGETHER at a time.
 
 Nulls, ties, and so on: a null text, or one without a letter, is ``und`` with score 0; rows with a null language or id teach
 nothing, and a null id isn't held out; ties go to the language that is first by name; where nothing can be learned,
-all texts are ``und``; an empty table gives an empty result; other columns don't matter.
+all texts are ``und``; repeated rows are scored each, and teach once; a very long text is read to its end; an empty table gives an empty result; other columns don't matter,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -17,17 +18,21 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chronopanel.llm.shared import sampled
+
 LETTERS = re.compile(r"[^\W\d_]+")
 ORDERS = (5, 4, 3, 2, 1)
 SAMPLE_DOCS = 1500
 SAMPLE_CHARS = 20_000
-MOST_ENTRIES = 400_000
+SAMPLE_TOTAL, MOST_LANGUAGES = 24_000, 1000
+WORDS_TOGETHER = 200_000
 #: Words whose scores a worker keeps.
 CACHED = 300_000
 
@@ -36,6 +41,16 @@ def words_of(text: str | None) -> list[str]:
     return LETTERS.findall(text.lower()) if text else []
 
 
+def word_lists(text: str | None) -> Iterator[list[str]]:
+    """The words of a text, WORDS_TOGETHER at a time."""
+    if not text or len(text) < WORDS_TOGETHER:
+        yield words_of(text)
+        return
+    found = (m[0] for m in LETTERS.finditer(text.lower()))
+    while part := list(islice(found, WORDS_TOGETHER)):
+        yield part
+
+
 def grams(word: str, n: int) -> list[str]:
     marked = f"<{word}>"
     return [marked[i : i + n] for i in range(len(marked) - n + 1)] if n > 1 else list(word)
@@ -62,13 +77,7 @@ class Model:
     @staticmethod
     def _logs(counts: list[Counter]) -> tuple[dict[str, int], np.ndarray]:
         """The row of each entry, and the rows."""
-        total = Counter()
-        for x in counts:
-            total.update(x)
-        least = 1
-        while sum(k >= least for k in total.values()) > MOST_ENTRIES:
-            least += 1
-        known = [w for w, k in total.items() if k >= least]
+        known = list(dict.fromkeys(w for x in counts for w in x))
         table = np.array([[x[w] for x in counts] for w in known], float).reshape(len(known), len(counts)) + 0.5
         table = np.log(table / (np.array([x.total() for x in counts]) + 0.5 * (len(known) + 1)))
         return {w: i for i, w in enumerate(known)}, table.astype(np.float32)
@@ -89,50 +98,54 @@ class _Rows(dict):
 
     def __init__(self, model: Model):
         super().__init__()
-        self.model, self.scores = model, []
+        self.model, self.matrix = model, np.empty((1024, len(model.languages)))
 
     def __missing__(self, word: str) -> int:
-        self.scores.append(self.model.word(word))
-        self[word] = at = len(self.scores) - 1
+        self[word] = at = len(self)
+        if at == len(self.matrix):
+            self.matrix = np.concatenate([self.matrix, np.empty_like(self.matrix)])
+        self.matrix[at] = self.model.word(word)
         return at
 
-    def of(self, texts: list[list[str]]) -> np.ndarray:
+    def of(self, words: list[str]) -> np.ndarray:
+        """The sum of the words' scores."""
         if len(self) > CACHED:
             self.clear()
-            self.scores = []
-        rows = [np.fromiter(map(self.__getitem__, words), np.int64, len(words)) for words in texts]
-        matrix = np.array(self.scores, np.float64).reshape(len(self.scores), len(self.model.languages))
-        return np.array([matrix[x].sum(0) for x in rows]).reshape(len(texts), len(self.model.languages))
+        rows = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        return self.matrix[rows].sum(0)
 
 
 def predict(model: Model, texts: list[str | None], rows: _Rows) -> tuple[list[str], list[float]]:
     """The language and its share of certainty, of each text."""
-    tokens = [words_of(t) for t in texts]
     if not model.languages:
         return ["und"] * len(texts), [0.0] * len(texts)
-    sums = rows.of(tokens)
+    sums, sizes = np.zeros((len(texts), len(model.languages))), np.zeros(len(texts), np.int64)
+    for i, text in enumerate(texts):
+        for words in word_lists(text):
+            sums[i] += rows.of(words)
+            sizes[i] += len(words)
     sums -= sums.max(1, keepdims=True)
-    shares = np.exp(sums / np.sqrt(np.maximum(1, [len(x) for x in tokens]))[:, None])
+    shares = np.exp(sums / np.sqrt(np.maximum(1, sizes))[:, None])
     shares /= shares.sum(1, keepdims=True)
     best = sums.argmax(1)
     return (
-        [model.languages[b] if words else "und" for b, words in zip(best, tokens, strict=True)],
-        [float(s[b]) if words else 0.0 for s, b, words in zip(shares, best, tokens, strict=True)],
+        [model.languages[b] if n else "und" for b, n in zip(best, sizes, strict=True)],
+        [float(s[b]) if n else 0.0 for s, b, n in zip(shares, best, sizes, strict=True)],
     )
 
 
 def fit(docs: DataFrame, learnable, id_col: str, text_col: str, lang_col: str) -> Model:
     """The model from the rows for which learnable holds."""
-    text = F.col(text_col)
-    rows = docs.where(learnable & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & text.isNotNull() & (F.length(text) <= SAMPLE_CHARS))
-    keyed = rows.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.md5(F.col(id_col).cast("string")).alias("key"))
-    # the first of each slice of a language, then the first of these: no task sees a whole language
-    for within in (["lang", F.substring("key", -1, 1)], ["lang"]):
-        keyed = keyed.withColumn("rank", F.row_number().over(Window.partitionBy(*within).orderBy("key", "id"))).where(F.col("rank") <= SAMPLE_DOCS)
-    first = keyed
-    chosen = first.select("id").distinct()  # SAMPLE_DOCS ids a language at most
-    taken = rows.join(F.broadcast(chosen), F.col(id_col) == F.col("id")).select("id", F.col(lang_col).alias("lang"), text.alias("text"))
-    return Model([(r["lang"], r["text"]) for r in sorted(taken.collect(), key=lambda r: (r["id"], r["lang"], r["text"]))])
+    text, lang = F.col(text_col), F.col(lang_col)
+    rows = docs.where(learnable & lang.isNotNull() & F.col(id_col).isNotNull() & text.isNotNull() & (F.length(text) <= SAMPLE_CHARS))
+    own = rows.select(lang.alias("lang"), F.md5(F.col(id_col).cast("string")).alias("key"), F.md5(text).alias("hash"))
+    languages = own.select("lang").distinct().count()
+    if languages > MOST_LANGUAGES:
+        raise ValueError(f"{languages} languages; at most {MOST_LANGUAGES} can be learned")
+    chosen = sampled(own.distinct(), "lang", min(SAMPLE_DOCS, SAMPLE_TOTAL // max(1, languages)))  # SAMPLE_TOTAL rows at most
+    full = rows.select(lang.alias("lang"), F.md5(F.col(id_col).cast("string")).alias("key"), F.md5(text).alias("hash"), text.alias("text"))
+    taken = full.join(F.broadcast(chosen), ["lang", "key", "hash"]).groupBy("lang", "key", "hash").agg(F.first("text").alias("text"))
+    return Model([(r["lang"], r["text"]) for r in sorted(taken.collect(), key=lambda r: (r["lang"], r["key"], r["hash"]))])
 
 
 def identify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 4, held: int = 2) -> DataFrame:

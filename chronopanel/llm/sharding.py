@@ -1,17 +1,21 @@
-"""Sharding by balanced label propagation: linked documents gather in shards of even size, cutting few links.
+"""Sharding by balanced label propagation: linked documents move towards their neighbours' shards, under quotas.
 
-Documents with equal texts are linked. Each starts in a shard dealt by its id; in every round, Spark joins and aggregates
-tell each set of linked documents how many of its members each shard holds, the set asks for the shard that holds most of
-them (ties by a rotation of its own, so that small sets don't crowd into the first shards), and each shard accepts
-requests, in an order by hash, while its quota lasts. A set that is turned down asks for its next shard in the next round.
-A set of more documents than a shard can take is dealt into parts first; each part moves as one. Whatever has no links,
-and what no shard could take, then fills the shards to the law ``rows``: counts at most one apart.
+:func:`propagate` takes nodes and links between them. Nodes start dealt evenly. In every round, Spark joins and aggregates tell each
+node how many neighbours each shard holds; a node whose neighbours are mostly elsewhere asks for that shard. Half of the
+nodes, by a hash of node and round, may ask in one round, so that neighbours don't change places. A shard accepts as many as it has
+room for, and beyond that as many as it gives to the asking shard in exchange; those with the most to gain come
+first. So sizes stay within their quotas all the time, and links between shards become fewer. The driver sees a number for each pair of
+shards.
 
-All that is ordered is ordered by prefix sums over hash buckets plus a window within a bucket, so neither a shard nor a
-group of copies is gathered in one task. The driver sees one number a shard. Only DataFrame functions run.
+:func:`shard` links documents of equal texts: a tree over each group of copies whose nodes have FAN neighbours or so, so no document
+is a hub and no group becomes pairs. What has no links then fills the shards to the law ``rows``: counts at most one apart.
 
-Nulls, ties, and so on: a null text counts no bytes, has checksum 0 and is linked with nothing; a null id is hashed like an
-empty string; repeated rows are separate documents; an empty table gives an empty result; other columns don't matter.
+All that is ordered is ordered by prefix sums over hash buckets plus a window within a bucket, and joins to groups broadcast their
+hot ones, so neither a shard nor a group of copies is gathered in one task. Only DataFrame functions run.
+
+Nulls, ties, and so on: a null text counts no bytes, has checksum 0 and is linked with nothing; ids may be null or
+repeated, since rows are numbered; repeated rows are separate documents; very long texts are only measured and hashed; an empty
+table gives an empty result; other columns don't matter, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,102 +24,134 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
-from chronopanel.llm.shared import written
+from chronopanel.llm.shared import joined_by_group
+from chronopanel.sources.tables import temporary, written
 
 BUCKETS = 256
 ROUNDS = 8
+FAN = 128
 #: What a document takes besides its text.
 OVERHEAD_BYTES = 16
 
 
-def _ranked(df: DataFrame, within: list[str], bucket: Column, order: list[Column], name: str, amount: Column | None = None) -> DataFrame:
-    """df with ``name``: the sum of ``amount`` (1 by default) over the rows before each one, among those alike in ``within``, by bucket and then by order."""
-    amount = F.lit(1) if amount is None else amount
-    df = df.withColumn("_bucket", bucket).withColumn("_amount", amount.cast("long"))
-    sums = df.groupBy(*within, "_bucket").agg(F.sum("_amount").alias("_n"))
+def _ranked(df: DataFrame, within: list[str], bucket: Column, order: list[Column], name: str) -> DataFrame:
+    """df with ``name``: the number of rows before each one, among those alike in ``within``, by bucket and then by order."""
+    df = df.withColumn("_bucket", bucket)
+    sums = df.groupBy(*within, "_bucket").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(*within).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    inside = Window.partitionBy(*within, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    df = df.withColumn("_inside", F.coalesce(F.sum("_amount").over(inside), F.lit(0)))
-    return df.join(starts, [*within, "_bucket"]).withColumn(name, F.col("_start") + F.col("_inside")).drop("_bucket", "_amount", "_start", "_inside")
+    inside = F.row_number().over(Window.partitionBy(*within, "_bucket").orderBy(*order)) - 1
+    # the numbers of buckets are small: BUCKETS for each of the shards or pairs of them
+    return df.withColumn("_inside", inside).join(F.broadcast(starts), [*within, "_bucket"]).withColumn(name, F.col("_start") + F.col("_inside")).drop("_bucket", "_start", "_inside")
+
+
+def both_ways(links: DataFrame) -> DataFrame:
+    return links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+
+
+def cut_links(links: DataFrame, labels: DataFrame) -> int:
+    """How many links (a, b) have ends in different shards, by labels (node, shard)."""
+    end = lambda c: labels.select(F.col("node").alias(c), F.col("shard").alias(f"_{c}"))
+    return links.join(end("a"), "a").join(end("b"), "b").where("_a <> _b").count()
 
 
-def propagate(members: DataFrame, shards: int, quota: int, rounds: int = ROUNDS) -> DataFrame:
-    """(set, shard) for the sets that a shard has taken.
+def accepted_flows(asked: dict[tuple[int, int], int], free: list[int]) -> dict[tuple[int, int], int]:
+    """How many of the nodes that ask to go from one shard to another may: exchanges first, then what there's room for."""
+    out = {pair: min(n, asked.get((pair[1], pair[0]), 0)) for pair, n in asked.items()}
+    room = list(free)
+    # where the most are turned down first; room that others leave behind isn't counted on
+    for (i, j), n in sorted(asked.items(), key=lambda x: (out[x[0]] - x[1], x[0])):
+        more = min(n - out[i, j], room[j])
+        out[i, j] += more
+        room[j] -= more
+    return {pair: n for pair, n in out.items() if n}
 
-    members has (set, shard, n): how many documents of the set each shard holds at the start. Sets that no shard has room
-    for are missing from the result.
+
+def propagate(nodes: DataFrame, links: DataFrame, quotas: list[int], rounds: int = ROUNDS) -> tuple[DataFrame, list[int]]:
+    """(node, shard) of nodes (node) with links (a, b), and the numbers of cut links at the start and the end.
+
+    quotas are the most nodes that each shard may hold; together they are enough for all.
     """
-    rotation = F.pmod(F.col("shard") + F.xxhash64("set"), F.lit(shards))
-    wishes = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("a"), rotation.alias("b"), F.col("shard").alias("shard")))), lambda x: x["shard"])
-    pending = written(members.groupBy("set").agg(F.sum("n").alias("n"), wishes.alias("wishes")), "shard-sets")
-    load, taken = [0] * shards, []
-    for _ in range(rounds):
-        free = F.array(*[F.lit(quota - x).cast("long") for x in load])
-        room = lambda x: F.get(free, x) >= F.col("n")
-        turn = F.pmod(F.xxhash64("set"), F.lit(shards)).cast("int")
-        others = F.transform(F.sequence(F.lit(0), F.lit(shards - 1)), lambda x: F.pmod(x + turn, F.lit(shards)).cast("int"))
-        asked = pending.withColumn("shard", F.coalesce(F.get(F.filter("wishes", room), F.lit(0)), F.get(F.filter(others, room), F.lit(0)))).where(F.col("shard").isNotNull())
-        order = [F.desc("n"), F.asc("set")]
-        served = _ranked(asked, ["shard"], F.pmod(F.xxhash64("set", F.lit(1)), F.lit(BUCKETS)), order, "_before", F.col("n"))
-        accepted = written(served.where(F.col("_before") + F.col("n") <= F.get(free, F.col("shard"))).select("set", "shard", "n"), "shard-accepted")
-        got = {r["shard"]: r["n"] for r in accepted.groupBy("shard").agg(F.sum("n").alias("n")).collect()}  # a number for each shard
-        if not got:
-            break
-        load = [x + got.get(i, 0) for i, x in enumerate(load)]
-        taken.append(accepted.select("set", "shard"))
-        pending = written(pending.join(accepted.select("set"), "set", "left_anti"), "shard-pending")
-        if pending.isEmpty():
-            break
-    out = members.select("set", "shard").limit(0) if not taken else taken[0]
-    for more in taken[1:]:
-        out = out.unionAll(more)
-    return out
+    shards = len(quotas)
+    start = _ranked(nodes.withColumn("_all", F.lit(0)), ["_all"], F.pmod(F.xxhash64("node"), F.lit(BUCKETS)), [F.col("node")], "_rank")
+    labels = written(start.select("node", (F.col("_rank") % shards).cast("int").alias("shard")), "shard-labels")
+    cuts = [cut_links(links, labels)]
+    edges, idle = both_ways(links), 0
+    for turn in range(rounds):
+        held = {r["shard"]: r["n"] for r in labels.groupBy("shard").agg(F.count("*").alias("n")).collect()}  # a number for each shard
+        there = labels.select(F.col("node").alias("b"), F.col("shard").alias("to"))
+        asking = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(2)) == 0
+        votes = edges.join(there, "b").groupBy(F.col("a").alias("node"), "to").agg(F.count("*").alias("n"))
+        own = votes.join(labels.where(asking), "node")
+        # most neighbours first; ties stay, or else go by a rotation of the node's own
+        rotated = F.pmod(F.col("to") + F.xxhash64("node"), F.lit(shards))
+        best = own.groupBy("node", "shard").agg(F.max(F.struct("n", (F.col("to") == F.col("shard")).alias("stays"), rotated.alias("_r"), "to")).alias("best"), F.coalesce(F.max(F.when(F.col("to") == F.col("shard"), F.col("n"))), F.lit(0)).alias("here"))
+        wishes = written(best.where(F.col("best.to") != F.col("shard")).select("node", "shard", "best.to", (F.col("best.n") - F.col("here")).alias("gain")).where("gain > 0"), "shard-wishes")
+        asked = {(r["shard"], r["to"]): r["n"] for r in wishes.groupBy("shard", "to").agg(F.count("*").alias("n")).collect()}  # a number for each pair of shards
+        flows = accepted_flows(asked, [q - held.get(i, 0) for i, q in enumerate(quotas)])
+        if not flows:
+            if (idle := idle + 1) == 2:  # neither half has anywhere to go
+                break
+            continue
+        idle = 0
+        most = nodes.sparkSession.createDataFrame([(i, j, n) for (i, j), n in flows.items()], "shard int, to int, most long")
+        gain = F.least(F.col("gain"), F.lit(15))
+        bucket = (15 - gain) * 16 + F.pmod(F.xxhash64("node", F.lit(-1)), F.lit(16))
+        moved = _ranked(wishes, ["shard", "to"], bucket, [F.col("node")], "_rank").join(F.broadcast(most), ["shard", "to"]).where("_rank < most").select("node", F.col("to").alias("_to"))
+        labels = written(labels.join(moved, "node", "left").select("node", F.coalesce("_to", "shard").alias("shard")), "shard-labels")
+    return labels, [*cuts, cut_links(links, labels)]
+
+
+def copy_links(rows: DataFrame, key: str, total: int) -> DataFrame:
+    """Links (a, b) between nodes (node, key) of equal keys: a tree over each group, level by level of groups of FAN or so."""
+    out = None
+    level = rows.where(F.col(key).isNotNull()).select("node", F.col(key).alias("key"))
+    while True:
+        sizes = level.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+        dealt = joined_by_group(level, sizes, "key", "size", max(1, total)).where("size is not null")
+        dealt = written(dealt.withColumn("part", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / FAN)).cast("int")), "shard-copies")
+        heads = dealt.groupBy("key", "part").agg(F.min("node").alias("head"), F.count("*").alias("members"))
+        # the head of a part is the member next to all others; parts are small
+        own = dealt.join(heads.where("members > 1"), ["key", "part"]).where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
+        made = written(own, "shard-links")
+        out = made if out is None else out.unionAll(made)
+        level = written(heads.select(F.col("head").alias("node"), "key"), "shard-heads")
+        if dealt.where("part > 0").isEmpty():
+            return out
 
 
 def shard(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shards: int = 40, rounds: int = ROUNDS) -> DataFrame:
     """Per document: doc_id, size, text_crc32, law ('rows'), shard, slot (its place in the shard, from 0), grown_shard (null)."""
     text = F.col(text_col)
     slim = docs.select(
+        F.monotonically_increasing_id().alias("node"),
         F.col(id_col).alias("doc_id"),
         (F.coalesce(F.octet_length(text), F.lit(0)) + OVERHEAD_BYTES).cast("long").alias("size"),
         F.coalesce(F.crc32(F.encode(text, "UTF-8")), F.lit(0)).cast("long").alias("text_crc32"),
         F.md5(F.encode(text, "UTF-8")).alias("_text"),
-        F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias("_hash"),
     )
-    slim = written(slim, "shard-documents")
-    total = slim.count()
-    quota = total // shards
-    groups = slim.where(F.col("_text").isNotNull()).groupBy("_text").agg(F.count("*").alias("_copies")).where("_copies > 1")
-    # a part is expected to fill four fifths of a shard at most
-    parts = F.ceil(F.col("_copies") / max(1.0, 0.8 * quota)).cast("long")
-    linked = slim.join(groups, "_text", "left").withColumn("set", F.when(F.col("_copies").isNotNull(), F.concat_ws("#", "_text", F.pmod("_hash", parts).cast("string")))).drop("_copies", "_text")
-    linked = written(linked, "shard-linked")
-    start = F.pmod(F.xxhash64("_hash"), F.lit(shards)).cast("int")
-    members = linked.where(F.col("set").isNotNull()).groupBy("set", start.alias("shard")).agg(F.count("*").alias("n"))
-    placed = propagate(members, shards, quota, rounds)
-    settled = written(linked.join(placed, "set", "left"), "shard-settled")
-    load = {r["shard"]: r["n"] for r in settled.where(F.col("shard").isNotNull()).groupBy("shard").agg(F.count("*").alias("n")).collect()}
-    ends, end = [], 0
-    for i in range(shards):
-        end += quota + (i < total % shards) - load.get(i, 0)
-        ends.append(end)
-    loose = settled.where(F.col("shard").isNull()).drop("shard")
-    key = F.coalesce(F.col("set"), F.col("_hash").cast("string"))
-    loose = _fill(loose.withColumn("_key", key))
-    place = F.size(F.filter(F.array(*[F.lit(x).cast("long") for x in ends]), lambda x: x <= F.col("_rank"))).cast("int")
-    filled = loose.withColumn("shard", place).drop("_rank", "_key")
-    everyone = written(settled.where(F.col("shard").isNotNull()).unionByName(filled), "shard-dealt")
-    slots = _ranked(everyone, ["shard"], F.pmod(F.xxhash64("_hash", F.lit(3)), F.lit(BUCKETS)), [F.col("doc_id"), F.col("text_crc32")], "slot")
+    with temporary(docs.sparkSession):
+        slim = written(slim, "shard-documents")
+        total = slim.count()
+        quotas = [total // shards + (i < total % shards) for i in range(shards)]
+        links = copy_links(slim, "_text", total)
+        nodes = written(links.select(F.col("a").alias("node")).unionAll(links.select(F.col("b").alias("node"))).distinct(), "shard-nodes")
+        labels, _ = propagate(nodes, links, quotas, rounds)
+        settled = written(slim.drop("_text").join(labels, "node", "left"), "shard-settled")
+        load = {r["shard"]: r["n"] for r in labels.groupBy("shard").agg(F.count("*").alias("n")).collect()}
+        ends, end = [], 0
+        for i in range(shards):
+            end += quotas[i] - load.get(i, 0)
+            ends.append(end)
+        loose = settled.where(F.col("shard").isNull()).drop("shard").withColumn("_all", F.lit(0))
+        loose = _ranked(loose, ["_all"], F.pmod(F.xxhash64("node", F.lit(2)), F.lit(BUCKETS * 4)), [F.col("node")], "_rank").drop("_all")
+        place = F.size(F.filter(F.array(*[F.lit(x).cast("long") for x in ends]), lambda x: x <= F.col("_rank"))).cast("int")
+        everyone = settled.where(F.col("shard").isNotNull()).unionByName(loose.withColumn("shard", place).drop("_rank"))
+        everyone = written(everyone, "shard-dealt", keep=True)
+    slots = _ranked(everyone, ["shard"], F.pmod(F.xxhash64("node", F.lit(3)), F.lit(BUCKETS)), [F.col("node")], "slot")
     return slots.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
-def _fill(loose: DataFrame) -> DataFrame:
-    """The documents that go anywhere, with a rank from 0, members of one set side by side."""
-    one = loose.withColumn("_all", F.lit(0))
-    return _ranked(one, ["_all"], F.pmod(F.xxhash64("_key", F.lit(2)), F.lit(BUCKETS * 4)), [F.col("_key"), F.col("doc_id")], "_rank").drop("_all")
-
-
 def op5_sharding(spark, sf_dir: str) -> DataFrame:
     """All documents in 40 shards by the law ``rows``."""
     return shard(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), shards=40)

@@ -3,23 +3,24 @@
 A word's input is the embedding of its hash beside the mean embedding of the hashes of its byte n-grams of 3 to 5 (with
 its ends marked), so words never seen still carry their characters. Every text is read in windows of WIDTH words that
 overlap by half; two gated recurrent layers read each window from either end, attention pools their states, and a
-logistic output scores the window. A text's score is its highest window's, so all windows of the whole text count.
+logistic output scores the window. A text's score is its highest window's, so all windows of the whole text count; long texts are
+read segment by segment.
 
 Labels are of texts, not windows. Training starts from the window of each toxic text whose words' n-grams are most
 particular to toxic texts, then, every other epoch, takes the one that the network scores highest, and the highest
-ones of clean texts, as harder examples. It uses a bounded sample: of either class the SAMPLE_DOCS labelled documents that
-come first by md5 of their id, of at most SAMPLE_CHARS characters.
+ones of clean texts, as harder examples. It uses a bounded sample: of either class the SAMPLE_DOCS different labelled texts that
+come first by md5 of their id, of at most SAMPLE_CHARS characters. One task trains; the driver only passes the parameters on.
 
 Nulls, ties, and so on: null and empty texts score like a text without words, by the network's output for nothing; labels that
 are null teach nothing; of several labels of one id the highest counts; a null id isn't held out and teaches nothing;
-without labels of both classes every score is 0; an empty table gives an empty result; other columns don't matter and are
-kept by :func:`without_toxic`.
+without labels of both classes every score is 0; repeated rows are scored each, and teach once; an empty table gives an empty result; other columns don't matter,
+whatever their names, and are kept by :func:`without_toxic`.
 """
 
 from __future__ import annotations
 
+import io
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +29,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chronopanel.llm.shared import sampled
+
 WORDS = re.compile(rb"[0-9a-z\x80-\xff]+")
 WIDTH, STRIDE = 32, 16
 WORD_ROWS, CHAR_ROWS = 1 << 12, 1 << 14
@@ -39,6 +42,8 @@ THRESHOLD = 0.7
 DROPPED, TRANSPLANTED = 0.1, 0.75
 #: Characters that are scored together.
 CHUNK_CHARS = 1_500_000
+#: Words of a segment of a long text; the last window of one is the first of the next.
+SEGMENT_WORDS = WIDTH + STRIDE * 8192
 #: Windows that go through the network together.
 TOGETHER = 1024
 
@@ -203,23 +208,6 @@ def _likely(vocabulary: Vocabulary, labels: np.ndarray) -> np.ndarray:
     return np.maximum.reduceat(odds[key], vocabulary.starts)
 
 
-def _primed(p: dict, vocabulary: Vocabulary, labels: np.ndarray) -> None:
-    """Start the first dimension of the embeddings from the log odds of the texts that hold each row, shrunk where they are few."""
-    lengths = np.diff(np.append(vocabulary.starts, len(vocabulary.char_rows[0])))
-    chars, words = np.zeros((2, CHAR_ROWS + 1)), np.zeros((2, WORD_ROWS))
-    for x, y in zip(vocabulary.texts, labels, strict=True):
-        own = np.unique(x)
-        if len(own):
-            words[int(y), np.unique(vocabulary.word_rows[own])] += 1
-            at = np.concatenate([np.arange(a, a + n) for a, n in zip(vocabulary.starts[own], lengths[own], strict=True)])
-            chars[int(y), np.unique(np.concatenate([rows[at] for rows in vocabulary.char_rows]))] += 1
-    total = np.bincount(labels.astype(int), minlength=2)[:, None] + 1
-    for name, counts in (("chars", chars), ("words", words)):
-        share = (counts + 0.5) / total
-        p[name][:, 0] = (np.clip(np.log(share[1] / share[0]), -3, 3) * np.maximum(0, counts[1] - 2) / (counts[1] + 4) * 0.5).astype(np.float32)
-    p["chars"][CHAR_ROWS] = 0
-
-
 def train(texts: list[str], labels: list[int], seed: int = 5) -> dict[str, np.ndarray] | None:
     """Parameters; None without both classes."""
     y = np.array(labels)
@@ -239,7 +227,6 @@ def train(texts: list[str], labels: list[int], seed: int = 5) -> dict[str, np.nd
         return at[np.unique(owner[at], return_index=True)[1]]
 
     p, moment, spread, step = start(seed), {}, {}, 0
-    _primed(p, vocabulary, y)
     chosen, clean = best(likely), np.flatnonzero(y[owner] == 0)
     for epoch in range(EPOCHS):
         if epoch and epoch % 2 == 0:
@@ -285,26 +272,69 @@ def _logits(p: dict, vocabulary: Vocabulary, places: np.ndarray) -> np.ndarray:
     return out
 
 
+def segments(text: str | None) -> Iterator[list[bytes]]:
+    """The words of a text in segments whose windows together are the text's windows."""
+    if not text or len(text) < SEGMENT_WORDS:
+        yield words_of(text)
+        return
+    held: list[bytes] = []
+    for m in WORDS.finditer(text.lower().encode("utf-8", "surrogatepass")):
+        held.append(m[0])
+        if len(held) > SEGMENT_WORDS:
+            yield held[:SEGMENT_WORDS]
+            held = held[SEGMENT_WORDS - WIDTH :]
+    yield held
+
+
 def score(p: dict | None, texts: list[str | None]) -> np.ndarray:
     """The highest score of each text's windows."""
+    out = np.full(len(texts), -np.inf)
     if p is None or not texts:
         return np.zeros(len(texts))
-    vocabulary = Vocabulary([words_of(t) for t in texts])
-    places, owner = vocabulary.windows()
-    logits = _logits(p, vocabulary, places)
-    first = np.flatnonzero(np.diff(owner, prepend=-1))
-    return sigmoid(np.maximum.reduceat(logits, first).astype(np.float64))
+    held: list[list[bytes]] = []
+    of: list[int] = []
+
+    def flush():
+        vocabulary = Vocabulary(held)
+        places, owner = vocabulary.windows()
+        first = np.flatnonzero(np.diff(owner, prepend=-1))
+        np.maximum.at(out, np.array(of), np.maximum.reduceat(_logits(p, vocabulary, places), first))
+        held.clear()
+        of.clear()
+
+    size = 0
+    for i, text in enumerate(texts):
+        for words in segments(text):
+            held.append(words)
+            of.append(i)
+            size += len(words)
+            if size >= 2 * SEGMENT_WORDS:
+                flush()
+                size = 0
+    if held:
+        flush()
+    return sigmoid(out.astype(np.float64))
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, folds: int, held: int) -> dict | None:
-    """Parameters from labelled rows whose crc32 of the id isn't ``held`` modulo ``folds``."""
-    known = labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("y")).where(F.col("id").isNotNull() & (F.crc32(F.col("id").cast("string").cast("binary")) % folds != held))
-    texts = docs.where(F.col(text_col).isNotNull() & (F.length(text_col) <= SAMPLE_CHARS)).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    known = texts.select("id").join(known, "id").distinct()
-    chosen = known.where("y = 1").orderBy(F.md5(F.col("id").cast("string")), "id").limit(SAMPLE_DOCS).unionAll(known.where("y = 0").orderBy(F.md5(F.col("id").cast("string")), "id").limit(SAMPLE_DOCS))
-    rows = texts.join(F.broadcast(chosen), "id").collect()  # 2 * SAMPLE_DOCS ids at most
-    rows = sorted(rows, key=lambda r: (r["id"], r["text"]))
-    return train([r["text"] for r in rows], [r["y"] for r in rows])
+    """Parameters from labelled rows whose crc32 of the id isn't ``held`` modulo ``folds``; one task trains."""
+    ident, text = F.col(id_col).alias("id"), F.col(text_col)
+    known = labels.where(F.col(label_col).isin(0, 1)).groupBy(ident).agg(F.max(label_col).cast("int").alias("y")).where(F.col("id").isNotNull() & (F.crc32(F.col("id").cast("string").cast("binary")) % folds != held))
+    full = docs.where(text.isNotNull() & (F.length(text) <= SAMPLE_CHARS)).select(ident, F.md5(F.col(id_col).cast("string")).alias("key"), F.md5(text).alias("hash"), text.alias("text"))
+    own = full.select("id", "key", "hash").join(known, "id").select("y", "key", "hash").distinct()
+    chosen = sampled(own, "y", SAMPLE_DOCS)  # 2 * SAMPLE_DOCS rows at most
+    rows = full.join(F.broadcast(chosen), ["key", "hash"]).groupBy("y", "key", "hash").agg(F.first("text").alias("text"))
+
+    def run(batches):
+        found = sorted((k, h, y, t) for b in batches for k, h, y, t in zip(*[b.column(c).to_pylist() for c in ("key", "hash", "y", "text")], strict=True))
+        p = train([t for _, _, _, t in found], [y for _, _, y, _ in found])
+        if p is not None:
+            out = io.BytesIO()
+            np.savez(out, **p)
+            yield pa.RecordBatch.from_arrays([pa.array([out.getvalue()], pa.binary())], ["p"])
+
+    made = rows.repartition(1).mapInArrow(run, "p binary").collect()
+    return dict(np.load(io.BytesIO(made[0]["p"]))) if made else None
 
 
 def _scored(batches: Iterator[pa.RecordBatch], model) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:

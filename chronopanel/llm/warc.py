@@ -2,7 +2,8 @@
 
 :func:`write_archives` writes pages as WARC records into files that are compressed as a whole, each by one task and of a
 bounded size. :func:`normalise` inflates each such stream once, writes every record as a gzip member of its own and an index
-of the members' offsets beside them; :func:`read_archives` seeks each member by the index and parses it. Files appear under their
+of the members' offsets beside them; :func:`read_archives` seeks each member by the index and parses it. A stream that ends within a member or
+a record raises, as does an archive of another number of records than was written. Files appear under their
 names only when complete, and names don't depend on the attempt, so tasks can be run again. They go to a folder that all
 executors share.
 
@@ -11,7 +12,8 @@ it; all others are responses.
 
 Nulls, ties, and so on: a null text is an empty payload; a null URL leaves its header out; a null id never is the
 response that others revisit, unless its group has no other; pages with equal ids and payloads are all responses or all
-revisits; an empty table gives no archives and an empty result; other columns don't matter.
+revisits; a text of any length is one record, which its task holds; an empty table gives no archives and an empty result; other columns
+don't matter, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,7 +32,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronopanel.llm.shared import remove, shared_path, written
+from chronopanel.llm.shared import joined_by_group
+from chronopanel.sources.files import remove
+from chronopanel.sources.tables import shared_path, temporary, written
 
 #: Uncompressed bytes of an archive, after which the next begins.
 ARCHIVE_BYTES = 32_000_000
@@ -39,10 +43,24 @@ DATE = "2024-01-01T00:00:00Z"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
+# Names of one kind of storage for another, as Spark and Arrow have them.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "s3": "s3", "gs": "gs", "hdfs": "hdfs", "viewfs": "viewfs", "abfs": "abfs", "abfss": "abfss"}
+
+
 def file_system(path: str) -> tuple[fs.FileSystem, str]:
-    """What holds a path or URI, and the path there."""
-    path = re.sub(r"^file:/+", "/", path)
-    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+    """What holds a path or URI, and the path there. A scheme that isn't known raises: its files would land on a local disk."""
+    scheme, colon, rest = path.partition(":")
+    if not colon or "/" in scheme:
+        return fs.LocalFileSystem(), path
+    if scheme == "file":
+        return fs.LocalFileSystem(), "/" + rest.lstrip("/")
+    if scheme == "dbfs":  # mounted on every machine
+        return fs.LocalFileSystem(), "/dbfs/" + rest.lstrip("/")
+    if scheme not in SCHEMES:
+        raise ValueError(f"no file system for {scheme}:")
+    if not rest.startswith("//"):  # without an authority: the default one
+        rest = f"//default/{rest.lstrip('/')}"
+    return fs.FileSystem.from_uri(f"{SCHEMES[scheme]}:{rest}")
 
 
 class Output:
@@ -114,19 +132,20 @@ def split_records(chunks: Iterator[bytes]) -> Iterator[bytes]:
 
 
 def inflate(stream) -> Iterator[bytes]:
-    """What a gzip stream of one or more members holds, piece by piece."""
-    member = zlib.decompressobj(31)
+    """What a gzip stream of one or more members holds, piece by piece. A stream that ends within a member raises."""
+    member, begun = zlib.decompressobj(31), False
     while data := stream.read(READ_BYTES):
         while data:
+            begun = True
             yield member.decompress(data, READ_BYTES * 4)
             while member.unconsumed_tail:
                 yield member.decompress(member.unconsumed_tail, READ_BYTES * 4)
             data = member.unused_data
-            if member.eof:
-                member = zlib.decompressobj(31)
-            else:
+            if not member.eof:
                 break
-    yield member.flush()
+            member, begun = zlib.decompressobj(31), False
+    if begun:
+        raise ValueError("the archive ends within a gzip member")
 
 
 def write_archives(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
@@ -162,12 +181,15 @@ def write_archives(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_B
 
 
 def normalise(archives: DataFrame, folder: str) -> DataFrame:
-    """Rewrite each archive with a gzip member for each record, and an index; per archive: path, index, records."""
+    """Rewrite each archive (path, records) with a gzip member for each record, and an index; per archive: path, index, records.
+
+    An archive that doesn't hold its number of records raises; where that number is null, any is right.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = []
-            for path in batch.column("path").to_pylist():
+            for path, records in zip(batch.column("path").to_pylist(), batch.column("records").to_pylist(), strict=True):
                 where, at = file_system(path)
                 to = f"{folder}/members/{path.rpartition('/')[2]}"
                 out, index, offset, count = Output(to), Output(f"{to}.index"), 0, 0
@@ -179,12 +201,14 @@ def normalise(archives: DataFrame, folder: str) -> DataFrame:
                         index.stream.write(b"%d %d %s\n" % (offset, len(member), headers(raw[: raw.index(b"\r\n\r\n")])["warc-record-id"].encode()))
                         offset += len(member)
                         count += 1
+                if records not in (None, count):
+                    raise ValueError(f"{path}: {count} records, {records} were written")
                 out.close()
                 index.close()
                 made.append((to, f"{to}.index", count))
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in made], pa.string()), pa.array([x[1] for x in made], pa.string()), pa.array([x[2] for x in made], pa.int64())], ["path", "index", "records"])
 
-    return archives.mapInArrow(run, "path string, index string, records long")
+    return archives.select("path", "records").mapInArrow(run, "path string, index string, records long")
 
 
 def parse(raw: bytes) -> tuple[int | None, int, str, str, int | None]:
@@ -202,13 +226,13 @@ def parse(raw: bytes) -> tuple[int | None, int, str, str, int | None]:
 
 
 def read_archives(archives: DataFrame) -> DataFrame:
-    """Per record of the archives (path, index): page_id, payload_bytes, payload_digest, record_type, refers_to."""
+    """Per record of the archives (path, index, records): page_id, payload_bytes, payload_digest, record_type, refers_to."""
     names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, index in zip(batch.column("path").to_pylist(), batch.column("index").to_pylist(), strict=True):
+            for path, index, records in zip(*[batch.column(c).to_pylist() for c in ("path", "index", "records")], strict=True):
                 where, at = file_system(path)
                 with where.open_input_file(at) as members, where.open_input_stream(file_system(index)[1], compression=None) as lines:
                     rows = []
@@ -216,6 +240,8 @@ def read_archives(archives: DataFrame) -> DataFrame:
                         offset, length, _ = line.split(b" ", 2)
                         members.seek(int(offset))
                         rows.append(parse(zlib.decompress(members.read(int(length)), 31)))
+                    if len(rows) != records or members.seek(0, 2) != (int(offset) + int(length) if rows else 0):
+                        raise ValueError(f"{path}: the index has {len(rows)} records, {records} were written")
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
 
     return archives.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
@@ -224,16 +250,19 @@ def read_archives(archives: DataFrame) -> DataFrame:
 def with_revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """pages with refers_to: the largest id with the same payload, or null for that one and payloads below min_bytes."""
     payload = F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8")
-    keyed = pages.withColumn("sha1", F.when(F.octet_length(payload) >= min_bytes, F.sha1(payload)))
-    repeated = keyed.where("sha1 is not null").groupBy("sha1").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1").drop("n")
-    joined = keyed.join(repeated, "sha1", "left")
-    return joined.withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("last")), F.col("last"))).drop("sha1", "last")
+    names = {c: f"_{i}" for i, c in enumerate(pages.columns)}
+    keyed = pages.select(*[F.col(c).alias(n) for c, n in names.items()], F.when(F.octet_length(payload) >= min_bytes, F.sha1(payload)).alias("sha1"))
+    own = F.col(names["page_id"])
+    repeated = keyed.where("sha1 is not null").groupBy("sha1").agg(F.max(own).alias("last"), F.count("*").alias("n")).where("n > 1")
+    joined = joined_by_group(keyed, repeated, "sha1", "n", max(1, pages.count()))
+    return joined.select(*[F.col(n).alias(c) for c, n in names.items()], F.when(~own.eqNullSafe(F.col("last")), F.col("last")).alias("refers_to"))
 
 
 def archive(pages: DataFrame, folder: str, min_bytes: int = 0, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Write pages (page_id, url, html) into whole-file archives, normalise these and remove them; per archive: path, index, records."""
-    whole = written(write_archives(with_revisits(pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html"), min_bytes), folder, archive_bytes), "warc-whole")
-    made = written(normalise(whole.repartition(max(1, min(whole.count(), 10_000))), folder), "warc-members")
+    with temporary(pages.sparkSession):
+        whole = written(write_archives(with_revisits(pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html"), min_bytes), folder, archive_bytes), "warc-whole")
+        made = written(normalise(whole.repartition(max(1, min(whole.count(), 10_000))), folder), "warc-members", keep=True)
     remove(pages.sparkSession, f"{folder}/whole")
     return made
 
