@@ -8,7 +8,7 @@ first. So sizes stay within their quotas all the time, and links between shards
 shards.
 
 :func:`shard` links documents of equal texts: a tree over each group of copies whose nodes have FAN neighbours or so, so no document
-is a hub and no group becomes pairs. What has no links then fills the shards to the law ``rows``: counts at most one apart.
+is a hub and no group becomes pairs. Copies start beside one another, and propagation mends what lies across shards. What has no links then fills the shards to the law ``rows``: counts at most one apart.
 
 All that is ordered is ordered by prefix sums over hash buckets plus a window within a bucket, and joins to groups broadcast their
 hot ones, so neither a shard nor a group of copies is gathered in one task. Only DataFrame functions run.
@@ -20,6 +20,8 @@ table gives an empty result; other columns don't matter, whatever their names.
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
@@ -29,7 +31,8 @@ from chronopanel.sources.tables import temporary, written
 
 BUCKETS = 256
 ROUNDS = 8
-FAN = 128
+#: Neighbours of a document among its copies, and slices of copies whose texts' hashes begin alike.
+FAN, SPREAD = 128, 32
 #: What a document takes besides its text.
 OVERHEAD_BYTES = 16
 
@@ -70,11 +73,16 @@ def accepted_flows(asked: dict[tuple[int, int], int], free: list[int]) -> dict[t
 def propagate(nodes: DataFrame, links: DataFrame, quotas: list[int], rounds: int = ROUNDS) -> tuple[DataFrame, list[int]]:
     """(node, shard) of nodes (node) with links (a, b), and the numbers of cut links at the start and the end.
 
-    quotas are the most nodes that each shard may hold; together they are enough for all.
+    quotas are the most nodes that each shard may hold; together they are enough for all. Nodes start dealt evenly; where they have a column
+    near (a small number), they start by it, one shard filled after another.
     """
     shards = len(quotas)
-    start = _ranked(nodes.withColumn("_all", F.lit(0)), ["_all"], F.pmod(F.xxhash64("node"), F.lit(BUCKETS)), [F.col("node")], "_rank")
-    labels = written(start.select("node", (F.col("_rank") % shards).cast("int").alias("shard")), "shard-labels")
+    placed = "near" in nodes.columns
+    bucket = F.pmod(F.xxhash64("node"), F.lit(BUCKETS))
+    start = _ranked(nodes.withColumn("_all", F.lit(0)), ["_all"], F.col("near") if placed else bucket, [F.col("node")], "_rank")
+    ends = F.array(*[F.lit(int(x)).cast("long") for x in accumulate(quotas)])
+    first = F.size(F.filter(ends, lambda x: x <= F.col("_rank"))) if placed else F.col("_rank") % shards
+    labels = written(start.select("node", first.cast("int").alias("shard")), "shard-labels")
     cuts = [cut_links(links, labels)]
     edges, idle = both_ways(links), 0
     for turn in range(rounds):
@@ -135,7 +143,10 @@ def shard(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sh
         total = slim.count()
         quotas = [total // shards + (i < total % shards) for i in range(shards)]
         links = copy_links(slim, "_text", total)
-        nodes = written(links.select(F.col("a").alias("node")).unionAll(links.select(F.col("b").alias("node"))).distinct(), "shard-nodes")
+        linked = links.select(F.col("a").alias("node")).unionAll(links.select(F.col("b").alias("node"))).distinct()
+        # copies start beside one another: by bits of their text's hash, and for a text of very many by bits of their own
+        near = F.conv(F.substring("_text", 1, 3), 16, 10).cast("int") * SPREAD + F.pmod(F.xxhash64("node"), F.lit(SPREAD)).cast("int")
+        nodes = written(slim.join(linked, "node", "left_semi").select("node", near.alias("near")), "shard-nodes")
         labels, _ = propagate(nodes, links, quotas, rounds)
         settled = written(slim.drop("_text").join(labels, "node", "left"), "shard-settled")
         load = {r["shard"]: r["n"] for r in labels.groupBy("shard").agg(F.count("*").alias("n")).collect()}

@@ -79,6 +79,31 @@ def test_shards_are_even_and_groups_whole(spark, copies):
     assert len(where["the same"]) <= max(1, 130 // 20)
 
 
+def test_propagation_cuts_fewer_links_within_quotas(spark):
+    """Against plain counting: two rings of cliques, and a group larger than a shard."""
+    links = [(10 * g + i, 10 * g + j) for g in range(30) for i in range(10) for j in range(i)] + [(10 * g, 10 * g + 10) for g in range(29)]
+    links += [(1000, 1000 + i) for i in range(1, 120)]
+    nodes = sorted({x for e in links for x in e})
+    quotas = [60] * 8
+    labels, cuts = sharding.propagate(spark.createDataFrame([(x,) for x in nodes], "node long"), spark.createDataFrame(links, "a long, b long"), quotas, rounds=12)
+    where = {r["node"]: r["shard"] for r in labels.collect()}
+    assert sorted(where) == nodes and all(sum(s == i for s in where.values()) <= q for i, q in enumerate(quotas))
+    assert cuts[-1] == sum(where[a] != where[b] for a, b in links) < 0.4 * cuts[0]
+
+
+def test_copies_are_linked_by_a_tree(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "FAN", 4)
+    keys = ["a"] * 60 + ["b"] * 2 + ["c"] + [None] * 5
+    links = [tuple(r) for r in sharding.copy_links(spark.createDataFrame(list(enumerate(keys)), "node long, key string"), "key", len(keys)).collect()]
+    assert len(links) == 60 and len({x for e in links for x in e}) == 62 and all(keys[a] == keys[b] for a, b in links)
+    assert max(sum(x in e for e in links) for x in range(60)) < 20
+
+
+def test_flows_keep_quotas():
+    flows = sharding.accepted_flows({(0, 1): 5, (1, 0): 3, (2, 1): 4, (0, 2): 1}, [0, 2, 0])
+    assert flows == {(0, 1): 3, (1, 0): 3, (2, 1): 2}
+
+
 def test_few_and_no_documents(spark):
     few = [(1, "a"), (2, "a"), (3, None)]
     check_law(sharding.shard(spark.createDataFrame(few, "doc_id long, text string"), shards=5).collect(), few, 5)

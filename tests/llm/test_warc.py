@@ -6,6 +6,7 @@ import hashlib
 import io
 
 import pytest
+from pyspark.sql import functions as F
 
 from chronopanel.llm import warc
 
@@ -48,5 +49,29 @@ def test_members_and_broken_archives():
         warc.parse(one.replace(b"abc", b"abd"))
 
 
+@pytest.mark.parametrize("cut", [1, 4, 8, 60])
+def test_cut_streams_raise(cut):
+    whole = gzip.compress(warc.record(1, "u", b"abc", None))
+    for stream in (whole[:-cut], whole + whole[:-cut]):
+        with pytest.raises(ValueError):
+            list(warc.split_records(warc.inflate(io.BytesIO(stream))))
+    two = whole + gzip.compress(warc.record(2, "u", b"", None))
+    with pytest.raises(ValueError):
+        list(warc.split_records(warc.inflate(io.BytesIO(two[: len(whole) + 5]))))
+    assert list(warc.inflate(io.BytesIO(b""))) == []
+
+
+def test_counts_are_held_against_what_was_written(spark, tmp_path):
+    pages = spark.createDataFrame([(i, "u", f"page {i}") for i in range(10)], "page_id long, url string, html string").coalesce(1)
+    made = warc.archive(pages, str(tmp_path / "a"))
+    assert warc.read_archives(made).count() == 10
+    for wrong in (9, 11):
+        with pytest.raises(Exception, match="records"):
+            warc.read_archives(made.withColumn("records", F.lit(wrong).cast("long"))).count()
+    (path,) = [r["path"] for r in made.collect()]
+    with pytest.raises(Exception, match="10 records, 3 were written"):
+        warc.normalise(spark.createDataFrame([(path, 3)], "path string, records long"), str(tmp_path / "b")).count()
+
+
 def test_no_pages(spark, tmp_path):
     assert warc.read_archives(warc.archive(spark.createDataFrame([], "page_id long, url string, html string"), str(tmp_path))).count() == 0
