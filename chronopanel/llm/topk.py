@@ -34,6 +34,8 @@ LEAF_ROWS = 64
 QUERY_BLOCK = 256
 #: Boxes of shards in one page, bits of the key that cuts space, and salts of equal vectors.
 PAGE, MOST_BITS, SALTS = 4096, 16, 32
+#: Stands for scores of more than 64 bits, which raise unless they are a row's product with itself.
+BEYOND = 2**63 - 1
 
 
 def bounds_of(queries: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
@@ -156,7 +158,7 @@ def _search(rows: DataFrame, queries: DataFrame, shards: int, k: int) -> DataFra
                     found = list(tree.search(None, _matrix(block.column("q"), tree.rows.shape[1]), block.column("kth").to_pylist(), k))
                     place = np.repeat(np.arange(len(found)), [len(x) for x in found])
                     flat = [x for one in found for x in one]
-                    yield pa.RecordBatch.from_arrays([pa.array(block.column("id").to_numpy()[place]), pa.array([s for s, _ in flat], pa.int64()), pa.array([v for _, v in flat], pa.int64())], ["rep", "score", "vec_id"])
+                    yield pa.RecordBatch.from_arrays([pa.array(block.column("id").to_numpy()[place]), pa.array([max(-BEYOND, min(BEYOND, s)) for s, _ in flat], pa.int64()), pa.array([v for _, v in flat], pa.int64())], ["rep", "score", "vec_id"])
 
     return dealt.mapInArrow(run, "rep long, score long, vec_id long")
 
@@ -286,7 +288,8 @@ def search(vectors: DataFrame, is_query, *, id_col: str = "vec_id", vector_col:
         each = members.join(few, "rep").where("id <> vec_id")
         rank = F.row_number().over(Window.partitionBy("id", "rep").orderBy(F.desc("score"), "vec_id")).cast("int")
         out = each.withColumn("rank", rank).where(F.col("rank") <= k)
-        return written(out.select(F.col("id").alias("query_id"), "rank", "vec_id", "score"), "topk-result", keep=True)
+        score = F.when(F.abs("score") == BEYOND, F.raise_error(F.lit("a score beyond 64 bits")).cast("long")).otherwise(F.col("score"))
+        return written(out.select(F.col("id").alias("query_id"), "rank", "vec_id", score.alias("score")), "topk-result", keep=True)
 
 
 def op2_topk(spark, sf_dir: str) -> DataFrame:
