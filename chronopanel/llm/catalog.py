@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from chronopanel.llm import chat, decontamination, jaccard, language, mixing, secrets, sharding, topk, toxicity, warc
+from chronopanel.llm import centroids, chat, decontamination, exact, jaccard, language, mixing, repair, secrets, sharding, topk, toxicity, warc
 
 QUERIES = {
     "op1_jaccard_join": jaccard.op1_jaccard_join,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_secrets": secrets.op9_secrets,
     "op10_chat": chat.op10_chat,
+    "op11_exact": exact.op11_exact,
+    "op12_repair": repair.op12_repair,
+    "op13_centroids": centroids.op13_centroids,
 }
 ORACLES = {
     "op2_topk": topk.OP2_SQL,
@@ -22,4 +25,7 @@ ORACLES = {
     "op4_decontamination": decontamination.OP4_SQL,
     "op6_warc": warc.OP6_SQL,
     "op10_chat": chat.OP10_SQL,
+    "op11_exact": exact.OP11_SQL,
+    "op12_repair": repair.OP12_SQL,
+    "op13_centroids": centroids.OP13_SQL,
 }
