@@ -1,7 +1,7 @@
 """Exact search for the largest integer inner products, by a k-d tree for each shard.
 
-Components become floor(256 * x). Of rows with equal vectors only the k + 1 smallest ids can be among anyone's k best, so the others are
-left out first, and equal queries are searched once. Vectors are dealt into shards of about SHARD_ROWS by space: the
+Components become floor(256 * x). Of rows with equal vectors only those of the k + 1 smallest ids can be among anyone's k best, so the others are
+left out first, and equal queries are searched once, for k + 1 rows; each row that asks then leaves out itself. Vectors are dealt into shards of about SHARD_ROWS by space: the
 bits of a key tell for the most spread dimensions on which side of the median a vector is, and keys next to one another share
 a shard. A shard's tree halves its rows at the median of their widest dimension, down to leaves, and keeps for each node
 the tight box around its rows and their least id. A query bounds its product with a node's rows by the box, visits nodes best
@@ -10,8 +10,9 @@ shard where it lies. The k-th score found there is then held against the boxes o
 query goes only to shards that may beat it. Queries stream through each shard's tree in blocks; the tree is the only thing
 that a task holds, so memory is bounded by SHARD_ROWS.
 
-Nulls, ties, and so on: vectors that are null or hold a null or non-finite component, and rows with a null id, take no part;
-equal scores go to smaller ids; rows alike in id and vector count once, and no row of the query's own id is a candidate;
+Nulls, ties, and so on: vectors that are null or hold a null or non-finite component take no part; a null id asks nothing and is the last
+candidate of its score; equal scores go to smaller ids; every row counts by itself, also where rows share an id or are alike altogether: each asks, and only the row itself
+is no candidate of its own;
 of vectors of different lengths the shorter is filled up with zeros, and an empty one scores 0 with all; components beyond 64 bits raise, as
 does a score, and products are exact whatever their size; an empty table gives an empty result; other columns don't matter.
 """
@@ -32,9 +33,9 @@ from chronopanel.sources.tables import temporary, written
 SHARD_ROWS = 8192
 LEAF_ROWS = 64
 QUERY_BLOCK = 256
-#: Boxes of shards in one page, bits of the key that cuts space, and salts of equal vectors.
-PAGE, MOST_BITS, SALTS = 4096, 16, 32
-#: Stands for scores of more than 64 bits, which raise unless they are a row's product with itself.
+#: Boxes of shards in one page, queries that a task holds against one, bits of the key that cuts space, and salts of equal vectors.
+PAGE, PAGE_QUERIES, MOST_BITS, SALTS = 4096, 20_000, 20, 32
+#: Stands for scores of more than 64 bits, which raise unless they are a row's product with itself; and for null as an id.
 BEYOND = 2**63 - 1
 
 
@@ -73,8 +74,8 @@ class Tree:
         self.ids, self.rows = ids[order], rows[order]
         self.low, self.high, self.least = np.array(lows, float), np.array(highs, float), np.array(least)
 
-    def search(self, query_ids: np.ndarray | None, queries: np.ndarray, kth: list[int | None], k: int) -> Iterator[list[tuple[int, int]]]:
-        """For each query its (score, id), best first, of scores not below its known k-th score."""
+    def search(self, queries: np.ndarray, kth: list[int | None], k: int) -> Iterator[list[tuple[int, int, bool]]]:
+        """For each query its (score, id, whether the vector is the query's), best first, of scores not below its known k-th score."""
         bounds = bounds_of(queries, self.low, self.high)
         largest = [max(map(abs, (int(x.max(initial=0)), int(x.min(initial=0))))) for x in (queries, self.rows)]
         size = largest[0] * largest[1] * self.rows.shape[1]
@@ -84,7 +85,7 @@ class Tree:
         rows = self.rows.astype(kind)
         for i in range(len(queries)):
             query = queries[i].astype(kind)
-            best: list[tuple[int, int]] = []  # (score, -id): the worst first
+            best: list[tuple[int, int, int]] = []  # (score, -id, row): the worst first
             floor = -np.inf if kth[i] is None else kth[i]
             heap = [(-bounds[i, 0], 0)]
             while heap:
@@ -102,15 +103,14 @@ class Tree:
                 lo, hi = self.spans[node]
                 scores = rows[lo:hi] @ query
                 for j in np.flatnonzero(scores >= floor).tolist():
-                    if query_ids is None or self.ids[lo + j] != query_ids[i]:
-                        found = (int(scores[j]), -int(self.ids[lo + j]))
-                        if len(best) < k:
-                            heapq.heappush(best, found)
-                        elif found > best[0]:
-                            heapq.heapreplace(best, found)
+                    found = (int(scores[j]), -int(self.ids[lo + j]), lo + j)
+                    if len(best) < k:
+                        heapq.heappush(best, found)
+                    elif found > best[0]:
+                        heapq.heapreplace(best, found)
                 if len(best) == k:
                     floor = max(floor, best[0][0])
-            yield [(s, -x) for s, x in sorted(best, reverse=True)]
+            yield [(s, -x, bool((self.rows[j] == queries[i]).all())) for s, x, j in sorted(best, reverse=True)]
 
 
 def _matrix(column: pa.Array, width: int | None = None) -> np.ndarray:
@@ -132,7 +132,7 @@ def _runs(*columns: np.ndarray) -> Iterator[tuple[int, int]]:
 
 
 def _search(rows: DataFrame, queries: DataFrame, shards: int, k: int) -> DataFrame:
-    """(rep, score, vec_id): of each query (shard, rep, q, kth) the k best in its shard of rows (shard, id, q)."""
+    """(rep, score, vec_id, same): of each query (shard, rep, q, kth) the k best in its shard of rows (shard, id, q), and whether their vectors are its own."""
     both = rows.select("shard", F.lit(0).alias("kind"), "id", "q", F.lit(None).cast("long").alias("kth")).unionAll(queries.select("shard", F.lit(1).alias("kind"), F.col("rep").alias("id"), "q", "kth"))
     dealt = both.repartition(shards, "shard").sortWithinPartitions("shard", "kind")
 
@@ -155,12 +155,12 @@ def _search(rows: DataFrame, queries: DataFrame, shards: int, k: int) -> DataFra
                     continue
                 for at in range(0, part.num_rows, QUERY_BLOCK):
                     block = part.slice(at, QUERY_BLOCK)
-                    found = list(tree.search(None, _matrix(block.column("q"), tree.rows.shape[1]), block.column("kth").to_pylist(), k))
+                    found = list(tree.search(_matrix(block.column("q"), tree.rows.shape[1]), block.column("kth").to_pylist(), k))
                     place = np.repeat(np.arange(len(found)), [len(x) for x in found])
                     flat = [x for one in found for x in one]
-                    yield pa.RecordBatch.from_arrays([pa.array(block.column("id").to_numpy()[place]), pa.array([max(-BEYOND, min(BEYOND, s)) for s, _ in flat], pa.int64()), pa.array([v for _, v in flat], pa.int64())], ["rep", "score", "vec_id"])
+                    yield pa.RecordBatch.from_arrays([pa.array(block.column("id").to_numpy()[place]), pa.array([max(-BEYOND, min(BEYOND, s)) for s, _, _ in flat], pa.int64()), pa.array([v for _, v, _ in flat], pa.int64()), pa.array([x for _, _, x in flat], pa.bool_())], ["rep", "score", "vec_id", "same"])
 
-    return dealt.mapInArrow(run, "rep long, score long, vec_id long")
+    return dealt.mapInArrow(run, "rep long, score long, vec_id long, same boolean")
 
 
 def _boxes(rows: DataFrame, shards: int) -> DataFrame:
@@ -184,15 +184,15 @@ def _boxes(rows: DataFrame, shards: int) -> DataFrame:
     return made.withColumn("page", F.floor(F.col("shard") / PAGE).cast("int"))
 
 
-def _worthwhile(queries: DataFrame, boxes: DataFrame, shards: int) -> DataFrame:
+def _worthwhile(queries: DataFrame, boxes: DataFrame, shards: int, asked_rows: int) -> DataFrame:
     """(shard, rep, q, kth) for the shards other than its own whose box may hold what a query (shard, rep, q, kth) lacks."""
-    pages = -(-shards // PAGE)
+    pages, parts = -(-shards // PAGE), max(1, -(-asked_rows // PAGE_QUERIES))
     asked = queries.select(F.explode(F.sequence(F.lit(0), F.lit(pages - 1))).alias("page"), F.lit(1).alias("kind"), "shard", "q", F.lit(None).cast("array<long>").alias("high"), "rep", "kth")
     # every part of a page's queries needs all of its boxes
-    spread = boxes.select("page", "shard", "low", "high").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(7))))
-    asked = asked.withColumn("part", F.pmod(F.xxhash64("rep"), F.lit(8)).cast("int"))
+    spread = boxes.select("page", "shard", "low", "high").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    asked = asked.withColumn("part", F.pmod(F.xxhash64("rep"), F.lit(parts)).cast("int"))
     both = spread.select("page", "part", F.lit(0).alias("kind"), "shard", F.col("low").alias("q"), "high", F.lit(None).cast("long").alias("rep"), F.lit(None).cast("long").alias("kth")).unionAll(asked.select("page", "part", "kind", "shard", "q", "high", "rep", "kth"))
-    dealt = both.repartition(pages * 8, "page", "part").sortWithinPartitions("page", "part", "kind")
+    dealt = both.repartition(pages * parts, "page", "part").sortWithinPartitions("page", "part", "kind")
 
     def run(batches):
         at, held, low, high, numbers = None, [], None, None, None
@@ -244,28 +244,31 @@ def _key_of(cuts: list):
 
 
 def _first_ids(rows: DataFrame, k: int) -> DataFrame:
-    """Of rows (id, q) those with the k smallest ids of each vector; first within salts, so that no task sees all of a common one."""
+    """Of rows (id, q) those with the k smallest ids of each vector, k of each at most; first within salts, so that no task sees all of a common one."""
+    each = rows.groupBy("q", "id").agg(F.least(F.count("*"), F.lit(k)).cast("int").alias("copies"))
     for parts in (["q", F.pmod(F.xxhash64("id"), F.lit(SALTS))], ["q"]):
-        rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy(*parts).orderBy("id"))).where(F.col("_n") <= k).drop("_n")
-    return rows
+        each = each.withColumn("_n", F.row_number().over(Window.partitionBy(*parts).orderBy("id"))).where(F.col("_n") <= k).drop("_n")
+    return each.select("id", "q", F.explode(F.array_repeat(F.lit(0), F.col("copies"))).alias("_copy")).drop("_copy")
 
 
 def search(vectors: DataFrame, is_query, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5, scale: int = 256, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """query_id, rank, vec_id, score: the k best rows for each row for which is_query holds."""
     whole = F.forall(vector_col, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    clean = vectors.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & whole)
+    clean = vectors.where(F.col(vector_col).isNotNull() & whole)
+    number = F.col(id_col).cast("long")
+    number = F.when(number.isNull(), F.lit(BEYOND)).when(number == BEYOND, F.raise_error(F.lit(f"{BEYOND} can't be an id")).cast("long")).otherwise(number)
 
     def integer(x):
         y = scale * x.cast("double")
         return F.when(F.abs(y) >= 2.0**63, F.raise_error(F.lit("a component beyond 64 bits")).cast("long")).otherwise(F.floor(y).cast("long"))
 
     with temporary(vectors.sparkSession):
-        rows = clean.select(F.col(id_col).cast("long").alias("id"), F.transform(vector_col, integer).alias("q"), is_query.alias("asks")).distinct()
-        rows = written(rows, "topk-rows")
+        rows = clean.select(number.alias("id"), F.transform(vector_col, integer).alias("q"), (is_query & F.col(id_col).isNotNull()).alias("asks"))
+        rows = written(rows.withColumn("member", F.monotonically_increasing_id()), "topk-rows")
         # one more than k: the query's own row is among the candidates until the end
-        candidates = written(_first_ids(rows.select("id", "q").distinct(), k + 1), "topk-candidates")
-        asking = rows.where("asks").select("id", "q").distinct()
-        members = written(asking.join(asking.groupBy("q").agg(F.min("id").alias("rep")), "q").select("id", "rep"), "topk-members")
+        candidates = written(_first_ids(rows.select("id", "q"), k + 1), "topk-candidates")
+        asking = written(rows.where("asks").select("q").distinct().withColumn("rep", F.monotonically_increasing_id()), "topk-asking")
+        members = written(rows.where("asks").select("member", "id", "q").join(asking, "q").select("member", "id", "rep"), "topk-members")
         shards = max(1, -(-candidates.count() // shard_rows))
         keyed, cuts = _keyed(candidates, shards)
         counts = keyed.groupBy("key").agg(F.count("*").alias("n"))  # 2 ** MOST_BITS rows at most
@@ -274,7 +277,7 @@ def search(vectors: DataFrame, is_query, *, id_col: str = "vec_id", vector_col:
         places = written(places.select("key", first.alias("first"), (last - first + 1).alias("several")), "topk-places")
         shard = (F.col("first") + F.pmod(F.xxhash64("q"), F.col("several"))).cast("int").alias("shard")
         dealt = written(keyed.join(F.broadcast(places), "key").select("id", "q", shard), "topk-dealt")
-        asked = asking.groupBy("q").agg(F.min("id").alias("rep")).withColumn("key", _key_of(cuts)).join(F.broadcast(places), "key").select("rep", "q", shard)
+        asked = asking.withColumn("key", _key_of(cuts)).join(F.broadcast(places), "key").select("rep", "q", shard)
         asked = written(asked, "topk-asked")
         best = Window.partitionBy("rep").orderBy(F.desc("score"), "vec_id")
         near = written(_search(dealt, asked.withColumn("kth", F.lit(None).cast("long")), shards, k + 1), "topk-near")
@@ -282,14 +285,16 @@ def search(vectors: DataFrame, is_query, *, id_col: str = "vec_id", vector_col:
         found = near
         if shards > 1:
             known = written(asked.join(kth, "rep", "left"), "topk-known")
-            far = written(_worthwhile(known, _boxes(dealt, shards), shards), "topk-far")
+            far = written(_worthwhile(known, _boxes(dealt, shards), shards, known.count()), "topk-far")
             found = near.unionAll(_search(dealt, far, shards, k + 1))
         few = written(found.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1).drop("n"), "topk-found")
-        each = members.join(few, "rep").where("id <> vec_id")
-        rank = F.row_number().over(Window.partitionBy("id", "rep").orderBy(F.desc("score"), "vec_id")).cast("int")
+        # of a row's candidates with its own id and vector one is the row itself
+        each = members.join(few, "rep").withColumn("own", (F.col("id") == F.col("vec_id")) & F.col("same"))
+        each = each.withColumn("n", F.row_number().over(Window.partitionBy("member", "own").orderBy("score"))).where("not own or n > 1")
+        rank = F.row_number().over(Window.partitionBy("member").orderBy(F.desc("score"), "vec_id")).cast("int")
         out = each.withColumn("rank", rank).where(F.col("rank") <= k)
         score = F.when(F.abs("score") == BEYOND, F.raise_error(F.lit("a score beyond 64 bits")).cast("long")).otherwise(F.col("score"))
-        return written(out.select(F.col("id").alias("query_id"), "rank", "vec_id", score.alias("score")), "topk-result", keep=True)
+        return written(out.select(F.col("id").alias("query_id"), "rank", F.when(F.col("vec_id") != BEYOND, F.col("vec_id")).alias("vec_id"), score.alias("score")), "topk-result", keep=True)
 
 
 def op2_topk(spark, sf_dir: str) -> DataFrame:
@@ -299,11 +304,11 @@ def op2_topk(spark, sf_dir: str) -> DataFrame:
 
 OP2_SQL = """
 WITH v AS (
-  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
-  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (
-  SELECT a.vec_id AS query_id, b.vec_id AS vec_id, CAST(list_dot_product(CAST(a.q AS DOUBLE[]), CAST(b.q AS DOUBLE[])) AS BIGINT) AS score
-  FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
-SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
+  SELECT a.r, a.vec_id AS query_id, b.vec_id AS vec_id, CAST(list_dot_product(CAST(a.q AS DOUBLE[]), CAST(b.q AS DOUBLE[])) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.r <> b.r WHERE a.vec_id % 50 = 0),
+n AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id NULLS LAST) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM n WHERE rank <= 5
 """
