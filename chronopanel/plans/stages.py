@@ -144,6 +144,19 @@ class Context:
         df.write.mode("overwrite").parquet(self.path("data", f"{name}.parquet"))
         return self.stored(name)
 
+    def resumed(self, kind: str, digest: str, step: int, build: Callable[[], DataFrame]) -> DataFrame:
+        """A step of a long stage: as an earlier run with the same digest left it, else built and stored now."""
+        name = f"{kind}_{digest}_{step:06d}"
+        if not files.exists(self.spark, self.path("data", f"{name}.parquet/_SUCCESS")):
+            return self.store(build(), name)
+        return self.stored(name)
+
+    def forget(self, kind: str, digest: str) -> None:
+        """Delete the steps that runs on other inputs or settings left."""
+        for path in files.listed(self.spark, self.path("data", f"{kind}_*")):
+            if not path.rpartition("/")[2].startswith(f"{kind}_{digest}_"):
+                files.remove(self.spark, path)
+
     def specify(self, name: str, record: dict) -> None:
         """What a model was, for the record."""
         sinks.write_json(self.spark, self.path("models", f"{name}_specification.json"), record | {"quick_mode": self.config.is_quick})
@@ -204,21 +217,21 @@ def temporal(c: Context) -> dict[str, DataFrame]:
     rates = randomization.observed_gap_rates(history.risk_set(built))
     plan = randomization.schedule(c.spark, k.draws, k.seeds)
     most = plan.agg(F.max("n_draws")).first()[0]
-    own = f"temporal_steps_{k.draws}_{k.burn_in}_{k.thin}_{'_'.join(map(str, k.seeds))}"
-    start = c.store(randomization.chain_starts(history.activity_matrix(built, k.observed_years), plan), f"{own}_start")
+    matrix = history.activity_matrix(built, k.observed_years)
+    # steps belong to the very matrix, years and settings that they came from
+    digest = files.digest(matrix, k.observed_years, k.missing_years, k.seeds, k.draws, k.burn_in, k.thin, k.checkpoint_draws)
+    start = c.store(randomization.chain_starts(matrix, plan), "temporal_start")
     chains, parts = start, []
     for first in range(0, most, k.checkpoint_draws):
-        name = f"{own}_{first:06d}"
         batch = F.greatest(F.lit(0), F.least(F.lit(k.checkpoint_draws), F.col("whole") - first)).cast("int")
         now = chains.drop("n_draws").join(plan.select("chain", F.col("n_draws").alias("whole")), "chain").withColumn("n_draws", batch).drop("whole")
-        if not files.exists(c.spark, c.path("data", f"{name}.parquet/_SUCCESS")):  # an earlier run that was stopped left it
-            c.store(randomization.chain_steps(now, k.observed_years, k.missing_years, k.burn_in, k.thin), name)
-        parts.append(c.stored(name))
+        parts.append(c.resumed("temporal_steps", digest, first, lambda now=now: randomization.chain_steps(now, k.observed_years, k.missing_years, k.burn_in, k.thin)))
         chains = randomization.chain_after(start, parts[-1], 0)
     steps = reduce(DataFrame.unionByName, parts)
     draws = c.store(steps.where("gap_time_category is not null").drop("masks", "generator"), "temporal_draws")
     if not draws.agg(F.bool_and("margins_kept")).first()[0]:
         raise contract.ContractError("a draw doesn't keep the margins")
+    c.forget("temporal_steps", digest)
     drawn = randomization.statistics(draws, ["chain", "draw"])
     names = [x for x in drawn.columns if x not in ("chain", "draw")]
     drawn = c.store(drawn, "temporal_fixed_margin_null")
@@ -237,16 +250,19 @@ def spatial_stage(c: Context) -> dict[str, DataFrame]:
     found = c.store(spatial.nearest_prior(at, k.missing_years), "observed_recurrent_distances_distinct")
     observed = spatial.distance_summary(found)
     # permutations by hundreds bound what a shuffle holds at once
-    own, draws = f"spatial_draws_{k.permutation_scope}_{k.seed}_{k.permutations}", None
-    for first in range(0, k.permutations, 100):
-        name, n = f"{own}_{first:06d}", min(100, k.permutations - first)
+    digest = files.digest(at, k.missing_years, k.permutation_scope, k.seed, k.permutations)
+
+    def drawn(first: int) -> DataFrame:
+        n = min(100, k.permutations - first)
         if k.permutation_scope == "within_slope_unit":
             one = spatial.permuted_nearest(at, n, k.seed, k.missing_years, first)
         else:
             one = spatial.nearest_prior(spatial.permuted_years(at, n, k.seed, k.permutation_scope, first), k.missing_years, ["perm"])
-        part = c.store(spatial.distance_summary(one, ["perm"]), name)
-        draws = part if draws is None else draws.unionByName(part)
-    draws = c.store(draws, "time_label_permutation_null")
+        return spatial.distance_summary(one, ["perm"])
+
+    parts = [c.resumed("spatial_draws", digest, first, lambda first=first: drawn(first)) for first in range(0, k.permutations, 100)]
+    draws = c.store(reduce(DataFrame.unionByName, parts), "time_label_permutation_null")
+    c.forget("spatial_draws", digest)
     c.specify("spatial_randomization", {"input_event_rows": events.count(), "valid_observed_event_rows": raw.count(), "fixed_location_rows": at.count(), "time_label_shuffle_scope": k.permutation_scope, "coordinate_tolerance_m": k.tolerance_m, "seed": k.seed, "permutations": k.permutations, "coordinates": "points as given, a point inside polygons", "distance_units": "metres"})
     return {"spatial_location_multiplicity": spatial.multiplicity(raw), "spatial_year_counts_before_after_dedup": spatial.year_counts(raw, at), "observed_distinct_location_summary": observed, "observed_vs_time_permutation": spatial.null_summary(observed, draws)}
 

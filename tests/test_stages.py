@@ -72,15 +72,51 @@ def test_run(spark, folder):
     assert summary["blocking_check_names"] == ["prediction: held-out rows of each model", "rainfall: AME contrast table"]
 
 
-def test_chains_are_resumed(spark, folder):
-    config = stages.Config.load(str(folder / "run.toml"))
-    config.draws, config.burn_in, config.thin, config.checkpoint_draws = 9, 20, 5, 2
-    stages.run(spark, config, ["history", "temporal"])
-    first = (folder / "out/tables/temporal_fixed_margin_summary.csv").read_text()
-    batch = next((folder / "out/data").glob("temporal_steps_*_000002.parquet"))
-    before = batch.stat().st_mtime_ns
-    stages.run(spark, config, ["temporal"])
-    assert batch.stat().st_mtime_ns == before and (folder / "out/tables/temporal_fixed_margin_summary.csv").read_text() == first
+def test_stopped_stages_go_on_with_their_own_steps(spark, folder, monkeypatch):
+    """A run that was stopped is resumed; after a change of the panel or events in the same folder the draws are those of a fresh run."""
+    from chronopanel.operators import randomization, spatial
+
+    def config(output):
+        k = stages.Config.load(str(folder / "run.toml"))
+        k.draws, k.burn_in, k.thin, k.checkpoint_draws, k.permutations = 27, 20, 5, 2, 250
+        return stages.replace(k, output=str(folder / output))
+
+    tables = ("temporal_fixed_margin_summary", "observed_vs_time_permutation")
+    result = lambda output: [(folder / output / f"tables/{t}.csv").read_text() for t in tables]
+    steps = lambda: {p: p.stat().st_mtime_ns for kind in ("temporal_steps", "spatial_draws") for p in (folder / "out/data").glob(f"{kind}_*")}
+    for module, name, stage in ((randomization, "chain_steps", "temporal"), (spatial, "permuted_nearest", "spatial")):
+        whole, calls = getattr(module, name), []
+
+        def stopped(*args, whole=whole, calls=calls):
+            calls.append(1)
+            if len(calls) == 3:
+                raise KeyboardInterrupt
+            return whole(*args)
+
+        with monkeypatch.context() as m, pytest.raises(KeyboardInterrupt):
+            m.setattr(module, name, stopped)
+            stages.run(spark, config("out"), ["history", stage])
+    before = steps()
+    assert len(before) == 4
+    stages.run(spark, config("out"), ["history", "temporal", "spatial"])
+    assert before.items() <= steps().items() and len(steps()) == 5 + 3  # what was there wasn't made again
+    first = result("out")
+    stages.run(spark, config("fresh"), ["history", "temporal", "spatial"])
+    assert result("fresh") == first
+    # one cell of the panel and one event change
+    rows = list(csv.reader((folder / "response_panel.csv").open()))
+    at = next(i for i, r in enumerate(rows) if r[2] == "0" and i > 50)
+    rows[at][2] = "1"
+    events = list(csv.reader((folder / "events.csv").open()))
+    events[1][3] = str(float(events[1][3]) + 3)
+    for name, new in (("response_panel.csv", rows), ("events.csv", events)):
+        with (folder / name).open("w", newline="") as f:
+            csv.writer(f).writerows(new)
+    stages.run(spark, config("out"), ["history", "temporal", "spatial"])
+    assert not before.keys() & steps().keys() and len(steps()) == 5 + 3
+    stages.run(spark, config("fresh2"), ["history", "temporal", "spatial"])
+    again = result("out")
+    assert again == result("fresh2") and all(a != b for a, b in zip(again, first, strict=True))
 
 
 def test_failed_stages_leave_their_manifest(spark, folder):
