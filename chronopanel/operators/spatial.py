@@ -1,7 +1,7 @@
 """Locations of events: grid keys, one event a location, nearest earlier locations, and permutations of their years.
 
-No row is made for a pair of locations: a task holds a unit's locations (MOST_LOCATIONS at most, which is checked) and searches for
-a slice of them; slices of one unit are dealt to many tasks. Permutations are a column, not a loop.
+No row is made for a pair of locations: a task holds the locations of a unit of a tile's size, and larger units go tile by
+tile (see ``tiles``). Permutations within units read lists of neighbours in the order of distance.
 """
 
 from __future__ import annotations
@@ -14,11 +14,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronopanel.functions.scalar import GAP_CATEGORIES, gap_category, quantised
+from chronopanel.operators import tiles
 from chronopanel.operators.ordered import prefix_sums, quantiles, text_order
 
-BLOCK, PAIRS = 200, 2_000_000
-#: Locations of one unit that a task may hold, and those it searches for.
-MOST_LOCATIONS, SLICE = 5_000_000, 4096
+#: Permutations that a task takes of a unit, and places of a list of neighbours at first.
+BLOCK, NEIGHBOURS = 200, 8
 
 
 def clean_events(events: DataFrame, observed: list[int]) -> DataFrame:
@@ -54,42 +54,43 @@ def event_identity(events: DataFrame) -> DataFrame:
     return numbered.withColumn("source_event_index", F.concat_ws("-", "_row", "_n")).drop("_row", "_n")
 
 
+def _large(rows: DataFrame, group: list[str]) -> DataFrame | None:
+    """The groups of more than a tile's locations, or None."""
+    large = rows.groupBy(*group).agg(F.count("*").alias("_n")).where(F.col("_n") > tiles.SLICE).drop("_n")
+    return None if large.isEmpty() else large
+
+
 def nearest_prior(labels: DataFrame, missing_years: list[int], by: list[str] | None = None) -> DataFrame:
     """(by…, su_id, slot, target_year, last_prior_year, gap_years, gap_model, nearest_prior_distance_m).
 
-    labels has (by…, su_id, slot, year, x_m, y_m). The last earlier year of the unit sets the gap, and rows whose gap holds a missing
-    year are left out; the distance is the least to any earlier location, those before a gap too.
+    labels has (by…, su_id, slot, year, x_m, y_m), slots once in a unit. The last earlier year of the unit sets the gap, and rows whose gap holds a missing
+    year are left out; the distance is the least to any earlier location, those before a gap too. A unit of more than a tile's
+    locations is searched by tiles.
     """
-    by = by or []
-    group = [*by, "su_id"]
-    rows = labels.select(*group, "slot", F.col("year").cast("int").alias("year"), "x_m", "y_m")
-    sizes = rows.groupBy(*group).agg(F.count("*").alias("n"))
-    checked = F.when(F.col("n") > MOST_LOCATIONS, F.raise_error(F.lit(f"a unit of more than {MOST_LOCATIONS} locations")).cast("long")).otherwise(F.ceil(F.col("n") / SLICE))
-    dealt = rows.join(sizes.withColumn("slices", checked.cast("int")).drop("n"), group)
-    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("slot"), "slices").cast("int")).withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).drop("slices")
-    fields = {f.name: f.dataType.simpleString() for f in labels.schema.fields}
+    group = [*(by or []), "su_id"]
+    rows = labels.select(*group, "slot", F.col("year").cast("int").alias("year"), "x_m", "y_m").where(~F.isnan("x_m") & ~F.isnan("y_m"))
+    large = _large(rows, group)
+    few = rows if large is None else rows.join(large, group, "left_anti")
+    found = _nearest_in_unit(few, group)
+    if large is not None:
+        found = found.unionByName(tiles.nearest(rows.join(large, group, "left_semi"), group))
+    return _gaps(found, missing_years)
 
+
+def _nearest_in_unit(rows: DataFrame, group: list[str]) -> DataFrame:
+    """A task holds a tile's number of locations at most."""
     def run(key, frame):
         frame = frame.sort_values(["year", "slot"])
         years, x, y = (frame[c].to_numpy() for c in ("year", "x_m", "y_m"))
-        asked = np.flatnonzero((frame["own"] == frame["slice"]).to_numpy() & (years > years[0]))
-        found = np.empty(len(asked))
-        step = max(1, PAIRS // len(years))
-        for at in range(0, len(asked), step):
-            own = asked[at : at + step]
-            before = np.searchsorted(years, years[own])  # rows are in the order of years: earlier ones come first
-            end = int(before.max())
-            distance = np.hypot(x[own, None] - x[:end], y[own, None] - y[:end])
-            found[at : at + step] = np.where(np.arange(end) < before[:, None], distance, np.inf).min(1)
-        last = years[np.searchsorted(years, years[asked]) - 1]
-        out = pd.DataFrame({"slot": frame["slot"].to_numpy()[asked], "target_year": years[asked], "last_prior_year": last, "nearest_prior_distance_m": found})
+        asked = np.flatnonzero(years > years[0])
+        out = pd.DataFrame({"slot": frame["slot"].to_numpy()[asked], "target_year": years[asked], "last_prior_year": years[np.searchsorted(years, years[asked]) - 1], "nearest_prior_distance_m": tiles.nearest_earlier(years, x, y, years[asked], x[asked], y[asked])})
         for i, c in enumerate(group):
             out.insert(i, c, key[i])
         return out
 
+    fields = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     schema = ", ".join([*[f"{c} {fields[c]}" for c in group], f"slot {fields['slot']}", "target_year int, last_prior_year int, nearest_prior_distance_m double"])
-    found = dealt.groupBy(*group, "slice").applyInPandas(run, schema)
-    return _gaps(found, missing_years)
+    return rows.groupBy(*group).applyInPandas(run, schema)
 
 
 def _gaps(found: DataFrame, missing_years: list[int]) -> DataFrame:
@@ -134,36 +135,80 @@ def permuted_years(locations: DataFrame, permutations: int, seed: int, scope: st
     return places.drop("year").join(dealt.select(*within, "at", "year"), [*within, "at"]).drop("at")
 
 
+def neighbours(x: np.ndarray, y: np.ndarray, own: np.ndarray, first: int, last: int) -> np.ndarray:
+    """For each own row the rows at places first to last of all rows in the order of distance (itself comes first, or rows at its very place)."""
+    apart = np.hypot(x[own, None] - x, y[own, None] - y)
+    if last < len(x):
+        near = np.argpartition(apart, last - 1, axis=1)[:, :last]
+        order = np.take_along_axis(near, np.argsort(np.take_along_axis(apart, near, 1), axis=1, kind="stable"), 1)
+    else:
+        order = np.argsort(apart, axis=1, kind="stable")
+    return order[:, first:last]
+
+
+def nearest_by_lists(dealt: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The distance to the nearest location of an earlier year, for each permutation (row of dealt) and location; infinite where there is none.
+
+    A permutation reads each location's list of neighbours up to the first whose year is earlier. Lists have NEIGHBOURS places at
+    first, and only the (permutation, location) pairs still open are looked up in longer ones.
+    """
+    n = len(x)
+    found = np.full(dealt.shape, np.inf)
+    open_ = dealt > dealt.min(1, keepdims=True)
+    first, last = 0, min(n, NEIGHBOURS)
+    while True:
+        own = np.flatnonzero(open_.any(0))
+        step = max(1, tiles.PAIRS // n)
+        for at in range(0, len(own), step):
+            some = own[at : at + step]
+            lists = neighbours(x, y, some, first, last)
+            perm, row = np.nonzero(open_[:, some])
+            for begin in range(0, len(perm), most := max(1, tiles.PAIRS // (last - first))):
+                p, r = perm[begin : begin + most], row[begin : begin + most]
+                earlier = dealt[p[:, None], lists[r]] < dealt[p, some[r]][:, None]
+                there = np.flatnonzero(earlier.any(1))
+                p, r = p[there], r[there]
+                at_list, i = lists[r, earlier[there].argmax(1)], some[r]
+                found[p, i] = np.hypot(x[i] - x[at_list], y[i] - y[at_list])
+                open_[p, i] = False
+        if last == n:
+            return found
+        first, last = last, min(n, 8 * last)
+
+
 def permuted_nearest(locations: DataFrame, permutations: int, seed: int, missing_years: list[int], first: int = 0) -> DataFrame:
-    """:func:`nearest_prior` of :func:`permuted_years` within units, without a row for each pair and permutation.
+    """:func:`nearest_prior` of :func:`permuted_years` within units, by lists of neighbours: no row for a pair and permutation.
 
-    A task holds one unit's locations for BLOCK permutations, and distances of at most PAIRS pairs at a time.
+    A task holds one unit's locations, a tile's number at most, for BLOCK permutations; units of more are permuted by Spark and searched by tiles.
     """
     blocks = locations.sparkSession.range(-(-permutations // BLOCK)).withColumnRenamed("id", "block")
-    rows = locations.select("su_id", "slot", F.col("year").cast("int").alias("year"), "x_m", "y_m").join(F.broadcast(blocks))
+    located = locations.where(~F.isnan("x_m") & ~F.isnan("y_m"))
+    large = _large(located, ["su_id"])
+    few = located if large is None else located.join(large, "su_id", "left_anti")
+    rows = few.select("su_id", "slot", F.col("year").cast("int").alias("year"), "x_m", "y_m").join(F.broadcast(blocks))
 
     def run(key, frame):
         unit, block = key
         frame = frame.sort_values("slot")
         slots, years, x, y = (frame[c].to_numpy() for c in ("slot", "year", "x_m", "y_m"))
-        known = np.unique(years)
+        known, names = np.unique(years), [str(s).encode() for s in slots]
         perms = range(first + int(block) * BLOCK, first + min(permutations, (int(block) + 1) * BLOCK))
         dealt = np.empty((len(perms), len(slots)), years.dtype)
         for k, perm in enumerate(perms):
-            keys = [hashlib.md5(f"{seed}|{perm}|{unit}|{slot}".encode()).hexdigest() for slot in slots]
+            begun, keys = hashlib.md5(f"{seed}|{perm}|{unit}|".encode()), []
+            for name in names:
+                (own := begun.copy()).update(name)
+                keys.append(own.digest())
             dealt[k] = years[sorted(range(len(keys)), key=keys.__getitem__)]
-        step, out = max(1, PAIRS // len(slots)), []
-        for begin in range(0, len(slots), step):
-            some = slice(begin, begin + step)
-            distance = np.hypot(x[some, None] - x, y[some, None] - y)
-            for k, perm in enumerate(perms):
-                own = dealt[k, some]
-                at = np.flatnonzero(own > known[0])
-                nearest = np.where(dealt[k] < own[at, None], distance[at], np.inf).min(1)
-                out.append(pd.DataFrame({"perm": perm, "su_id": unit, "slot": slots[some][at], "target_year": own[at], "last_prior_year": known[np.searchsorted(known, own[at]) - 1], "nearest_prior_distance_m": nearest}))
-        return pd.concat(out)
+        found = nearest_by_lists(dealt, x, y)
+        k, at = np.nonzero(dealt > known[0])
+        own = dealt[k, at]
+        return pd.DataFrame({"perm": np.asarray(perms)[k], "su_id": unit, "slot": slots[at], "target_year": own, "last_prior_year": known[np.searchsorted(known, own) - 1], "nearest_prior_distance_m": found[k, at]})
 
     found = rows.groupBy("su_id", "block").applyInPandas(run, f"perm int, su_id string, slot {locations.schema['slot'].dataType.simpleString()}, target_year int, last_prior_year int, nearest_prior_distance_m double")
+    if large is not None:
+        labels = permuted_years(located.join(large, "su_id", "left_semi"), permutations, seed, first=first)
+        found = found.unionByName(tiles.nearest(labels.select("perm", "su_id", "slot", F.col("year").cast("int").alias("year"), "x_m", "y_m"), ["perm", "su_id"]))
     return _gaps(found, missing_years)
 
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chronopanel.functions import scalar
-from chronopanel.operators import audit, covariates, effects, evaluate, forward, models, ordered, randomization, report, spatial
+from chronopanel.operators import audit, covariates, effects, evaluate, forward, models, ordered, randomization, report, spatial, tiles
 from chronopanel.sources import contract, geopackage, sinks
 
 
@@ -22,8 +22,9 @@ def test_nearest_prior(spark):
 
 @pytest.mark.parametrize(("piece", "pairs"), [(4096, 2_000_000), (7, 50)])
 def test_nearest_prior_in_slices(spark, monkeypatch, piece, pairs):
-    monkeypatch.setattr(spatial, "SLICE", piece)
-    monkeypatch.setattr(spatial, "PAIRS", pairs)
+    monkeypatch.setattr(tiles, "SLICE", piece)
+    monkeypatch.setattr(tiles, "PAIRS", pairs)
+    monkeypatch.setattr(tiles, "VISITORS", piece)
     rng = np.random.default_rng(6)
     rows = [(str(u), i, *map(float, rng.random(2)), int(rng.integers(2000, 2006))) for u in range(3) for i in range((40, 1, 90)[u])]
     got = {(r["su_id"], r["slot"]): (r["last_prior_year"], r["nearest_prior_distance_m"]) for r in spatial.nearest_prior(spark.createDataFrame(rows, "su_id string, slot long, x_m double, y_m double, year int"), [2003]).collect()}
@@ -36,6 +37,26 @@ def test_nearest_prior_in_slices(spark, monkeypatch, piece, pairs):
     assert spatial.nearest_prior(spark.createDataFrame([], "su_id string, slot long, x_m double, y_m double, year int"), []).count() == 0
 
 
+@pytest.mark.parametrize(("piece", "list_"), [(4096, 2), (10, 8)])
+def test_permutations_by_lists_are_those_by_labels(spark, monkeypatch, piece, list_):
+    """Units of one year, of equal places, of one location, and such as go by tiles."""
+    monkeypatch.setattr(tiles, "SLICE", piece)
+    monkeypatch.setattr(spatial, "NEIGHBOURS", list_)
+    monkeypatch.setattr(spatial, "BLOCK", 3)
+    rng = np.random.default_rng(9)
+    rows = [(str(u), i, float(rng.integers(0, 6)), float(rng.random()) if u else 0.0, int(rng.integers(2000, 2006)) if u != 2 else 2001) for u in range(4) for i in range((9, 40, 5, 1)[u])]
+    at = spark.createDataFrame(rows, "su_id string, slot long, x_m double, y_m double, year int")
+    plain = lambda df: sorted((r["perm"], r["su_id"], r["slot"], r["target_year"], r["last_prior_year"], round(r["nearest_prior_distance_m"], 9)) for r in df.collect())
+    got = plain(spatial.permuted_nearest(at, 5, 1, [2003], first=2))
+    labels = spatial.permuted_years(at, 5, 1, first=2).collect()
+    want = []
+    for a in labels:
+        before = [b for b in labels if (b["perm"], b["su_id"]) == (a["perm"], a["su_id"]) and b["year"] < a["year"]]
+        if before and not (last := max(b["year"] for b in before)) < 2003 < a["year"]:
+            want.append((a["perm"], a["su_id"], a["slot"], a["year"], last, round(min(math.hypot(a["x_m"] - b["x_m"], a["y_m"] - b["y_m"]) for b in before), 9)))
+    assert got == sorted(want)
+
+
 def test_event_identity_does_not_depend_on_partitions(spark):
     rows = spark.createDataFrame([("u", 2000, 1.0), ("u", 2000, 1.0), ("v", 2001, None), ("w", None, 2.0)], "su_id string, year int, x_m double")
     ids = lambda df: sorted(r["source_event_index"] for r in spatial.event_identity(df).collect())
