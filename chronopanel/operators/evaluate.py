@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronopanel.operators.ordered import prefix_sums, quantiles, text_order
+from chronopanel.operators.ordered import at_ranks, order_key, prefix_sums, quantiles, text_key
+from chronopanel.sources.tables import written
 
 EDGE = 1e-8
 #: Places to which probabilities are summed up where means are compared between engines: integers add up alike in any order.
@@ -18,6 +19,7 @@ PLACES = 12
 def curve(predictions: DataFrame, by: list[str]) -> DataFrame:
     """A point for each distinct score of a group, from the highest: precision and recall if all from there up are selected."""
     each = predictions.groupBy(*by, F.col("predicted_probability").alias("score")).agg(F.count("*").alias("n"), F.sum("observed").cast("long").alias("hits"))
+    each = written(each, "curve-scores", keep=True)
     out = prefix_sums(each, by, F.col("score"), [], {"selected": F.col("n"), "captured": F.col("hits")}, descending=True)
     out = out.join(each.groupBy(*by).agg(F.sum("hits").alias("positives"), F.sum("n").alias("rows")), by)
     return out.withColumns({"precision": F.col("captured") / F.col("selected"), "recall": F.when(F.col("positives") > 0, F.col("captured") / F.col("positives"))})
@@ -42,21 +44,35 @@ def metrics(predictions: DataFrame, by: list[str]) -> DataFrame:
 def top_fractions(predictions: DataFrame, by: list[str], fractions: list[float]) -> DataFrame:
     """What the highest share of each group captures; ties go to the first units by name.
 
-    Scores above the one at the cut are counted whole; only the rows of that score are put in order, slice by slice.
+    All cuts of a group are found together, by radix over its distinct scores (``ordered.at_ranks``): those above the one at a cut are counted whole, and
+    of the rows of that score only those next to the cut are put in order.
     """
-    points = curve(predictions, by).select(*by, "score", "n", "hits", "selected", "captured", "positives", "rows")
-    share = F.explode(F.array(*[F.lit(float(x)) for x in fractions])).alias("top_fraction")
-    k = F.greatest(F.lit(1), F.ceil(F.col("rows") * F.col("top_fraction")))
-    cut = points.select("*", share).withColumn("k", k).where((F.col("selected") - F.col("n") < F.col("k")) & (F.col("k") <= F.col("selected")))
-    cut = cut.select(*by, "top_fraction", "k", "score", (F.col("k") - F.col("selected") + F.col("n")).alias("more"), (F.col("captured") - F.col("hits")).alias("above"), "positives", "n")
-    scores = cut.where("more < n").select(*by, "score").distinct()
-    at_cut = predictions.select(*by, F.col("predicted_probability").alias("score"), "su_id", "observed").join(scores, [*by, "score"])
-    placed = prefix_sums(at_cut, [*by, "score"], text_order(F.col("su_id")), [F.col("su_id")], {"place": F.lit(1), "found": F.col("observed")})
-    ties = placed.select(*by, "score", F.col("place").alias("more"), "found")
-    out = cut.join(ties, [*by, "score", "more"], "left")
-    whole = points.select(*by, "score", F.col("hits").alias("whole"))
-    captured = F.col("above") + F.when(F.col("more") == F.col("n"), F.col("whole")).otherwise(F.col("found"))
-    out = out.join(whole, [*by, "score"]).select(*by, "top_fraction", F.col("k").cast("long").alias("selected_rows"), captured.cast("long").alias("captured_positives"), F.col("positives").cast("long").alias("total_positives"))
+    score = F.col("predicted_probability").alias("score")
+    points = predictions.groupBy(*by, score).agg(F.count("*").alias("n"), F.sum("observed").cast("long").alias("hits"))
+    points = written(points.withColumn("key", -order_key(F.col("score"))), "fractions-scores", keep=True)
+    totals = points.groupBy(*by).agg(F.sum("n").alias("rows"), F.sum("hits").alias("positives"))
+    k = lambda x: F.greatest(F.lit(1), F.ceil(F.col("rows") * x)).cast("long")
+    shares = F.array(*[F.lit(float(x)) for x in fractions])
+    totals = totals.withColumn("ranks", F.transform(shares, k))
+    cut = at_ranks(points, by, "key", [], "n", ["hits"], totals.select(*by, F.array_distinct("ranks").alias("ranks")))
+    cut = cut.select(*by, "score", "rank", "n", "hits", "before_hits", (F.col("rank") - F.col("before_n")).alias("more"))
+    cut = written(cut, "fractions-cuts", keep=True)
+    whole = cut.where("more = n").select(*by, F.col("rank").alias("k"), (F.col("before_hits") + F.col("hits")).alias("captured"))
+    split = cut.where("more < n")
+    if not split.isEmpty():
+        own = [*by, "score"]
+        asked = split.groupBy(*own).agg(F.collect_list("more").alias("ranks"))
+        tied = predictions.select(*by, score, F.col("su_id").cast("string").alias("unit"), F.col("observed").cast("long").alias("observed")).join(asked.select(*own), own)
+        # names that share their beginning are told apart by what follows
+        ends = tied.groupBy(*own).agg(F.min("unit").alias("a"), F.max("unit").alias("b"))
+        alike = F.size(F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.octet_length("a"), F.octet_length("b")))), lambda i: F.substring(F.encode("a", "UTF-8"), F.lit(1), i) == F.substring(F.encode("b", "UTF-8"), F.lit(1), i)))
+        tied = tied.join(ends.select(*own, alike.alias("skip")), own).withColumn("key", text_key(F.col("unit"), F.col("skip"))).withColumn("n", F.lit(1))
+        tied = written(tied.drop("skip"), "fractions-ties", keep=True)
+        placed = at_ranks(tied, own, "key", ["unit"], "n", ["observed"], asked)
+        found = placed.select(*own, F.col("rank").alias("more"), (F.col("before_observed") + F.col("observed")).alias("found"))
+        whole = whole.unionByName(split.join(found, [*own, "more"]).select(*by, F.col("rank").alias("k"), (F.col("before_hits") + F.col("found")).alias("captured")))
+    each = totals.select(*by, "positives", F.explode(F.arrays_zip(shares.alias("share"), F.col("ranks").alias("k"))).alias("x")).select(*by, "positives", F.col("x.share").alias("top_fraction"), F.col("x.k").alias("k"))
+    out = each.join(whole, [*by, "k"]).select(*by, "top_fraction", F.col("k").alias("selected_rows"), F.col("captured").cast("long").alias("captured_positives"), F.col("positives").cast("long").alias("total_positives"))
     return _shares(out)
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from chronopanel.functions.scalar import GAP_CATEGORIES, gap_category, quantised
 from chronopanel.operators import tiles
 from chronopanel.operators.ordered import prefix_sums, quantiles, text_order
+from chronopanel.sources.tables import written
 
 #: Permutations that a task takes of a unit, and places of a list of neighbours at first.
 BLOCK, NEIGHBOURS = 200, 8
@@ -102,18 +103,21 @@ def _gaps(found: DataFrame, missing_years: list[int]) -> DataFrame:
 def distance_summary(distances: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Number and exact median of distances, overall and for each of the five categories, which are all there.
 
-    Without ``by`` a group may be all rows, and its median comes of slices; with it (permutations) a group has a row for each location at most.
+    Without ``by`` a group may be all rows, and its medians are found by radix; with it (permutations) a group has a row for each location at most,
+    and one pass counts its distances for all categories.
     """
     by = by or []
-    each = distances.withColumn("gap_model", F.explode(F.array(F.lit("overall"), F.col("gap_model"))))
+    d, names = F.col("nearest_prior_distance_m"), ["overall", *[c for c, _ in GAP_CATEGORIES]]
+    own = {c: d if c == "overall" else F.when(F.col("gap_model") == c, d) for c in names}
     if by:
-        found = each.groupBy(*by, "gap_model").agg(F.count("*").alias("n"), F.median("nearest_prior_distance_m").alias("median_distance_m"))
-    else:
-        middle = quantiles(each, ["gap_model"], "nearest_prior_distance_m", [0.5]).select("gap_model", F.col("quantiles")[0].alias("median_distance_m"))
-        found = each.groupBy("gap_model").agg(F.count("*").alias("n")).join(middle, "gap_model")
-    names = F.explode(F.array(*[F.lit(x) for x in ("overall", *[c for c, _ in GAP_CATEGORIES])])).alias("gap_model")
-    everything = distances.select(*by).distinct().select(*by, names) if by else distances.sparkSession.range(1).select(names)
-    return everything.join(found, [*by, "gap_model"], "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("long"))
+        parts = [F.struct(F.lit(c).alias("gap_model"), F.count(x).alias("n"), F.median(x).alias("median_distance_m")) for c, x in own.items()]
+        return distances.groupBy(*by).agg(F.array(*parts).alias("parts")).select(*by, F.inline("parts"))
+    each = distances.withColumn("gap_model", F.explode(F.array(F.lit("overall"), F.col("gap_model"))))
+    each = written(each.select("gap_model", "nearest_prior_distance_m"), "distances", keep=True)
+    middle = quantiles(each, ["gap_model"], "nearest_prior_distance_m", [0.5]).select("gap_model", F.col("quantiles")[0].alias("median_distance_m"))
+    found = each.groupBy("gap_model").agg(F.count("*").alias("n")).join(middle, "gap_model")
+    everything = distances.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, names))).alias("gap_model"))
+    return everything.join(found, "gap_model", "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("long"))
 
 
 def permuted_years(locations: DataFrame, permutations: int, seed: int, scope: str = "within_slope_unit", first: int = 0) -> DataFrame:

@@ -20,7 +20,7 @@ from chronopanel.sources.tables import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-SEED, PERMUTATIONS = 20240517, 20
+SEED, PERMUTATIONS = 20240517, stages.Config("", "").permutations
 FRACTIONS = [0.01, 0.02, 0.05, 0.1]
 MATERIAL_GROUPS = {"Brand#11": "Brand#1", "Brand#12": "Brand#1"}
 
@@ -271,9 +271,8 @@ labels AS (SELECT a.perm, a.su_id, a.i, b.year FROM rows_ a JOIN rows_ b ON a.pe
 
 
 def _draws(spark, d) -> DataFrame:
-    at = panels.locations(spark, d)
-    labels = spatial.permuted_years(at, PERMUTATIONS, SEED)
-    return spatial.distance_summary(spatial.nearest_prior(labels, POINT_MISSING, ["perm"]), ["perm"])
+    """Distances of as many permutations as the surveyed operator takes."""
+    return spatial.distance_summary(spatial.permuted_nearest(panels.locations(spark, d), PERMUTATIONS, SEED, POINT_MISSING), ["perm"])
 
 
 @query(f"WITH {POINTS_SQL}, {_DEALT}, {_NEAREST}, {_MEDIANS} SELECT perm, gap_model, n, round(median_distance_m, 6) + 0.0::DOUBLE AS median_distance_m FROM summed")
@@ -291,10 +290,7 @@ s AS (SELECT gap_model, observed_n, observed_median_m, median(median_distance_m)
 SELECT gap_model, observed_n, round(observed_median_m, 6) + 0.0::DOUBLE AS observed_median_m, round(nm, 6) + 0.0::DOUBLE AS null_median_m, round(lo, 6) + 0.0::DOUBLE AS null_CI_low_m, round(hi, 6) + 0.0::DOUBLE AS null_CI_high_m, k AS n_permutations, below AS n_null_at_or_below_observed,
        round(CASE WHEN nm > 0 THEN observed_median_m / nm END, 6) + 0.0::DOUBLE AS observed_null_ratio, round(100 * (1 - CASE WHEN nm > 0 THEN observed_median_m / nm END), 6) + 0.0::DOUBLE AS percent_shorter_than_null, round((below + 1) / (k + 1), 6) + 0.0::DOUBLE AS empirical_p_one_sided FROM s""")
 def spatial_null_summary(spark, d):
-    return _null_summary(spark, d, _draws(spark, d))
-
-
-def _null_summary(spark, d, draws: DataFrame) -> DataFrame:
+    draws = _draws(spark, d)
     nine = lambda df: df.withColumn("median_distance_m", F.round("median_distance_m", 9))
     out = spatial.null_summary(nine(spatial.distance_summary(_observed(spark, d))), nine(draws))
     return rounded(out, "observed_median_m", "null_median_m", "null_CI_low_m", "null_CI_high_m", "observed_null_ratio", "percent_shorter_than_null", "empirical_p_one_sided")
@@ -303,13 +299,9 @@ def _null_summary(spark, d, draws: DataFrame) -> DataFrame:
 @query(f"WITH {POINTS_SQL}, {_DEALT} SELECT su_id, year, count(*) // {PERMUTATIONS} AS per_draw, count(*) % {PERMUTATIONS} AS rest FROM labels GROUP BY ALL")
 def permuted_label_counts(spark, d):
     """Every draw deals each unit its own years."""
-    return _label_counts(spark, d, PERMUTATIONS)
-
-
-def _label_counts(spark, d, permutations: int) -> DataFrame:
-    labels = spatial.permuted_years(panels.locations(spark, d), permutations, SEED)
+    labels = spatial.permuted_years(panels.locations(spark, d), PERMUTATIONS, SEED)
     n = labels.groupBy("su_id", "year").agg(F.count("*").alias("n"))
-    return n.select("su_id", "year", F.floor(F.col("n") / permutations).alias("per_draw"), (F.col("n") % permutations).alias("rest"))
+    return n.select("su_id", "year", F.floor(F.col("n") / PERMUTATIONS).alias("per_draw"), (F.col("n") % PERMUTATIONS).alias("rest"))
 
 
 @query(f"""WITH {POINTS_SQL}, perms AS (SELECT CAST(range AS INTEGER) AS perm FROM range(3)),
@@ -320,27 +312,6 @@ def permuted_years_global(spark, d):
     return spatial.permuted_years(panels.locations(spark, d), 3, SEED, "global").select("perm", "su_id", "slot", "year")
 
 
-# the whole job: as many permutations as the surveyed operator takes; those above have the few that their SQL has
-def _whole_draws(spark, d) -> DataFrame:
-    found = spatial.permuted_nearest(panels.locations(spark, d), stages.Config("", "").permutations, SEED, POINT_MISSING)
-    return spatial.distance_summary(found.persist(), ["perm"])
-
-
-@query()
-def spatial_null_draws_whole(spark, d):
-    return rounded(_whole_draws(spark, d), "median_distance_m")
-
-
-@query()
-def spatial_null_summary_whole(spark, d):
-    return _null_summary(spark, d, _whole_draws(spark, d))
-
-
-@query()
-def permuted_label_counts_whole(spark, d):
-    return _label_counts(spark, d, stages.Config("", "").permutations)
-
-
 _VALUES = "values_ AS (SELECT CASE o_orderkey % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'b' ELSE 'c' END AS statistic, CAST(o_orderkey % 4 AS INTEGER) AS chain, o_orderkey AS draw, o_totalprice AS value FROM orders)"
 
 
@@ -372,9 +343,12 @@ def mixing_diagnostics(spark, d):
     return rounded(randomization.mixing(_values(spark, d)), "split_rhat", "mean_chain_lag1_autocorrelation", "approximate_ess_from_lag1")
 
 
-@query("SELECT * FROM (VALUES (0, CAST(11 AS BIGINT), 34), (1, 12, 33), (2, 13, 33)) v(chain, seed, n_draws)")
+@query(f"WITH {DAILY_SQL}, m AS (SELECT count(DISTINCT su_id) AS units, count(*) AS ones FROM daily WHERE active = 1) SELECT v.*, units, ones FROM m CROSS JOIN (VALUES (0, CAST(11 AS BIGINT), 34), (1, 12, 33), (2, 13, 33)) v(chain, seed, n_draws)")
 def chain_schedule(spark, d):
-    return randomization.schedule(spark, 100, [11, 12, 13])
+    """How draws are dealt to the chains that start on the panel's matrix."""
+    starts = randomization.chain_starts(history.activity_matrix(panels.daily_history(spark, d), panels.DAYS), randomization.schedule(spark, 100, [11, 12, 13]))
+    ones = history.activity_matrix(panels.daily_history(spark, d), panels.DAYS).agg(F.sum(F.bit_count("mask")).cast("long").alias("ones"))
+    return starts.select("chain", "seed", "n_draws", (F.octet_length("start") / 8).cast("long").alias("units")).join(F.broadcast(ones))
 
 
 @query(f"SELECT CAST(p_partkey AS VARCHAR) AS su_id FROM part ORDER BY md5('{SEED}|' || p_partkey), su_id LIMIT 100")
@@ -393,12 +367,12 @@ _MEASURES = ("prevalence", "average_precision", "roc_auc", "brier_score", "log_l
 
 @query(f"WITH {PREDICTIONS_SQL}, {_CURVE.format(by='model, test_year')} {_METRICS.format(by='model, test_year')}")
 def metrics_by_year(spark, d):
-    return rounded(evaluate.metrics(panels.predictions(spark, d), ["model", "test_year"]), *_MEASURES)
+    return rounded(evaluate.metrics(_predictions(spark, d), ["model", "test_year"]), *_MEASURES)
 
 
 @query(f"WITH {PREDICTIONS_SQL}, {_CURVE.format(by='model')} {_METRICS.format(by='model')}")
 def pooled_metrics(spark, d):
-    return rounded(evaluate.metrics(panels.predictions(spark, d), ["model"]), *_MEASURES)
+    return rounded(evaluate.metrics(_predictions(spark, d), ["model"]), *_MEASURES)
 
 
 @query(f"WITH {PREDICTIONS_SQL}, {_CURVE.format(by='model')} SELECT model, p AS score, CAST(selected AS BIGINT) AS selected, CAST(captured AS BIGINT) AS captured, round(captured / selected, 6) + 0.0::DOUBLE AS precision, round(captured / pos, 6) + 0.0::DOUBLE AS recall FROM curve")
@@ -413,19 +387,24 @@ _FRACTIONS = "SELECT unnest([" + ", ".join(f"{f}::DOUBLE" for f in FRACTIONS) +
 _SHARES = "round(CASE WHEN total_positives > 0 THEN captured_positives / total_positives END, 6) + 0.0::DOUBLE AS positive_capture_rate, round(captured_positives / selected_rows, 6) + 0.0::DOUBLE AS precision_at_fraction"
 
 
+def _predictions(spark, d) -> DataFrame:
+    """The predictions, stored as the stage stores them, since evaluation reads them more than once."""
+    return written(panels.predictions(spark, d), "predictions", keep=True)
+
+
 @query(f"WITH {PREDICTIONS_SQL}, {_TOP.format(fractions=_FRACTIONS)} SELECT *, {_SHARES} FROM top")
 def top_fraction(spark, d):
-    return rounded(evaluate.top_fractions(panels.predictions(spark, d), ["model", "test_year"], FRACTIONS), "positive_capture_rate", "precision_at_fraction")
+    return rounded(evaluate.top_fractions(_predictions(spark, d), ["model", "test_year"], FRACTIONS), "positive_capture_rate", "precision_at_fraction")
 
 
 @query(f"WITH {PREDICTIONS_SQL}, {_TOP.format(fractions=_FRACTIONS)} SELECT *, {_SHARES}, 'top fraction selected independently within each held-out year, then counts pooled' AS budget_definition FROM budget")
 def annual_budget(spark, d):
-    return rounded(evaluate.annual_budget(panels.predictions(spark, d), FRACTIONS), "positive_capture_rate", "precision_at_fraction")
+    return rounded(evaluate.annual_budget(_predictions(spark, d), FRACTIONS), "positive_capture_rate", "precision_at_fraction")
 
 
 @query(f"WITH {PREDICTIONS_SQL}, {_TOP.format(fractions='SELECT i / 1000.0::DOUBLE AS f FROM range(1, 201) r(i)')} SELECT *, {_SHARES}, 'top fraction selected independently within each held-out year, then counts pooled' AS budget_definition FROM budget")
 def capture_curve(spark, d):
-    return rounded(evaluate.annual_budget(panels.predictions(spark, d), [i / 1000 for i in range(1, 201)]), "positive_capture_rate", "precision_at_fraction")
+    return rounded(evaluate.annual_budget(_predictions(spark, d), [i / 1000 for i in range(1, 201)]), "positive_capture_rate", "precision_at_fraction")
 
 
 _BINS = """edges AS (SELECT model, test_year, list_distinct(quantile_cont(predicted_probability, [""" + ", ".join(f"{i / 10}::DOUBLE" for i in range(11)) + """])) AS e FROM predictions GROUP BY ALL),
@@ -435,12 +414,12 @@ binned AS (SELECT model, test_year, CAST(greatest(0, len(list_filter(e, lambda x
 # sums are decimals, alike in any order, and divided once: nothing is rounded
 @query(f"WITH {PREDICTIONS_SQL}, {_BINS} SELECT model, test_year, calibration_bin, n, CAST(s AS DOUBLE) / n AS mean_predicted, CAST(h AS DOUBLE) / n AS observed_rate FROM binned")
 def calibration_bins(spark, d):
-    return evaluate.calibration(panels.predictions(spark, d))
+    return evaluate.calibration(_predictions(spark, d))
 
 
 @query(f"WITH {PREDICTIONS_SQL}, {_BINS} SELECT model, calibration_bin, CAST(sum(n) AS BIGINT) AS n, CAST(sum(s) AS DOUBLE) / sum(n) AS mean_predicted, CAST(sum(h) AS DOUBLE) / sum(n) AS observed_rate FROM binned GROUP BY ALL")
 def pooled_calibration(spark, d):
-    return evaluate.pooled_calibration(panels.predictions(spark, d))
+    return evaluate.pooled_calibration(_predictions(spark, d))
 
 
 _PAIRS = [("P1", "P0"), ("P2", "P1"), ("P2", "P0")]
@@ -449,7 +428,7 @@ _LONG = " UNION ALL ".join(f"SELECT model, '{name}' AS metric, {c} AS v FROM met
 
 @query(f"WITH {PREDICTIONS_SQL}, {_CURVE.format(by='model')}, long AS ({_LONG}) SELECT a.model AS richer_model, b.model AS simpler_model, metric, round(a.v - b.v, 6) + 0.0::DOUBLE AS difference_richer_minus_simpler FROM long a JOIN long b USING (metric) WHERE (a.model, b.model) IN (('P1', 'P0'), ('P2', 'P1'), ('P2', 'P0'))")
 def metric_increments(spark, d):
-    return rounded(evaluate.increments(evaluate.metrics(panels.predictions(spark, d), ["model"]), _PAIRS, list(_MEASURES[1:])), "difference_richer_minus_simpler")
+    return rounded(evaluate.increments(evaluate.metrics(_predictions(spark, d), ["model"]), _PAIRS, list(_MEASURES[1:])), "difference_richer_minus_simpler")
 
 
 @query(f"""WITH {ANNUAL_SQL}, {RAIN_SQL}, f AS (SELECT a.*, r.su_id IS NULL AS bare FROM annual a LEFT JOIN rain r ON r.su_id = a.su_id AND r.year + 1 = a.year WHERE a.year IN ({_TESTED}))

@@ -82,6 +82,51 @@ def test_prefix_sums_and_quantiles(spark, monkeypatch, slices):
     assert {r["k"]: r["code"] for r in covariates.cluster_codes(names, "k").collect()} == {"a": 0, "aaaaaaaab": 1, "aaaaaaaaz": 2, "b": 3, "é": 4}
 
 
+def test_order_keys_are_in_the_order_of_doubles(spark):
+    rng = np.random.default_rng(3)
+    values = [0.0, -0.0, 5e-324, -5e-324, 2.0**-1022, 2.0**-1022 - 5e-324, 1.0, 1 - 2.0**-53, 1 + 2.0**-52, 2.0**1023, 1.7976931348623157e308, float("inf"), -float("inf"), 0.1, 0.3, -0.1, *[2.0**i for i in range(-1074, 1024, 41)], *[math.nextafter(2.0**i, 0) for i in range(-1021, 1024, 37)], *map(float, rng.normal(size=200) * 10.0 ** rng.integers(-300, 300, 200))]
+    got = {r["x"]: r["k"] for r in spark.createDataFrame([(v,) for v in values], "x double").select("x", ordered.order_key(F.col("x")).alias("k")).collect()}
+    ordered_values = sorted(got)
+    assert [got[v] for v in ordered_values] == sorted(got.values()) and len(set(got.values())) == len(got)
+    bits = lambda v: int(np.float64(abs(v)).view(np.int64)) * (-1 if v < 0 else 1)
+    assert all(got[v] == bits(v) for v in values)
+    nan = spark.createDataFrame([(float("nan"),)], "x double").select(ordered.order_key(F.col("x"))).first()[0]
+    assert nan > max(got.values())
+
+
+def test_rows_at_ranks(spark):
+    """Groups of one key, of near ones, and weights, against a sorted list."""
+    rng = np.random.default_rng(4)
+    rows = [("a", float(v), i, int(rng.integers(1, 4))) for i, v in enumerate(rng.normal(size=200))] + [("b", 1.0, i, 2) for i in range(9)] + [("c", 1 + i * 2.0**-52, i, 1) for i in range(30)]
+    df = spark.createDataFrame(rows, "g string, v double, id long, w long").withColumn("k", ordered.order_key(F.col("v")))
+    asked = {"a": [1, 7, 8, 250], "b": [1, 2, 3, 18], "c": [30, 1, 17]}
+    wanted = spark.createDataFrame(list(asked.items()), "g string, ranks array<long>")
+    got = {(r["g"], r["rank"]): (r["id"], r["before_w"], r["before_id"]) for r in ordered.at_ranks(df, ["g"], "k", ["id"], "w", ["id"], wanted).collect()}
+    want = {}
+    for g, ranks in asked.items():
+        at, ids = 0, 0
+        for _, _, i, w in sorted((r for r in rows if r[0] == g), key=lambda r: (r[1], r[2])):
+            want |= {(g, r): (i, at, ids) for r in ranks if at < r <= at + w}
+            at, ids = at + w, ids + i
+    assert got == want
+
+
+@pytest.mark.parametrize("names", ["{:03d}", "unit-with-a-long-name-{:05d}", "é{}"])
+def test_top_fractions_break_ties_by_name(spark, names):
+    rng = np.random.default_rng(5)
+    data = [(m, names.format(i), float(p), int(rng.random() < 0.3)) for m, scores in (("flat", [0.5] * 60), ("few", rng.integers(0, 3, 80) / 4), ("all", rng.random(50))) for i, p in enumerate(scores)]
+    frame = spark.createDataFrame(data, "model string, su_id string, predicted_probability double, observed int")
+    fractions = [0.001, 0.01, 0.1, 0.35, 0.5, 1.0]
+    got = {(r["model"], r["top_fraction"]): (r["selected_rows"], r["captured_positives"], r["total_positives"]) for r in evaluate.top_fractions(frame, ["model"], fractions).collect()}
+    want = {}
+    for m in ("flat", "few", "all"):
+        own = sorted((r for r in data if r[0] == m), key=lambda r: (-r[2], r[1].encode()))
+        for f in fractions:
+            k = max(1, math.ceil(len(own) * f))
+            want[m, f] = (k, sum(r[3] for r in own[:k]), sum(r[3] for r in own))
+    assert got == want
+
+
 @pytest.mark.parametrize(("n", "most"), [(11, 4), (5, 9), (100, 7), (10, 1), (9, 9), (30, 29)])
 def test_thinning(spark, n, most):
     got = sorted(r["k"] for r in randomization.thinned(spark.range(n).withColumnRenamed("id", "k"), "k", most).collect())

@@ -41,10 +41,3 @@ def test_entry_points(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
-
-
-def test_whole_null_holds_the_few_draws_of_the_sql(spark, sf):
-    whole = catalog.QUERIES["spatial_null_draws_whole"](spark, sf).toPandas()
-    few = catalog.QUERIES["spatial_null_draws"](spark, sf).toPandas()
-    assert whole["perm"].nunique() == 9999
-    assert rows(whole[whole["perm"] < catalog.PERMUTATIONS]) == rows(few)
