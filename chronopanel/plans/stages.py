@@ -46,6 +46,8 @@ class Config:
     missing_years: list[int] = field(default_factory=list)
     files: dict[str, str] = field(default_factory=dict)
     strict_units: int | None = None
+    # EPSG number of the system, in metres, that points and areas are taken to; None takes metres as they are
+    projected_crs: int | str | None = None
     seed: int = 20240517
     # the mixed model
     year_effects: bool = True
@@ -108,7 +110,7 @@ class Context:
             return False
 
     def read(self, name: str, required: tuple[str, ...] = ("su_id", "year")) -> DataFrame:
-        return contract.read_table(self.spark, self.source(name), required)
+        return contract.read_table(self.spark, self.source(name), required, crs=self.config.projected_crs)
 
     def rainfall(self, measures: list[str]) -> DataFrame:
         """Units, years and these measures, one row a unit and year."""
@@ -171,8 +173,8 @@ def validate(c: Context) -> dict[str, DataFrame]:
         if any(name == a[0] for a in absent):
             continue
         path = c.source(name)
-        df = contract.raw_table(c.spark, path)
-        checks.append(contract.input_checks(df, kind, name, [x for x in c.config.static_predictors if x != "log_su_area"]))
+        df = contract.raw_table(c.spark, path, crs=c.config.projected_crs)
+        checks.append(contract.input_checks(df, kind, name, [x for x in c.config.static_predictors if x != "log_su_area"], c.has("events")))
         sizes = files.hashes(c.spark, [path]).agg(F.sum("bytes").alias("bytes"), F.sha2(F.concat_ws(",", F.array_sort(F.collect_list("sha256"))), 256).alias("sha256"))
         rows = df.agg(F.count("*").alias("rows"))
         manifests.append(sizes.crossJoin(rows).select(F.lit(name).alias("file"), F.lit(path).alias("path"), "bytes", "sha256", "rows", F.lit("|".join(df.columns)).alias("columns")))
@@ -263,7 +265,7 @@ def spatial_stage(c: Context) -> dict[str, DataFrame]:
     parts = [c.resumed("spatial_draws", digest, first, lambda first=first: drawn(first)) for first in range(0, k.permutations, 100)]
     draws = c.store(reduce(DataFrame.unionByName, parts), "time_label_permutation_null")
     c.forget("spatial_draws", digest)
-    c.specify("spatial_randomization", {"input_event_rows": events.count(), "valid_observed_event_rows": raw.count(), "fixed_location_rows": at.count(), "time_label_shuffle_scope": k.permutation_scope, "coordinate_tolerance_m": k.tolerance_m, "seed": k.seed, "permutations": k.permutations, "coordinates": "points as given, a point inside polygons", "distance_units": "metres"})
+    c.specify("spatial_randomization", {"input_event_rows": events.count(), "valid_observed_event_rows": raw.count(), "fixed_location_rows": at.count(), "time_label_shuffle_scope": k.permutation_scope, "coordinate_tolerance_m": k.tolerance_m, "seed": k.seed, "permutations": k.permutations, "coordinates": "points, a point inside polygons", "distance_crs": str(k.projected_crs or "as given"), "distance_units": "metres"})
     return {"spatial_location_multiplicity": spatial.multiplicity(raw), "spatial_year_counts_before_after_dedup": spatial.year_counts(raw, at), "observed_distinct_location_summary": observed, "observed_vs_time_permutation": spatial.null_summary(observed, draws)}
 
 

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chronopanel.functions import projection
 from chronopanel.functions.scalar import normalised, trimmed
 from chronopanel.sources import files
 
@@ -67,20 +68,29 @@ def canonicalise(df: DataFrame, required: Iterable[str] = ("su_id",), optional:
     return df
 
 
-def raw_table(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """Parquet, GeoPackage, or CSV with a header, by the path's suffix, with its own names."""
-    if path.endswith(".parquet"):
-        return spark.read.parquet(path)
+def raw_table(spark: SparkSession, path: str, schema: str | None = None, crs: int | str | None = None) -> DataFrame:
+    """Parquet, GeoPackage, or CSV with a header, by the path's suffix, with its own names; points as metres of ``crs`` if it's given.
+
+    Tables other than GeoPackages have metres in x_m and y_m, or degrees in lon and lat, which become metres.
+    """
     if path.endswith(".gpkg"):
         from chronopanel.sources.geopackage import read_geopackage
 
-        return read_geopackage(spark, path)
-    reader = spark.read.option("header", True)
-    return reader.schema(schema).csv(path) if schema else reader.option("inferSchema", True).csv(path)
+        return read_geopackage(spark, path, crs=crs)
+    if path.endswith(".parquet"):
+        df = spark.read.parquet(path)
+    else:
+        reader = spark.read.option("header", True)
+        df = reader.schema(schema).csv(path) if schema else reader.option("inferSchema", True).csv(path)
+    if {"lon", "lat"} <= set(df.columns) and not {"x_m", "y_m"} <= set(df.columns):
+        if crs is None:
+            raise ContractError(f"{path} has degrees: name a projected system for them")
+        df = projection.reprojected(df, "lon", "lat", 4326, crs)
+    return df
 
 
-def read_table(spark: SparkSession, path: str, required: Iterable[str] = ("su_id",), schema: str | None = None) -> DataFrame:
-    return canonicalise(raw_table(spark, path, schema), required)
+def read_table(spark: SparkSession, path: str, required: Iterable[str] = ("su_id",), schema: str | None = None, crs: int | str | None = None) -> DataFrame:
+    return canonicalise(raw_table(spark, path, schema, crs), required)
 
 
 def one_of(spark: SparkSession, folder: str, candidates: Iterable[str]) -> str:
@@ -135,7 +145,7 @@ def _counted(df: DataFrame, name: str, counts: Mapping[str, tuple]) -> DataFrame
     return long.select(F.lit(name).alias("file"), "check", F.when(zero, F.col("n") == 0).otherwise(F.col("n") > 0).alias("passed"), F.col("n").cast("string").alias("detail"))
 
 
-def input_checks(df: DataFrame, kind: str, name: str, terrain: Iterable[str] = ()) -> DataFrame:
+def input_checks(df: DataFrame, kind: str, name: str, terrain: Iterable[str] = (), has_events: bool = False) -> DataFrame:
     """Check rows of one input by its kind.
 
     Kinds: response, rainfall, terrain (which must hold the columns named by ``terrain``), parent_material, grid_weights, events and slope_units.
@@ -156,8 +166,8 @@ def input_checks(df: DataFrame, kind: str, name: str, terrain: Iterable[str] = (
         out.append(_counted(repeated, name, {f"repeated {' '.join(keys)}": (F.count_if(F.col("n") > 1), True)}))
     if kind == "response":
         held = [f for f in ("landslide_count", "active", "shallow_count", "shallow_active") if f in own]
-        # what is absent here is derived from events
-        rows = [(name, "response or events", True, ", ".join(held) or "derived from events")]
+        # what is absent here is derived from events, if there are any
+        rows = [(name, "response or events", bool(held) or has_events, ", ".join(held) or ("derived from events" if has_events else "no response column and no events"))]
         out.append(df.sparkSession.createDataFrame(rows, CHECKS_SCHEMA))
     if kind in ("events", "slope_units"):
         placed = {"x_m", "y_m"} <= set(df.columns)

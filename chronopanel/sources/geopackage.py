@@ -1,19 +1,23 @@
 """Layers of a GeoPackage, which is an SQLite file with well-known-binary geometry.
 
-The file is shipped to the executors once, and tasks read ranges of its row numbers. Coordinates are taken as they are
-(there is no reprojection): points keep theirs, polygons give their area and a point inside them, lines the middle of their box.
+The file is shipped to the executors once, and tasks read ranges of its row numbers. Coordinates become metres of the system asked for before anything is
+measured: points keep theirs, polygons give their area and a point inside them, lines the middle of their box.
 """
 
 from __future__ import annotations
 
 import sqlite3
 import struct
+from collections.abc import Callable
 from contextlib import closing
 
+import numpy as np
 import pyarrow as pa
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 
+from chronopanel.functions import projection
+
 #: Bytes of the envelope by its code in the header's flags.
 ENVELOPE_BYTES = {0: 0, 1: 32, 2: 48, 3: 48, 4: 64}
 NAMES = {1: "Point", 2: "LineString", 3: "Polygon", 4: "MultiPoint", 5: "MultiLineString", 6: "MultiPolygon", 7: "GeometryCollection"}
@@ -87,26 +91,51 @@ def _box_middle(rings: list[Ring]) -> tuple[float, float]:
     return (min(xs) + max(xs)) / 2, (min(ys) + max(ys)) / 2
 
 
-def described(blob: bytes | None) -> tuple[str | None, float | None, float | None, float | None]:
-    """Type, x, y and area of a geometry; nulls for a null or empty one."""
+def described(blob: bytes | None, project: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]] | None = None) -> tuple[str | None, float | None, float | None, float | None]:
+    """Type, x, y and area of a geometry, of which every corner is projected first; nulls for a null or empty one."""
     if not blob or blob[:2] != b"GP" or blob[3] & 16:
         return None, None, None, None
     kind, rings, _ = _rings(blob, 8 + ENVELOPE_BYTES[blob[3] >> 1 & 7])
     if not any(rings):
         return NAMES.get(kind), None, None, None
+    if project:
+        x, y = project(*np.array([p for r in rings for p in r], float).T)
+        corners = iter(zip(x.tolist(), y.tolist(), strict=True))
+        rings = [[next(corners) for _ in r] for r in rings]
     if kind in (3, 6):
         return NAMES[kind], *inner_point(rings), area(rings)
     return NAMES.get(kind), *_box_middle(rings), None
 
 
-def read_geopackage(spark: SparkSession, path: str, layer: str | None = None) -> DataFrame:
-    """A layer's attributes as text, with srs_id, geometry_type, x_m, y_m and su_area_m2 (of polygons)."""
+def projection_of(db: sqlite3.Connection, layer: str, srs: int, crs: int | str | None) -> Callable | None:
+    """What takes a layer's coordinates to those of ``crs`` (None: the layer's own); None where nothing is to be done.
+
+    A layer in degrees needs a system in metres, and one without a system can't be taken to another.
+    """
+    codes = {}
+    if db.execute("SELECT count(*) FROM sqlite_master WHERE name = 'gpkg_spatial_ref_sys'").fetchone()[0]:
+        codes = {s: c for s, o, c in db.execute("SELECT srs_id, organization, organization_coordsys_id FROM gpkg_spatial_ref_sys") if str(o).upper() == "EPSG"}
+    code = codes.get(srs, srs)
+    if crs is None:
+        if code == 4326 or code in range(4001, 4999):  # the numbers of geographic systems
+            raise ValueError(f"layer {layer} is in degrees: name a projected system for it")
+        return None
+    target = projection.metric(crs)
+    if srs in (0, -1):
+        raise ValueError(f"layer {layer} has no reference system, so it can't be taken to {crs}")
+    source = projection.system(code)
+    return None if source == target else lambda x, y: target.forward(*source.inverse(x, y))
+
+
+def read_geopackage(spark: SparkSession, path: str, layer: str | None = None, crs: int | str | None = None) -> DataFrame:
+    """A layer's attributes as text, with srs_id, geometry_type, x_m, y_m and su_area_m2 (of polygons), in metres of ``crs`` (an EPSG number) if it's given."""
     spark.sparkContext.addFile(path)
     name = path.rpartition("/")[2]
     with closing(sqlite3.connect(f"file:{SparkFiles.get(name)}?mode=ro", uri=True)) as db:
         layers = {n: (c, s) for n, c, s in db.execute("SELECT table_name, column_name, srs_id FROM gpkg_geometry_columns")}
         layer = layer or next(iter(layers))
         geometry, srs = layers[layer]
+        project = projection_of(db, layer, srs, crs)
         names = [d[0] for d in db.execute(f'SELECT * FROM "{layer}" LIMIT 0').description]
         low, high = db.execute(f'SELECT min(rowid), max(rowid) FROM "{layer}"').fetchone()
     plain = [n for n in names if n != geometry]
@@ -119,7 +148,7 @@ def read_geopackage(spark: SparkSession, path: str, layer: str | None = None) ->
             for batch in batches:
                 for first in batch.column("first").to_pylist():
                     rows = db.execute(f'SELECT {query} FROM "{layer}" WHERE rowid BETWEEN ? AND ? ORDER BY rowid', (first, min(high, first + ROWS - 1))).fetchall()
-                    shapes = [described(r[-1]) for r in rows]
+                    shapes = [described(r[-1], project) for r in rows]
                     values = {"srs_id": [srs] * len(rows), **{k: [s[i] for s in shapes] for i, k in enumerate(("geometry_type", "x_m", "y_m", "su_area_m2"))}}
                     texts = [pa.array([None if r[i] is None else str(r[i]) for r in rows], pa.string()) for i in range(len(plain))]
                     yield pa.RecordBatch.from_arrays([*texts, *[pa.array(values[k], t) for k, _, t in made]], [*plain, *[k for k, _, _ in made]])

@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from chronopanel.functions import scalar
+from chronopanel.functions import projection, scalar
 from chronopanel.operators import audit, covariates, effects, evaluate, forward, models, ordered, randomization, report, spatial, tiles
 from chronopanel.sources import contract, geopackage, sinks
 
@@ -328,6 +328,82 @@ def test_geopackage(spark, tmp_path):
     assert (got["c"]["x_m"], got["c"]["su_area_m2"]) == (None, None)
 
 
+def test_projection_is_the_conformal_one_with_true_meridian():
+    """Two things make it: lengths on the meridian (by quadrature), and equal scales in all directions; besides, a published point."""
+    zone = projection.system("EPSG:32644")
+    f = 1 / projection.INVERSE_FLATTENING
+    e2 = f * (2 - f)
+    curved = lambda lat: projection.AXIS * (1 - e2) / (1 - e2 * np.sin(lat) ** 2) ** 1.5
+    for lat in (-60.0, 0.0, 29.3, 75.0):
+        grid = np.linspace(0, math.radians(lat), 200_001)
+        arc = float(np.sum((curved(grid[1:]) + curved(grid[:-1])) / 2 * np.diff(grid)))
+        assert zone.forward(np.array([81.0]), np.array([lat])) == (pytest.approx(500_000), pytest.approx(0.9996 * arc, abs=1e-4))
+    h = 1e-5
+    for lon, lat in ((81.5, 29.0), (84.0, -40.0), (78.2, 60.0)):
+        at = lambda a, b: np.array(zone.forward(np.array([a]), np.array([b])))[:, 0]
+        east = (at(lon + h, lat) - at(lon - h, lat)) / (2 * math.radians(h) * projection.AXIS / math.sqrt(1 - e2 * math.sin(math.radians(lat)) ** 2) * math.cos(math.radians(lat)))
+        north = (at(lon, lat + h) - at(lon, lat - h)) / (2 * math.radians(h) * curved(math.radians(lat)))
+        assert east[0] == pytest.approx(north[1], abs=1e-7) and east[1] == pytest.approx(-north[0], abs=1e-7)
+    published = projection.TransverseMercator(-75, east=0.0, axis=6378206.4, inverse_flattening=294.9786982)
+    assert published.forward(np.array([-73.5]), np.array([40.5])) == (pytest.approx(127_106.5, abs=0.06), pytest.approx(4_484_124.4, abs=0.06))
+
+
+def test_reprojection_of_columns(spark):
+    """Degrees to metres and back, from zone to zone and from web maps, to a tenth of a millimetre; what isn't metres is refused."""
+    rng = np.random.default_rng(2)
+    lon, lat = rng.uniform(78, 84, 50), rng.uniform(-80, 80, 50)
+    x, y = projection.system(32644).forward(lon, lat)
+    web = (np.radians(lon) * projection.AXIS, np.log(np.tan(np.pi / 4 + np.radians(lat) / 2)) * projection.AXIS)
+    other = projection.system(32744).forward(lon, lat)
+    for source, a, b in ((4326, lon, lat), (3857, *web), (32744, *other), ("epsg:32644", x, y)):
+        df = spark.createDataFrame(pd.DataFrame({"a": a, "b": b, "x": x, "y": y}))
+        for r in projection.reprojected(df, "a", "b", source, "EPSG:32644").collect():
+            assert (r["x_m"], r["y_m"]) == (pytest.approx(r["x"], abs=1e-4), pytest.approx(r["y"], abs=1e-4))
+    with pytest.raises(ValueError, match="aren't metres"):
+        projection.reprojected(df, "a", "b", 32644, 4326)
+    with pytest.raises(ValueError, match="no rule"):
+        projection.system(2154)
+
+
+def test_geopackages_in_degrees(spark, tmp_path):
+    import sqlite3
+    import struct
+
+    def package(name, srs):
+        square = [(81.0, 29.0), (81.001, 29.0), (81.001, 29.001), (81.0, 29.001), (81.0, 29.0)]
+        head = b"GP\0\x01" + struct.pack("<i", srs)
+        shapes = [("p", head + struct.pack("<BIdd", 1, 1, 81.5, 29.25)), ("a", head + struct.pack("<BIII", 1, 3, 1, 5) + struct.pack("<10d", *[v for p in square for v in p])), ("n", None)]
+        db = sqlite3.connect(tmp_path / name)
+        db.executescript(f"CREATE TABLE gpkg_geometry_columns (table_name, column_name, srs_id); INSERT INTO gpkg_geometry_columns VALUES ('e', 'geom', {srs}); CREATE TABLE e (su_id, geom); CREATE TABLE gpkg_spatial_ref_sys (srs_id, organization, organization_coordsys_id); INSERT INTO gpkg_spatial_ref_sys VALUES (4326, 'EPSG', 4326), (77, 'epsg', 4326)")
+        db.executemany("INSERT INTO e VALUES (?, ?)", shapes)
+        db.commit()
+        db.close()
+        return str(tmp_path / name)
+
+    zone = projection.system(32644)
+    for srs in (4326, 77):
+        got = {r["su_id"]: r for r in contract.read_table(spark, package(f"{srs}.gpkg", srs), crs="EPSG:32644").collect()}
+        east, north = (float(v[0]) for v in zone.forward(np.array([81.5]), np.array([29.25])))
+        assert (got["p"]["x_m"], got["p"]["y_m"]) == (pytest.approx(east, abs=1e-6), pytest.approx(north, abs=1e-6))
+        # a thousandth of a degree each way, at the scale of the meridian squared
+        assert got["a"]["su_area_m2"] == pytest.approx(97.417 * 110.854 * 0.9996**2, rel=1e-3) and got["n"]["x_m"] is None
+    with pytest.raises(ValueError, match="in degrees"):
+        geopackage.read_geopackage(spark, package("d.gpkg", 4326))
+    with pytest.raises(ValueError, match="no reference system"):
+        geopackage.read_geopackage(spark, package("u.gpkg", 0), crs=32644)
+    (tmp_path / "e.csv").write_text("su_id,year,lon,lat\nu,2000,81.5,29.25\n")
+    row = contract.read_table(spark, str(tmp_path / "e.csv"), ("su_id", "year"), crs=32644).first()
+    assert (row["x_m"], row["y_m"]) == (pytest.approx(east, abs=1e-5), pytest.approx(north, abs=1e-5))
+    with pytest.raises(contract.ContractError, match="degrees"):
+        contract.read_table(spark, str(tmp_path / "e.csv"))
+
+
+def test_a_panel_without_response_needs_events(spark):
+    panel = spark.createDataFrame([("u", 2000)], "su_id string, year int")
+    held = lambda df, **more: next(r["passed"] for r in contract.input_checks(df, "response", "panel", **more).collect() if r["check"] == "response or events")
+    assert not held(panel) and held(panel, has_events=True) and held(panel.withColumn("active", F.lit(1)))
+
+
 def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([(2, "x"), (1, None)], "a int, b string").orderBy("a")
     sinks.write_table(df, str(tmp_path / "t.csv"))
