@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronopanel.functions.scalar import GAP_CATEGORIES, Z95, composite_key, harmonised, holm, zscored
-from chronopanel.operators import covariates, history, models, randomization
+from chronopanel.operators import covariates, history, mixed, models, randomization
 
 ORDER = [c for c, _ in GAP_CATEGORIES]
 # How categories and effects read in tables.
@@ -42,14 +42,14 @@ def recurrence_frame(panel: DataFrame, rain: DataFrame) -> DataFrame:
 RECURRENCE_COLUMNS = ["active", "gap_time_category", "prior_active_years_z", "monsoon_z", "year", "su_id"]
 
 
-def recurrence_model(complete: DataFrame, reference: str = "gt10_years", year_effects: bool = True, seed: int = 0, **settings) -> tuple[dict[str, DataFrame], dict]:
+def recurrence_model(complete: DataFrame, reference: str = "gt10_years", year_effects: bool = True, **settings) -> tuple[dict[str, DataFrame], dict]:
     """Tables coefficients, focal and support, and the fit's record: active by elapsed time, burden, rainfall and year with an intercept for each unit."""
     spark = complete.sparkSession
     gaps = _gap_levels(complete, "gap_time_category", reference)
     years = models.levels_of(complete, "year")[0][1:] if year_effects else []
     marks = models.marks("gap_time_category", gaps, "gap:T.") | models.marks("year", years, "year:T.")
     frame = complete.withColumns({"Intercept": F.lit(1.0), **marks})
-    fit = models.variational_mixed_logit(frame, ["Intercept", *marks, "prior_active_years_z", "monsoon_z"], seed=seed, **settings)
+    fit = mixed.variational_mixed_logit(frame, ["Intercept", *marks, "prior_active_years_z", "monsoon_z"], **settings)
     shown = {f"gap:T.{c}": f"{GAP_LABELS[c]} vs {GAP_LABELS[reference]}" for c in gaps} | {"prior_active_years_z": BURDEN_LABEL, "monsoon_z": MONSOON_LABEL}
     kind = "approximate 95% posterior credible interval"
     rows = [(t, *[float(fit[k][i]) for k in ("log_odds_mean", "posterior_sd", "odds_ratio", "interval_low", "interval_high")], kind) for i, t in enumerate(fit["terms"])]
@@ -57,7 +57,7 @@ def recurrence_model(complete: DataFrame, reference: str = "gt10_years", year_ef
     focal = [(*r, shown[r[0]]) for r in rows if r[0] in shown]
     support = complete.groupBy("gap_time_category").agg(F.count("*").alias("n"), F.sum("active").cast("long").alias("active"), F.count_distinct("su_id").alias("slope_units")).withColumn("rate", F.col("active") / F.col("n"))
     record = {k: fit[k] for k in ("terms", "random_sd", "bound", "iterations", "evaluations", "success", "message", "units", "rows")}
-    record |= {"random_log_sd": float(np.log(fit["random_sd"])), "random_variance": fit["random_sd"] ** 2, "reference": reference, "year_effects": year_effects, "seed": seed}
+    record |= {"random_log_sd": float(np.log(fit["random_sd"])), "random_variance": fit["random_sd"] ** 2, "reference": reference, "year_effects": year_effects}
     return {"coefficients": spark.createDataFrame(rows, schema), "focal": spark.createDataFrame(focal, f"{schema}, display_term string"), "support": support}, record
 
 

@@ -1,4 +1,4 @@
-"""Models: penalised and plain logistic fits, cluster-robust covariances, marginal effects, mixed effects by variational Bayes.
+"""Models: penalised and plain logistic fits, cluster-robust covariances, marginal effects.
 
 Sums over rows are taken where the rows are; the driver only sees matrices whose sides are the number of coefficients.
 """
@@ -17,17 +17,17 @@ from pyspark.sql.column import Column
 
 from chronopanel.functions.scalar import Z95, chi2_tail, expit, logit, normal_two_sided
 
-#: Rows that the mixed model's fit may gather.
-MOST_MIXED_ROWS = 2_000_000
 #: Levels that a category may have as terms of a fit.
 MOST_LEVELS = 500
 
 
 def levels_of(frame: DataFrame, *columns: str, most: int = MOST_LEVELS) -> list[list[str]]:
     """The distinct levels of each column in their order, as text. A level is a term of the fit, so more than ``most`` raise."""
-    row = frame.agg(*[F.array_sort(F.collect_set(F.col(c).cast("string"))).alias(c) for c in columns]).first()
-    if many := [c for c in columns if len(row[c]) > most]:
+    # a level more than may be is enough to know, so no more are gathered
+    found = {c: [r[0] for r in frame.select(F.col(c).cast("string")).where(F.col(c).isNotNull()).distinct().limit(most + 1).collect()] for c in columns}
+    if many := [c for c in columns if len(found[c]) > most]:
         raise ValueError(f"more than {most} levels in {', '.join(many)}")
+    row = {c: sorted(v) for c, v in found.items()}
     return [list(row[c]) for c in columns]
 
 
@@ -254,91 +254,3 @@ def calibration_lines(predictions: DataFrame, by: list[str]) -> DataFrame:
         rows.unpersist()
     out = [(*k, *v) for k, v in known.items()] + [(*k, None, None) for k in open_]
     return predictions.sparkSession.createDataFrame(out, f"{schema}, calibration_intercept double, calibration_slope double")
-
-
-def variational_mixed_logit(frame: DataFrame, terms: list[str], unit: str = "su_id", label: str = "active", prior_log_sd: float = 0.5, prior_fixed: float = 2.0, most: int = 1500, tolerance: float = 1e-5, seed: int = 0) -> dict:
-    """Mixed-effects logistic regression with a Gaussian intercept for each unit, by independent Gaussians that maximise the evidence bound.
-
-    Coefficients, the log of the units' deviation, and the units' effects have means and log deviations; expectations are by
-    quadrature. Columns are centred and scaled for the fit; means and deviations are then divided by the scales, while the
-    intercept stays that of centred columns. Rows are gathered: their number is bounded by MOST_MIXED_ROWS, which is checked.
-    """
-    if (n := frame.count()) > MOST_MIXED_ROWS:
-        raise ValueError(f"{n} rows; the mixed model takes {MOST_MIXED_ROWS} at most")
-    data = frame.select(unit, F.col(label).cast("double").alias("_y"), *map(term, terms)).orderBy(unit, "_y", *map(term, terms)).toPandas()
-    x, y = data[terms].to_numpy(float), data["_y"].to_numpy()
-    names, group = np.unique(data[unit].to_numpy(), return_inverse=True)
-    k, m = len(terms), len(names)
-    varied = x.std(0) > 1e-8
-    scale = np.where(varied, x.std(0), 1.0)
-    xs = (x - np.where(varied, x.mean(0), 0.0)) / scale
-    nodes, weights = np.polynomial.hermite_e.hermegauss(15)
-    weights = weights / weights.sum()
-    rng = np.random.default_rng(seed)
-    theta = np.concatenate([rng.normal(0, 0.01, k), [-0.5], np.zeros(m), np.full(k, -1.0), [-1.0], np.full(m, -0.5)])
-    fixed_sd = np.full(k, prior_fixed)
-
-    def bound(theta: np.ndarray) -> tuple[float, np.ndarray]:
-        b, s, u = theta[:k], theta[k], theta[k + 1 : k + 1 + m]
-        lb, ls, lu = theta[k + 1 + m : 2 * k + 1 + m], theta[2 * k + 1 + m], theta[2 * k + 2 + m :]
-        vb, vs, vu = np.exp(2 * lb), math.exp(2 * ls), np.exp(2 * lu)
-        mean, var = xs @ b + u[group], (xs * xs) @ vb + vu[group]
-        sd = np.sqrt(var)
-        eta = mean[:, None] + sd[:, None] * nodes
-        p = _expit(eta)
-        value = float(y @ mean - (np.logaddexp(0, eta) @ weights).sum())
-        d_mean = y - p @ weights
-        d_var = -0.5 * ((p * (1 - p)) @ weights)
-        g_b, g_u = xs.T @ d_mean - b / fixed_sd**2, np.bincount(group, d_mean, m)
-        g_lb = ((xs * xs).T @ d_var) * 2 * vb - vb / fixed_sd**2 + 1
-        g_lu = np.bincount(group, d_var, m) * 2 * vu + 1
-        shrink = math.exp(-2 * s + 2 * vs)  # the expectation of the units' precision
-        square = u * u + vu
-        value += float(-0.5 * (b * b + vb) @ (1 / fixed_sd**2) - 0.5 * (s * s + vs) / prior_log_sd**2 - m * s - 0.5 * shrink * square.sum() + lb.sum() + ls + lu.sum())
-        g_u -= shrink * u
-        g_lu -= shrink * vu
-        g_s = -s / prior_log_sd**2 - m + shrink * square.sum()
-        g_ls = -vs / prior_log_sd**2 - 2 * vs * shrink * square.sum() + 1
-        return value, np.concatenate([g_b, [g_s], g_u, g_lb, [g_ls], g_lu])
-
-    value, gradient = bound(theta)
-    history: list[tuple[np.ndarray, np.ndarray]] = []
-    evaluations = 1
-    message = "iterations exhausted"
-    for iteration in range(most):  # noqa: B007
-        if np.abs(gradient).max() < tolerance:
-            message = "gradient below its tolerance"
-            break
-        direction, kept = gradient.copy(), []
-        for s_, y_ in reversed(history):
-            a = (s_ @ direction) / (s_ @ y_)
-            kept.append(a)
-            direction -= a * y_
-        if history:
-            direction *= (history[-1][0] @ history[-1][1]) / (history[-1][1] @ history[-1][1])
-        else:
-            direction /= max(1.0, np.abs(gradient).max())
-        for (s_, y_), a in zip(history, reversed(kept), strict=True):
-            direction += s_ * (a - (y_ @ direction) / (s_ @ y_))
-        slope, size = gradient @ direction, 1.0
-        for _ in range(50):
-            moved, moved_gradient = bound(theta + size * direction)
-            evaluations += 1
-            if math.isfinite(moved) and moved >= value + 1e-4 * size * slope:
-                break
-            size /= 2
-        else:
-            message = "no better point on the line"
-            break
-        s_, y_ = size * direction, gradient - moved_gradient
-        if s_ @ y_ > 1e-12:
-            history = [*history[-9:], (s_, y_)]
-        gain, theta, value, gradient = moved - value, theta + size * direction, moved, moved_gradient
-        if gain < 1e-9 * max(abs(value), 1.0):
-            message = "gain below its tolerance"
-            break
-    b, lb = theta[:k] / scale, np.exp(theta[k + 1 + m : 2 * k + 1 + m]) / scale
-    return {
-        "terms": terms, "log_odds_mean": b, "posterior_sd": lb, "odds_ratio": np.exp(b), "interval_low": np.exp(b - Z95 * lb), "interval_high": np.exp(b + Z95 * lb),
-        "random_sd": math.exp(theta[k]), "bound": value, "iterations": iteration + 1, "evaluations": evaluations, "success": message.endswith("tolerance"), "message": message, "units": m, "rows": n,
-    }

@@ -665,7 +665,7 @@ def recurrence_vb(spark, d):
     rain = panels.daily_rainfall(spark, d)
     frame = effects.recurrence_frame(panels.daily_history(spark, d).join(rain, ["su_id", "year"], "left"), rain)
     complete = written(covariates.complete_cases(frame, effects.RECURRENCE_COLUMNS), "recurrence-frame")
-    return effects.recurrence_model(complete, seed=SEED)[0]["coefficients"]
+    return effects.recurrence_model(complete)[0]["coefficients"]
 
 
 def _chain_draws(spark, d) -> DataFrame:

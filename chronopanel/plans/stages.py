@@ -208,7 +208,7 @@ def recurrence(c: Context) -> dict[str, DataFrame]:
     frame = effects.recurrence_frame(panel, rain)
     missing = covariates.missing_report(frame, effects.RECURRENCE_COLUMNS, "recurrence_mixed_effects")
     complete = c.store(covariates.complete_cases(frame, effects.RECURRENCE_COLUMNS), "recurrence_model_dataset")
-    tables, record = effects.recurrence_model(complete, year_effects=c.config.year_effects, seed=c.config.seed, prior_log_sd=c.config.vcp_p, prior_fixed=c.config.fe_p, most=c.config.maxiter, tolerance=c.config.gtol)
+    tables, record = effects.recurrence_model(complete, year_effects=c.config.year_effects, prior_log_sd=c.config.vcp_p, prior_fixed=c.config.fe_p, most=c.config.maxiter, tolerance=c.config.gtol)
     c.specify("recurrence_model", record | {"estimator": "variational Bayes, independent Gaussians", "vcp_p": c.config.vcp_p, "fe_p": c.config.fe_p, "active_outcomes": complete.agg(F.sum("active")).first()[0], "interpretation": "intervals are approximate posterior credible intervals"})
     return {"recurrence_missingness": missing, "recurrence_all_coefficients": tables["coefficients"], "recurrence_focal_effects": tables["focal"], "recurrence_gap_support": tables["support"], "climatology": covariates.climatology(rain, "monsoon_rainfall_mm")}
 

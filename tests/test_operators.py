@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chronopanel.functions import projection, scalar
-from chronopanel.operators import audit, covariates, effects, evaluate, forward, models, ordered, randomization, report, spatial, tiles
+from chronopanel.operators import audit, covariates, effects, evaluate, forward, mixed, models, ordered, randomization, report, spatial, tiles
 from chronopanel.sources import contract, geopackage, sinks
 
 
@@ -243,14 +243,77 @@ def test_binomial_and_cluster_covariance(regression):
     assert gradient == pytest.approx(((q * (1 - q))[:, None] * moved - (p * (1 - p))[:, None] * x).mean(0))
 
 
-def test_mixed_model_finds_what_was_put_in(spark):
+def gathered_mixed_fit(data, terms, prior_log_sd=0.5, prior_fixed=2.0):
+    """The same bound by another optimiser: all rows and all units' numbers at once, by quasi-Newton steps. Means and deviations, and the bound."""
+    x, y = data[terms].to_numpy(float), data["active"].to_numpy(float)
+    names, group = np.unique(data["su_id"].to_numpy(), return_inverse=True)
+    k, m = len(terms), len(names)
+    varied = x.std(0) > 1e-8
+    scale = np.where(varied, x.std(0), 1.0)
+    xs = (x - np.where(varied, x.mean(0), 0.0)) / scale
+    nodes, weights = np.polynomial.hermite_e.hermegauss(15)
+    weights = weights / weights.sum()
+
+    def bound(theta):
+        b, s, u = theta[:k], theta[k], theta[k + 1 : k + 1 + m]
+        lb, ls, lu = theta[k + 1 + m : 2 * k + 1 + m], theta[2 * k + 1 + m], theta[2 * k + 2 + m :]
+        vb, vs, vu = np.exp(2 * lb), math.exp(2 * ls), np.exp(2 * lu)
+        mean, var = xs @ b + u[group], (xs * xs) @ vb + vu[group]
+        eta = mean[:, None] + np.sqrt(var)[:, None] * nodes
+        p = 0.5 * (1 + np.tanh(0.5 * eta))
+        d_mean, d_var = y - p @ weights, -(p @ (weights * nodes)) / (2 * np.sqrt(var))
+        shrink, square = math.exp(-2 * s + 2 * vs), u * u + vu
+        value = float(y @ mean - (np.logaddexp(0, eta) @ weights).sum()) + float(-0.5 * (b * b + vb).sum() / prior_fixed**2 - 0.5 * (s * s + vs) / prior_log_sd**2 - m * s - 0.5 * shrink * square.sum() + lb.sum() + ls + lu.sum())
+        parts = [xs.T @ d_mean - b / prior_fixed**2, [-s / prior_log_sd**2 - m + shrink * square.sum()], np.bincount(group, d_mean, m) - shrink * u]
+        parts += [((xs * xs).T @ d_var) * 2 * vb - vb / prior_fixed**2 + 1, [-vs / prior_log_sd**2 - 2 * vs * shrink * square.sum() + 1], np.bincount(group, d_var, m) * 2 * vu + 1 - shrink * vu]
+        return value, np.concatenate(parts)
+
+    theta = np.concatenate([np.zeros(k), [-0.5], np.zeros(m), np.full(k, -1.0), [-1.0], np.full(m, -0.5)])
+    (value, gradient), pairs = bound(theta), []
+    for _ in range(3000):
+        if np.abs(gradient).max() < 1e-6:
+            break
+        direction, kept = gradient.copy(), []
+        for a, c in reversed(pairs):
+            kept.append((a @ direction) / (a @ c))
+            direction -= kept[-1] * c
+        direction *= (pairs[-1][0] @ pairs[-1][1]) / (pairs[-1][1] @ pairs[-1][1]) if pairs else 1 / max(1.0, np.abs(gradient).max())
+        for (a, c), f in zip(pairs, reversed(kept), strict=True):
+            direction += a * (f - (c @ direction) / (a @ c))
+        size = 1.0
+        while size > 1e-12 and not (moved := bound(theta + size * direction))[0] >= value + 1e-4 * size * (gradient @ direction):
+            size /= 2
+        a, c = size * direction, gradient - moved[1]
+        if a @ c > 1e-12:
+            pairs = [*pairs[-19:], (a, c)]
+        theta, (value, gradient) = theta + a, moved
+    return theta[:k] / scale, np.exp(theta[k + 1 + m : 2 * k + 1 + m]) / scale, math.exp(theta[k]), value
+
+
+@pytest.mark.parametrize("chunk", [40_000, 50])
+def test_mixed_model_is_that_of_another_optimiser(spark, monkeypatch, chunk):
+    """Units of 1 to 24 rows, a rare outcome, marks and an intercept: same means, deviations and bound; and what was put in is found."""
+    monkeypatch.setattr(mixed, "CHUNK_ROWS", chunk)
     rng = np.random.default_rng(2)
-    unit = np.repeat(np.arange(150), 12)
-    x, u = rng.normal(size=len(unit)), rng.normal(0, 0.8, 150)
-    y = (rng.random(len(unit)) < 1 / (1 + np.exp(-(-0.4 + 0.9 * x + u[unit])))).astype(int)
-    df = spark.createDataFrame(pd.DataFrame({"su_id": unit.astype(str), "one": 1.0, "x": x, "active": y}))
-    fit = models.variational_mixed_logit(df, ["one", "x"])
-    assert fit["log_odds_mean"][1] == pytest.approx(0.9, abs=0.2) and 0.4 < fit["random_sd"] < 1.3
+    unit = np.repeat(np.arange(200), rng.integers(1, 25, 200))
+    x, u = rng.normal(size=len(unit)), rng.normal(0, 0.8, 200)
+    mark = (rng.random(len(unit)) < 0.2).astype(float)
+    y = (rng.random(len(unit)) < 1 / (1 + np.exp(-(-1.4 + 0.9 * x - 0.7 * mark + u[unit])))).astype(int)
+    data = pd.DataFrame({"su_id": unit.astype(str), "one": 1.0, "x": x, "mark": mark, "active": y})
+    fit = mixed.variational_mixed_logit(spark.createDataFrame(data).repartition(3), ["one", "x", "mark"])
+    means, deviations, sd, value = gathered_mixed_fit(data, ["one", "x", "mark"])
+    assert fit["success"] and fit["units"] == 200 and fit["rows"] == len(unit) and fit["iterations"] < 30
+    assert fit["log_odds_mean"] == pytest.approx(means, abs=1e-5) and fit["posterior_sd"] == pytest.approx(deviations, abs=1e-5)
+    assert fit["random_sd"] == pytest.approx(sd, abs=1e-4) and fit["bound"] == pytest.approx(value, abs=1e-5)
+    assert fit["log_odds_mean"][1] == pytest.approx(0.9, abs=0.25) and 0.4 < fit["random_sd"] < 1.3
+
+
+def test_mixed_model_of_odd_panels(spark):
+    """A constant column, units that are all active or all inactive, and too many rows of one unit."""
+    data = pd.DataFrame({"su_id": ["a"] * 6 + ["b"] * 6 + ["c"], "one": 1.0, "flat": 3.0, "x": [*range(6), *range(6), 2.0], "active": [1] * 6 + [0] * 6 + [1]})
+    fit = mixed.variational_mixed_logit(spark.createDataFrame(data), ["one", "flat", "x"])
+    means, _, _, value = gathered_mixed_fit(data, ["one", "flat", "x"])
+    assert fit["success"] and fit["log_odds_mean"] == pytest.approx(means, abs=1e-4) and fit["bound"] == pytest.approx(value, abs=1e-5)
 
 
 def test_contract(spark, tmp_path):
