@@ -7,8 +7,8 @@ room for, and beyond that as many as it gives to the asking shard in exchange; t
 first. So sizes stay within their quotas all the time, and links between shards become fewer. The driver sees a number for each pair of
 shards.
 
-:func:`shard` links documents of equal texts: a tree over each group of copies whose nodes have FAN neighbours or so, so no document
-is a hub and no group becomes pairs. Copies start beside one another, and propagation mends what lies across shards. What has no links then fills the shards to the law ``rows``: counts at most one apart.
+:func:`shard` links documents of equal texts: a tree over each group of copies whose nodes have as many neighbours as half a shard holds, FAN at most, so no document
+is a hub and no group becomes pairs. Copies start wherever the even deal puts them, and it's propagation that brings them together. What has no links then fills the shards to the law ``rows``: counts at most one apart.
 
 All that is ordered is ordered by prefix sums over hash buckets plus a window within a bucket, and joins to groups broadcast their
 hot ones, so neither a shard nor a group of copies is gathered in one task. Only DataFrame functions run.
@@ -20,8 +20,6 @@ table gives an empty result; other columns don't matter, whatever their names.
 
 from __future__ import annotations
 
-from itertools import accumulate
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
@@ -31,8 +29,8 @@ from chronopanel.sources.tables import temporary, written
 
 BUCKETS = 256
 ROUNDS = 8
-#: Neighbours of a document among its copies, and slices of copies whose texts' hashes begin alike.
-FAN, SPREAD = 128, 32
+#: Neighbours of a document among its copies, at most.
+FAN = 1024
 #: What a document takes besides its text.
 OVERHEAD_BYTES = 16
 
@@ -73,16 +71,11 @@ def accepted_flows(asked: dict[tuple[int, int], int], free: list[int]) -> dict[t
 def propagate(nodes: DataFrame, links: DataFrame, quotas: list[int], rounds: int = ROUNDS) -> tuple[DataFrame, list[int]]:
     """(node, shard) of nodes (node) with links (a, b), and the numbers of cut links at the start and the end.
 
-    quotas are the most nodes that each shard may hold; together they are enough for all. Nodes start dealt evenly; where they have a column
-    near (a small number), they start by it, one shard filled after another.
+    quotas are the most nodes that each shard may hold; together they are enough for all. Nodes start dealt evenly.
     """
     shards = len(quotas)
-    placed = "near" in nodes.columns
-    bucket = F.pmod(F.xxhash64("node"), F.lit(BUCKETS))
-    start = _ranked(nodes.withColumn("_all", F.lit(0)), ["_all"], F.col("near") if placed else bucket, [F.col("node")], "_rank")
-    ends = F.array(*[F.lit(int(x)).cast("long") for x in accumulate(quotas)])
-    first = F.size(F.filter(ends, lambda x: x <= F.col("_rank"))) if placed else F.col("_rank") % shards
-    labels = written(start.select("node", first.cast("int").alias("shard")), "shard-labels")
+    start = _ranked(nodes.select("node", F.lit(0).alias("_all")), ["_all"], F.pmod(F.xxhash64("node"), F.lit(BUCKETS)), [F.col("node")], "_rank")
+    labels = written(start.select("node", (F.col("_rank") % shards).cast("int").alias("shard")), "shard-labels")
     cuts = [cut_links(links, labels)]
     edges, idle = both_ways(links), 0
     for turn in range(rounds):
@@ -110,14 +103,14 @@ def propagate(nodes: DataFrame, links: DataFrame, quotas: list[int], rounds: int
     return labels, [*cuts, cut_links(links, labels)]
 
 
-def copy_links(rows: DataFrame, key: str, total: int) -> DataFrame:
-    """Links (a, b) between nodes (node, key) of equal keys: a tree over each group, level by level of groups of FAN or so."""
-    out = None
+def copy_links(rows: DataFrame, key: str, total: int, fan: int | None = None) -> DataFrame:
+    """Links (a, b) between nodes (node, key) of equal keys: a tree over each group, level by level of groups of ``fan`` (FAN) or so."""
+    fan, out = fan or FAN, None
     level = rows.where(F.col(key).isNotNull()).select("node", F.col(key).alias("key"))
     while True:
         sizes = level.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
         dealt = joined_by_group(level, sizes, "key", "size", max(1, total)).where("size is not null")
-        dealt = written(dealt.withColumn("part", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / FAN)).cast("int")), "shard-copies")
+        dealt = written(dealt.withColumn("part", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / fan)).cast("int")), "shard-copies")
         heads = dealt.groupBy("key", "part").agg(F.min("node").alias("head"), F.count("*").alias("members"))
         # the head of a part is the member next to all others; parts are small
         own = dealt.join(heads.where("members > 1"), ["key", "part"]).where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
@@ -129,7 +122,10 @@ def copy_links(rows: DataFrame, key: str, total: int) -> DataFrame:
 
 
 def shard(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shards: int = 40, rounds: int = ROUNDS) -> DataFrame:
-    """Per document: doc_id, size, text_crc32, law ('rows'), shard, slot (its place in the shard, from 0), grown_shard (null)."""
+    """Per document: doc_id, size, text_crc32, law ('rows'), shard, slot (its place in the shard, from 0), grown_shard (null).
+
+    links, cut_before and cut_after say how many links between copies there are, and how many lay across shards at the start and the end.
+    """
     text = F.col(text_col)
     slim = docs.select(
         F.monotonically_increasing_id().alias("node"),
@@ -142,12 +138,12 @@ def shard(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sh
         slim = written(slim, "shard-documents")
         total = slim.count()
         quotas = [total // shards + (i < total % shards) for i in range(shards)]
-        links = copy_links(slim, "_text", total)
+        # parts of a group of copies that is larger than a shard are to fit in one
+        links = copy_links(slim, "_text", total, max(2, min(FAN, total // shards // 2)))
         linked = links.select(F.col("a").alias("node")).unionAll(links.select(F.col("b").alias("node"))).distinct()
-        # copies start beside one another: by bits of their text's hash, and for a text of very many by bits of their own
-        near = F.conv(F.substring("_text", 1, 3), 16, 10).cast("int") * SPREAD + F.pmod(F.xxhash64("node"), F.lit(SPREAD)).cast("int")
-        nodes = written(slim.join(linked, "node", "left_semi").select("node", near.alias("near")), "shard-nodes")
-        labels, _ = propagate(nodes, links, quotas, rounds)
+        nodes = written(linked, "shard-nodes")
+        labels, cuts = propagate(nodes, links, quotas, rounds)
+        cuts = [links.count(), *cuts]
         settled = written(slim.drop("_text").join(labels, "node", "left"), "shard-settled")
         load = {r["shard"]: r["n"] for r in labels.groupBy("shard").agg(F.count("*").alias("n")).collect()}
         ends, end = [], 0
@@ -160,7 +156,7 @@ def shard(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sh
         everyone = settled.where(F.col("shard").isNotNull()).unionByName(loose.withColumn("shard", place).drop("_rank"))
         everyone = written(everyone, "shard-dealt", keep=True)
     slots = _ranked(everyone, ["shard"], F.pmod(F.xxhash64("node", F.lit(3)), F.lit(BUCKETS)), [F.col("node")], "slot")
-    return slots.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    return slots.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), *[F.lit(n).cast("long").alias(c) for c, n in zip(("links", "cut_before", "cut_after"), cuts, strict=True)])
 
 
 def op5_sharding(spark, sf_dir: str) -> DataFrame:

@@ -1,9 +1,11 @@
 """Mixing and sharding against plain Python."""
 
+import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from chronopanel.llm import mixing, sharding
 
@@ -108,3 +110,54 @@ def test_few_and_no_documents(spark):
     few = [(1, "a"), (2, "a"), (3, None)]
     check_law(sharding.shard(spark.createDataFrame(few, "doc_id long, text string"), shards=5).collect(), few, 5)
     assert sharding.shard(spark.createDataFrame([], "doc_id long, text string"), shards=5).count() == 0
+
+
+def plain_propagation(hashes, links, quotas, rounds):
+    """The rounds in plain Python; hashes has, for each node, Spark's hash of it alone, with -1, and with each round."""
+    shards = len(quotas)
+    near = {}
+    for a, b in links:
+        near.setdefault(a, []).append(b)
+        near.setdefault(b, []).append(a)
+    order = sorted(hashes, key=lambda x: (hashes[x][None] % sharding.BUCKETS, x))
+    label = {x: i % shards for i, x in enumerate(order)}
+    cut = lambda: sum(label[a] != label[b] for a, b in links)
+    cuts, idle = [cut()], 0
+    for turn in range(rounds):
+        wishes = {}
+        for x in hashes:
+            if x in near and hashes[x][turn] % 2 == 0:
+                votes = Counter(label[y] for y in near[x])
+                n, _, _, to = max((n, s == label[x], (s + hashes[x][None]) % shards, s) for s, n in votes.items())
+                if to != label[x] and n > votes[label[x]]:
+                    wishes.setdefault((label[x], to), []).append((-min(15, n - votes[label[x]]), hashes[x][-1] % 16, x))
+        held = Counter(label.values())
+        flows = sharding.accepted_flows({k: len(v) for k, v in wishes.items()}, [q - held[i] for i, q in enumerate(quotas)])
+        if not flows:
+            if (idle := idle + 1) == 2:
+                break
+            continue
+        idle = 0
+        for pair, n in flows.items():
+            label |= {x: pair[1] for _, _, x in sorted(wishes[pair])[:n]}
+    return label, [*cuts, cut()]
+
+
+def test_propagation_is_that_of_plain_python(spark):
+    rng = random.Random(8)
+    links = [(g * 100 + i, g * 100 + rng.randrange(i)) for g in range(30) for i in range(1, rng.randrange(2, 12))] + [(rng.randrange(5) * 100, 1 + rng.randrange(5) * 100) for _ in range(6)]
+    links = [(a, b) for a, b in links if a != b]
+    nodes = sorted({x for p in links for x in p})
+    quotas = [len(nodes) // 7 + 2] * 7
+    frame = spark.createDataFrame([(x,) for x in nodes], "node long")
+    turns = range(6)
+    hashed = frame.select("node", F.xxhash64("node").alias("own"), F.xxhash64("node", F.lit(-1)).alias("last"), *[F.xxhash64("node", F.lit(t)).alias(f"t{t}") for t in turns]).collect()
+    hashes = {r["node"]: {None: r["own"], -1: r["last"], **{t: r[f"t{t}"] for t in turns}} for r in hashed}
+    labels, cuts = sharding.propagate(frame, spark.createDataFrame(links, "a long, b long"), quotas, rounds=len(turns))
+    want, want_cuts = plain_propagation(hashes, links, quotas, len(turns))
+    assert {r["node"]: r["shard"] for r in labels.collect()} == want and cuts == want_cuts and cuts[1] < cuts[0] / 3
+
+
+def test_links_of_copies_start_cut_and_end_whole(spark, sf):
+    row = sharding.op5_sharding(spark, sf).select("links", "cut_before", "cut_after").first()
+    assert row["links"] > 3 and row["cut_before"] > 0.8 * row["links"] and row["cut_after"] < 0.1 * row["links"]
