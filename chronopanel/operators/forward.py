@@ -1,7 +1,8 @@
 """Expanding-window prediction: penalised logistic fits on all years before each test year, for several sets of features.
 
 All fits of all test years advance together: a Newton step is one pass over the rows, in which a row adds to every fit whose
-training years hold it. What the driver keeps are counts by year, medians, and matrices of coefficients.
+training years hold it. They share one design of raw columns (:class:`Shared`), built once a row and step; how a fold imputes, centres and scales is a
+matrix, by which its sums are taken to its own columns. What the driver keeps are counts by year, medians, and matrices of coefficients.
 """
 
 from __future__ import annotations
@@ -37,6 +38,38 @@ class Fold:
         return np.concatenate([np.ones((len(x), 1)), x, level], 1)
 
 
+@dataclass
+class Shared:
+    """Raw columns that serve all folds: an intercept, each number (scaled alike for all, missing ones 0), a mark for each missing number, one for each level and for none.
+
+    A fold's design is this one times its matrix, exactly: imputation moves a mark's weight, scaling a number's and the intercept's.
+    """
+
+    middle: np.ndarray
+    scale: np.ndarray
+    levels: int
+
+    def columns(self, numbers: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        missing = np.isnan(numbers)
+        x = np.where(missing, 0.0, (numbers - self.middle) / self.scale)
+        level = codes[:, None] == np.array([*range(self.levels), -1])
+        return np.concatenate([np.ones((len(x), 1)), x, missing, level], 1)
+
+    def matrix(self, fold: Fold) -> np.ndarray:
+        """Columns of this design by those of the fold's."""
+        k = len(self.middle)
+        out = np.zeros((1 + 2 * k + self.levels + 1, 1 + k + len(fold.seen)))
+        out[0, 0] = 1
+        at = np.arange(k)
+        out[0, 1 + at] = (self.middle - fold.mean) / fold.sd
+        out[1 + at, 1 + at] = self.scale / fold.sd
+        out[1 + k + at, 1 + at] = (fold.median - self.middle) / fold.sd
+        for j, level in enumerate(fold.seen):
+            out[1 + 2 * k + level, 1 + k + j] = 1
+            out[-1, 1 + k + j] = float(level == fold.frequent)
+        return out
+
+
 def folds(rows: DataFrame, test_years: list[int], numbers: list[str], category: str, year: str = "year") -> tuple[dict[int, Fold], list[str]]:
     """Fold by test year, and all levels of the category in their order."""
     long = rows.select(year, *[number(F.col(c)).alias(c) for c in numbers]).unpivot([year], numbers, "variable", "value")
@@ -45,10 +78,8 @@ def folds(rows: DataFrame, test_years: list[int], numbers: list[str], category:
     middle = quantiles(counted.select("variable", "value", "n", tests), ["variable", "test"], "value", [0.5], weight="n")
     medians = {(r["variable"], r["test"]): r["quantiles"][0] for r in middle.collect()}
     parts = {(r["variable"], r[year]): r for r in long.groupBy("variable", year).agg(F.count("value").alias("n"), F.avg("value").alias("m"), F.var_pop("value").alias("v")).collect()}
+    (levels,) = models.levels_of(rows, category)  # which checks their number
     held = rows.groupBy(year, F.col(category).cast("string").alias("level")).agg(F.count("*").alias("n")).collect()
-    levels = sorted({r["level"] for r in held} - {None})
-    if len(levels) > models.MOST_LEVELS:
-        raise ValueError(f"more than {models.MOST_LEVELS} levels of {category}")
     out = {}
     for t in test_years:
         before = [r for r in held if r[year] is not None and r[year] < t]
@@ -88,32 +119,41 @@ def fit(rows: DataFrame, made: dict[int, Fold], levels: list[str], sets: dict[st
     """Coefficients by model and test year: intercept, the set's numbers, levels seen; an L2 penalty of 1/C spares the intercept."""
     k = len(numbers)
     places = {(m, t): [0, *[1 + numbers.index(x) for x in names], *range(1 + k, 1 + k + len(f.seen))] for t, f in made.items() for m, names in sets.items()}
+    last = made[max(made)]
+    shared = Shared(last.mean, last.sd, len(levels))
+    # of the shared columns, each fit has those that its own ones are made of
+    own = {(m, t): shared.matrix(made[t])[:, at] for (m, t), at in places.items()}
+    parts = {key: np.flatnonzero(a.any(1)) for key, a in own.items()}
+    own = {key: a[parts[key]] for key, a in own.items()}
     beta = {key: np.zeros(len(at)) for key, at in places.items()}
     open_ = list(beta)
     frame = _coded(rows.where(F.col(year) < max(made)), numbers, category, levels, F.col(year).cast("int").alias("year"), F.col(label).cast("double").alias("y")).persist()
     try:
         for _ in range(most):
-            sizes = [len(beta[key]) for key in open_]
+            sizes = [len(parts[key]) for key in open_]
             ends = np.cumsum([0, *[n + n * n + 2 for n in sizes]])
 
-            def part(batches, beta=beta, open_=open_, ends=ends):
+            def part(batches, at={key: own[key] @ beta[key] for key in open_}, open_=open_, ends=ends):
                 sums = np.zeros(ends[-1])
                 for batch in batches:
+                    years = batch.column("year").to_numpy()
+                    order = np.argsort(years, kind="stable")  # the rows before a year come first
+                    years = years[order]
                     x, codes = _arrays(batch, k)
-                    years, y = batch.column("year").to_numpy(), batch.column("y").to_numpy()
-                    for t in sorted({t for _, t in open_}):
-                        own = years < t
-                        design = made[t].design(x[own], codes[own])
-                        for i, (m, u) in enumerate(open_):
-                            if u == t:
-                                sums[ends[i] : ends[i + 1]] += models.newton_sums(design[:, places[m, t]], y[own], beta[m, t])
+                    design, y = shared.columns(x[order], codes[order]), batch.column("y").to_numpy()[order]
+                    for i, key in enumerate(open_):
+                        n = np.searchsorted(years, key[1])
+                        sums[ends[i] : ends[i + 1]] += models.newton_sums(design[:n, parts[key]], y[:n], at[key])
                 return sums
 
             sums = models._summed(frame, part)
             left = []
             for i, key in enumerate(open_):
-                penalty = np.array([0.0, *[1 / c] * (sizes[i] - 1)])
-                moved, _, _ = models.newton_step(sums[ends[i] : ends[i + 1]], beta[key], penalty)
+                penalty = np.array([0.0, *[1 / c] * (len(beta[key]) - 1)])
+                n, to = sizes[i], own[key]
+                found = sums[ends[i] : ends[i + 1]]
+                found = np.concatenate([to.T @ found[:n], (to.T @ found[n : n + n * n].reshape(n, n) @ to).ravel(), found[n + n * n :]])
+                moved, _, _ = models.newton_step(found, beta[key], penalty)
                 if np.abs(moved - beta[key]).max() > 1e-9:
                     left.append(key)
                 beta[key] = moved

@@ -467,6 +467,34 @@ def test_a_panel_without_response_needs_events(spark):
     assert not held(panel) and held(panel, has_events=True) and held(panel.withColumn("active", F.lit(1)))
 
 
+def test_folds_share_one_design(spark):
+    """The shared columns times a fold's matrix are the fold's own design; coefficients are those of fits of each fold by itself."""
+    rng = np.random.default_rng(12)
+    n = 400
+    data = pd.DataFrame({"su_id": [f"u{i}" for i in range(n)], "year": rng.integers(2000, 2006, n), "x": rng.normal(3000, 200, n), "z": rng.normal(size=n), "m": rng.choice(["a", "b", "c", "d"], n, p=[0.5, 0.3, 0.15, 0.05]), "rainfall_source_year": 1999})
+    data.loc[data["year"] < 2002, "m"] = data["m"].replace("d", "b")
+    data["active"] = (rng.random(n) < 1 / (1 + np.exp(-(data["z"] + (data["x"] - 3000) / 200 * 0.5 + (data["m"] == "c") - 1)))).astype(int)
+    data.loc[rng.choice(n, 40, False), "x"] = np.nan
+    data.loc[rng.choice(n, 30, False), "m"] = None
+    frame = spark.createDataFrame(data.astype({"m": object}).where(data.notna(), None), "su_id string, year int, x double, z double, m string, rainfall_source_year int, active int")
+    sets = {"P0": ["x"], "P1": ["x", "z"]}
+    made, levels = forward.folds(frame, [2003, 2005], ["x", "z"], "m")
+    shared = forward.Shared(made[2005].mean, made[2005].sd, len(levels))
+    numbers, codes = data[["x", "z"]].to_numpy(), np.array([levels.index(v) if isinstance(v, str) else -1 for v in data["m"]])
+    for fold in made.values():
+        assert shared.columns(numbers, codes) @ shared.matrix(fold) == pytest.approx(fold.design(numbers, codes), abs=1e-12)
+    beta = forward.fit(frame, made, levels, sets, ["x", "z"], "m", "year", "active", c=0.7)
+    for (name, t), found in beta.items():
+        own = (data["year"] < t).to_numpy()
+        at = [0, *[1 + ["x", "z"].index(v) for v in sets[name]], *range(3, 3 + len(made[t].seen))]
+        x, y = made[t].design(numbers[own], codes[own])[:, at], data["active"].to_numpy()[own]
+        b, penalty = np.zeros(x.shape[1]), np.diag([0.0, *[1 / 0.7] * (x.shape[1] - 1)])
+        for _ in range(60):
+            p = 1 / (1 + np.exp(-x @ b))
+            b += np.linalg.pinv((x * (p * (1 - p))[:, None]).T @ x + penalty) @ (x.T @ (y - p) - penalty @ b)
+        assert found == pytest.approx(b, abs=1e-8)
+
+
 def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([(2, "x"), (1, None)], "a int, b string").orderBy("a")
     sinks.write_table(df, str(tmp_path / "t.csv"))
