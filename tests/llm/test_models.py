@@ -1,6 +1,8 @@
 """Language, toxicity and secrets on held-out rows and by hand."""
 
+import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -111,3 +113,25 @@ def test_secrets_behind_long_names(spark):
     for r in secrets.candidates(run, "doc_id", "text", "source").collect():
         at = text.index(f"{r['nth']}{one}")
         assert r["gap"] == (r["nth"] > 0) and r["before"] == text[max(0, at - 48):at] and r["after"] == text[at + 17:at + 41]
+
+
+def test_numerals_are_no_letters_and_long_texts_teach(spark):
+    """Languages that only long texts have are learned; texts of numerals have no language."""
+    rng = random.Random(3)
+    text = lambda words, n: " ".join(rng.choice(words) for _ in range(n))
+    rows = [(i, text(["le", "chat", "mange", "bien"], 6000), "fr") for i in range(20)] + [(100 + i, text(["the", "cat", "eats", "well"], 20), "en") for i in range(20)]
+    rows += [(200, "½ ² Ⅷ ٣", "en"), (201, "le chat ½", None), (202, "the cat", None)]
+    got = {r["doc_id"]: r["lang_pred"] for r in language.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert {got[i] for i in range(20)} == {"fr"} and {got[100 + i] for i in range(20)} == {"en"} and (got[200], got[201], got[202]) == ("und", "fr", "en")
+
+
+def test_sparse_rows_are_those_of_all_counts():
+    """Against plain logarithms, with many languages of which each has few words."""
+    sample = [(f"l{i:03d}", f"w{i} w{i // 2} shared shared") for i in range(60)]
+    model = language.Model(sample)
+    known, table = model.words
+    counts = {lang: {w: t.count(w) for w in t} for lang, t in ((a, re.findall("[a-z]+", b)) for a, b in sample)}
+    for word in known:
+        want = [math.log((counts[lang].get(word, 0) + 0.5) / (sum(counts[lang].values()) + 0.5 * (len(known) + 1))) for lang in model.languages]
+        assert table[known[word]] == pytest.approx(want, abs=1e-6)
+    assert table.language.nbytes + table.more.nbytes < 20 * sum(map(len, counts.values()))
