@@ -2,8 +2,9 @@
 
 Items are read in blocks of at most ``block_words`` words; a longer item is cut into pieces that share a window less one word. Each
 block becomes a table of window hashes whose size is thus bounded. A benchmark of one block takes one pass over the documents. A
-larger one takes a pass for each block, in which found spans and items are written beside the documents and the block is
-destroyed before the next is made, so neither driver nor workers hold more than one. Each match of hashes is verified word by word.
+larger one numbers the documents in a table once and takes a pass over it for each block, which writes no more than the numbers, spans and items of
+documents with a hit; the block is destroyed before the next is made, so neither driver nor workers hold more than one, and
+the last pass joins what the others found. Each match of hashes is verified word by word.
 Texts are scanned in segments that share a window less one word, so what a task holds doesn't grow with a text's words.
 
 Texts are lower-cased (A-Z) and split into runs of letters, digits and bytes above 127. An item of fewer words than a
@@ -21,6 +22,7 @@ import hashlib
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -173,9 +175,8 @@ def blocks(benchmark: DataFrame, id_col: str, text_col: str, window: int, block_
         yield held
 
 
-FOUND = "struct<n:long, spans:array<struct<start:long,end:long>>, items:array<string>>"
+FOUND = "spans array<struct<start:long,end:long>>, items array<string>"
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-_FOUND = pa.struct([("n", pa.int64()), ("spans", _SPANS), ("items", pa.list_(pa.string()))])
 
 
 def _scanned(rows: DataFrame, benchmark: DataFrame, item_col: str, item_text_col: str, window: int, block_words: int, finish, schema) -> DataFrame:
@@ -183,38 +184,49 @@ def _scanned(rows: DataFrame, benchmark: DataFrame, item_col: str, item_text_col
     spark = rows.sparkSession
     sc = spark.sparkContext
 
-    def merge(known: list[dict | None] | None, one: list) -> list:
-        if known is None:
-            return [(n, merged(s), i) for n, s, i in one]
-        return [(n, merged([*s, *((x["start"], x["end"]) for x in k["spans"])]), i | set(k["items"])) for (n, s, i), k in zip(one, known, strict=True)]
+    def merge(known: list[dict | None], one: list) -> list:
+        return [(n, merged([*s, *((x["start"], x["end"]) for x in k["spans"])]), i | set(k["items"])) if k else (n, merged(s), i) for (n, s, i), k in zip(one, known, strict=True)]
 
-    def run(table, last: bool, first: bool):
+    def hits(table):
+        """Of rows (_row, _text): those with a hit, without their texts."""
+
+        def scan_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            hashed = HashedWords()
+            for batch in batches:
+                found = table.value.scan(batch.column("_text").to_pylist(), hashed)
+                there = [(r, merged(s), sorted(i)) for r, (_, s, i) in zip(batch.column("_row").to_pylist(), found, strict=True) if s]
+                spans = pa.array([[{"start": a, "end": b} for a, b in s] for _, s, _ in there], _SPANS)
+                yield pa.RecordBatch.from_arrays([pa.array([r for r, _, _ in there], pa.int64()), spans, pa.array([i for _, _, i in there], pa.list_(pa.string()))], ["_row", "spans", "items"])
+
+        return scan_batches
+
+    def run(table, told: bool):
         def scan_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hashed = HashedWords()
             for batch in batches:
                 texts = batch.column("_text").to_pylist()
-                found = merge(None if first else batch.column("_found").to_pylist(), table.value.scan(texts, hashed))
-                own = batch if first else batch.select(range(batch.num_columns - 1))
-                if last:
-                    yield finish(own, texts, found)
-                else:
-                    told = [{"n": n, "spans": [{"start": a, "end": b} for a, b in s], "items": sorted(i)} for n, s, i in found]
-                    yield pa.RecordBatch.from_arrays([*own.columns, pa.array(told, _FOUND)], [*own.schema.names, "_found"])
+                known = batch.column("_found").to_pylist() if told else [None] * len(texts)
+                own = batch.select(range(batch.num_columns - 1)) if told else batch
+                yield finish(own, texts, merge(known, table.value.scan(texts, hashed)))
 
         return scan_batches
 
-    before, first = None, True
+    before, known, numbered = None, [], None
     with temporary(spark):
         for items in blocks(benchmark, item_col, item_text_col, window, block_words):
             if before is not None:
                 shared = sc.broadcast(Lookup(before, window))
-                plain = rows if first else rows.drop("_found")
-                rows = written(rows.mapInArrow(run(shared, False, first), f"{plain.schema.simpleString()[7:-1]},_found:{FOUND}"), "decontamination-found")
+                if numbered is None:
+                    numbered = written(rows.withColumn("_row", F.monotonically_increasing_id()), "decontamination-rows")
+                known.append(written(numbered.select("_row", "_text").mapInArrow(hits(shared), f"_row long, {FOUND}"), "decontamination-found"))
                 shared.destroy()
-                first = False
             before = items
-        last = rows.mapInArrow(run(sc.broadcast(Lookup(before or [], window)), True, first), schema)
-        return last if first else written(last, "decontamination-result", keep=True)
+        shared = sc.broadcast(Lookup(before or [], window))
+        if numbered is None:
+            return rows.mapInArrow(run(shared, False), schema)
+        found = reduce(DataFrame.unionAll, known).groupBy("_row").agg(F.struct(*[F.flatten(F.collect_list(c)).alias(c) for c in ("spans", "items")]).alias("_found"))
+        joined = numbered.join(found, "_row", "left").select(*[F.col(f"`{c}`") for c in rows.columns], "_found")
+        return written(joined.mapInArrow(run(shared, True), schema), "decontamination-result", keep=True)
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:

@@ -94,7 +94,7 @@ def sketch(features: np.ndarray) -> bytes:
 class PartEnum:
     """Signatures for one threshold."""
 
-    def __init__(self, percent: int, n2: int, k2: int, spread: float = 1.25, largest: int = 1 << 26):
+    def __init__(self, percent: int, n2: int, k2: int, spread: float = 1.25, largest: int = 1 << 31):
         self.percent, self.n2, self.k2 = percent, n2, k2
         self.subsets = list(combinations(range(n2), n2 - k2))
         self.low, high = [1], []
@@ -165,7 +165,7 @@ def _chunks(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[l
 
 
 def signed(docs: DataFrame, n: int, scheme: PartEnum, bits: int = 64, clashes: frozenset[int] = frozenset()) -> DataFrame:
-    """Of rows (id, check, text): a row (v, meta) for each, v naming its set (null where empty), and rows (s, v, root) for its signatures.
+    """Of rows (id, check, text): a row (v, meta) for each, v naming its set (null where empty), and rows (s, v, root, c) for its signatures, c a small number of its chunk.
 
     Of the sets of a chunk that share a signature, the one with the least name has no root, and it is the root of the others. Copies in a chunk sign once.
     """
@@ -177,8 +177,8 @@ def signed(docs: DataFrame, n: int, scheme: PartEnum, bits: int = 64, clashes: f
             sets = shingle_sets(texts, n)
             names = [vertex(x, bits, clashes) for x in sets]
             meta = pa.array([{"id": i, "check": c, "n": len(x), "w": _witness(x), "sketch": sketch(x)} for i, c, x in zip(ids, checks, sets, strict=True)], kind)
-            none = pa.nulls(len(ids), pa.int64())
-            yield pa.RecordBatch.from_arrays([none, pa.array(names, pa.int64()), none, meta], ["s", "v", "root", "meta"])
+            none, chunk = pa.nulls(len(ids), pa.int64()), xxhash.xxh64_intdigest(repr((ids[:1], checks[:1]))) % 65_536
+            yield pa.RecordBatch.from_arrays([none, pa.array(names, pa.int64()), none, none, meta], ["s", "v", "root", "c", "meta"])
             distinct = {v: x for v, x in zip(names, sets, strict=True) if v is not None}
             s, place = scheme.of(list(distinct.values()))
             v = np.array(list(distinct), np.int64)[place]
@@ -188,9 +188,9 @@ def signed(docs: DataFrame, n: int, scheme: PartEnum, bits: int = 64, clashes: f
             root = v[first][np.cumsum(first) - 1] if len(s) else v
             repeated = ~first & (v == root)  # one set twice in a signature's bucket
             kept = ~repeated
-            yield pa.RecordBatch.from_arrays([pa.array(s[kept]), pa.array(v[kept]), pa.array(root[kept], mask=first[kept]), pa.nulls(int(kept.sum()), kind)], ["s", "v", "root", "meta"])
+            yield pa.RecordBatch.from_arrays([pa.array(s[kept]), pa.array(v[kept]), pa.array(root[kept], mask=first[kept]), pa.array(np.full(int(kept.sum()), chunk)), pa.nulls(int(kept.sum()), kind)], ["s", "v", "root", "c", "meta"])
 
-    return docs.mapInArrow(run, f"s long, v long, root long, meta struct<id:{id_type},check:long,n:long,w:long,sketch:binary>")
+    return docs.mapInArrow(run, f"s long, v long, root long, c long, meta struct<id:{id_type},check:long,n:long,w:long,sketch:binary>")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -391,26 +391,52 @@ def _met(members: DataFrame, payload: DataFrame, kind: type[Group], percent: int
     return rows.groupBy("bin").applyInArrow(run, "a long, b long")
 
 
-def _rows(docs: DataFrame, n: int, scheme: PartEnum, bits: int) -> DataFrame:
-    """The rows of :func:`signed` (document, s, v, root, meta), with the root of all of a signature's members for those that have none, but for itself.
+def _stars(signatures: DataFrame) -> DataFrame:
+    """Rows (s, v, root) that tie all members of a signature together, from its rows (s, v, root, c) of chunks, of which some have no root yet.
+
+    Those are dealt by ranges of (s, v, c), so that a frequent signature, or a set with very many copies, is spread over partitions. In each, a signature's
+    least member is the root of the others; only the first and last signatures of a partition can go on in others, and these few meet once more.
+    """
+    dealt = signatures.where("root is null").select("s", "v", "c").repartitionByRange("s", "v", "c").sortWithinPartitions("s", "v")
+
+    def run(batches):
+        first = last = root = None
+        for batch in batches:
+            s, v = batch.column("s").to_numpy(), batch.column("v").to_numpy()
+            if not len(s):
+                continue
+            starts = np.concatenate([[s[0] != last], s[1:] != s[:-1]])
+            at = np.maximum.accumulate(np.where(starts, np.arange(len(s)), -1))
+            roots = np.where(at < 0, v[0] if root is None else root, v[at])
+            if first is None:
+                first = s[0]
+                yield pa.RecordBatch.from_arrays([pa.array(s[:1]), pa.array(v[:1]), pa.nulls(1, pa.int64())], ["s", "v", "root"])
+            others = v != roots
+            yield pa.RecordBatch.from_arrays([pa.array(s[others]), pa.array(v[others]), pa.array(roots[others])], ["s", "v", "root"])
+            last, root = s[-1], roots[-1]
+        if last != first:
+            yield pa.RecordBatch.from_arrays([pa.array([last], pa.int64()), pa.array([root], pa.int64()), pa.nulls(1, pa.int64())], ["s", "v", "root"])
+
+    met = written(dealt.select("s", "v").mapInArrow(run, "s long, v long, root long"), "jaccard-met")
+    edges = met.where("root is null").withColumn("root", F.min("v").over(Window.partitionBy("s"))).where("v <> root")
+    return signatures.where("root is not null").select("s", "v", "root").unionAll(met.where("root is not null")).unionAll(edges)
+
+
+def _rows(docs: DataFrame, n: int, scheme: PartEnum, bits: int) -> tuple[DataFrame, DataFrame]:
+    """The documents (meta, v) and the signatures' members (s, v, root) of :func:`signed`.
 
     Sets that clash in a name are named anew until no name has two sets.
     """
     clashes: frozenset[int] = frozenset()
     while True:
-        rows = signed(docs, n, scheme, bits, clashes).withColumn("document", F.col("meta").isNotNull())
-        # documents pass through, dealt by their id, and so do sets that have their root
-        key = F.when(F.col("document"), F.xxhash64("meta.id", "meta.check", "v")).otherwise(F.col("s"))
-        salt = F.when(F.col("document"), -1).when(F.col("root").isNotNull(), F.pmod("v", F.lit(255)) + 1).otherwise(0).cast("int")
-        first = Window.partitionBy("key", "salt").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        rows = rows.select(key.alias("key"), salt.alias("salt"), "v", "root", "meta").withColumn("root", F.coalesce("root", F.min("v").over(first)))
-        rows = written(rows.where("salt = -1 or v <> root"), "jaccard-rows")
-        named = rows.where("salt = -1 and v is not null").groupBy("v").agg(F.min("meta.w").alias("a"), F.max("meta.w").alias("b")).where("a <> b")
+        rows = written(signed(docs, n, scheme, bits, clashes), "jaccard-rows")
+        documents = written(rows.where("s is null").select("meta.*", "v"), "jaccard-documents")
+        named = documents.where("v is not null").groupBy("v").agg(F.min("w").alias("a"), F.max("w").alias("b")).where("a <> b")
         found = [r["v"] for r in named.select("v").limit(MOST_CLASHES + 1).collect()]
         if len(found) > MOST_CLASHES:
             raise ValueError("too many sets of one name")
         if not found:
-            return rows
+            return documents, written(_stars(rows.where("s is not null")), "jaccard-stars")
         clashes = clashes | frozenset(found)
 
 
@@ -418,14 +444,12 @@ def join_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """Per row of docs: id, check (a hash of the text), n_shingles, v (its set), component_id, kept (one row in each component)."""
     docs = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("check"), F.col(text_col).alias("text"))
     with temporary(docs.sparkSession):
-        return written(_components(docs, _rows(docs, n, PartEnum(percent, n2, k2), bits), n, percent), "jaccard-result", keep=True)
+        return written(_components(docs, *_rows(docs, n, PartEnum(percent, n2, k2), bits), n, percent), "jaccard-result", keep=True)
 
 
-def _components(docs: DataFrame, rows: DataFrame, n: int, percent: int) -> DataFrame:
+def _components(docs: DataFrame, documents: DataFrame, stars: DataFrame, n: int, percent: int) -> DataFrame:
     released(docs.sparkSession)
-    documents = rows.where("salt = -1").select("meta.*", "v")
     meta = documents.drop("sketch", "w")
-    stars = rows.where("salt <> -1").select(F.col("key").alias("s"), "v", "root")
     sketches = documents.where("v is not null").groupBy("v").agg(F.first("n").alias("n"), F.first("sketch").alias("payload"))
     # all of a signature meet its roots first; where that connects them, nothing is left to compare
     pairs = written(stars.select(F.col("v").alias("a"), F.col("root").alias("b")).distinct(), "jaccard-pairs")

@@ -85,6 +85,37 @@ def test_no_linked_pair_is_without_a_common_signature(percent, n2, k2):
                 assert set(s[place == 0]) & set(s[place == 1])
 
 
+def test_sets_of_any_size_a_text_can_hold_have_a_band():
+    scheme = jaccard.PartEnum(90, 3, 1)
+    assert all(scheme.high[scheme.bands(size)[0]] >= size for size in [1, 1 << 20, (1 << 26) + 1, 1 << 31])
+
+
+def test_members_of_signatures_hang_together(spark):
+    rng = random.Random(2)
+    # one signature of most rows, one set of very many copies, and rare ones, over many partitions
+    rows = [(rng.choice([7, 7, 7, rng.randrange(100, 400)]), rng.choice([1, rng.randrange(60)]), None, rng.randrange(65_536)) for _ in range(4000)] + [(9, 5, 3, 1), (9, 3, None, 1), (9, 2, None, 2), (9, 8, 2, 2)]
+    frame = spark.createDataFrame(rows, "s long, v long, root long, c long")
+    partitions = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "50")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        stars = [tuple(r) for r in jaccard._stars(frame).collect()]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    members, tied = {}, {}
+    for s, v, root, _ in rows:
+        members.setdefault(s, set()).update({v} if root is None else {v, root})
+    for s, v, root in stars:
+        tied.setdefault(s, []).append((v, root))
+    for s, own in members.items():
+        reached, grown = {min(own)}, True
+        while grown:
+            more = {x for pair in tied.get(s, ()) if reached & set(pair) for x in pair} - reached
+            reached, grown = reached | more, bool(more)
+        assert reached == own, s
+
+
 def test_one_of_each(spark, rows):
     rows = [*rows[:-3], rows[7], *rows[-2:]]  # a repeated row; no id of two components
     frame = spark.createDataFrame([(t, d, "x") for d, t in rows], "text string, doc_id long, component_id string")
