@@ -32,6 +32,71 @@ def predictor_dictionary(spark: SparkSession, static: list[str], category: str,
     return spark.createDataFrame(rows, "variable string, role string, source string, transformation string, units string")
 
 
+# Words for statistics in the names of terrain columns.
+STATISTICS = {"min": "minimum", "max": "maximum", "std": "standard deviation", "median": "median", "mean": "mean", "p90": "90th percentile"}
+
+
+def _defined(variable: str, source: str) -> tuple[str, str]:
+    """What a predictor is, and how it comes to be one number of a unit, told by its name and source."""
+    parts = variable.split("_")
+    if source == "slope_units":
+        return "natural logarithm of the unit's area", "area of the projected polygon"
+    if source == "parent_material":
+        return "dominant class of parent material in the unit", "class of the largest share of area"
+    if source == "history_panel":
+        known = {"prior_failure": "whether any earlier year was active", "prior_active_years_log1p": "log(1 + earlier active years)", "prior_landslide_count_log1p": "log(1 + earlier events)"}
+        return known.get(variable, "time since the last active year" if variable.startswith("gap_") else "activity before the target year"), "earlier observed years of the unit"
+    if source == "rainfall":
+        what = f"largest rainfall of a year over {parts[0][2:-3]}-day windows" if parts[0].startswith("rx") else f"{parts[0]} rainfall"
+        changed = ", of the calendar year before" if variable.endswith("_lag1") else ", less the unit's own mean" if variable.endswith("_within_z") else ""
+        return what + changed, "mean of daily cells weighted by their area in the unit"
+    found = [x for x in parts if x in STATISTICS]
+    if not found:
+        return variable.replace("_", " "), "difference of maximum and minimum" if variable.startswith("relief") else "given by unit"
+    base = " ".join(x for x in parts if x not in STATISTICS and x not in ("m", "deg"))
+    return f"{STATISTICS[found[0]]} of {base} in the unit", f"{STATISTICS[found[0]]} of the cells in the unit"
+
+
+def coverage(tables: list[DataFrame], variables: list[str]) -> DataFrame:
+    """(variable, n_rows, n_missing, minimum, maximum) of those variables that the tables have, each from the first that has it; one pass a table.
+
+    NaN is missing; a variable that isn't numeric has neither minimum nor maximum.
+    """
+    parts, left = [], list(dict.fromkeys(variables))
+    for table in tables:
+        own = [v for v in left if v in table.columns]
+        left = [v for v in left if v not in own]
+        if not own:
+            continue
+        kinds = dict(table.dtypes)
+        numeric = lambda v: kinds[v].startswith(("tinyint", "smallint", "int", "bigint", "float", "double", "decimal"))  # noqa: E731, B023
+        value = {v: F.nanvl(F.col(f"`{v}`").cast("double"), F.lit(None).cast("double")) if numeric(v) else F.col(f"`{v}`") for v in own}
+        none = F.lit(None).cast("double")
+        told = [F.struct(F.lit(v).alias("variable"), F.count("*").alias("n_rows"), (F.count("*") - F.count(value[v])).alias("n_missing"),
+                         (F.min(value[v]) if numeric(v) else none).alias("minimum"), (F.max(value[v]) if numeric(v) else none).alias("maximum")) for v in own]
+        parts.append(table.agg(F.array(*told).alias("told")).select(F.inline("told")))
+    if not parts:
+        return tables[0].sparkSession.createDataFrame([], "variable string, n_rows long, n_missing long, minimum double, maximum double")
+    return reduce(DataFrame.unionAll, parts)
+
+
+def predictor_provenance(dictionary: DataFrame, tables: list[DataFrame], products: dict[str, dict[str, str]], model_terms: list[tuple[str, str, str, str, str]] = ()) -> DataFrame:
+    """The dictionary of predictors, and rows of its columns for terms of models only, with where each comes from and what the tables hold of it.
+
+    products gives, by source, ``product``, ``resolution`` and ``reference``; without them the source itself is the product. A
+    predictor that no table has keeps its row, without counts.
+    """
+    spark = dictionary.sparkSession
+    rows = [tuple(r) for r in dictionary.select("variable", "role", "source", "transformation", "units").collect()] + list(model_terms)
+    out = []
+    for variable, role, source, transformation, units in rows:
+        product = products.get(source, {})
+        out.append((variable, _defined(variable, source)[0], product.get("product", source), product.get("resolution"), units, _defined(variable, source)[1], transformation, role, product.get("reference")))
+    # Names of the columns.
+    schema = "variable string, scientific_definition string, source_product string, native_resolution_or_map_scale string, units string, slope_unit_aggregation string, transformation string, analysis_role string, source_reference string"
+    return spark.createDataFrame(out, schema).join(coverage(tables, [r[0] for r in rows]), "variable", "left")
+
+
 def supplement_index(wanted: DataFrame, made: DataFrame) -> DataFrame:
     """wanted (…, file) with status: included where made (file) has it, not_generated elsewhere."""
     there = made.select("file").distinct().withColumn("_there", F.lit(True))

@@ -520,6 +520,22 @@ def predictor_dictionary(spark, d):
     return report.predictor_dictionary(spark, ["slope_median_deg"], "parent_material", ["prior_failure"], ["rx10day_mm"], ["slope_median_deg"])
 
 
+@query(f"""WITH {ANNUAL_SQL}, {RAIN_SQL}
+SELECT 'slope_median_deg' AS variable, 'median of slope in the unit' AS scientific_definition, 'elevation model' AS source_product, '30 m' AS native_resolution_or_map_scale, 'degrees' AS units, 'median of the cells in the unit' AS slope_unit_aggregation,
+       'z-score of the training fold in prediction; z-score over the model''s sample in rainfall models' AS transformation, 'static numeric predictor' AS analysis_role, 'survey' AS source_reference,
+       count(*) AS n_rows, count(*) - count(p_size) AS n_missing, CAST(min(p_size) AS DOUBLE) AS minimum, CAST(max(p_size) AS DOUBLE) AS maximum FROM part UNION ALL
+SELECT 'parent_material', 'dominant class of parent material in the unit', 'parent_material', NULL, 'categorical class', 'class of the largest share of area', 'source codes in prediction; harmonised in rainfall models only', 'static categorical predictor', NULL, count(*), count(*) - count(p_brand), NULL, NULL FROM part UNION ALL
+SELECT 'prior_failure', 'whether any earlier year was active', 'history_panel', NULL, 'binary (0/1)', 'earlier observed years of the unit', 'from activity strictly before the target year', 'pre-target history predictor', NULL, count(*), 0, min(CAST(prior_failure AS DOUBLE)), max(CAST(prior_failure AS DOUBLE)) FROM annual UNION ALL
+SELECT 'rx1day_mm_lag1', 'largest rainfall of a year over 1-day windows, of the calendar year before', 'rainfall', NULL, 'mm', 'mean of daily cells weighted by their area in the unit', 'source year = target year - 1; imputed and scaled by the training fold', 'pre-season lagged rainfall predictor', NULL, count(*), count(*) - count(rx1day_mm), min(rx1day_mm), max(rx1day_mm) FROM rain UNION ALL
+SELECT 'rx3day_mm', 'largest rainfall of a year over 3-day windows', 'rainfall', NULL, 'mm', 'mean of daily cells weighted by their area in the unit', 'within and between units', 'rainfall exposure', NULL, NULL, NULL, NULL, NULL""")
+def predictor_provenance(spark, d):
+    """Where predictors come from and how many rows of the panels hold them; of one, none does."""
+    words = report.predictor_dictionary(spark, ["slope_median_deg"], "parent_material", ["prior_failure"], ["rx1day_mm"], ["slope_median_deg"])
+    tables = [panels.terrain(spark, d), panels.materials(spark, d), panels.annual_history(spark, d), covariates.lagged(panels.rainfall(spark, d), ["rx1day_mm"])]
+    terms = [("rx3day_mm", "rainfall exposure", "rainfall", "within and between units", "mm")]
+    return report.predictor_provenance(words, tables, {"terrain": {"product": "elevation model", "resolution": "30 m", "reference": "survey"}}, terms)
+
+
 @query("SELECT * EXCLUDE (place) FROM (SELECT CAST(o_orderkey AS BIGINT) AS o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS place, (SELECT count(*) FROM orders) AS n FROM orders) WHERE place IN (SELECT i * ((SELECT count(*) FROM orders) - 1) // 99 FROM range(100) r(i))")
 def thinned_rows(spark, d):
     """A hundred orders at even distances."""

@@ -79,6 +79,8 @@ class Config:
     material_groups: dict[str, str] = field(default_factory=lambda: {"UF1": "UF", "UF2": "UF"})
     excluded_materials: list[str] = field(default_factory=list)
     small_sample_correction: bool = True
+    # product, resolution and reference of each source: terrain, slope_units, parent_material, history_panel, rainfall
+    provenance: dict[str, dict[str, str]] = field(default_factory=dict)
     # the audit's own expectations, by "section: check"
     expected: dict[str, str] = field(default_factory=dict)
     is_quick: bool = False
@@ -381,10 +383,24 @@ def publication_audit(c: Context) -> dict[str, DataFrame]:
     return {"publication_readiness_checks": checks} | ({"main_text_numerical_results": report.main_results(*parts)} if parts else {})
 
 
+def _predictors(c: Context) -> DataFrame:
+    """Where the predictors of all models come from, by the configuration, and what the inputs and the history panel hold of them."""
+    k, measures = c.config, [DURATIONS[n] for n in c.config.durations]
+    words = report.predictor_dictionary(c.spark, k.static_predictors, "parent_material", HISTORY, k.lagged, k.rainfall_static)
+    terms = [
+        ("gap_time_category", "state in recurrence and rainfall models", "history_panel", "five categories, the longest the reference; rows across missing years left out", "categorical years"),
+        ("monsoon_within_z", "covariate of the recurrence model", "rainfall", "z-score over the model's risk set", "SD units"),
+        *[(v, "exposure of a rainfall model of its own", "rainfall", "a part within and a part between units", "mm") for v in measures],
+    ]
+    there = [c.stored("history_panel")] if files.exists(c.spark, c.path("data", "history_panel.parquet")) else []
+    tables = [c.static(), *there, c.rainfall(measures), covariates.lagged(c.rainfall(k.lagged), k.lagged)]
+    return report.predictor_provenance(words, tables, k.provenance, terms).orderBy("analysis_role", "variable")
+
+
 def presentation(c: Context) -> dict[str, DataFrame]:
     """Tables to print and the sources of figures, of whatever earlier stages left."""
     k, t = c.config, _tables(c)
-    made = {"TableS1_predictors": lambda: report.predictor_dictionary(c.spark, k.static_predictors, "parent_material", HISTORY, k.lagged, k.rainfall_static)}
+    made = {"TableS1_predictors": lambda: _predictors(c)}
 
     def when(name: str, needs: list[str], make: Callable) -> None:
         if all(n in t for n in needs):

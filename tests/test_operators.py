@@ -692,3 +692,13 @@ def test_chi_square_tail_of_odd_degrees():
     for x, df in ((3.841459, 1), (7.814728, 3), (11.070498, 5), (5.991465, 2), (9.487729, 4)):
         assert abs(chi2_tail(x, df) - 0.05) < 1e-6
     assert chi2_tail(0.0, 3) == 1.0
+
+
+def test_coverage_counts_what_the_first_table_with_a_variable_holds(spark):
+    from chronopanel.operators import report
+
+    first = spark.createDataFrame([(1.0, "x"), (float("nan"), None), (None, "y"), (-2.0, "y")], "a double, odd string")
+    other = spark.createDataFrame([(5.0, 7)], "a double, b int")
+    got = {r["variable"]: tuple(r)[1:] for r in report.coverage([first, other], ["a", "odd", "b", "none"]).collect()}
+    assert got == {"a": (4, 2, -2.0, 1.0), "odd": (4, 1, None, None), "b": (1, 0, 7.0, 7.0)}
+    assert report.coverage([first.limit(0)], ["a"]).first()[1:] == (0, 0, None, None) and report.coverage([first], ["none"]).count() == 0

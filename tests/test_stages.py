@@ -39,6 +39,7 @@ missing_years = [1991]
 files = {{grid_weights = "weights.csv"}}
 test_years = [2007, 2008, 2009]
 first_training_year = 1992
+provenance = {{rainfall = {{product = "daily grid", resolution = "3 km", reference = "survey"}}}}
 """)
     return tmp_path
 
@@ -61,6 +62,10 @@ def test_run(spark, folder):
     checks = {(r["section"], r["check"]): r for r in read("publication_readiness_checks")}
     assert {r["passed"] for r in checks.values()} == {"true"} and checks["rainfall", "durations"]["observed"] == "7,15"
     assert {r["analysis"] for r in read("main_text_numerical_results")} == {"recurrence", "temporal fixed-margin null", "spatial chronology null", "forward prediction"}
+    predictors = {r["variable"]: r for r in read("TableS1_predictors")}
+    assert {"gap_time_category", "monsoon_within_z", "rx7day_mm", "rx15day_mm", "rx10day_mm_lag1", "log_su_area", "parent_material"} <= set(predictors)
+    assert predictors["rx7day_mm"]["source_product"] == "daily grid" and predictors["rx7day_mm"]["native_resolution_or_map_scale"] == "3 km" and not predictors["monsoon_within_z"]["n_rows"]
+    assert int(predictors["gap_time_category"]["n_missing"]) > 0 and predictors["prior_failure"]["maximum"] == "1.0" and not predictors["parent_material"]["minimum"]
     index = read("Supplementary_File_Index")
     assert {r["status"] for r in index} == {"included"} and (out / "supplement" / f"{index[0]['supplement_number']}_{index[0]['file'].split('/')[1]}").exists()
     assert len(read("figure_manifest")) > 5 and json.loads((out / "models/forward_prediction_specification.json").read_text())["quick_mode"]
