@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronopanel.functions import scalar
-from chronopanel.operators import audit, covariates, effects, evaluate, forward, history, models, randomization, report, spatial
+from chronopanel.operators import audit, covariates, effects, evaluate, forward, history, models, randomization, report, spatial, trades
 from chronopanel.plans import panels, stages
 from chronopanel.plans.panels import ANNUAL_SQL, DAILY_SQL, MISSING, POINT_MISSING, POINTS_SQL, PREDICTIONS_SQL, RAIN_SQL, TEST_YEARS, YEARS
 from chronopanel.sources import contract
@@ -705,3 +705,46 @@ def chain_diagnostics(spark, d):
 def swap_chain_statistics(spark, d):
     """The statistics of each draw."""
     return randomization.statistics(_chain_draws(spark, d), ["chain", "draw"])
+
+
+#: Rounds before the first draw, between draws, rows of a block and draws of each chain; SQL spells every round out.
+_TRADES = {"burn_in": 2, "thin": 2, "block_rows": 256, "draws": 2}
+
+
+def _trades_sql() -> str:
+    """Every round as a table of its own, then each draw's matrix as rows of (unit, column) with the column before."""
+    width, (burn_in, thin, block_rows, draws) = len(panels.DAYS), _TRADES.values()
+    key = "md5(seed || '|{k}|' || su_id)"
+    turn = """r{n} AS (
+  SELECT su_id, chain, seed, size, met + CAST(o IS NOT NULL AS INT) AS met, moved + CAST(o IS NOT NULL AND now <> mask AS INT) AS moved, CASE WHEN o IS NULL THEN mask ELSE now END AS mask FROM (
+    SELECT *, (mask & o) | CASE WHEN f THEN taken ELSE xor(xor(mask, o), taken) END AS now FROM (
+      SELECT *, CAST(coalesce(list_sum(list_transform(list_sort(list_transform(list_filter(range({width}), lambda c: (xor(mask, o) >> c) & 1 = 1), lambda c: struct_pack(h := md5(seed || '|{k}|' || CASE WHEN f THEN su_id ELSE oid END || '|' || (CAST(1 AS BIGINT) << c)), b := CAST(1 AS BIGINT) << c)))
+          [1:CAST(bit_count(CASE WHEN f THEN mask ELSE o END) - bit_count(mask & o) AS BIGINT)], lambda x: x.b)), 0) AS BIGINT) AS taken FROM (
+        SELECT *, CASE WHEN f THEN lead(mask) OVER w ELSE lag(mask) OVER w END AS o, CASE WHEN f THEN lead(su_id) OVER w ELSE lag(su_id) OVER w END AS oid FROM (
+          SELECT *, row_number() OVER w % 2 = 1 AS f FROM (SELECT r{k}.*, {key} AS key, left({key}, d) AS block FROM r{k} CROSS JOIN depth) WINDOW w AS (PARTITION BY chain, block ORDER BY key, su_id)
+        ) WINDOW w AS (PARTITION BY chain, block ORDER BY key, su_id)))))"""
+    rounds = [turn.format(n=k + 1, k=k, width=width, key=key.format(k=k)) for k in range(burn_in + thin * draws)]
+    place = "CASE " + " ".join(f"WHEN i = {i} THEN {y}" for i, y in enumerate(panels.DAYS)) + " END"
+    drawn = " UNION ALL ".join(f"SELECT {t} AS draw, * FROM r{burn_in + thin * (t + 1)}" for t in range(draws))
+    gap = "CASE WHEN last IS NULL OR last < 11 AND year > 11 OR last < 12 AND year > 12 THEN NULL WHEN year - last <= 1 THEN '1_year' WHEN year - last <= 2 THEN '2_years' WHEN year - last <= 5 THEN '3_5_years' WHEN year - last <= 10 THEN '6_10_years' ELSE 'gt10_years' END"
+    bit = " + ".join(f"CASE WHEN year = {y} THEN {1 << i} ELSE 0 END" for i, y in enumerate(panels.DAYS))
+    return f"""WITH {DAILY_SQL},
+r0 AS (SELECT su_id, mask, bit_count(mask) AS size, chain, seed, 0 AS met, 0 AS moved FROM (SELECT su_id, CAST(sum({bit}) AS BIGINT) AS mask FROM daily WHERE active = 1 GROUP BY su_id) CROSS JOIN (VALUES (0, 11), (1, 12)) v(chain, seed)),
+depth AS (SELECT min(d) AS d FROM range(8) t(d) CROSS JOIN (SELECT count(*) AS n FROM r0 WHERE chain = 0) WHERE n <= {block_rows} * 16 ** d),
+{", ".join(rounds)},
+drawn AS ({drawn}),
+cells AS (SELECT *, (mask >> i) & 1 AS hit, {place} AS year FROM drawn CROSS JOIN range({width}) t(i)),
+gaps AS (SELECT *, max(CASE WHEN hit = 1 THEN year END) OVER (PARTITION BY chain, draw, su_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last FROM cells),
+named AS (SELECT *, {gap} AS gap_time_category FROM gaps),
+kept AS (SELECT chain, draw, bool_and(ones = was) AS margins_kept FROM (SELECT chain, draw, i, sum(hit) AS ones FROM cells GROUP BY ALL) JOIN (SELECT i, sum((mask >> i) & 1) AS was FROM r0 CROSS JOIN range({width}) t(i) WHERE chain = 0 GROUP BY i) USING (i) GROUP BY ALL),
+tried AS (SELECT chain, draw, CAST(sum(met) // 2 AS BIGINT) AS attempted, CAST(sum(moved) // 2 AS BIGINT) AS accepted, bool_and(bit_count(mask) = size) AS sizes FROM drawn GROUP BY ALL)
+SELECT chain, draw, v.gap_time_category, CAST(count(n.su_id) AS BIGINT) AS n_risk, CAST(coalesce(sum(hit), 0) AS BIGINT) AS active, attempted, accepted, margins_kept AND sizes AS margins_kept
+FROM tried JOIN kept USING (chain, draw) CROSS JOIN (VALUES ('1_year'), ('2_years'), ('3_5_years'), ('6_10_years'), ('gt10_years')) v(gap_time_category) LEFT JOIN named n USING (chain, draw, gap_time_category) GROUP BY ALL"""
+
+
+@query(_trades_sql())
+def trade_chain_draws(spark, d):
+    """Gap rates of draws of two chains of trades on the daily panel's whole matrix; rounds are few since SQL spells them out."""
+    matrix = history.activity_matrix(panels.daily_history(spark, d), panels.DAYS)
+    plan = randomization.schedule(spark, 2 * _TRADES["draws"], [11, 12])
+    return trades.traded_chains(matrix, plan, panels.DAYS, panels.MISSING_DAYS, _TRADES["burn_in"], _TRADES["thin"], _TRADES["block_rows"])

@@ -12,15 +12,16 @@ import argparse
 import tomllib
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, field, replace
-from functools import reduce
+from functools import cache, reduce
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronopanel.functions import scalar
-from chronopanel.operators import audit, covariates, effects, evaluate, forward, history, models, randomization, report, spatial
+from chronopanel.operators import audit, covariates, effects, evaluate, forward, history, models, randomization, report, spatial, trades
 from chronopanel.sources import contract, files, sinks
+from chronopanel.sources.tables import temporary
 
 SUFFIXES = ("parquet", "csv", "gpkg")
 KINDS = {"response_panel": "response", "events": "events", "rainfall": "rainfall", "terrain": "terrain", "parent_material": "parent_material", "grid_weights": "grid_weights", "slope_units": "slope_units"}
@@ -60,6 +61,10 @@ class Config:
     draws: int = 9999
     burn_in: int = 100_000
     thin: int = 10_000
+    # swaps: a chain is a sequence in one task; trades: rounds of pairs as Spark stages, for any number of units
+    chain_method: str = "swaps"
+    burn_in_rounds: int = 100
+    thin_rounds: int = 10
     checkpoint_draws: int = 500
     # permutations
     permutations: int = 9999
@@ -87,7 +92,7 @@ class Config:
 
     def quick(self) -> Config:
         rows = 1000 if self.standardization_rows is None else min(1000, self.standardization_rows)
-        return replace(self, output=f"{self.output}_quick", draws=99, burn_in=1000, thin=100, permutations=99, test_years=self.test_years[:2], durations=[7, 15], standardization_rows=rows, is_quick=True)
+        return replace(self, output=f"{self.output}_quick", draws=99, burn_in=1000, thin=100, burn_in_rounds=10, thin_rounds=2, permutations=99, test_years=self.test_years[:2], durations=[7, 15], standardization_rows=rows, is_quick=True)
 
     @classmethod
     def load(cls, path: str) -> Config:
@@ -215,13 +220,10 @@ def recurrence(c: Context) -> dict[str, DataFrame]:
     return {"recurrence_missingness": missing, "recurrence_all_coefficients": tables["coefficients"], "recurrence_focal_effects": tables["focal"], "recurrence_gap_support": tables["support"], "climatology": covariates.climatology(rain, "monsoon_rainfall_mm")}
 
 
-def temporal(c: Context) -> dict[str, DataFrame]:
-    """Swap chains, stored and resumed by batches of draws."""
-    built, k = c.stored("history_panel"), c.config
-    rates = randomization.observed_gap_rates(history.risk_set(built))
-    plan = randomization.schedule(c.spark, k.draws, k.seeds)
+def _swapped(c: Context, matrix: DataFrame, plan: DataFrame) -> tuple[list[DataFrame], Callable[[], None], dict]:
+    """Draws of swap chains by batches, what forgets the steps of other inputs, and the record of the method."""
+    k = c.config
     most = plan.agg(F.max("n_draws")).first()[0]
-    matrix = history.activity_matrix(built, k.observed_years)
     # steps belong to the very matrix, years and settings that they came from
     digest = files.digest(matrix, k.observed_years, k.missing_years, k.seeds, k.draws, k.burn_in, k.thin, k.checkpoint_draws)
     start = c.store(randomization.chain_starts(matrix, plan), "temporal_start")
@@ -231,17 +233,49 @@ def temporal(c: Context) -> dict[str, DataFrame]:
         now = chains.drop("n_draws").join(plan.select("chain", F.col("n_draws").alias("whole")), "chain").withColumn("n_draws", batch).drop("whole")
         parts.append(c.resumed("temporal_steps", digest, first, lambda now=now: randomization.chain_steps(now, k.observed_years, k.missing_years, k.burn_in, k.thin)))
         chains = randomization.chain_after(start, parts[-1], 0)
-    steps = reduce(DataFrame.unionByName, parts)
-    draws = c.store(steps.where("gap_time_category is not null").drop("masks", "generator"), "temporal_draws")
+    how = {"algorithm": "uniform proposals of two rows and two years; checkerboards are swapped, other proposals keep the state", "burn_in_attempted_swaps": k.burn_in, "thinning_attempted_swaps": k.thin}
+    return [p.where("gap_time_category is not null").drop("masks", "generator") for p in parts], lambda: c.forget("temporal_steps", digest), how
+
+
+def _traded(c: Context, matrix: DataFrame, plan: DataFrame) -> tuple[list[DataFrame], Callable[[], None], dict]:
+    """As :func:`_swapped` by rounds of trades; a batch leaves its draws and the state after them, on which the next one goes on."""
+    k = c.config
+    most = plan.agg(F.max("n_draws")).first()[0]
+    digest = files.digest(matrix, k.observed_years, k.missing_years, k.seeds, k.draws, k.burn_in_rounds, k.thin_rounds, k.checkpoint_draws)
+    traders = trades.Traders(matrix, plan, k.observed_years, k.missing_years, k.burn_in_rounds, k.thin_rounds)
+    state, parts = None, []
+    for first in range(0, most, k.checkpoint_draws):
+        made = cache(lambda first=first, state=state: traders.take(first, min(k.checkpoint_draws, most - first), state))
+        with temporary(c.spark):
+            # a run that was stopped between the two makes the batch again, which gives the same
+            parts.append(c.resumed("temporal_trades", digest, first, lambda made=made: made()[0]))
+            state = c.resumed("temporal_state", digest, first, lambda made=made: made()[1])
+
+    def forget() -> None:
+        c.forget("temporal_trades", digest)
+        c.forget("temporal_state", digest)
+
+    how = {"algorithm": "rounds of random pairs of rows; each pair deals anew the years that only one of them has", "burn_in_rounds": k.burn_in_rounds, "thinning_rounds": k.thin_rounds}
+    return parts, forget, how
+
+
+def temporal(c: Context) -> dict[str, DataFrame]:
+    """Chains of swaps or of trades, stored and resumed by batches of draws."""
+    built, k = c.stored("history_panel"), c.config
+    rates = randomization.observed_gap_rates(history.risk_set(built))
+    plan = randomization.schedule(c.spark, k.draws, k.seeds)
+    matrix = history.activity_matrix(built, k.observed_years)
+    parts, forget, how = {"swaps": _swapped, "trades": _traded}[k.chain_method](c, matrix, plan)
+    draws = c.store(reduce(DataFrame.unionByName, parts), "temporal_draws")
     if not draws.agg(F.bool_and("margins_kept")).first()[0]:
         raise contract.ContractError("a draw doesn't keep the margins")
-    c.forget("temporal_steps", digest)
+    forget()
     drawn = randomization.statistics(draws, ["chain", "draw"])
     names = [x for x in drawn.columns if x not in ("chain", "draw")]
     drawn = c.store(drawn, "temporal_fixed_margin_null")
     long = drawn.unpivot(["chain", "draw"], names, "statistic", "value")
     observed = randomization.statistics(rates)
-    c.specify("temporal_randomization", {"algorithm": "uniform proposals of two rows and two years; checkerboards are swapped, other proposals keep the state", "chains": len(k.seeds), "seeds": k.seeds, "retained_draws": k.draws, "burn_in_attempted_swaps": k.burn_in, "thinning_attempted_swaps": k.thin})
+    c.specify("temporal_randomization", how | {"chains": len(k.seeds), "seeds": k.seeds, "retained_draws": k.draws})
     return {"temporal_observed_gap_rates": rates, "temporal_observed_statistics": observed, "temporal_fixed_margin_summary": randomization.empirical_summary(long.select("statistic", "value"), observed.unpivot([], names, "statistic", "value")), "temporal_chain_diagnostics": randomization.chain_diagnostics(draws), "temporal_chain_mixing_diagnostics": randomization.mixing(long)}
 
 

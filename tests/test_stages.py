@@ -124,6 +124,35 @@ def test_stopped_stages_go_on_with_their_own_steps(spark, folder, monkeypatch):
     assert again == result("fresh2") and all(a != b for a, b in zip(again, first, strict=True))
 
 
+def test_chains_of_trades_go_on_where_a_run_stopped(spark, folder, monkeypatch):
+    from chronopanel.operators import trades
+
+    def config(output):
+        k = stages.Config.load(str(folder / "run.toml"))
+        k.draws, k.burn_in_rounds, k.thin_rounds, k.checkpoint_draws, k.chain_method = 9, 3, 1, 1, "trades"
+        return stages.replace(k, output=str(folder / output))
+
+    whole, calls = trades.Traders.take, []
+
+    def stopped(self, *args):
+        calls.append(args[0])
+        if len(calls) == 3:
+            raise KeyboardInterrupt
+        return whole(self, *args)
+
+    with monkeypatch.context() as m, pytest.raises(KeyboardInterrupt):
+        m.setattr(trades.Traders, "take", stopped)
+        stages.run(spark, config("traded"), ["history", "temporal"])
+    with monkeypatch.context() as m:
+        m.setattr(trades.Traders, "take", lambda self, *args: calls.append(args[0]) or whole(self, *args))
+        stages.run(spark, config("traded"), ["history", "temporal"])
+    assert calls == [0, 1, 2, 2]  # the first two batches were there
+    stages.run(spark, config("traded_fresh"), ["history", "temporal"])
+    result = lambda output: [(folder / output / f"tables/{t}.csv").read_text() for t in ("temporal_fixed_margin_summary", "temporal_chain_diagnostics")]
+    assert result("traded") == result("traded_fresh")
+    assert json.loads((folder / "traded/models/temporal_randomization_specification.json").read_text())["thinning_rounds"] == 1
+
+
 def test_failed_stages_leave_their_manifest(spark, folder):
     config = stages.Config.load(str(folder / "run.toml"))
     config.observed_years = [1999]
