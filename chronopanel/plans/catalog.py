@@ -6,6 +6,7 @@ Doubles that come of sums, means or logarithms are rounded to 6 places in both,
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -117,6 +118,30 @@ def period_check(spark, d):
     return contract.period_check(panels.annual_panel(spark, d), YEARS)
 
 
+_LINES = "SELECT CAST(l_partkey AS VARCHAR) AS su_id, CAST(year(l_shipdate) AS INTEGER) AS year, l_quantity, l_linestatus FROM lineitem"
+_RESPONSE = "SELECT '{}' AS source, su_id, year, {} AS landslide_count, {} AS shallow_count, CAST({} > 0 AS INTEGER) AS active, CAST({} > 0 AS INTEGER) AS shallow_active FROM every LEFT JOIN {} USING (su_id, year)"
+
+
+def _response(source: str, total: str, shallow: str, table: str) -> str:
+    return _RESPONSE.format(source, total, shallow, total, shallow, table)
+
+
+@query(f"""WITH lines AS ({_LINES}), every AS (SELECT CAST(p_partkey AS VARCHAR) AS su_id, unnest({YEARS}) AS year FROM part),
+flags AS (SELECT su_id, year, max(l_quantity) - 40 AS f, min(l_quantity) - 10 AS g FROM lines GROUP BY ALL),
+counts AS (SELECT su_id, year, CAST(count(*) AS DOUBLE) AS n, CAST(count(*) FILTER (l_linestatus = 'F') AS DOUBLE) AS k FROM lines GROUP BY ALL)
+{_response("flags", "CASE WHEN f > 0 THEN 1.0::DOUBLE ELSE 0.0 END", "CASE WHEN g > 0 THEN 1.0::DOUBLE ELSE 0.0 END", "flags")}
+UNION ALL {_response("events", "coalesce(n, 0.0)", "coalesce(k, 0.0)", "counts")}
+UNION ALL {_response("events, not the flag", "coalesce(n, 0.0)", "CASE WHEN g > 0 THEN 1.0::DOUBLE ELSE 0.0 END", "(SELECT * FROM counts JOIN flags USING (su_id, year))")}""")
+def response_sources(spark, d):
+    """Responses from flags (null and negative ones too), from typed events, and from both: events go before a total's flag, a shallow flag before events."""
+    lines = panels.table(spark, d, "lineitem").select(F.col("l_partkey").cast("string").alias("su_id"), F.year("l_shipdate").alias("year"), "l_quantity", F.when(F.col("l_linestatus") == "F", " Shallow ").otherwise("deep").alias("landslide_type"))
+    every = panels.table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("su_id"), F.explode(F.array(*[F.lit(y) for y in YEARS])).alias("year"))
+    flags = lines.groupBy("su_id", "year").agg((F.max("l_quantity") - 40).alias("active"), (F.min("l_quantity") - 10).alias("shallow_active"))
+    flagged = every.join(flags, ["su_id", "year"], "left")
+    made = {"flags": history.derive_response(flagged), "events": history.derive_response(every, lines), "events, not the flag": history.derive_response(flagged, lines)}
+    return reduce(DataFrame.unionByName, [df.withColumn("source", F.lit(k)) for k, df in made.items()])
+
+
 @query("SELECT CAST(l_orderkey AS VARCHAR) AS su_id, CAST(year(l_shipdate) AS INTEGER) AS year, count(*) AS n_rows FROM lineitem GROUP BY ALL HAVING count(*) > 1")
 def repeated_keys(spark, d):
     keyed = panels.table(spark, d, "lineitem").select(F.col("l_orderkey").cast("string").alias("su_id"), F.year("l_shipdate").alias("year"))
@@ -708,7 +733,7 @@ def swap_chain_statistics(spark, d):
 
 
 #: Rounds before the first draw, between draws, rows of a block and draws of each chain; SQL spells every round out.
-_TRADES = {"burn_in": 2, "thin": 2, "block_rows": 256, "draws": 2}
+_TRADES = {"burn_in": 2, "thin": 2, "block_rows": 32, "draws": 2}
 
 
 def _trades_sql() -> str:
