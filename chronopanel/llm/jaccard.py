@@ -51,8 +51,10 @@ BLOCK_BYTES = 1 << 25
 BINS, LEAST_BINS = 256, 64
 #: Members of a signature up to which all its pairs are listed, and pairs that are listed together.
 SMALL_BUCKET, PAIRS_TOGETHER = 64, 2_000_000
-#: Bits of a signature; a collision only costs a comparison.
+#: Bits of a signature, whole bytes; a collision only costs a comparison.
 SIGNATURE_BITS = 48
+#: Features whose signatures are searched together for those that sets share, about.
+MEETING_FEATURES = 1 << 21
 #: Names that several sets may have before they are named anew.
 MOST_CLASHES = 1_000_000
 
@@ -164,33 +166,94 @@ def _chunks(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[l
     yield held
 
 
-def signed(docs: DataFrame, n: int, scheme: PartEnum, bits: int = 64, clashes: frozenset[int] = frozenset()) -> DataFrame:
-    """Of rows (id, check, text): a row (v, meta) for each, v naming its set (null where empty), and rows (s, v, root, c) for its signatures, c a small number of its chunk.
+def named(docs: DataFrame, n: int, bits: int = 64, clashes: frozenset[int] = frozenset()) -> DataFrame:
+    """Of rows (id, check, text): a row (id, check, n, w, sketch, v) for each, v naming its set (null where empty)."""
+    id_type = docs.schema["id"].dataType
 
-    Of the sets of a chunk that share a signature, the one with the least name has no root, and it is the root of the others. Copies in a chunk sign once.
+    def run(batches):
+        for ids, checks, texts in _chunks(batches, ["id", "check", "text"]):
+            sets = shingle_sets(texts, n)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids, to_arrow_type(id_type)), pa.array(checks, pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.array([_witness(x) for x in sets], pa.int64()), pa.array([sketch(x) for x in sets], pa.binary()), pa.array([vertex(x, bits, clashes) for x in sets], pa.int64())],
+                ["id", "check", "n", "w", "sketch", "v"],
+            )
+
+    return docs.mapInArrow(run, f"id {id_type.simpleString()}, check long, n long, w long, sketch binary, v long")
+
+
+def _packed(s: np.ndarray) -> bytes:
+    """Signatures without the bytes that they don't fill."""
+    return s.astype("<i8").view(np.uint8).reshape(-1, 8)[:, : SIGNATURE_BITS // 8].tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    own = np.frombuffer(data, np.uint8).reshape(-1, SIGNATURE_BITS // 8)
+    out = np.zeros((len(own), 8), np.uint8)
+    out[:, : SIGNATURE_BITS // 8] = own
+    return out.view("<i8").ravel()
+
+
+def signed(docs: DataFrame, n: int, scheme: PartEnum, bins: int, bits: int = 64, clashes: frozenset[int] = frozenset()) -> DataFrame:
+    """Of rows (id, check, text): signatures of their sets as packed rows (bin, c, s, v, times, root), c a small number of the chunk. Copies in a chunk sign once.
+
+    Of the sets of a chunk that share a signature, the one with the least name has no root: in a row for each bin of signatures are those s of
+    sets without one, ``times`` of them for each v. The others, and their roots, are in a row of a bin below 0, which is the chunk's.
     """
-    id_type = docs.schema["id"].dataType.simpleString()
-    kind = pa.struct([("id", to_arrow_type(docs.schema["id"].dataType)), ("check", pa.int64()), ("n", pa.int64()), ("w", pa.int64()), ("sketch", pa.binary())])
 
     def run(batches):
         for ids, checks, texts in _chunks(batches, ["id", "check", "text"]):
+            chunk = xxhash.xxh64_intdigest(repr((ids[:1], checks[:1]))) % 65_536
             sets = shingle_sets(texts, n)
-            names = [vertex(x, bits, clashes) for x in sets]
-            meta = pa.array([{"id": i, "check": c, "n": len(x), "w": _witness(x), "sketch": sketch(x)} for i, c, x in zip(ids, checks, sets, strict=True)], kind)
-            none, chunk = pa.nulls(len(ids), pa.int64()), xxhash.xxh64_intdigest(repr((ids[:1], checks[:1]))) % 65_536
-            yield pa.RecordBatch.from_arrays([none, pa.array(names, pa.int64()), none, none, meta], ["s", "v", "root", "c", "meta"])
-            distinct = {v: x for v, x in zip(names, sets, strict=True) if v is not None}
+            distinct = {v: x for x in sets if (v := vertex(x, bits, clashes)) is not None}
             s, place = scheme.of(list(distinct.values()))
+            if not len(s):
+                continue
             v = np.array(list(distinct), np.int64)[place]
             order = np.lexsort((v, s))
             s, v = s[order], v[order]
-            first = np.concatenate([[True], s[1:] != s[:-1]]) if len(s) else np.empty(0, bool)
-            root = v[first][np.cumsum(first) - 1] if len(s) else v
-            repeated = ~first & (v == root)  # one set twice in a signature's bucket
-            kept = ~repeated
-            yield pa.RecordBatch.from_arrays([pa.array(s[kept]), pa.array(v[kept]), pa.array(root[kept], mask=first[kept]), pa.array(np.full(int(kept.sum()), chunk)), pa.nulls(int(kept.sum()), kind)], ["s", "v", "root", "c", "meta"])
+            first = np.concatenate([[True], s[1:] != s[:-1]])
+            root = v[first][np.cumsum(first) - 1]
+            out = []
+            if (others := v != root).any():
+                out.append((-1 - chunk % bins, _packed(s[others]), v[others].tobytes(), None, root[others].tobytes()))
+            s, v = s[first], v[first]
+            bin_ = s % bins
+            order = np.lexsort((v, bin_))
+            s, v, bin_ = s[order], v[order], bin_[order]
+            runs = np.flatnonzero(np.concatenate([[True], (v[1:] != v[:-1]) | (bin_[1:] != bin_[:-1])]))
+            names, times = v[runs], np.diff(np.append(runs, len(s))).astype(np.uint32)
+            cuts = np.flatnonzero(np.concatenate([[True], bin_[1:] != bin_[:-1], [True]]))
+            at = np.searchsorted(runs, cuts)
+            for k, (i, j) in enumerate(zip(cuts, cuts[1:], strict=False)):
+                out.append((int(bin_[i]), _packed(s[i:j]), names[at[k] : at[k + 1]].tobytes(), times[at[k] : at[k + 1]].tobytes(), None))
+            binned, *packed = zip(*out, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(binned, pa.int64()), pa.array([chunk] * len(out), pa.int64()), *[pa.array(x, pa.binary()) for x in packed]], ["bin", "c", "s", "v", "times", "root"])
+
+    return docs.mapInArrow(run, "bin long, c long, s binary, v binary, times binary, root binary")
+
+
+def _shared(packed: DataFrame) -> DataFrame:
+    """Rows (s, v, root, c) of the signatures that two sets have: of :func:`signed`, all with a root, and those without one that two chunks have for different sets.
+
+    Nearly all signatures are of one set only and end here, so what is exchanged of them is packed, and they are written nowhere. A signature comes once from a chunk.
+    """
 
-    return docs.mapInArrow(run, f"s long, v long, root long, c long, meta struct<id:{id_type},check:long,n:long,w:long,sketch:binary>")
+    def run(table: pa.Table) -> pa.Table:
+        s = [_unpacked(x) for x in table.column("s").to_pylist()]
+        v = [np.frombuffer(x, np.int64) for x in table.column("v").to_pylist()]
+        c = np.repeat(table.column("c").to_numpy(), [len(x) for x in s])
+        if table.column("bin")[0].as_py() < 0:
+            root = [np.frombuffer(x, np.int64) for x in table.column("root").to_pylist()]
+            return pa.table({"s": np.concatenate(s), "v": np.concatenate(v), "root": np.concatenate(root), "c": c})
+        v = np.concatenate([np.repeat(x, np.frombuffer(t, np.uint32)) for x, t in zip(v, table.column("times").to_pylist(), strict=True)])
+        s = np.concatenate(s)
+        order = np.argsort(s, kind="stable")
+        s, v, c = s[order], v[order], c[order]
+        starts = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+        kept = np.repeat(np.minimum.reduceat(v, starts) != np.maximum.reduceat(v, starts), np.diff(np.append(starts, len(s))))
+        return pa.table({"s": s[kept], "v": v[kept], "root": pa.nulls(int(kept.sum()), pa.int64()), "c": c[kept]})
+
+    return packed.groupBy("bin").applyInArrow(run, "s long, v long, root long, c long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -423,21 +486,25 @@ def _stars(signatures: DataFrame) -> DataFrame:
 
 
 def _rows(docs: DataFrame, n: int, scheme: PartEnum, bits: int) -> tuple[DataFrame, DataFrame]:
-    """The documents (meta, v) and the signatures' members (s, v, root) of :func:`signed`.
+    """The documents of :func:`named` and the members (s, v, root) of signatures that sets share.
 
-    Sets that clash in a name are named anew until no name has two sets.
+    Sets that clash in a name are named anew until no name has two sets. Texts are read once for names and once for signatures, since all
+    signatures as a table, beside their exchange, would take several times the disk of the texts.
     """
     clashes: frozenset[int] = frozenset()
     while True:
-        rows = written(signed(docs, n, scheme, bits, clashes), "jaccard-rows")
-        documents = written(rows.where("s is null").select("meta.*", "v"), "jaccard-documents")
-        named = documents.where("v is not null").groupBy("v").agg(F.min("w").alias("a"), F.max("w").alias("b")).where("a <> b")
-        found = [r["v"] for r in named.select("v").limit(MOST_CLASHES + 1).collect()]
+        documents = written(named(docs, n, bits, clashes), "jaccard-documents")
+        clashing = documents.where("v is not null").groupBy("v").agg(F.min("w").alias("a"), F.max("w").alias("b")).where("a <> b")
+        found = [r["v"] for r in clashing.select("v").limit(MOST_CLASHES + 1).collect()]
         if len(found) > MOST_CLASHES:
             raise ValueError("too many sets of one name")
         if not found:
-            return documents, written(_stars(rows.where("s is not null")), "jaccard-stars")
+            break
         clashes = clashes | frozenset(found)
+    features = documents.agg(F.sum("n")).first()[0] or 0
+    shared = written(_shared(signed(docs, n, scheme, 1 + features // MEETING_FEATURES, bits, clashes)), "jaccard-shared")
+    released(docs.sparkSession)
+    return documents, written(_stars(shared), "jaccard-stars")
 
 
 def join_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 3, percent: int = 90, n2: int = 3, k2: int = 1, bits: int = 64) -> DataFrame:

@@ -90,6 +90,35 @@ def test_sets_of_any_size_a_text_can_hold_have_a_band():
     assert all(scheme.high[scheme.bands(size)[0]] >= size for size in [1, 1 << 20, (1 << 26) + 1, 1 << 31])
 
 
+def test_signatures_of_one_set_are_not_dealt_by_ranges(spark, monkeypatch):
+    seen, stars = [], jaccard._stars
+    monkeypatch.setattr(jaccard, "_stars", lambda signatures: seen.append(signatures.count()) or stars(signatures))
+    rng = random.Random(4)
+    texts = [" ".join(f"v{rng.randrange(10**6)}" for _ in range(300)) for _ in range(60)]
+    frame = spark.createDataFrame(list(enumerate([*texts, *texts])), "doc_id long, text string").repartition(6)
+    got = jaccard.join_components(frame, n=5, percent=80).collect()
+    assert sorted((r["id"], r["component_id"]) for r in got) == [(i, i % 60) for i in range(120)]
+    assert seen == [0]  # copies have one name, and no two sets have a signature in common
+
+
+@pytest.mark.parametrize("bins", [1, 3, 1000])
+def test_signatures_that_sets_share_are_kept(spark, rows, bins):
+    scheme = jaccard.PartEnum(80, 3, 1)
+    frame = spark.createDataFrame([(d, i, t) for i, (d, t) in enumerate(rows)], "id long, check long, text string").repartition(5)
+    packed = jaccard.signed(frame, 5, scheme, bins)
+    got = jaccard._shared(packed).collect()
+    sets = {jaccard.vertex(x): x for x in jaccard.shingle_sets([t for _, t in rows], 5) if len(x)}
+    s, place = scheme.of(list(sets.values()))
+    members = {}
+    for x, v in zip(s.tolist(), np.array(list(sets))[place].tolist(), strict=True):
+        members.setdefault(x, set()).add(v)
+    found = {}
+    for r in got:
+        found.setdefault(r["s"], set()).update({r["v"], r["root"]} - {None})
+    assert found == {x: own for x, own in members.items() if len(own) > 1}
+    assert packed.agg({"bin": "max"}).first()[0] < bins
+
+
 def test_members_of_signatures_hang_together(spark):
     rng = random.Random(2)
     # one signature of most rows, one set of very many copies, and rare ones, over many partitions
