@@ -267,10 +267,11 @@ def components(edges: DataFrame) -> DataFrame:
         to = written(to, "pointers")
         next_ = to.select(F.col("a").alias("p"), F.col("p").alias("q"))
         # a vertex points at a smaller one; follow two pointers further
-        to = to.join(next_, "p").select("a", F.col("q").alias("p")).join(next_, "p").select("a", F.col("q").alias("p"))
+        to = written(to.join(next_, "p").select("a", F.col("q").alias("p")).join(next_, "p").select("a", F.col("q").alias("p")), "pointers")
         labels = written(labels.join(to.withColumnRenamed("a", "label"), "label", "left").select("v", F.coalesce("p", "label").alias("label")), "labels")
         moved = edges.join(to, "a").select(F.col("p").alias("x"), "b").join(to.select(F.col("a").alias("b"), F.col("p").alias("y")), "b")
         edges = written(moved.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
+        released(edges.sparkSession)
     return labels
 
 

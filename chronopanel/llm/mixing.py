@@ -36,12 +36,15 @@ def _key(id_col: str, text_col: str, seed: int) -> Column:
 
 
 def _targets(sources: DataFrame, weights: tuple[float, ...], share: float, max_epochs: float) -> DataFrame:
-    """Weight and target of each (source, source_size); sources are ordered slice by slice, since there may be many."""
+    """Weight and target of each (source, source_size); sources are ordered slice by slice, since there may be many.
+
+    Sums read their input several times and stand on one another, so each is written: as one plan they were 153 exchanges, and its descriptions filled the driver.
+    """
     place = F.coalesce(text_order(F.col("_source")), F.lit(float("inf")))
-    ranked = prefix_sums(sources, [], place, [F.col("_source").asc_nulls_last()], {"_i": F.lit(1)})
+    ranked = written(prefix_sums(written(sources, "mix-sources"), [], place, [F.col("_source").asc_nulls_last()], {"_i": F.lit(1)}), "mix-ranks")
     ranked = ranked.withColumn("_w", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), ((F.col("_i") - 1) % len(weights) + 1).cast("int")))
     ranked = ranked.withColumn("_cap", F.lit(float(max_epochs)) * F.col("_source_size")).withColumn("_ratio", F.col("_cap") / F.col("_w"))
-    ranked = prefix_sums(ranked, [], F.col("_ratio"), [F.col("_i")], {"_caps": F.col("_cap"), "_weights": F.col("_w")})
+    ranked = written(prefix_sums(ranked, [], F.col("_ratio"), [F.col("_i")], {"_caps": F.col("_cap"), "_weights": F.col("_w")}), "mix-caps")
     whole = ranked.agg(F.sum("_source_size").alias("_all"), F.sum("_w").alias("_all_w"))
     ranked = ranked.join(F.broadcast(whole)).withColumn("_level", (F.lit(float(share)) * F.col("_all") - (F.col("_caps") - F.col("_cap"))) / (F.col("_all_w") - (F.col("_weights") - F.col("_w"))))
     level = ranked.agg(F.min(F.when(F.col("_level") <= F.col("_ratio"), F.struct("_ratio", "_i", "_level"))).alias("_first"))

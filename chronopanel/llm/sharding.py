@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
-from chronopanel.llm.shared import joined_by_group
+from chronopanel.llm.shared import joined_by_group, released
 from chronopanel.sources.tables import temporary, written
 
 BUCKETS = 256
@@ -73,23 +73,24 @@ def propagate(nodes: DataFrame, links: DataFrame, quotas: list[int], rounds: int
 
     quotas are the most nodes that each shard may hold; together they are enough for all. Nodes start dealt evenly.
     """
-    shards = len(quotas)
+    shards, total = len(quotas), nodes.count()
     start = _ranked(nodes.select("node", F.lit(0).alias("_all")), ["_all"], F.pmod(F.xxhash64("node"), F.lit(BUCKETS)), [F.col("node")], "_rank")
     labels = written(start.select("node", (F.col("_rank") % shards).cast("int").alias("shard")), "shard-labels")
     cuts = [cut_links(links, labels)]
+    held = [total // shards + (i < total % shards) for i in range(shards)]
     edges, idle = both_ways(links), 0
     for turn in range(rounds):
-        held = {r["shard"]: r["n"] for r in labels.groupBy("shard").agg(F.count("*").alias("n")).collect()}  # a number for each shard
         there = labels.select(F.col("node").alias("b"), F.col("shard").alias("to"))
         asking = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(2)) == 0
-        votes = edges.join(there, "b").groupBy(F.col("a").alias("node"), "to").agg(F.count("*").alias("n"))
+        # dealt by node, of which none has more than FAN neighbours, what follows needs no further exchange
+        votes = edges.withColumnRenamed("a", "node").where(asking).join(there, "b").repartition("node").groupBy("node", "to").agg(F.count("*").alias("n"))
         own = votes.join(labels.where(asking), "node")
         # most neighbours first; ties stay, or else go by a rotation of the node's own
         rotated = F.pmod(F.col("to") + F.xxhash64("node"), F.lit(shards))
         best = own.groupBy("node", "shard").agg(F.max(F.struct("n", (F.col("to") == F.col("shard")).alias("stays"), rotated.alias("_r"), "to")).alias("best"), F.coalesce(F.max(F.when(F.col("to") == F.col("shard"), F.col("n"))), F.lit(0)).alias("here"))
         wishes = written(best.where(F.col("best.to") != F.col("shard")).select("node", "shard", "best.to", (F.col("best.n") - F.col("here")).alias("gain")).where("gain > 0"), "shard-wishes")
         asked = {(r["shard"], r["to"]): r["n"] for r in wishes.groupBy("shard", "to").agg(F.count("*").alias("n")).collect()}  # a number for each pair of shards
-        flows = accepted_flows(asked, [q - held.get(i, 0) for i, q in enumerate(quotas)])
+        flows = accepted_flows(asked, [q - n for q, n in zip(quotas, held, strict=True)])
         if not flows:
             if (idle := idle + 1) == 2:  # neither half has anywhere to go
                 break
@@ -100,6 +101,9 @@ def propagate(nodes: DataFrame, links: DataFrame, quotas: list[int], rounds: int
         bucket = (15 - gain) * 16 + F.pmod(F.xxhash64("node", F.lit(-1)), F.lit(16))
         moved = _ranked(wishes, ["shard", "to"], bucket, [F.col("node")], "_rank").join(F.broadcast(most), ["shard", "to"]).where("_rank < most").select("node", F.col("to").alias("_to"))
         labels = written(labels.join(moved, "node", "left").select("node", F.coalesce("_to", "shard").alias("shard")), "shard-labels")
+        for (i, j), n in flows.items():
+            held[i], held[j] = held[i] - n, held[j] + n
+        released(nodes.sparkSession)
     return labels, [*cuts, cut_links(links, labels)]
 
 
