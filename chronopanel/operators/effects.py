@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from chronopanel.functions.scalar import GAP_CATEGORIES, Z95, composite_key, harmonised, holm, zscored
 from chronopanel.operators import covariates, history, mixed, models, randomization
+from chronopanel.sources.tables import temporary, written
 
 ORDER = [c for c, _ in GAP_CATEGORIES]
 # How categories and effects read in tables.
@@ -84,12 +85,13 @@ def rainfall_design(base: DataFrame, rain: DataFrame, measure: str, static: list
     """Complete cases with a column for each term, the report of what's missing, the terms, and the gap categories but for the reference.
 
     The formula is rx_z by gap, and rx_between_z, the burden, static z-scores, material and year; the first level of each is its reference.
+    Complete cases are written to the shared folder: each level that is looked for, and each user of them, would join and shuffle everything again.
     """
     data = covariates.within_between(base, rain, measure).withColumnsRenamed({f"{measure}_within_z": "rx_z", f"{measure}_between_z": "rx_between_z"})
     numbers = ["rx_between_z", "prior_shallow_active_years_z", *[f"{c}_z" for c in static]]
     required = ["shallow_active", "rx_z", *numbers, "gap_shallow_category", "parent_material", "year", "su_id", "grid_year"]
     missing = covariates.missing_report(data, required, f"rainfall_history_{measure}")
-    own = covariates.complete_cases(data.select(*required), required)
+    own = written(covariates.complete_cases(data.select(*required), required), "rainfall-complete")
     gaps = _gap_levels(own, "gap_shallow_category", reference)
     materials, years = models.levels_of(own, "parent_material", "year")
     gap_marks = models.marks("gap_shallow_category", gaps, "gap=")
@@ -107,19 +109,21 @@ def rainfall_effects(base: DataFrame, rain: DataFrame, measures: dict[int, str],
     spark, label = base.sparkSession, "shallow_active"
     effects, contrasts, joint, coefficients, missing, support, records = [], [], [], [], [], [], []
     for days, measure in measures.items():
-        own, report, terms, gaps = rainfall_design(base, rain, measure, static, reference)
-        missing.append(report.withColumn("duration_days", F.lit(days)))
-        own = own.persist()
-        try:
-            fit = models.binomial(own, terms, label)
-            units, cells = models.two_way_covariance(own, fit, "su_id", "grid_year", label, correction)
-            rows = own.withColumn("_id", F.concat_ws("|", "su_id", "year"))
-            rows = randomization.seeded_sample(rows, sample, seed, "_id") if sample is not None and sample < fit.n else rows
-            settings = {c: {f"gap={g}": float(g == c) for g in gaps} for c in [*gaps, reference]}
-            found = models.marginal_effects(rows, fit, settings, "rx_z")
-            held = own.groupBy(F.col("gap_shallow_category").alias("history_state")).agg(F.count("*").alias("n_rows"), F.sum(label).cast("long").alias("active_outcomes"), F.count_distinct("su_id").alias("n_slope_units")).collect()
-        finally:
-            own.unpersist()
+        # complete cases of a measure go before the next one's are written
+        with temporary(spark):
+            own, report, terms, gaps = rainfall_design(base, rain, measure, static, reference)
+            missing.append(report.withColumn("duration_days", F.lit(days)))
+            own = own.persist()
+            try:
+                fit = models.binomial(own, terms, label)
+                units, cells = models.two_way_covariance(own, fit, "su_id", "grid_year", label, correction)
+                rows = own.withColumn("_id", F.concat_ws("|", "su_id", "year"))
+                rows = randomization.seeded_sample(rows, sample, seed, "_id") if sample is not None and sample < fit.n else rows
+                settings = {c: {f"gap={g}": float(g == c) for g in gaps} for c in [*gaps, reference]}
+                found = models.marginal_effects(rows, fit, settings, "rx_z")
+                held = own.groupBy(F.col("gap_shallow_category").alias("history_state")).agg(F.count("*").alias("n_rows"), F.sum(label).cast("long").alias("active_outcomes"), F.count_distinct("su_id").alias("n_slope_units")).collect()
+            finally:
+                own.unpersist()
         support += [(measure, days, *r, r["active_outcomes"] / r["n_rows"]) for r in sorted(held, key=lambda r: ORDER.index(r["history_state"]))]
         n = min(fit.n, sample) if sample is not None else fit.n
         own_effects, own_contrasts = models.effect_rows(fit, found, reference)

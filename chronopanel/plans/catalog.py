@@ -626,11 +626,12 @@ design AS (
 
 
 def _rain_frame(spark, d) -> tuple[DataFrame, DataFrame]:
-    """The base of the rainfall models, and rainfall."""
+    """The base of the rainfall models, and rainfall. The risk set is written with what is joined to it, so that its scores and users read it and not all lines."""
     rain = panels.rainfall(spark, d)
     static = covariates.static_features(panels.terrain(spark, d), panels.materials(spark, d))
     cells = covariates.dominant_cell(panels.grid_weights(spark, d)).select("su_id", "grid_id")
-    frame = panels.annual_history(spark, d).join(rain, ["su_id", "year"], "left").join(static, "su_id", "left").join(cells, "su_id", "left")
+    risk = history.risk_set(panels.annual_history(spark, d), "shallow_")
+    frame = written(risk.join(rain, ["su_id", "year"], "left").join(static, "su_id", "left").join(cells, "su_id", "left"), "rainfall-risk")
     return effects.rainfall_base(frame, _STATIC, MATERIAL_GROUPS, [])[0], rain
 
 

@@ -1,6 +1,7 @@
 """Operators against small literals and NumPy."""
 
 import math
+import os
 
 import numpy as np
 import pandas as pd
@@ -525,6 +526,38 @@ def _panel(seed, n=900):
     return frame, rain
 
 
+def test_rainfall_design_makes_its_rows_once(spark):
+    """Levels and later users read complete cases that were written; they are not joined again for each."""
+    frame, rain = _panel(4)
+    base, _ = effects.rainfall_base(spark.createDataFrame(frame), ["relief_m"], {}, [])
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("int")
+    def counted(x):
+        made.add(1)
+        return x
+
+    own, _, terms, gaps = effects.rainfall_design(base.withColumn("shallow_active", counted("shallow_active")), spark.createDataFrame(rain), "rx7day_mm", ["relief_m"], "gt10_years")
+    assert own.count() == len(frame) - 1 and len(gaps) == 4 and own.agg(F.sum("shallow_active")).first()[0] == frame["shallow_active"][1:].sum()
+    assert made.value == len(frame)
+
+
+def test_rainfall_models_leave_no_complete_cases(spark):
+    frame, rain = _panel(4)
+    base, _ = effects.rainfall_base(spark.createDataFrame(frame), ["relief_m"], {}, [])
+    left = lambda: {p for p in os.listdir(spark.conf.get("spark.checkpoint.dir")) if p.startswith("rainfall-complete")}
+    before = left()
+    tables, _ = effects.rainfall_effects(base, spark.createDataFrame(rain), {7: "rx7day_mm"}, ["relief_m"])
+    assert left() == before and tables["missingness"].count() > 0
+
+
+def test_base_of_the_rainfall_models_rests_on_its_own_table(spark, sf):
+    from chronopanel.plans import catalog
+
+    base, _ = catalog._rain_frame(spark, sf)
+    assert base.inputFiles() and all("rainfall-risk" in p for p in base.inputFiles())
+
+
 def test_rainfall_models_are_those_of_the_formula(spark):
     """Coefficients, covariance, effects and contrasts from NumPy, by the formula term by term."""
     frame, rain = _panel(4)
